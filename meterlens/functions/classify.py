@@ -34,29 +34,29 @@ def contains_any(text: Column, marks: tuple[str, ...]) -> Column:
     return any_of([text.contains(m) for m in marks])
 
 
-def _matches(rule: Rule, product: Column, sku: Column, has_pipeline: Column, offering: Column) -> Column:
+def _matches(rule: Rule) -> Column:
+    product, sku = F.col("billing_origin_product"), F.col("sku_name")
     conditions = []
     if rule.products:
         conditions.append(product.isin(*rule.products))
     if rule.pipeline:
-        conditions.append(has_pipeline)
+        conditions.append(F.col("has_pipeline"))
     if rule.marks:
         conditions.append(contains_any(sku, rule.marks))
     if rule.offering:
-        conditions.append(offering == rule.offering)
+        conditions.append(F.col("offering_type") == rule.offering)
     matched = any_of(conditions)
     return matched & ~product.isin(*rule.not_products) if rule.not_products else matched
 
 
-def first_match(rules: list[Rule], default: str | None, product: str = "billing_origin_product",
-                sku: str = "sku_name", has_pipeline: str = "has_pipeline", offering: str = "offering_type") -> Column:
-    """The label of the first rule that matches."""
-    columns = (F.col(product), F.col(sku), F.col(has_pipeline), F.col(offering))
-    chain = None
-    for rule in rules:
-        needed = _matches(rule, *columns)
-        chain = F.when(needed, rule.label) if chain is None else chain.when(needed, rule.label)
-    return chain.otherwise(F.lit(default))
+def first_match(rules: list[Rule], default: str | None) -> Column:
+    """The label of the first rule that matches.
+
+    Reads billing_origin_product and sku_name, and has_pipeline or
+    offering_type where a rule asks for them.
+    """
+    labels = [F.when(_matches(rule), rule.label) for rule in rules]
+    return F.coalesce(*labels, F.lit(default))
 
 
 # fixed values: rule tables

@@ -24,6 +24,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
 from meterlens.functions import classify as C
 from meterlens.operators.allocate import meta_warehouse, source_url
@@ -99,8 +100,14 @@ def _hour(ts: str) -> Column:
     return F.date_trunc("hour", ts)
 
 
-_CELL = W.partitionBy("warehouse_id", "hour").orderBy("second")
-_HOURS = W.partitionBy("warehouse_id").orderBy("hour")
+def _cell() -> WindowSpec:
+    """Points of one (warehouse, hour), in time order: at most 3,600 rows."""
+    return W.partitionBy("warehouse_id", "hour").orderBy("second")
+
+
+def _hours() -> WindowSpec:
+    """Hours of one warehouse, one row each: bounded by the calendar."""
+    return W.partitionBy("warehouse_id").orderBy("hour")
 
 
 def state_seconds(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
@@ -123,13 +130,13 @@ def on_off_windows(events: DataFrame, queries: DataFrame, bounds: Bounds) -> Dat
     """
     seconds = state_seconds(events, queries, bounds)
     carried = (seconds.groupBy("warehouse_id", "hour").agg(F.max_by("state", "second").alias("last_state"))
-               .withColumn("carried", F.lag("last_state").over(_HOURS)).drop("last_state"))
-    previous = F.coalesce(F.lag("state").over(_CELL), F.col("carried"))
+               .withColumn("carried", F.lag("last_state").over(_hours())).drop("last_state"))
+    previous = F.coalesce(F.lag("state").over(_cell()), F.col("carried"))
     changes = (seconds.join(carried, ["warehouse_id", "hour"])
                .withColumn("previous", previous)
                .filter(F.col("previous").isNull() | (F.col("previous") != F.col("state"))))
     following = _next_in_later_cell(changes)
-    end = F.coalesce(F.lead("second").over(_CELL), F.col("next_second"), bounds.lit_end())
+    end = F.coalesce(F.lead("second").over(_cell()), F.col("next_second"), bounds.lit_end())
     return (changes.join(following, ["warehouse_id", "hour"])
             .withColumn("event_window_end", end)
             .filter(F.col("second") < F.col("event_window_end"))
@@ -140,7 +147,7 @@ def on_off_windows(events: DataFrame, queries: DataFrame, bounds: Bounds) -> Dat
 def _next_in_later_cell(points: DataFrame) -> DataFrame:
     """Per (warehouse, hour): the first point of the next hour that has any."""
     return (points.groupBy("warehouse_id", "hour").agg(F.min("second").alias("first_second"))
-            .withColumn("next_second", F.lead("first_second").over(_HOURS)).drop("first_second"))
+            .withColumn("next_second", F.lead("first_second").over(_hours())).drop("first_second"))
 
 
 def query_deltas(queries: DataFrame) -> DataFrame:
@@ -158,12 +165,12 @@ def concurrency_steps(queries: DataFrame, bounds: Bounds) -> DataFrame:
     """A4d: step function of active queries per warehouse."""
     deltas = query_deltas(queries)
     opening = (deltas.groupBy("warehouse_id", "hour").agg(F.sum("delta").alias("net"), F.min("second").alias("first_second"))
-               .withColumn("opening", F.sum("net").over(_HOURS.rowsBetween(W.unboundedPreceding, -1)))
-               .withColumn("next_second", F.lead("first_second").over(_HOURS)))
-    running = F.coalesce("opening", F.lit(0)) + F.sum("delta").over(_CELL.rowsBetween(W.unboundedPreceding, 0))
+               .withColumn("opening", F.sum("net").over(_hours().rowsBetween(W.unboundedPreceding, -1)))
+               .withColumn("next_second", F.lead("first_second").over(_hours())))
+    running = F.coalesce("opening", F.lit(0)) + F.sum("delta").over(_cell().rowsBetween(W.unboundedPreceding, 0))
     return (deltas.join(opening.drop("net", "first_second"), ["warehouse_id", "hour"])
             .withColumn("queries_active", running)
-            .withColumn("query_end", F.coalesce(F.lead("second").over(_CELL), F.col("next_second"), bounds.lit_end()))
+            .withColumn("query_end", F.coalesce(F.lead("second").over(_cell()), F.col("next_second"), bounds.lit_end()))
             .select("warehouse_id", F.col("second").alias("query_start"), "query_end", "queries_active"))
 
 
@@ -187,7 +194,7 @@ def _openings(seconds: DataFrame, deltas: DataFrame, queries: DataFrame, bounds:
     states = seconds.groupBy("warehouse_id", "hour").agg(F.max_by("state", "second").alias("last_state"))
     # queries already running a day before the range open its first cell
     nets = (deltas.groupBy("warehouse_id", F.greatest("hour", first).alias("hour")).agg(F.sum("delta").alias("net")))
-    before = _HOURS.rowsBetween(W.unboundedPreceding, -1)
+    before = _hours().rowsBetween(W.unboundedPreceding, -1)
     return (spine.join(states, ["warehouse_id", "hour"], "left").join(nets, ["warehouse_id", "hour"], "left")
             .withColumn("opening_state", F.last("last_state", ignorenulls=True).over(before))
             .withColumn("opening_count", F.coalesce(F.sum("net").over(before), F.lit(0)))
@@ -208,14 +215,14 @@ def periods(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
               .groupBy("warehouse_id", "hour", "second")
               .agg(F.max("opening_state").alias("opening_state"), F.max("opening_count").alias("opening_count"),
                    F.max("state").alias("state"), F.coalesce(F.sum("delta"), F.lit(0)).alias("delta")))
-    so_far = _CELL.rowsBetween(W.unboundedPreceding, 0)
+    so_far = _cell().rowsBetween(W.unboundedPreceding, 0)
     state = F.coalesce(F.last("state", ignorenulls=True).over(so_far), F.first("opening_state").over(so_far))
     active = F.first("opening_count").over(so_far) + F.sum("delta").over(so_far)
     flag = (F.when(F.col("window_state").isNull() | (F.col("window_state") == "OFF"), "OFF")
              .when(F.col("queries_active") > 0, "UTILIZED").otherwise("ON_IDLE"))
     return points.select(
         "warehouse_id", F.col("hour").alias("ts_hour"), F.col("second").alias("ts_start"),
-        F.coalesce(F.lead("second").over(_CELL), F.col("hour") + F.expr("interval 1 hour")).alias("ts_end"),
+        F.coalesce(F.lead("second").over(_cell()), F.col("hour") + F.expr("interval 1 hour")).alias("ts_end"),
         state.alias("window_state"), active.alias("queries_active")).withColumn("utilization_flag", flag)
 
 

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from meterlens.functions import classify as C
 from meterlens.functions.shape import one_row, top
-from meterlens.operators.pricing import day, has_pipeline, in_window, meta, metered, totals
-
-OFFERING = F.col("product_features.model_serving.offering_type").alias("offering_type")
-DIMS: list[str | Column] = ["billing_origin_product", OFFERING, has_pipeline()]
-
+from meterlens.operators.pricing import day, in_window, meta, metered, totals
 
 def _rows(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[str | Column], where: Column) -> DataFrame:
-    return metered(usage, prices, start, end, [*DIMS, *dims], where)
+    offering = F.col("product_features.model_serving.offering_type").alias("offering_type")
+    return metered(usage, prices, start, end, ["billing_origin_product", offering, *dims], where)
 
 
 def _workspaces() -> Column:

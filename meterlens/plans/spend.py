@@ -10,16 +10,11 @@ from meterlens.functions.shape import share_of_total, top, top_names, wide
 from meterlens.operators.allocate import tool_attribution
 from meterlens.operators.pricing import day, has_pipeline, in_window, meta, metered, run_as, totals
 
-PRODUCT_DIMS = ["billing_origin_product", has_pipeline(), "workspace_id"]
-#: The offering type is not read by the product chains; a null keeps their signature.
-NO_OFFERING = F.lit(None).cast("string")
-
-
 def categorised(usage: DataFrame, prices: DataFrame, start: str, end: str, category: Column,
                 dims: list[str | Column], where: Column | None = None) -> DataFrame:
     """Collapsed usage with a ``product_category``, computed on the collapsed rows."""
     rows = metered(usage, prices, start, end, ["billing_origin_product", has_pipeline(), *dims], where)
-    return rows.withColumn("offering_type", NO_OFFERING).withColumn("product_category", category)
+    return rows.withColumn("product_category", category)
 
 
 def account_info(usage: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -22,7 +22,7 @@ def _rows(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[
 
 def _categorised(usage: DataFrame, prices: DataFrame, start: str, end: str, category: Column, dims: list[str | Column]) -> DataFrame:
     rows = _rows(usage, prices, start, end, ["billing_origin_product", has_pipeline(), *dims])
-    return rows.withColumn("offering_type", F.lit(None).cast("string")).withColumn("product_category", category)
+    return rows.withColumn("product_category", category)
 
 
 def summary(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
