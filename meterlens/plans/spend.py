@@ -217,7 +217,8 @@ def interactive_by(items: DataFrame, view: str) -> DataFrame:
         return F.max_by(name, F.when(F.col(name).isNotNull(), order)).alias(name)
     grouped = items.groupBy(key.alias("key")).agg(
         of_largest("workspace_id"), of_largest("cluster_name"), of_largest("run_as_user"),
-        *totals(), F.max("days_active").alias("days_active"), F.count("*").alias("count"))
+        F.sum("total_dbus").alias("total_dbus"), F.sum("total_spend").alias("total_spend"),
+        F.max("days_active").alias("days_active"), F.count("*").alias("count"))
     return (share_of_total(grouped.withColumnRenamed("run_as_user", "user"), "total_spend")
             .orderBy(F.desc("total_spend"), "key"))
 
