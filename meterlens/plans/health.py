@@ -59,7 +59,7 @@ def over_scaled(warehouses: DataFrame, events: DataFrame, history: DataFrame, as
 
 
 def oversized(warehouses: DataFrame, history: DataFrame, as_of: str, days: int = HISTORY_DAYS,
-              accuracy: int = 1_000_000) -> DataFrame:
+              max_median_seconds: int = MAX_MEDIAN_SECONDS, accuracy: int = 1_000_000) -> DataFrame:
     """H3: a large size with short queues and short queries.
 
     The latest *large* row of each warehouse counts.  The median is the
@@ -74,14 +74,15 @@ def oversized(warehouses: DataFrame, history: DataFrame, as_of: str, days: int =
              .agg(F.count("*").alias("query_count"), F.avg(queue).alias("avg_queue_ms"),
                   F.percentile_approx(seconds, 0.5, accuracy).alias("median_duration_seconds"))
              .filter((F.col("query_count") >= MIN_QUERIES) & (F.col("avg_queue_ms") < MAX_QUEUE_MS)
-                     & (F.col("median_duration_seconds") < MAX_MEDIAN_SECONDS)))
+                     & (F.col("median_duration_seconds") < max_median_seconds)))
     large = current_warehouses(warehouses.filter(F.col("warehouse_size").isin(*LARGE_SIZES)))
     return large.join(stats, "warehouse_id").select("warehouse_id", "warehouse_name", "warehouse_size", "workspace_id",
                                                      "query_count", "avg_queue_ms", "median_duration_seconds")
 
 
 def recommendations(warehouses: DataFrame, events: DataFrame, history: DataFrame, as_of: str,
-                    lookback_hours: int = IDLE_LOOKBACK_HOURS, warehouse_id: str | None = None) -> DataFrame:
+                    lookback_hours: int = IDLE_LOOKBACK_HOURS, warehouse_id: str | None = None,
+                    max_median_seconds: int = MAX_MEDIAN_SECONDS) -> DataFrame:
     """H4: all findings with a text, most actionable first.  H5: those of one warehouse."""
     idle = (idle_running(warehouses, events, history, as_of, lookback_hours)
             .withColumn("recommendation_type", F.lit("IDLE_RUNNING")).withColumn("_rank", F.lit(0))
@@ -93,7 +94,7 @@ def recommendations(warehouses: DataFrame, events: DataFrame, history: DataFrame
               .withColumn("recommendation_text", F.format_string(
                   "Warehouse scaled to %d clusters but peak concurrency was only %d queries. "
                   "Consider reducing max_num_clusters.", F.col("max_clusters_observed"), F.col("max_concurrent"))))
-    large = (oversized(warehouses, history, as_of)
+    large = (oversized(warehouses, history, as_of, max_median_seconds=max_median_seconds)
              .withColumn("recommendation_type", F.lit("OVERSIZED")).withColumn("_rank", F.lit(2))
              .withColumn("recommendation_text", F.format_string(
                  "%s warehouse with avg queue time %.1fs and median query duration %.1fs. Consider downsizing one tier.",

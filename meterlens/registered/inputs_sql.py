@@ -114,7 +114,7 @@ SELECT 'wh-' || (s_suppkey % 9) AS warehouse_id,
   CASE WHEN s_suppkey % 9 <> 7 THEN 'Warehouse ' || (s_suppkey % 9) || ' rev ' || s_suppkey END AS warehouse_name,
   {_list(V.WAREHOUSE_SIZES)}[CAST(s_suppkey % 5 AS INTEGER) + 1] AS warehouse_size,
   CAST((s_suppkey % 9) % 8 AS BIGINT) AS workspace_id,
-  CASE WHEN s_suppkey % 9 <> 6 THEN {_list(V.WAREHOUSE_TYPES)}[CAST(s_suppkey % 3 AS INTEGER) + 1] END AS warehouse_type,
+  CASE WHEN s_suppkey % 9 <> 6 THEN {_list(V.WAREHOUSE_TYPES)}[CAST((s_suppkey + 1) % 3 AS INTEGER) + 1] END AS warehouse_type,
   s_suppkey % 9 = 5 AS deleted, 1690000000 + s_suppkey * 60 AS change_time
 FROM supplier""",
     "cl_log": f"""

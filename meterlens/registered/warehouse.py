@@ -119,7 +119,7 @@ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY warehouse_id ORDE
 JOIN (SELECT warehouse_id, count(*) AS n, avg(coalesce(capacity_ms, 0) + coalesce(compute_ms, 0)) AS queue,
     quantile_disc(epoch_us(end_time) // 1000000 - epoch_us(start_time) // 1000000, 0.5) AS med FROM qh
   WHERE start_time >= {_NOW} - INTERVAL 30 DAY AND warehouse_id IS NOT NULL AND task_ms > 0 GROUP BY 1 HAVING count(*) >= 10) q ON w.warehouse_id = q.warehouse_id
-WHERE q.queue < 5000 AND q.med < 30"""
+WHERE q.queue < 5000 AND q.med < 60"""
 _FOUND = f"""SELECT warehouse_id, warehouse_name, warehouse_size, CAST(workspace_id AS VARCHAR) AS workspace_id, last_event_time, 'IDLE_RUNNING' AS recommendation_type,
   'Warehouse has been running for 72+ hours with no queries in the last 24h. Consider reducing auto_stop_minutes.' AS recommendation_text,
   CAST(NULL AS BIGINT) AS max_clusters_observed, CAST(NULL AS BIGINT) AS max_concurrent, CAST(NULL AS BIGINT) AS query_count, CAST(NULL AS DOUBLE) AS avg_queue_ms, CAST(NULL AS BIGINT) AS median_duration_seconds
@@ -133,7 +133,7 @@ UNION ALL SELECT warehouse_id, warehouse_name, warehouse_size, CAST(workspace_id
 
 
 def _found(t, **options):
-    return H.recommendations(t.warehouses, t.warehouse_events, t.query_history, NOW, 72, **options)
+    return H.recommendations(t.warehouses, t.warehouse_events, t.query_history, NOW, 72, max_median_seconds=60, **options)
 
 
 _A4_SQL = f"""SELECT statement_id, query_source_id, query_source_type, client_application, executed_by, warehouse_id, statement_text, {whole('workspace_id', 'workspace_id')},
@@ -243,7 +243,7 @@ FROM orig o JOIN (SELECT warehouse_id, {num('sum(cost)', 'total_spend')}, {num('
     Query("o06_top_queries_no_cost", lambda t: O.top_queries(t.query_history, None, *E, "HUMAN"), _ORIGIN_TOP.format(cost=_UNCOSTED, origin="HUMAN", key="duration_seconds")),
     Query("h01_idle_running", lambda t: H.idle_running(t.warehouses, t.warehouse_events, t.query_history, NOW, 72), _IDLE),
     Query("h02_over_scaled", lambda t: H.over_scaled(t.warehouses, t.warehouse_events, t.query_history, NOW), _SCALED),
-    Query("h03_oversized", lambda t: H.oversized(t.warehouses, t.query_history, NOW), _LARGE),
+    Query("h03_oversized", lambda t: H.oversized(t.warehouses, t.query_history, NOW, max_median_seconds=60), _LARGE),
     Query("h04_recommendations", _found, _FOUND),
     Query("h04_warehouses_analyzed", lambda t: H.warehouses_analyzed(_found(t)), f"SELECT {whole('count(DISTINCT warehouse_id)', 'warehouses_analyzed')} FROM ({_FOUND}) f"),
     Query("h05_recommendations_of_one", lambda t: _found(t, warehouse_id="wh-1"), f"SELECT * FROM ({_FOUND}) f WHERE warehouse_id = 'wh-1'"),

@@ -213,7 +213,7 @@ class FixtureTables:
             F.when(w != 7, F.concat(_tag("Warehouse ", w), _tag(" rev ", s))).alias("warehouse_name"),
             _pick(V.WAREHOUSE_SIZES, s % 5).alias("warehouse_size"),
             (w % 8).cast("long").alias("workspace_id"),
-            F.when(w != 6, _pick(V.WAREHOUSE_TYPES, s % 3)).alias("warehouse_type"),
+            F.when(w != 6, _pick(V.WAREHOUSE_TYPES, (s + 1) % 3)).alias("warehouse_type"),
             F.when(w == 5, F.lit("2024-01-20").cast("timestamp")).alias("delete_time"),
             F.timestamp_seconds(F.lit(1690000000) + s * 60).alias("change_time"))
 
