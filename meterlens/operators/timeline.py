@@ -111,10 +111,14 @@ def _hours() -> WindowSpec:
 
 
 def state_seconds(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
-    """Last on/off state per (warehouse, second), for warehouses that ran queries, from a day before the range."""
+    """Last state per (warehouse, second), 1 on and 0 off, from a day before the range.
+
+    Only warehouses that ran queries count.  The state is a number because a
+    number can be kept in a hash aggregate, where text would need a sort.
+    """
     seen = queries.select("warehouse_id").distinct()
     since = bounds.lit_start() - F.expr("interval 1 day")
-    state = F.when(F.col("cluster_count") == 0, "OFF").when(F.col("cluster_count") > 0, "ON")
+    state = F.when(F.col("cluster_count") == 0, 0).when(F.col("cluster_count") > 0, 1)
     return (events.filter((F.col("event_time") >= since) & (F.col("event_time") <= bounds.lit_end()))
             .join(seen, "warehouse_id", "left_semi")
             .groupBy("warehouse_id", _second("event_time").alias("second"))
@@ -122,6 +126,10 @@ def state_seconds(events: DataFrame, queries: DataFrame, bounds: Bounds) -> Data
             .withColumn("hour", _hour("second")))
 
 
+def _state_name(state: Column) -> Column:
+    return F.when(state == 1, "ON").when(state == 0, "OFF")
+
+
 def on_off_windows(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
     """Maximal ON / OFF windows per warehouse, at second precision.
 
@@ -140,7 +148,7 @@ def on_off_windows(events: DataFrame, queries: DataFrame, bounds: Bounds) -> Dat
     return (changes.join(following, ["warehouse_id", "hour"])
             .withColumn("event_window_end", end)
             .filter(F.col("second") < F.col("event_window_end"))
-            .select("warehouse_id", F.col("state").alias("window_state"), F.col("second").alias("event_window_start"),
+            .select("warehouse_id", _state_name(F.col("state")).alias("window_state"), F.col("second").alias("event_window_start"),
                     "event_window_end"))
 
 
@@ -223,7 +231,7 @@ def periods(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
     return points.select(
         "warehouse_id", F.col("hour").alias("ts_hour"), F.col("second").alias("ts_start"),
         F.coalesce(F.lead("second").over(_cell()), F.col("hour") + F.expr("interval 1 hour")).alias("ts_end"),
-        state.alias("window_state"), active.alias("queries_active")).withColumn("utilization_flag", flag)
+        _state_name(state).alias("window_state"), active.alias("queries_active")).withColumn("utilization_flag", flag)
 
 
 def utilization(events: DataFrame, queries: DataFrame, bounds: Bounds, exact: bool = False) -> DataFrame:

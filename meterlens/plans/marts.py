@@ -98,7 +98,8 @@ def upsert_mart(new_rows: DataFrame, root: str, name: str) -> str:
     old = spark.read.parquet(path)
     days = new_rows.select("usage_date").distinct()
     kept = old.join(days, "usage_date", "left_semi").join(new_rows.select(*keys), keys, "left_anti")
-    merged = kept.unionByName(new_rows.select(*old.columns))
+    typed = new_rows.select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields])
+    merged = kept.unionByName(typed)
     staged = f"{root}/_staged_{name}"
     merged.write.mode("overwrite").parquet(staged)
     (spark.read.parquet(staged).repartition("usage_date").write.mode("overwrite")

@@ -27,15 +27,21 @@ def object_usage(usage: DataFrame, prices: DataFrame, start: str, end: str) -> D
 
 
 def mapped_usage(usage: DataFrame, prices: DataFrame, objects: DataFrame, start: str, end: str,
-                 custom_dates: bool = False) -> DataFrame:
+                 custom_dates: bool = False, by_day: bool = True) -> DataFrame:
     """(use case, day, type, id, dbus, spend) of mapped objects.
 
     A usage row counts once per use case, under the first type of the priority
     list through which it is mapped.  Usage is collapsed per object first and
     the ids are turned into (type, id) rows, so one equi join serves all types.
     Object-specific dates are stored with the mapping and used on request.
+    Without ``by_day`` the days are folded before the join (the day is null),
+    which is all a total over use cases needs.
     """
-    rows = object_usage(usage, prices, start, end).withColumn("row_id", F.monotonically_increasing_id())
+    rows = object_usage(usage, prices, start, end)
+    if not by_day and not custom_dates:
+        ids = [c for _, c in OBJECT_COLUMNS]
+        rows = (rows.groupBy(*ids).agg(F.sum("dbus").alias("dbus"), F.sum("spend").alias("spend"))
+                .withColumn("usage_date", F.lit(None).cast("date")))
     first_id = F.coalesce(*[F.col(c) for _, c in OBJECT_COLUMNS])
     entries = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("rank"), F.lit(t).alias("object_type"), F.col(c).alias("id")))
                for i, (t, c) in enumerate(OBJECT_COLUMNS)]
@@ -51,9 +57,9 @@ def mapped_usage(usage: DataFrame, prices: DataFrame, objects: DataFrame, start:
                                & (F.col("usage_date") <= F.coalesce("custom_end_date", "usage_date")))
     # a row mapped through two of its ids is kept under the first type only
     best = joined.groupBy("use_case_id", "usage_date", "ids", "shown_id").agg(
-        F.min_by("object_type", "rank").alias("object_type"), F.min_by("dbus", "rank").alias("dbus"),
-        F.min_by("spend", "rank").alias("spend"))
-    return (best.groupBy("use_case_id", "usage_date", "object_type", F.col("shown_id").alias("object_id"))
+        F.min("rank").alias("rank"), F.max("dbus").alias("dbus"), F.max("spend").alias("spend"))
+    kind = F.element_at(F.array(*[F.lit(t) for t, _ in OBJECT_COLUMNS]), F.col("rank") + 1)
+    return (best.groupBy("use_case_id", "usage_date", kind.alias("object_type"), F.col("shown_id").alias("object_id"))
             .agg(F.sum("dbus").alias("total_dbus"), F.sum("spend").alias("total_spend")))
 
 
@@ -90,7 +96,7 @@ def all_use_cases(usage: DataFrame, prices: DataFrame, use_cases: DataFrame, obj
     """All active use cases in one pass instead of one query per case; cases without spend show 0."""
     active = use_cases.filter(F.col("status") == "active").select(
         "use_case_id", "name", "owner", F.coalesce("stage", F.lit("Development")).alias("stage"))
-    spent = (mapped_usage(usage, prices, objects, start, end).groupBy("use_case_id", "object_type", "object_id")
+    spent = (mapped_usage(usage, prices, objects, start, end, by_day=False).groupBy("use_case_id", "object_type", "object_id")
              .agg(F.sum("total_spend").alias("s"), F.sum("total_dbus").alias("d"))
              .groupBy("use_case_id").agg(F.round(F.sum("s").cast("double"), 2).alias("total_spend"),
                                          F.round(F.sum("d").cast("double"), 2).alias("total_dbus"),
