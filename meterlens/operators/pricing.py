@@ -53,24 +53,37 @@ def priced_usage(usage: DataFrame, prices: DataFrame, start: str, end: str) -> D
             .withColumn("spend", F.col("usage_quantity") * F.col("price")))
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's size estimate of ``df`` is below the session's broadcast threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[str | Column],
             where: Column | None = None, positive: bool = True) -> DataFrame:
-    """K1 pre-aggregated: one row per (dims, SKU, cloud) with dbus, spend, effective_spend and records.
-
-    Quantities are summed *before* the price join.  Map-side partial sums make
-    a hot SKU, workspace or user cheap to shuffle, the join sees only grouped
-    rows, and later distinct counts run on grouped rows too.  The products are
-    exact decimals, so the result equals pricing each record.
+    """K1 pre-aggregated: rows per (dims, has_price) with dbus, spend, effective_spend and records.
+
+    With a price list small enough to broadcast, each record is priced in the
+    scan stage and summed there per dims, so what is shuffled is only one row
+    per task and group, and a hot SKU, workspace or user costs nothing extra.
+    With a larger list, quantities are first summed per (dims, SKU, cloud) and
+    only those sums meet the prices, in a shuffled join of grouped rows; the
+    result then has several rows per dims, which the reports sum either way.
+    The products are exact decimals, so both ways give the same figures.
     """
     rows = usage.filter(F.col("usage_date").between(day(start), day(end)))
     if positive:
         rows = rows.filter(F.col("usage_quantity") > 0)
     if where is not None:
         rows = rows.filter(where)
-    keys = [F.col(d) if isinstance(d, str) else d for d in dims] + [F.col("sku_name"), F.col("cloud")]
-    grouped = rows.groupBy(*keys).agg(F.sum("usage_quantity").cast(QUANTITY).alias("dbus"),
-                                      F.count("*").alias("records"))
-    return (with_price(grouped, prices)
+    keys = [F.col(d) if isinstance(d, str) else d for d in dims]
+    dbus = F.sum("usage_quantity").cast(QUANTITY).alias("dbus")
+    if fits_broadcast(prices):
+        return with_price(rows, prices).groupBy(*keys, "has_price").agg(
+            dbus, F.count("*").alias("records"), F.sum(F.col("usage_quantity") * F.col("price")).alias("spend"),
+            F.sum(F.col("usage_quantity") * F.col("effective_price")).alias("effective_spend"))
+    sku = [F.col(c) for c in ("sku_name", "cloud") if c not in dims]
+    return (with_price(rows.groupBy(*keys, *sku).agg(dbus, F.count("*").alias("records")), prices)
             .withColumn("spend", F.col("dbus") * F.col("price"))
             .withColumn("effective_spend", F.col("dbus") * F.col("effective_price")))
 

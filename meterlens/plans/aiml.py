@@ -11,7 +11,7 @@ from meterlens.operators.pricing import day, in_window, meta, metered, totals
 
 def _rows(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[str | Column], where: Column) -> DataFrame:
     offering = F.col("product_features.model_serving.offering_type").alias("offering_type")
-    return metered(usage, prices, start, end, ["billing_origin_product", offering, *dims], where)
+    return metered(usage, prices, start, end, ["billing_origin_product", "sku_name", offering, *dims], where)
 
 
 def _workspaces() -> Column:
@@ -38,7 +38,7 @@ def by_provider(usage: DataFrame, prices: DataFrame, start: str, end: str) -> Da
 
 def serverless_endpoints(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
     """M3."""
-    rows = metered(usage, prices, start, end, ["usage_date", "workspace_id", meta("endpoint_name")],
+    rows = metered(usage, prices, start, end, ["sku_name", "usage_date", "workspace_id", meta("endpoint_name")],
                    F.col("sku_name").contains("SERVERLESS_REAL_TIME_INFERENCE"))
     launch = F.when(F.col("sku_name").contains("LAUNCH"), "Launch (Scale-from-Zero)").otherwise("Steady State")
     grouped = (rows.groupBy(F.coalesce("endpoint_name", F.lit("UNKNOWN")).alias("endpoint_name"), "sku_name",
@@ -128,7 +128,7 @@ def agents(usage: DataFrame, prices: DataFrame, served_entities: DataFrame | Non
 
 def sku_catalogue(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
     """M9."""
-    rows = metered(usage, prices, start, end, ["billing_origin_product", "usage_type"], C.is_model_serving())
+    rows = metered(usage, prices, start, end, ["sku_name", "billing_origin_product", "usage_type"], C.is_model_serving())
     return (rows.groupBy("sku_name", "billing_origin_product", "usage_type")
             .agg(F.sum("records").alias("usage_records"), *totals()).orderBy(F.desc("total_spend"), "sku_name"))
 

@@ -21,8 +21,9 @@ def app_id(missing: str = "Unknown") -> Column:
     return F.coalesce("app_id", F.lit(missing)).alias("app_id")
 
 
-def _rows(usage: DataFrame, prices: DataFrame, start: str, end: str, registry: DataFrame | None = None) -> DataFrame:
-    rows = metered(usage, prices, start, end, ["usage_date", "workspace_id", meta("app_id")], _is_app())
+def _rows(usage: DataFrame, prices: DataFrame, start: str, end: str, registry: DataFrame | None = None,
+          dims: tuple[str, ...] = ("usage_date", "workspace_id")) -> DataFrame:
+    rows = metered(usage, prices, start, end, [*dims, meta("app_id")], _is_app())
     return rows if registry is None else rows.join(registry.select("app_id"), "app_id", "left_semi")
 
 
@@ -63,12 +64,12 @@ def app_identities(usage: DataFrame, start: str, end: str) -> DataFrame:
 
 def timeseries(usage: DataFrame, prices: DataFrame, start: str, end: str, registry: DataFrame | None = None) -> DataFrame:
     """R5; R5b with a registry, for registered apps only."""
-    return _rows(usage, prices, start, end, registry).groupBy("usage_date").agg(*totals()).orderBy("usage_date")
+    return _rows(usage, prices, start, end, registry, ("usage_date",)).groupBy("usage_date").agg(*totals()).orderBy("usage_date")
 
 
 def by_app_and_sku(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
     """R6, with the percent within each app; the window runs over the few SKUs of an app."""
-    grouped = _rows(usage, prices, start, end).groupBy(app_id(), "sku_name").agg(*totals())
+    grouped = _rows(usage, prices, start, end, dims=("sku_name",)).groupBy(app_id(), "sku_name").agg(*totals())
     whole = F.sum(F.col("total_spend").cast("double")).over(W.partitionBy("app_id"))
     percent = F.coalesce(F.try_divide(100 * F.col("total_spend").cast("double"), whole), F.lit(0.0))
     return grouped.withColumn("percentage", percent).orderBy("app_id", F.desc("total_spend"), "sku_name")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meterlens.functions import classify as C
 from meterlens.functions.shape import one_row
 from meterlens.operators.allocate import started_in
-from meterlens.operators.pricing import day, in_window, meta, metered, run_as
+from meterlens.operators.pricing import day, in_window, meta, metered
 from meterlens.operators.trend import bucket, roll_up
 
 KPI_COLUMNS = ["total_queries", "unique_query_users", "total_rows_read", "total_bytes_read", "total_compute_seconds",
@@ -35,25 +35,36 @@ def query_measures() -> list[Column]:
 def _usage_facts(usage: DataFrame, start: str, end: str) -> DataFrame:
     """All usage figures of the KPI row from one scan.
 
-    Usage is collapsed to the counted identifiers first; the many distinct
-    counts, which copy their input once per counted column, then run on the
-    collapsed rows.
+    Each record is turned into (kind, id) rows for the identifiers it has, and
+    these are grouped once.  That is the work of a plan with one distinct count
+    per kind, but a record without a job, cluster or endpoint adds no row for
+    it, and what leaves a task is one row per identifier it saw.
     """
-    job, sku = F.col("job_id"), F.col("sku_name")
-    sql, served = F.col("billing_origin_product") == "SQL", sku.contains("INFERENCE")
-    rows = (in_window(usage, start, end)
-            .groupBy("workspace_id", "sku_name", "billing_origin_product", meta("job_id"), meta("cluster_id"),
-                     meta("warehouse_id"), meta("endpoint_name"), run_as("owner"))
-            .agg(F.sum("usage_quantity").alias("dbus"), F.count("*").alias("records")))
-    return rows.agg(
-        F.countDistinct("workspace_id").alias("active_workspaces"), F.countDistinct("job_id").alias("total_jobs"),
-        F.coalesce(F.sum(F.when(job.isNotNull(), F.col("records"))), F.lit(0)).alias("total_job_runs"),
-        F.countDistinct(F.when(job.isNotNull(), F.col("owner"))).alias("unique_job_owners"),
-        F.countDistinct("cluster_id").alias("active_notebooks"),
-        F.countDistinct(F.when(served, F.col("endpoint_name"))).alias("models_served"),
-        F.coalesce(F.sum(F.when(served, F.col("dbus"))), F.lit(0)).alias("total_serving_dbus"),
-        F.countDistinct(F.when(sql, F.col("warehouse_id"))).alias("sql_warehouses"),
-        F.coalesce(F.sum(F.when(sql, F.col("dbus"))), F.lit(0)).alias("sql_dbus"))
+    job, owner = F.col("usage_metadata.job_id"), F.col("identity_metadata.run_as")
+    cluster = F.col("usage_metadata.cluster_id")
+
+    def entry(kind: str, ident: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), ident.cast("string").alias("id")))
+    entries = F.array(
+        entry("workspace", F.col("workspace_id"), F.col("workspace_id").isNotNull()), entry("job", job, job.isNotNull()),
+        entry("owner", owner, job.isNotNull() & owner.isNotNull()), entry("cluster", cluster, cluster.isNotNull()),
+        entry("served", F.col("usage_metadata.endpoint_name"), F.col("sku_name").contains("INFERENCE")),
+        entry("sql", F.col("usage_metadata.warehouse_id"), F.col("billing_origin_product") == "SQL"))
+    ids = (in_window(usage, start, end).select("usage_quantity", F.explode(entries).alias("e"))
+           .filter(F.col("e").isNotNull()).groupBy("e.kind", "e.id")
+           .agg(F.sum("usage_quantity").alias("dbus"), F.count("*").alias("records")))
+
+    def of(kind: str, column: str) -> Column:
+        return F.when(F.col("kind") == kind, F.col(column))
+
+    def total(kind: str, column: str) -> Column:
+        return F.coalesce(F.sum(of(kind, column)), F.lit(0))
+    return ids.agg(
+        F.count(of("workspace", "id")).alias("active_workspaces"), F.count(of("job", "id")).alias("total_jobs"),
+        total("job", "records").alias("total_job_runs"), F.count(of("owner", "id")).alias("unique_job_owners"),
+        F.count(of("cluster", "id")).alias("active_notebooks"), F.count(of("served", "id")).alias("models_served"),
+        total("served", "dbus").alias("total_serving_dbus"), F.count(of("sql", "id")).alias("sql_warehouses"),
+        total("sql", "dbus").alias("sql_dbus"))
 
 
 def _run_facts(job_runs: DataFrame, start: str, end: str) -> DataFrame:

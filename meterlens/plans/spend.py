@@ -13,7 +13,7 @@ from meterlens.operators.pricing import day, has_pipeline, in_window, meta, mete
 def categorised(usage: DataFrame, prices: DataFrame, start: str, end: str, category: Column,
                 dims: list[str | Column], where: Column | None = None) -> DataFrame:
     """Collapsed usage with a ``product_category``, computed on the collapsed rows."""
-    rows = metered(usage, prices, start, end, ["billing_origin_product", has_pipeline(), *dims], where)
+    rows = metered(usage, prices, start, end, ["billing_origin_product", "sku_name", has_pipeline(), *dims], where)
     return rows.withColumn("product_category", category)
 
 
@@ -226,7 +226,7 @@ def interactive_by(items: DataFrame, view: str) -> DataFrame:
 def sku_breakdown(usage: DataFrame, prices: DataFrame, start: str, end: str, workspace_id: str | None = None,
                   limit: int = 100) -> DataFrame:
     """SKUs with their percent of all spend."""
-    skus = (metered(usage, prices, start, end, ["workspace_id"], _in_workspace(workspace_id))
+    skus = (metered(usage, prices, start, end, ["sku_name", "workspace_id"], _in_workspace(workspace_id))
             .groupBy(F.col("sku_name").alias("product"))
             .agg(F.countDistinct("workspace_id").alias("workspaces_using"), *totals()))
     return top(share_of_total(skus, "total_spend", digits=2), "total_spend", limit, "product")

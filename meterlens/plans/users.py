@@ -21,7 +21,7 @@ def _rows(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[
 
 
 def _categorised(usage: DataFrame, prices: DataFrame, start: str, end: str, category: Column, dims: list[str | Column]) -> DataFrame:
-    rows = _rows(usage, prices, start, end, ["billing_origin_product", has_pipeline(), *dims])
+    rows = _rows(usage, prices, start, end, ["billing_origin_product", "sku_name", has_pipeline(), *dims])
     return rows.withColumn("product_category", category)
 
 

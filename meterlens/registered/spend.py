@@ -17,7 +17,7 @@ W = (FIRST_DAY, LAST_DAY)
 
 def _collapsed(t):
     offering = F.col("product_features.model_serving.offering_type").alias("offering_type")
-    return P.metered(t.usage, t.list_prices, *W, ["billing_origin_product", P.has_pipeline(), offering])
+    return P.metered(t.usage, t.list_prices, *W, ["billing_origin_product", "sku_name", P.has_pipeline(), offering])
 
 
 def _labels(t, **labels):

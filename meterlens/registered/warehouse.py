@@ -213,8 +213,9 @@ SELECT warehouse_id, {whole('total_queries', 'total_queries')}, {whole('utilized
 FROM (SELECT *, CASE WHEN cost > 0 THEN ucost / cost * 100 ELSE 0 END AS used FROM ({_EFFICIENCY}) e WHERE cost >= 10) x"""),
     Query("a17_efficiency_grades", lambda t: _efficiency(t).groupBy("efficiency_grade").agg(F.count("*").alias("warehouses")),
           f"SELECT {_GRADE.format(u='used')} AS efficiency_grade, {whole('count(*)', 'warehouses')} FROM (SELECT CASE WHEN cost > 0 THEN ucost / cost * 100 ELSE 0 END AS used FROM ({_EFFICIENCY}) e WHERE cost >= 10) x GROUP BY 1"),
-    Query("a18_recommendations", lambda t: R.recommendations(_comparison(t)), f"""
-SELECT r.priority, r.title, {num('c.idle_cost * r.f + c.idle_cost * c.used / 100 * r.g', 'potential_savings')}, r.effort
+    # savings are shares of a cost with four decimals, so they are shown with two
+    Query("a18_recommendations", lambda t: R.recommendations(_comparison(t)).withColumn("potential_savings", F.round("potential_savings", 2)), f"""
+SELECT r.priority, r.title, {num('c.idle_cost * r.f + c.idle_cost * c.used / 100 * r.g', 'potential_savings', 2)}, r.effort
 FROM (SELECT *, 100 - used AS idle FROM ({_COMPARE}) k) c JOIN (VALUES
   ('critical', 'Reduce Auto-Stop Timeout', 0.6, 0, 'low', 70, 1000), ('critical', 'Enable Serverless SQL Warehouses', 0.95, 0, 'medium', 70, 1000),
   ('high', 'Consolidate Underutilized Warehouses', 0.4, 0, 'high', 70, 1000), ('high', 'Optimize Auto-Stop Settings', 0.3, 0, 'low', 40, 70),
