@@ -82,7 +82,8 @@ def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: lis
         return with_price(rows, prices).groupBy(*keys, "has_price").agg(
             dbus, F.count("*").alias("records"), F.sum(F.col("usage_quantity") * F.col("price")).alias("spend"),
             F.sum(F.col("usage_quantity") * F.col("effective_price")).alias("effective_spend"))
-    sku = [F.col(c) for c in ("sku_name", "cloud") if c not in dims]
+    named = {d for d in dims if isinstance(d, str)}
+    sku = [F.col(c) for c in ("sku_name", "cloud") if c not in named]
     return (with_price(rows.groupBy(*keys, *sku).agg(dbus, F.count("*").alias("records")), prices)
             .withColumn("spend", F.col("dbus") * F.col("price"))
             .withColumn("effective_spend", F.col("dbus") * F.col("effective_price")))

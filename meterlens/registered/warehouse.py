@@ -190,7 +190,7 @@ SELECT {whole('count(*)', 'total_queries')}, {whole('count(DISTINCT executed_by)
           f"SELECT warehouse_id, query_count, unique_users, {num('s', 'total_spend')}, {num('d', 'total_dbus')} FROM ({_BY_WH}) w"),
     Query("a12_by_warehouse_enriched", _warehouses, f"""
 SELECT w.warehouse_id, query_count, unique_users, {num('s', 'total_spend')}, {num('d', 'total_dbus')}, warehouse_name, warehouse_type, warehouse_size, workspace_id, workspace_name,
-  {num('100 * s / sum(s) OVER ()', 'percentage')} FROM ({_BY_WH}) w LEFT JOIN ({_FACTS}) f ON w.warehouse_id = f.warehouse_id"""),
+  {num('coalesce(100 * s / sum(s) OVER (), 0)', 'percentage')} FROM ({_BY_WH}) w LEFT JOIN ({_FACTS}) f ON w.warehouse_id = f.warehouse_id"""),
     Query("a13_timeseries", lambda t: R.timeseries(share_mart(t), *E),
           f"SELECT CAST(start_time AS DATE) AS date, query_source_type, {whole('count(*)', 'query_count')}, {num('sum(dollars)', 'daily_spend')}, {num('sum(dbus)', 'daily_dbus')} FROM a2r GROUP BY 1, 2"),
     Query("a13_timeseries_wide", lambda t: R.series_wide(R.timeseries(share_mart(t), *E), "query_source_type", _SOURCES),

@@ -6,49 +6,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlens.sources.catalog import available
 
-def widened(*schemas: T.StructType) -> T.StructType:
-    """Union of schemas by column name; a column that changes type becomes text unless both are numbers."""
-    fields: dict[str, T.DataType] = {}
-    for schema in schemas:
-        for f in schema.fields:
-            seen = fields.get(f.name)
-            if seen is None or seen == f.dataType:
-                fields[f.name] = f.dataType
-            elif isinstance(seen, T.NumericType) and isinstance(f.dataType, T.NumericType):
-                fields[f.name] = T.DoubleType()
-            else:
-                fields[f.name] = T.StringType()
-    return T.StructType([T.StructField(n, t, True) for n, t in fields.items()])
-
-
-def source_schema(spark: SparkSession, folder: str, file_format: str) -> T.StructType:
-    """Schema of all files now in the folder, merged over files that gained columns."""
-    reader = spark.read.format(file_format).option("recursiveFileLookup", "true")
-    if file_format == "csv":
-        # header and types of each file; names differ between older and newer exports
-        paths = [r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                 .load(folder).select("path").collect()]
-        return widened(*[reader.option("header", "true").option("inferSchema", "true").load(p).schema for p in sorted(paths)])
-    return reader.option("mergeSchema", "true").load(folder).schema
+
+#: Columns of a file listing; the content is never selected, so files are not read for it.
+FILE_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def load_new_files(spark: SparkSession, folder: str, target: str, checkpoint: str, file_format: str = "parquet",
                    schema: T.StructType | None = None) -> DataFrame:
     """Append the files that arrived since the last call to the bronze table at ``target``.
 
-    The stream's checkpoint remembers loaded files, so a file is loaded once
-    even if a run dies and is repeated; ``availableNow`` ends the run when the
-    backlog is done.  The checkpoint belongs in shared storage.  A schema that
-    gained columns is passed to the stream anew, files without them read null.
+    A file-source stream does the bookkeeping: its checkpoint, which belongs in
+    shared storage, remembers loaded files, so a file is loaded once even if a
+    run dies and is repeated, and ``availableNow`` ends the run when the backlog
+    is done.  New columns widen the table; rows of older files read null there.
     """
-    found = schema or source_schema(spark, folder, file_format)
-    stream = (spark.readStream.format(file_format).schema(found).option("recursiveFileLookup", "true"))
     if file_format == "csv":
-        # columns are matched by the header of each file
-        stream = stream.option("header", "true").option("enforceSchema", "false")
-    rows = stream.load(folder).withColumn("_loaded_at", F.current_timestamp())
+        return _load_csv(spark, folder, target, checkpoint, schema)
+    found = schema or (spark.read.format(file_format).option("recursiveFileLookup", "true")
+                       .option("mergeSchema", "true").load(folder).schema)
+    rows = (spark.readStream.format(file_format).schema(found).option("recursiveFileLookup", "true").load(folder)
+            .withColumn("_loaded_at", F.current_timestamp()))
     query = (rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
              .option("path", target).trigger(availableNow=True).start())
     query.awaitTermination()
+    return read_bronze(spark, target)
+
+
+def read_bronze(spark: SparkSession, target: str) -> DataFrame:
+    """The bronze table with the columns of all its files."""
     return spark.read.option("mergeSchema", "true").parquet(target)
+
+
+def _load_csv(spark: SparkSession, folder: str, target: str, checkpoint: str, schema: T.StructType | None) -> DataFrame:
+    """CSV columns are matched by header, which a CSV stream with one fixed schema cannot do.
+
+    So the stream carries only the *paths* of new files; each micro-batch reads
+    those files grouped by their header line and appends them by column name.
+    A batch owns its folder in the table, so repeating one replaces its rows.
+    """
+    paths = (spark.readStream.format("binaryFile").schema(FILE_LISTING).option("recursiveFileLookup", "true").load(folder)
+             .select("path"))
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        by_header: dict[tuple[str, ...], list[str]] = {}
+        for row in batch.collect():  # file names only, a listing the driver has anyway
+            header = tuple(spark.read.option("header", "true").csv(row.path).columns)
+            by_header.setdefault(header, []).append(row.path)
+        rows = None
+        for files in by_header.values():
+            part = spark.read.option("header", "true").option("inferSchema", str(schema is None).lower()).csv(files)
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        if rows is not None:
+            typed = _with_types(rows, schema or _known_types(spark, target))
+            (typed.withColumn("_loaded_at", F.current_timestamp()).write.mode("overwrite")
+             .parquet(f"{target}/load_id={batch_id}"))
+
+    query = (paths.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return read_bronze(spark, target).drop("load_id")
+
+
+def _known_types(spark: SparkSession, target: str) -> T.StructType:
+    return read_bronze(spark, target).schema if available(spark, target) else T.StructType([])
+
+
+def _with_types(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns the schema knows are cast to its types, so a later file cannot change a column's type."""
+    types = {f.name: f.dataType for f in schema.fields}
+    return rows.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in rows.columns])
