@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 
 def share_of_total(df: DataFrame, value: str, name: str = "percentage", digits: int | None = None) -> DataFrame:
@@ -25,18 +24,6 @@ def top(df: DataFrame, by: str | Column, n: int, *ties: str) -> DataFrame:
     return df.orderBy(key.desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]).limit(n)
 
 
-def top_names(df: DataFrame, key: str, name: str, value: str, n: int, alias: str) -> DataFrame:
-    """The ``n`` names with the largest value per key, as an ordered array.
-
-    ``df`` is one row per (key, name).  Ranking keeps at most n rows per key
-    before anything is collected, so no group grows with the data.
-    """
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(value).desc(), F.col(name)))
-    kept = df.withColumn("_rn", rank).filter(F.col("_rn") <= n)
-    pairs = F.array_sort(F.collect_list(F.struct("_rn", F.col(name).alias("_name"))))
-    return kept.groupBy(key).agg(F.transform(pairs, lambda p: p["_name"]).alias(alias))
-
-
 def wide(df: DataFrame, key: str, names: str, value: str, columns: list[str]) -> DataFrame:
     """One row per key, one column per listed name, 0 where there is no row."""
     return (df.groupBy(key).pivot(names, columns).agg(F.sum(value))

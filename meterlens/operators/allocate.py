@@ -36,19 +36,26 @@ def tool_work(history: DataFrame, start: str, end: str, label: Column) -> DataFr
             .agg(F.sum("total_task_duration_ms").alias("work_ms")))
 
 
-def share_cost(work: DataFrame, cost: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
-    """Split each measure of ``cost`` over the rows of ``work`` by their share of ``work_ms`` per key.
+def work_shares(work: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of each row of ``work`` in the ``work_ms`` of its key: 0 for a key without any work, null for null work.
 
-    Aggregate and join, not a window: both inputs of the joins are grouped, so
-    a warehouse with a third of all queries is one row per bucket here.  Cost
-    without work is dropped (the check on SQL attribution reports it), work
-    without cost stays with a null cost, and zero work gets 0.
+    Aggregate and join, not a window: both sides are grouped already, so a
+    warehouse with a third of all queries is one row per bucket here.
     """
     total = work.groupBy(*keys).agg(F.sum("work_ms").alias("total_work_ms"))
-    share = F.col("work_ms") / F.col("total_work_ms")
-    joined = work.join(total, keys).join(cost, keys, "left")
+    share = F.when(F.col("total_work_ms") > 0, F.col("work_ms") / F.col("total_work_ms")).otherwise(F.lit(0.0))
+    return work.join(total, keys).withColumn("share", share).drop("total_work_ms")
+
+
+def share_cost(work: DataFrame, cost: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
+    """Split each measure of ``cost`` over the rows of ``work`` by their share per key.
+
+    Cost without work is dropped (the check on SQL attribution reports it), work
+    without cost stays with a null cost, and a key without work costs 0.
+    """
+    joined = work_shares(work, keys).join(cost, keys, "left")
     return joined.withColumns({
-        new: F.when(F.col("total_work_ms") > 0, share * F.col(old).cast("double")).otherwise(F.lit(0.0))
+        new: F.when(F.col("share") == 0, F.lit(0.0)).otherwise(F.col("share") * F.col(old).cast("double"))
         for new, old in measures.items()})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.functions import classify as C
-from meterlens.functions.shape import one_row, top
+from meterlens.functions.shape import top
 from meterlens.operators.pricing import day, in_window, meta, metered, totals
 
 def _rows(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[str | Column], where: Column) -> DataFrame:
@@ -19,14 +19,12 @@ def _workspaces() -> Column:
 
 
 def summary(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
-    """M1, with the mean number of distinct endpoints per day."""
+    """M1.  The mean of distinct endpoints per day is the number of (day, endpoint) pairs over the number of days."""
     rows = _rows(usage, prices, start, end, ["usage_date", "workspace_id", meta("endpoint_name")], C.is_aiml())
-    whole = rows.agg(*totals(), _workspaces(), F.countDistinct("endpoint_name").alias("endpoint_count"),
-                     F.countDistinct("usage_date").alias("days_in_range"), F.min("usage_date").alias("first_date"),
-                     F.max("usage_date").alias("last_date"))
-    daily = (rows.groupBy("usage_date").agg(F.countDistinct("endpoint_name").alias("n"))
-             .agg(F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_endpoints_per_day")))
-    return one_row(whole, daily)
+    pairs, days = F.countDistinct("usage_date", "endpoint_name"), F.countDistinct("usage_date")
+    return rows.agg(*totals(), _workspaces(), F.countDistinct("endpoint_name").alias("endpoint_count"),
+                    days.alias("days_in_range"), F.min("usage_date").alias("first_date"), F.max("usage_date").alias("last_date"),
+                    F.coalesce(F.try_divide(pairs, days), F.lit(0.0)).alias("avg_endpoints_per_day"))
 
 
 def by_provider(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:

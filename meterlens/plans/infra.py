@@ -12,12 +12,11 @@ from meterlens.operators.pricing import QUANTITY, in_window, meta, metered
 
 
 def cluster_hours(usage: DataFrame, start: str, end: str) -> DataFrame:
-    """Usage with a cluster, outside SQL and DLT, per (cluster, day); a DBU is read as an hour."""
+    """Usage with a cluster, outside SQL and DLT, per (cluster, day, cloud); a DBU is read as an hour."""
     rows = in_window(usage, start, end).filter(
         F.col("usage_metadata.cluster_id").isNotNull() & ~F.col("billing_origin_product").isin("SQL", "DLT"))
-    return rows.groupBy(meta("cluster_id"), "usage_date").agg(
-        F.sum("usage_quantity").cast(QUANTITY).alias("dbu_hours"), F.max("workspace_id").alias("workspace_id"),
-        F.max("cloud").alias("cloud"))
+    return rows.groupBy(meta("cluster_id"), "usage_date", "cloud").agg(
+        F.sum("usage_quantity").cast(QUANTITY).alias("dbu_hours"), F.max("workspace_id").alias("workspace_id"))
 
 
 def latest_clusters(clusters: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meterlens.functions import classify as C
 from meterlens.functions.shape import one_row
-from meterlens.operators.allocate import tool_attribution, warehouse_cost
+from meterlens.operators.allocate import tool_work, warehouse_cost, work_shares
 from meterlens.operators.pricing import metered
 from meterlens.plans.spend import categorised
 
@@ -113,12 +113,20 @@ def price_uniqueness(prices: DataFrame) -> DataFrame:
 
 
 def sql_attribution(usage: DataFrame, prices: DataFrame, history: DataFrame, start: str, end: str) -> DataFrame:
-    """Attributed against billed SQL cost; a gap is expected, as cost on days without queries is not attributed."""
-    billed = warehouse_cost(usage, prices, start, end).agg(
-        F.sum("spend").cast("double").alias("billing_spend"), F.sum("dbus").cast("double").alias("billing_dbus"))
-    shared = tool_attribution(usage, prices, history, start, end).agg(
-        F.sum("attributed_spend").alias("attributed_spend"), F.sum("attributed_dbus").alias("attributed_dbus"))
-    facts = (one_row(billed, shared).withColumn("difference", F.col("billing_spend") - F.col("attributed_spend"))
+    """Attributed against billed SQL cost; a gap is expected, as cost on days without queries is not attributed.
+
+    What is attributed of a (day, warehouse) cost is the cost times the shares
+    of its tools, so one pass over the bill gives both sides.
+    """
+    keys = ["usage_date", "warehouse_id"]
+    shares = work_shares(tool_work(history, start, end, C.sql_tool()), keys).groupBy(*keys).agg(F.sum("share").alias("share"))
+    rows = warehouse_cost(usage, prices, start, end).join(shares, keys, "left")
+
+    def attributed(name: str) -> Column:
+        return F.coalesce(F.sum(F.col(name).cast("double") * F.col("share")), F.lit(0.0))
+    facts = rows.agg(F.sum("spend").cast("double").alias("billing_spend"), F.sum("dbus").cast("double").alias("billing_dbus"),
+                     attributed("spend").alias("attributed_spend"), attributed("dbus").alias("attributed_dbus"))
+    facts = (facts.withColumn("difference", F.col("billing_spend") - F.col("attributed_spend"))
              .withColumn("difference_pct", _percent(F.col("difference"), F.col("billing_spend"))))
     return _named(facts, "sql_attribution", F.lit("info"))
 

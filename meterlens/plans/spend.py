@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from meterlens.functions import classify as C
-from meterlens.functions.shape import share_of_total, top, top_names, wide
-from meterlens.operators.allocate import tool_attribution
+from meterlens.functions.shape import share_of_total, top, wide
+from meterlens.operators.allocate import tool_attribution, tool_work, work_shares
 from meterlens.operators.pricing import day, has_pipeline, in_window, meta, metered, run_as, totals
 
 def categorised(usage: DataFrame, prices: DataFrame, start: str, end: str, category: Column,
@@ -36,6 +37,31 @@ def _in_workspace(workspace_id: str | None) -> Column | None:
     return None if workspace_id is None else F.col("workspace_id").cast("string") == workspace_id
 
 
+def _split_by_tool(usage: DataFrame, prices: DataFrame, history: DataFrame, start: str, end: str, category: Column,
+                   dims: list[str]) -> DataFrame:
+    """Collapsed usage with SQL rows split over the two tools: product_category, dbus, spend, and the dims.
+
+    One scan of the bill: only SQL rows keep their day and warehouse, which are
+    the keys of the work shares.  SQL cost without queries has no share and is
+    dropped.  A tool that worked but cost nothing keeps a row without cost.
+    """
+    sql = F.col("billing_origin_product") == "SQL"
+    keys = [F.when(sql, F.col("usage_date")).alias("_day"), F.when(sql, F.col("usage_metadata.warehouse_id")).alias("_wh")]
+    rows = categorised(usage, prices, start, end, category, [*dims, *keys])
+    work = tool_work(history, start, end, C.sql_tool("SQL - Genie", "SQL - DBSQL"))
+    shares = work_shares(work, ["usage_date", "warehouse_id"]).select(
+        "sql_product", F.col("usage_date").alias("_day"), F.col("warehouse_id").alias("_wh"), "share")
+    split = rows.join(shares, ["_day", "_wh"], "left").filter(~sql | F.col("sql_product").isNotNull())
+
+    def cost(name: str) -> Column:
+        part = F.when(F.col("share") == 0, F.lit(0.0)).otherwise(F.col("share") * F.col(name).cast("double"))
+        return F.when(sql, part).otherwise(F.col(name).cast("double")).alias(name)
+    kept = split.select(F.when(sql, F.col("sql_product")).otherwise(F.col("product_category")).alias("product_category"),
+                        *dims, cost("dbus"), cost("spend"))
+    worked = work.select(F.col("sql_product").alias("product_category"), *[d for d in dims if d == "usage_date"]).distinct()
+    return kept.unionByName(worked, allowMissingColumns=True)
+
+
 def by_product(usage: DataFrame, prices: DataFrame, history: DataFrame, start: str, end: str,
                workspace_id: str | None = None) -> DataFrame:
     """Spend per category with SQL cost split between its two tools by work.
@@ -46,21 +72,9 @@ def by_product(usage: DataFrame, prices: DataFrame, history: DataFrame, start: s
     """
     if workspace_id is not None:
         usage = usage.filter(_in_workspace(workspace_id))
-    rows = categorised(usage, prices, start, end, C.non_sql_category(), ["workspace_id"],
-                       F.col("billing_origin_product") != "SQL")
-    other = rows.groupBy("product_category").agg(*totals(), F.countDistinct("workspace_id").alias("workspace_count"))
-    split = tool_attribution(usage, prices, history, start, end, C.sql_tool("SQL - Genie", "SQL - DBSQL"))
-    billed_in = (in_window(usage, start, end).filter(F.col("billing_origin_product") == "SQL")
-                 .select("usage_date", F.col("usage_metadata.warehouse_id").alias("warehouse_id"), "workspace_id").distinct())
-    spaces = (split.select("sql_product", "usage_date", "warehouse_id").join(billed_in, ["usage_date", "warehouse_id"])
-              .groupBy("sql_product").agg(F.countDistinct("workspace_id").alias("workspace_count")))
-    sql = (split.groupBy("sql_product").agg(F.sum("attributed_dbus").alias("total_dbus"),
-                                            F.sum("attributed_spend").alias("total_spend"))
-           .join(spaces, "sql_product", "left")
-           .select(F.col("sql_product").alias("product_category"), "total_dbus", "total_spend",
-                   F.coalesce("workspace_count", F.lit(0)).alias("workspace_count")))
-    both = other.withColumns({c: F.col(c).cast("double") for c in ("total_dbus", "total_spend")}).unionByName(sql)
-    return both.orderBy(F.desc_nulls_last("total_spend"))
+    rows = _split_by_tool(usage, prices, history, start, end, C.non_sql_category(), ["workspace_id"])
+    return (rows.groupBy("product_category").agg(*totals(), F.countDistinct("workspace_id").alias("workspace_count"))
+            .orderBy(F.desc_nulls_last("total_spend")))
 
 
 def by_product_fast(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
@@ -71,16 +85,32 @@ def by_product_fast(usage: DataFrame, prices: DataFrame, start: str, end: str) -
 
 
 def by_workspace(usage: DataFrame, prices: DataFrame, workspaces: DataFrame | None, start: str, end: str) -> DataFrame:
-    """Workspaces with their three largest products and users (largest first), and the K25 flag."""
-    rows = metered(usage, prices, start, end, ["workspace_id", "billing_origin_product", run_as("run_as_user")])
-    total = rows.groupBy("workspace_id").agg(*totals())
-    products = top_names(rows.filter(F.col("billing_origin_product").isNotNull())
-                         .groupBy("workspace_id", "billing_origin_product").agg(F.sum("spend").alias("s")),
-                         "workspace_id", "billing_origin_product", "s", 3, "top_products")
-    users = top_names(rows.filter(F.col("run_as_user").isNotNull() & (F.col("run_as_user") != ""))
-                      .groupBy("workspace_id", "run_as_user").agg(F.sum("spend").alias("s")),
-                      "workspace_id", "run_as_user", "s", 3, "top_users")
-    out = total.join(products, "workspace_id", "left").join(users, "workspace_id", "left")
+    """Workspaces with their three largest products and users (largest first), and the K25 flag.
+
+    Totals, products and users come from one scan: a record gives a row to its
+    workspace, one to its product and one to its user.  Only three names per
+    workspace are ever collected.
+    """
+    product, user = F.col("billing_origin_product"), F.col("identity_metadata.run_as")
+
+    def entry(kind: str, name: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    entries = F.array(entry("total", F.lit(None).cast("string")), F.when(product.isNotNull(), entry("product", product)),
+                      F.when(user != "", entry("user", user)))
+    rows = usage.select("*", F.explode(entries).alias("e")).filter(F.col("e").isNotNull())
+    grouped = (metered(rows, prices, start, end, ["workspace_id", F.col("e.kind").alias("kind"), F.col("e.name").alias("name")])
+               .groupBy("workspace_id", "kind", "name").agg(*totals()))
+    rank = F.row_number().over(W.partitionBy("workspace_id", "kind").orderBy(F.desc("total_spend"), "name"))
+    kept = grouped.withColumn("rank", rank).filter(F.col("rank") <= 3)
+
+    def total(name: str) -> Column:
+        return F.max(F.when(F.col("kind") == "total", F.col(name))).alias(name)
+
+    def names(kind: str, alias: str) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "name"))))
+        return F.transform(pairs, lambda p: p["name"]).alias(alias)
+    out = kept.groupBy("workspace_id").agg(total("total_dbus"), total("total_spend"), names("product", "top_products"),
+                                           names("user", "top_users"))
     if workspaces is None:
         out = out.withColumn("workspace_name", F.lit(None).cast("string"))
     else:
@@ -91,14 +121,8 @@ def by_workspace(usage: DataFrame, prices: DataFrame, workspaces: DataFrame | No
 
 def timeseries(usage: DataFrame, prices: DataFrame, history: DataFrame, start: str, end: str) -> DataFrame:
     """Day x category with the SQL split."""
-    rows = categorised(usage, prices, start, end, C.non_sql_series_category(), ["usage_date"],
-                       F.col("billing_origin_product") != "SQL")
-    other = rows.groupBy("usage_date", "product_category").agg(*totals())
-    sql = (tool_attribution(usage, prices, history, start, end, C.sql_tool("SQL - Genie", "SQL - DBSQL"))
-           .groupBy("usage_date", F.col("sql_product").alias("product_category"))
-           .agg(F.sum("attributed_dbus").alias("total_dbus"), F.sum("attributed_spend").alias("total_spend")))
-    other = other.withColumns({c: F.col(c).cast("double") for c in ("total_dbus", "total_spend")})
-    return other.unionByName(sql).orderBy("usage_date", "product_category")
+    rows = _split_by_tool(usage, prices, history, start, end, C.non_sql_series_category(), ["usage_date"])
+    return rows.groupBy("usage_date", "product_category").agg(*totals()).orderBy("usage_date", "product_category")
 
 
 def timeseries_fast(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:

@@ -57,15 +57,17 @@ def primary_product(categories: DataFrame) -> DataFrame:
 
 
 def daily_of_top_users(usage: DataFrame, prices: DataFrame, start: str, end: str, users: int = 6) -> DataFrame:
-    """Daily spend of the largest users.
+    """Daily spend of the largest users, from one scan.
 
-    The listed users come from a first aggregate; the semi join then drops all
-    other usage in the scan stage of the second.
+    Each user carries their daily amounts, one per day of the window at most,
+    so the top users bring their series along and no second pass looks it up.
     """
-    listed = top(_rows(usage, prices, start, end, []).groupBy("user_email").agg(F.sum("spend").alias("s")), "s", users, "user_email")
-    daily = (_rows(usage, prices, start, end, ["usage_date"]).join(listed.select("user_email"), "user_email", "left_semi")
-             .groupBy(F.col("usage_date").alias("date"), "user_email").agg(F.sum("spend").alias("daily_spend")))
-    return daily.orderBy("date", F.desc("daily_spend"))
+    daily = (_rows(usage, prices, start, end, ["usage_date"]).groupBy("user_email", "usage_date")
+             .agg(F.sum("spend").alias("daily_spend")))
+    series = F.collect_list(F.struct(F.col("usage_date").alias("date"), "daily_spend")).alias("series")
+    listed = top(daily.groupBy("user_email").agg(F.sum("daily_spend").alias("total"), series), "total", users, "user_email")
+    return (listed.select("user_email", F.explode("series").alias("d")).select("d.date", "user_email", "d.daily_spend")
+            .orderBy("date", F.desc("daily_spend")))
 
 
 def daily_of_top_users_wide(daily: DataFrame, users: list[str] | None = None) -> DataFrame:
@@ -145,12 +147,12 @@ def spend_growth(usage: DataFrame, prices: DataFrame, start: str, end: str) -> D
 
 
 def user_growth(usage: DataFrame, start: str, end: str) -> DataFrame:
-    """Active and new users per month, on distinct (user, month) pairs."""
-    month = F.trunc("usage_date", "month").alias("m")
-    pairs = in_window(usage, start, end).filter(_known_user()).select(month, run_as("user")).distinct()
-    first = pairs.groupBy("user").agg(F.min("m").alias("first_month"))
-    new = F.sum(F.when(F.col("m") == F.col("first_month"), 1).otherwise(0))
-    return (pairs.join(first, "user").groupBy("m").agg(F.count("*").alias("active_users"), new.alias("new_users"))
+    """Active and new users per month; a user is folded to the set of their months."""
+    rows = in_window(usage, start, end).filter(_known_user()).select(F.trunc("usage_date", "month").alias("m"), run_as("user")).distinct()
+    months = rows.groupBy("user").agg(F.array_sort(F.collect_set("m")).alias("months"))
+    pairs = months.select(F.posexplode("months").alias("position", "m"))
+    new = F.sum(F.when(F.col("position") == 0, 1).otherwise(0))
+    return (pairs.groupBy("m").agg(F.count("*").alias("active_users"), new.alias("new_users"))
             .select(F.date_format("m", "yyyy-MM").alias("month"), "active_users", "new_users").orderBy("month"))
 
 
