@@ -26,40 +26,41 @@ def object_usage(usage: DataFrame, prices: DataFrame, start: str, end: str) -> D
     return rows.groupBy("usage_date", *ids).agg(F.sum("dbus").alias("dbus"), F.sum("spend").alias("spend"))
 
 
-def mapped_usage(usage: DataFrame, prices: DataFrame, objects: DataFrame, start: str, end: str,
-                 custom_dates: bool = False, by_day: bool = True) -> DataFrame:
-    """(use case, day, type, id, dbus, spend) of mapped objects.
+def _matches(rows: DataFrame, objects: DataFrame, custom_dates: bool = False) -> DataFrame:
+    """One row per (use case, usage row) that is mapped to it, under the first mapped type of the priority list.
 
-    A usage row counts once per use case, under the first type of the priority
-    list through which it is mapped.  Usage is collapsed per object first and
-    the ids are turned into (type, id) rows, so one equi join serves all types.
-    Object-specific dates are stored with the mapping and used on request.
-    Without ``by_day`` the days are folded before the join (the day is null),
-    which is all a total over use cases needs.
+    The ids of a usage row are turned into (type, id) rows, so one equi join
+    serves all types; a row reached through two of its ids is folded again.
     """
-    rows = object_usage(usage, prices, start, end)
-    if not by_day and not custom_dates:
-        ids = [c for _, c in OBJECT_COLUMNS]
-        rows = (rows.groupBy(*ids).agg(F.sum("dbus").alias("dbus"), F.sum("spend").alias("spend"))
-                .withColumn("usage_date", F.lit(None).cast("date")))
-    first_id = F.coalesce(*[F.col(c) for _, c in OBJECT_COLUMNS])
-    entries = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("rank"), F.lit(t).alias("object_type"), F.col(c).alias("id")))
-               for i, (t, c) in enumerate(OBJECT_COLUMNS)]
-    typed = rows.select("usage_date", "dbus", "spend", first_id.alias("shown_id"),
-                        F.struct(*[F.col(c) for _, c in OBJECT_COLUMNS]).alias("ids"),
-                        F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    typed = typed.select("usage_date", "dbus", "spend", "shown_id", "ids", "e.rank", "e.object_type", F.col("e.id").alias("object_id"))
-    mapping = objects.select("use_case_id", "object_type", "object_id", "custom_start_date", "custom_end_date")
-    mapping = mapping.dropDuplicates(["use_case_id", "object_type", "object_id"])
+    ids = [F.col(c) for _, c in OBJECT_COLUMNS]
+    entries = [F.when(i.isNotNull(), F.struct(F.lit(r).alias("rank"), F.lit(t).alias("object_type"), i.alias("id")))
+               for r, ((t, _), i) in enumerate(zip(OBJECT_COLUMNS, ids))]
+    row_key = F.concat_ws("\x1f", *[F.coalesce(i, F.lit("\x1e")) for i in ids])
+    typed = (rows.select("usage_date", "dbus", "spend", F.coalesce(*ids).alias("shown_id"), row_key.alias("row_key"),
+                         F.explode(F.array(*entries)).alias("e")).filter(F.col("e").isNotNull())
+             .select("usage_date", "dbus", "spend", "shown_id", "row_key", "e.rank", "e.object_type", F.col("e.id").alias("object_id")))
+    mapping = (objects.select("use_case_id", "object_type", "object_id", "custom_start_date", "custom_end_date")
+               .dropDuplicates(["use_case_id", "object_type", "object_id"]))
     joined = typed.join(mapping, ["object_type", "object_id"])
     if custom_dates:
         joined = joined.filter((F.col("usage_date") >= F.coalesce("custom_start_date", "usage_date"))
                                & (F.col("usage_date") <= F.coalesce("custom_end_date", "usage_date")))
-    # a row mapped through two of its ids is kept under the first type only
-    best = joined.groupBy("use_case_id", "usage_date", "ids", "shown_id").agg(
+    best = joined.groupBy("use_case_id", "usage_date", "row_key", "shown_id").agg(
         F.min("rank").alias("rank"), F.max("dbus").alias("dbus"), F.max("spend").alias("spend"))
     kind = F.element_at(F.array(*[F.lit(t) for t, _ in OBJECT_COLUMNS]), F.col("rank") + 1)
-    return (best.groupBy("use_case_id", "usage_date", kind.alias("object_type"), F.col("shown_id").alias("object_id"))
+    return best.select("use_case_id", "usage_date", kind.alias("object_type"), F.col("shown_id").alias("object_id"), "dbus", "spend")
+
+
+def mapped_usage(usage: DataFrame, prices: DataFrame, objects: DataFrame, start: str, end: str,
+                 custom_dates: bool = False) -> DataFrame:
+    """(use case, day, type, id, dbus, spend) of mapped objects.
+
+    Usage is collapsed per day and combination of objects before it meets the
+    mapping.  Object-specific dates are stored with the mapping and used on
+    request.
+    """
+    return (_matches(object_usage(usage, prices, start, end), objects, custom_dates)
+            .groupBy("use_case_id", "usage_date", "object_type", "object_id")
             .agg(F.sum("dbus").alias("total_dbus"), F.sum("spend").alias("total_spend")))
 
 
@@ -93,16 +94,22 @@ def by_object_type(rows: DataFrame) -> DataFrame:
 
 
 def all_use_cases(usage: DataFrame, prices: DataFrame, use_cases: DataFrame, objects: DataFrame, start: str, end: str) -> DataFrame:
-    """All active use cases in one pass instead of one query per case; cases without spend show 0."""
+    """All active use cases in one pass instead of one query per case; cases without spend show 0.
+
+    Days are folded before the mapping, as only totals are shown.
+    """
     active = use_cases.filter(F.col("status") == "active").select(
         "use_case_id", "name", "owner", F.coalesce("stage", F.lit("Development")).alias("stage"))
-    spent = (mapped_usage(usage, prices, objects, start, end, by_day=False).groupBy("use_case_id", "object_type", "object_id")
-             .agg(F.sum("total_spend").alias("s"), F.sum("total_dbus").alias("d"))
+    ids = [c for _, c in OBJECT_COLUMNS]
+    rows = (object_usage(usage, prices, start, end).groupBy(*ids)
+            .agg(F.sum("dbus").alias("dbus"), F.sum("spend").alias("spend")).withColumn("usage_date", F.lit(None).cast("date")))
+    spent = (_matches(rows, objects).groupBy("use_case_id", "object_type", "object_id")
+             .agg(F.sum("spend").alias("s"), F.sum("dbus").alias("d"))
              .groupBy("use_case_id").agg(F.round(F.sum("s").cast("double"), 2).alias("total_spend"),
                                          F.round(F.sum("d").cast("double"), 2).alias("total_dbus"),
                                          F.count("*").alias("object_count")))
-    rows = active.join(spent, "use_case_id", "left").na.fill(0, ["total_spend", "total_dbus", "object_count"])
-    return share_of_total(rows, "total_spend").orderBy(F.desc("total_spend"), "use_case_id")
+    report = active.join(spent, "use_case_id", "left").na.fill(0, ["total_spend", "total_dbus", "object_count"])
+    return share_of_total(report, "total_spend").orderBy(F.desc("total_spend"), "use_case_id")
 
 
 # fixed values: id and name columns of each listed type

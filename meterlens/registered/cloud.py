@@ -11,7 +11,9 @@ from meterlens.plans import spend as S
 from meterlens.registered import labels_sql as LB
 from meterlens.registered.inputs_sql import AFTER, FIRST, LAST
 from meterlens.registered.query import SUMS, Query, num, stamp, whole
+from meterlens.sources.catalog import input_status
 from meterlens.sources.values import DAY_AFTER, FIRST_DAY, LAST_DAY
+from meterlens.streaming.ingest import load_new_files
 
 W = (FIRST_DAY, LAST_DAY)
 E = (FIRST_DAY, DAY_AFTER)
@@ -95,6 +97,19 @@ def _scratch(t) -> str:
     return f"{shared}/meterlens-marts-{t.spark.sparkContext.applicationId}-{id(t)}"
 
 
+def _ingested(t):
+    """L1 end to end: two deliveries of invoice files, the second with a new column, each loaded once."""
+    root = _scratch(t) + "/ingest"
+    lines = t.azure_bronze.select("Date", "MeterCategory", "CostInUsd", "CostCenter")
+    early = F.col("Date") < F.lit("2023-11-01")
+    lines.filter(early).drop("CostCenter").write.mode("overwrite").parquet(f"{root}/inbox/first")
+    load_new_files(t.spark, f"{root}/inbox", f"{root}/bronze", f"{root}/progress")
+    lines.filter(~early).write.mode("overwrite").parquet(f"{root}/inbox/second")
+    load_new_files(t.spark, f"{root}/inbox", f"{root}/bronze", f"{root}/progress")
+    bronze = load_new_files(t.spark, f"{root}/inbox", f"{root}/bronze", f"{root}/progress")
+    return bronze.groupBy("MeterCategory", "CostCenter").agg(F.count("*").alias("lines"), F.sum("CostInUsd").alias("cost"))
+
+
 def _written(t):
     """L5 and L6 end to end: write the mart, upsert its second half again with doubled dbus, read it back."""
     root = _scratch(t)
@@ -125,6 +140,11 @@ def _stale_mart(t):
 
 
 QUERIES = [
+    Query("l01_incremental_load", _ingested, f"""
+SELECT meter_category AS "MeterCategory", CASE WHEN day >= DATE '2023-11-01' THEN cost_center END AS "CostCenter", {whole('count(*)', 'lines')}, {num('sum(cost_usd)', 'cost')} FROM azure GROUP BY 1, 2"""),
+    Query("l10_input_status", lambda t: input_status(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in ("lineitem", "orders", "events", "not_there")}), f"""
+SELECT 'lineitem' AS name, true AS "exists", {whole('count(*)', 'row_count')} FROM lineitem UNION ALL SELECT 'orders', true, {whole('count(*)', 'n')} FROM orders
+UNION ALL SELECT 'events', true, {whole('count(*)', 'n')} FROM events UNION ALL SELECT 'not_there', false, CAST(NULL AS BIGINT)"""),
     Query("l02_aws_silver", lambda t: X.aws_silver(t.aws_bronze), _SILVER_SQL),
     Query("l03_aws_gold", _aws, _GOLD_SQL),
     Query("l04_azure_gold", _azure, _AZURE_SQL),

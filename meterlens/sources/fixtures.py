@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meterlens.session import apply_settings
 from meterlens.sources import values as V
@@ -30,6 +31,10 @@ def _usage_day(date: Column) -> Column:
                       (F.datediff(date, F.lit("1995-01-01").cast("date")) % 180).cast("int"))
 
 
+#: Schemas of files already opened in this process; the test tables never change.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class FixtureTables:
     """The inputs of every report, over one folder of test tables."""
 
@@ -38,7 +43,10 @@ class FixtureTables:
         self.sf_dir = sf_dir
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     # -- billing -----------------------------------------------------------
 
