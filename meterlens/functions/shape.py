@@ -26,8 +26,8 @@ def top(df: DataFrame, by: str | Column, n: int, *ties: str) -> DataFrame:
 
 def wide(df: DataFrame, key: str, names: str, value: str, columns: list[str]) -> DataFrame:
     """One row per key, one column per listed name, 0 where there is no row."""
-    return (df.groupBy(key).pivot(names, columns).agg(F.sum(value))
-            .na.fill(0, columns).orderBy(key))
+    filled = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in columns]
+    return df.groupBy(key).pivot(names, columns).agg(F.sum(value)).select(key, *filled).orderBy(key)
 
 
 def names_of(df: DataFrame, column: str) -> list[str]:
