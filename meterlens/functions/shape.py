@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlens.operators.joins import join_spread
+
 
 def share_of_total(df: DataFrame, value: str, name: str = "percentage", digits: int | None = None) -> DataFrame:
     """Percent of the grand total, 0 when the total is 0.
@@ -35,6 +37,23 @@ def names_of(df: DataFrame, column: str) -> list[str]:
     return [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
 
 
+#: Most values a listing puts in one array.
+VALUES_PER_ROW = 100_000
+
+
+def listed_values(pairs: DataFrame, key: str, value: str, alias: str, per_row: int = VALUES_PER_ROW) -> DataFrame:
+    """Distinct values per key as sorted arrays.
+
+    A key with more than ``per_row`` values takes several rows, filled by a hash
+    of the value, so no array grows with the data and no value is left out.
+    """
+    distinct = pairs.select(key, value).distinct()
+    rows_of = distinct.groupBy(key).agg(F.ceil(F.count("*") / per_row).alias("_rows"))
+    placed = join_spread(distinct, rows_of, [key], F.coalesce(F.col(value), F.lit("")))
+    row = F.pmod(F.xxhash64(value), F.col("_rows")).alias("_row")
+    return placed.groupBy(key, row).agg(F.array_sort(F.collect_list(value)).alias(alias)).drop("_row").orderBy(key)
+
+
 def one_row(*parts: DataFrame) -> DataFrame:
     """Put several one-row frames side by side without a join."""
     stacked = parts[0]

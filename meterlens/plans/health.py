@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # fixed values: thresholds of the three findings
 IDLE_LOOKBACK_HOURS = 2
@@ -59,20 +60,25 @@ def over_scaled(warehouses: DataFrame, events: DataFrame, history: DataFrame, as
 
 
 def oversized(warehouses: DataFrame, history: DataFrame, as_of: str, days: int = HISTORY_DAYS,
-              max_median_seconds: int = MAX_MEDIAN_SECONDS, accuracy: int = 1_000_000) -> DataFrame:
+              max_median_seconds: int = MAX_MEDIAN_SECONDS) -> DataFrame:
     """H3: a large size with short queues and short queries.
 
-    The latest *large* row of each warehouse counts.  The median is the
-    mergeable sketch of ``percentile_approx``; its accuracy makes it exact for
-    durations that repeat as whole seconds do.
+    The latest *large* row of each warehouse counts.  The median is exact: the
+    queries of a warehouse are folded to a count per whole second of duration,
+    and the window runs over those seconds, not over queries.
     """
     queue = F.coalesce("waiting_at_capacity_duration_ms", F.lit(0)) + F.coalesce("waiting_for_compute_duration_ms", F.lit(0))
     seconds = F.unix_timestamp("end_time") - F.unix_timestamp("start_time")
-    stats = (history.filter((F.col("start_time") >= _since(as_of, 24 * days)) & F.col("compute.warehouse_id").isNotNull()
-                            & (F.col("total_task_duration_ms") > 0) & F.col("end_time").isNotNull())
-             .groupBy(F.col("compute.warehouse_id").alias("warehouse_id"))
-             .agg(F.count("*").alias("query_count"), F.avg(queue).alias("avg_queue_ms"),
-                  F.percentile_approx(seconds, 0.5, accuracy).alias("median_duration_seconds"))
+    counts = (history.filter((F.col("start_time") >= _since(as_of, 24 * days)) & F.col("compute.warehouse_id").isNotNull()
+                             & (F.col("total_task_duration_ms") > 0) & F.col("end_time").isNotNull())
+              .groupBy(F.col("compute.warehouse_id").alias("warehouse_id"), seconds.alias("seconds"))
+              .agg(F.count("*").alias("n"), F.sum(queue).alias("queue")))
+    of_warehouse = W.partitionBy("warehouse_id")
+    below = F.sum("n").over(of_warehouse.orderBy("seconds").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumn("below", below).withColumn("all", F.sum("n").over(of_warehouse))
+    stats = (ranked.groupBy("warehouse_id")
+             .agg(F.sum("n").alias("query_count"), (F.sum("queue") / F.sum("n")).alias("avg_queue_ms"),
+                  F.min(F.when(F.col("below") * 2 >= F.col("all"), F.col("seconds"))).alias("median_duration_seconds"))
              .filter((F.col("query_count") >= MIN_QUERIES) & (F.col("avg_queue_ms") < MAX_QUEUE_MS)
                      & (F.col("median_duration_seconds") < max_median_seconds)))
     large = current_warehouses(warehouses.filter(F.col("warehouse_size").isin(*LARGE_SIZES)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlens.functions import classify as C
-from meterlens.operators.allocate import started_in, tool_attribution
+from meterlens.operators.allocate import cost_per_query, started_in, tool_attribution
 from meterlens.operators.pricing import day, metered, totals
 from meterlens.plans.kpis import query_measures
 from meterlens.plans.spend import categorised
@@ -57,6 +57,7 @@ MART_KEYS = {
     "daily_usage_summary": ["usage_date"], "daily_product_breakdown": ["usage_date", "product_category"],
     "daily_workspace_breakdown": ["usage_date", "workspace_id"],
     "sql_tool_attribution": ["usage_date", "sql_product", "warehouse_id"], "daily_query_stats": ["usage_date"],
+    "cost_per_query": ["usage_date", "statement_id", "warehouse_id"],
 }
 
 
@@ -69,17 +70,19 @@ def build_marts(tables, start: str, end: str) -> dict[str, DataFrame]:
         "daily_workspace_breakdown": daily_workspace_breakdown(t.usage, t.list_prices, t.workspaces, start, end),
         "sql_tool_attribution": sql_tool_attribution(t.usage, t.list_prices, t.query_history, start, end),
         "daily_query_stats": daily_query_stats(t.query_history, start, end),
+        "cost_per_query": cost_per_query(t.usage, t.list_prices, t.query_history, start, end)
+        .withColumn("usage_date", F.to_date("start_time")),
     }
 
 
 def write_mart(mart: DataFrame, root: str, name: str) -> str:
     """Replace a mart in full, one folder per day.
 
-    Rows are shuffled by day first so that a day is one file; a mart row is a
-    daily aggregate, so a day is small whatever the raw volume.
+    Rebalancing by day gives a small day one file, and splits a large one, as
+    the mart with a row per query has, over several tasks.
     """
     path = f"{root}/{name}"
-    (mart.repartition("usage_date").write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (mart.hint("rebalance", "usage_date").write.mode("overwrite").option("partitionOverwriteMode", "static")
      .partitionBy("usage_date").parquet(path))
     return path
 
@@ -102,7 +105,7 @@ def upsert_mart(new_rows: DataFrame, root: str, name: str) -> str:
     merged = kept.unionByName(typed)
     staged = f"{root}/_staged_{name}"
     merged.write.mode("overwrite").parquet(staged)
-    (spark.read.parquet(staged).repartition("usage_date").write.mode("overwrite")
+    (spark.read.parquet(staged).hint("rebalance", "usage_date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path))
     return path
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.functions import classify as C
-from meterlens.functions.shape import top
+from meterlens.functions.shape import listed_values, top
 from meterlens.operators.pricing import day, meta, metered, totals
 
 
@@ -138,10 +138,10 @@ def top_objects_of_tag(usage: DataFrame, prices: DataFrame, start: str, end: str
 
 
 def tag_catalogue(usage: DataFrame, as_of: str, days: int = 90) -> DataFrame:
-    """Values per key, sorted; duplicates are dropped before the values are collected."""
+    """Values per key, sorted; a key with very many values takes several rows."""
     recent = usage.filter((F.col("usage_date") >= F.date_sub(day(as_of), days)) & C.has_tags())
-    pairs = recent.select(F.explode("custom_tags").alias("tag_key", "tag_value")).distinct()
-    return pairs.groupBy("tag_key").agg(F.array_sort(F.collect_set("tag_value")).alias("tag_values")).orderBy("tag_key")
+    pairs = recent.select(F.explode("custom_tags").alias("tag_key", "tag_value"))
+    return listed_values(pairs, "tag_key", "tag_value", "tag_values")
 
 
 def coverage_series(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:

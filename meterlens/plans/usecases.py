@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.functions.shape import share_of_total
+from meterlens.functions.shape import listed_values, share_of_total
 from meterlens.operators.pricing import day, meta, metered
 
 # fixed values: object types by priority, and the usage column that holds their id
@@ -161,9 +161,8 @@ def use_case_list(use_cases: DataFrame, status: str | None = None, stage: str |
 def use_case_tags(use_cases: DataFrame) -> DataFrame:
     """Tag values in use, sorted; empty values are left out but their key stays."""
     active = use_cases.filter((F.col("status") == "active") & F.col("tags").isNotNull())
-    pairs = active.select(F.explode("tags").alias("tag_key", "tag_value")).distinct()
-    values = F.collect_set(F.when(F.col("tag_value") != "", F.col("tag_value")))
-    return pairs.groupBy("tag_key").agg(F.array_sort(values).alias("tag_values")).orderBy("tag_key")
+    pairs = active.select(F.explode("tags").alias("tag_key", "v")).select("tag_key", F.nullif("v", F.lit("")).alias("tag_value"))
+    return listed_values(pairs, "tag_key", "tag_value", "tag_values")
 
 
 def use_case(use_cases: DataFrame, use_case_id: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from meterlens.operators.pricing import fits_broadcast
 from meterlens.session import apply_settings
 from meterlens.sources import values as V
 
@@ -56,9 +57,13 @@ class FixtureTables:
         orders = self._read("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
         customer = self._read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         part, line, supp = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
-        rows = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-                  .join(customer, F.col("o_custkey") == customer.c_custkey)
-                  .withColumn("k", (part + line) % 24)
+        by_order, by_customer = li.l_orderkey == orders.o_orderkey, F.col("o_custkey") == F.col("c_custkey")
+        if fits_broadcast(orders):
+            joined = li.join(orders, by_order).join(customer, by_customer)
+        else:
+            # the line items are shuffled once, to meet orders that already know their customer
+            joined = li.join(orders.join(customer, by_customer), by_order)
+        rows = (joined.withColumn("k", (part + line) % 24)
                   .withColumn("billing_origin_product", _pick([p for _, p in V.SKUS], F.col("k")))
                   .withColumn("usage_date", _usage_day(F.col("l_shipdate"))))
         product = F.col("billing_origin_product")

@@ -17,8 +17,9 @@ W = ("2023-08-04", "2024-01-30")
 def test_write_upsert_and_read(spark, tables, tmp_path):
     root = str(tmp_path)
     marts = L.build_marts(tables, *W)
-    for name in ("daily_usage_summary", "daily_query_stats"):
+    for name in ("daily_usage_summary", "daily_query_stats", "cost_per_query"):
         L.write_mart(marts[name], root, name)
+    assert L.open_mart(spark, root, "cost_per_query").count() == marts["cost_per_query"].count()
     live = marts["daily_usage_summary"]
     mart = L.open_mart(spark, root, "daily_usage_summary")
     assert D.mart_vs_live(mart, live).first().status == "pass"

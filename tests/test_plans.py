@@ -6,8 +6,8 @@ import pytest
 
 import rows as R
 from conftest import SMALL
-from meterlens.functions.shape import one_row, share_of_total
-from meterlens.plans import aiml, apps, infra, spend, tags, users, warehouse
+from meterlens.functions.shape import listed_values, one_row, share_of_total
+from meterlens.plans import aiml, apps, health, infra, spend, tags, users, warehouse
 from meterlens.registered.all import all_queries
 from meterlens.sources.fixtures import FixtureTables
 
@@ -102,6 +102,21 @@ def test_tagged_usage_counts_once_per_tag(spark):
     assert (float(row.tagged_spend), float(row.untagged_spend), float(row.total_spend)) == (4.0, 4.0, 8.0)
 
 
+def test_a_key_with_many_values_is_split_and_complete(spark):
+    pairs = spark.range(1000).selectExpr("if(id < 990, 'hot', 'cold') as k", "concat('v', id) as v")
+    out = listed_values(pairs.unionAll(pairs), "k", "v", "vs", per_row=100).collect()
+    hot = [r.vs for r in out if r.k == "hot"]
+    assert len(hot) == 10 and max(map(len, hot)) < 200 and all(v == sorted(v) for v in hot)
+    assert len({v for vs in hot for v in vs}) == 990 and [len(r.vs) for r in out if r.k == "cold"] == [10]
+
+
+def test_exact_median_of_durations(spark):
+    rows = [R.query_row(f"q{i}", "2024-01-01 05:00:00", s) for i, s in enumerate([1, 2, 2, 3, 9, 9, 9, 9, 9, 9, 1, 1])]
+    log = spark.createDataFrame([("w1", "W", "Large", 1, "PRO", 1)], "warehouse_id string, warehouse_name string, warehouse_size string, workspace_id bigint, warehouse_type string, change_time int")
+    assert health.oversized(log, R.history(spark, *rows), "2024-01-02").first().median_duration_seconds == 3
+    assert health.oversized(log, R.history(spark, *rows[:9]), "2024-01-02").count() == 0
+
+
 def test_app_states(spark):
     usage = R.usage(spark, *[R.usage_row(day=d, product="APPS", app_id=a) for d, a in
                              (("2024-01-30", "live"), ("2024-01-02", "idle"), ("2024-01-03", "gone"), ("2024-01-29", "stray"))])
