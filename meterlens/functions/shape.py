@@ -63,12 +63,14 @@ def one_row(*parts: DataFrame) -> DataFrame:
 
 
 def flat(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Plain columns for comparison and export: doubles, longs, dates and strings."""
+    """Plain columns for comparison and export: doubles, longs and strings (dates and times as ISO text)."""
     out: list[Column] = []
     for field in df.schema.fields:
         c, t = F.col(f"`{field.name}`"), field.dataType
         if isinstance(t, (T.DecimalType, T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double"), digits)
+        elif isinstance(t, T.DateType):
+            c = c.cast("string")
         elif isinstance(t, T.IntegralType):
             c = c.cast("long")
         elif isinstance(t, T.TimestampType):

@@ -373,3 +373,35 @@ def with_inputs(statement: str) -> str:
     if not ordered:
         return statement.strip()
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n].strip()}\n)" for n in ordered) + "\n" + statement.strip()
+
+
+# fixed values: columns of the test tables the statements read
+TABLES = {
+    "nation": "n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER",
+    "customer": "c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR",
+    "supplier": "s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INTEGER, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+                "l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, l_shipdate TIMESTAMP",
+    "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR",
+}
+
+
+def dates_as_text(statements: dict[str, str]) -> dict[str, str]:
+    """The statements with date columns as ISO text, like the exported Spark results.
+
+    Drivers turn a date into different Python types; text is the same everywhere.
+    """
+    import duckdb
+    con = duckdb.connect()
+    for name, columns in TABLES.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
+    wrapped = {}
+    for name, statement in statements.items():
+        described = con.execute(f"DESCRIBE {statement}").fetchall()
+        dates = [row[0] for row in described if row[1] == "DATE"]
+        texts = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in dates)
+        wrapped[name] = f"SELECT * REPLACE ({texts}) FROM (\n{statement}\n) result" if dates else statement
+    con.close()
+    return wrapped
