@@ -257,7 +257,8 @@ def work_by_hour(queries: DataFrame) -> DataFrame:
     span = F.floor((F.unix_timestamp("query_work_end_time") - F.unix_timestamp(first)) / 3600).cast("int")
     hours = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(span, F.lit(0))),
                                   lambda h: F.timestamp_seconds(F.unix_timestamp(first) + h * 3600)))
-    length = F.col("query_work_end_time").cast("double") - F.col("query_work_start_time").cast("double")
+    # whole microseconds: seconds since the epoch as doubles would lose digits of a short query
+    length = (F.unix_micros("query_work_end_time") - F.unix_micros("query_work_start_time")) / 1_000_000
     hour_end = F.col("hour_bucket") + F.expr("interval 1 hour")
     overlap = F.greatest(F.lit(0), F.unix_timestamp(F.least("query_work_end_time", hour_end))
                          - F.unix_timestamp(F.greatest("query_work_start_time", "hour_bucket")))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from meterlens.functions.shape import flat
 from meterlens.registered.inputs_sql import with_inputs
 from meterlens.sources.fixtures import FixtureTables
 
@@ -16,6 +17,12 @@ class Query:
     name: str
     plan: Callable[[FixtureTables], DataFrame]
     sql: str | None = None
+    #: Decimals shown.  Per-query costs are short decimals times shares, whose fifth digit is often an exact 5.
+    digits: int = 4
+
+    def rows(self, tables: FixtureTables) -> DataFrame:
+        """The result as plain columns."""
+        return flat(self.plan(tables), self.digits)
 
     def oracle(self) -> str | None:
         return None if self.sql is None else with_inputs(self.sql)

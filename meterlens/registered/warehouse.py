@@ -1,5 +1,7 @@
 """Registered queries: cost attribution (a), query origin (o), right-sizing (h)."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from meterlens.operators import allocate as A
@@ -8,10 +10,12 @@ from meterlens.plans import health as H
 from meterlens.plans import kpis as K
 from meterlens.plans import origin as O
 from meterlens.plans import warehouse as R
+from meterlens.registered import query as Q
 from meterlens.registered.inputs_sql import AFTER, FIRST
-from meterlens.registered.query import Query, num, stamp, whole
+from meterlens.registered.query import stamp, whole
 from meterlens.sources.values import DAY_AFTER, FIRST_DAY, LAST_DAY
 
+Query, num = partial(Q.Query, digits=6), partial(Q.num, digits=6)
 W = (FIRST_DAY, LAST_DAY)
 E = (FIRST_DAY, DAY_AFTER)
 NOW = "2024-01-30 23:00:00"
@@ -215,7 +219,7 @@ FROM (SELECT *, CASE WHEN cost > 0 THEN ucost / cost * 100 ELSE 0 END AS used FR
           f"SELECT {_GRADE.format(u='used')} AS efficiency_grade, {whole('count(*)', 'warehouses')} FROM (SELECT CASE WHEN cost > 0 THEN ucost / cost * 100 ELSE 0 END AS used FROM ({_EFFICIENCY}) e WHERE cost >= 10) x GROUP BY 1"),
     # savings are shares of a cost with four decimals, so they are shown with two
     Query("a18_recommendations", lambda t: R.recommendations(_comparison(t)).withColumn("potential_savings", F.round("potential_savings", 2)), f"""
-SELECT r.priority, r.title, {num('c.idle_cost * r.f + c.idle_cost * c.used / 100 * r.g', 'potential_savings', 2)}, r.effort
+SELECT r.priority, r.title, {Q.num('c.idle_cost * r.f + c.idle_cost * c.used / 100 * r.g', 'potential_savings', 2)}, r.effort
 FROM (SELECT *, 100 - used AS idle FROM ({_COMPARE}) k) c JOIN (VALUES
   ('critical', 'Reduce Auto-Stop Timeout', 0.6, 0, 'low', 70, 1000), ('critical', 'Enable Serverless SQL Warehouses', 0.95, 0, 'medium', 70, 1000),
   ('high', 'Consolidate Underutilized Warehouses', 0.4, 0, 'high', 70, 1000), ('high', 'Optimize Auto-Stop Settings', 0.3, 0, 'low', 40, 70),

@@ -5,7 +5,6 @@ import pytest
 
 import harness
 from conftest import SMALL
-from meterlens.functions.shape import flat
 from meterlens.registered.all import all_queries
 from meterlens.registered.inputs_sql import dates_as_text
 
@@ -20,7 +19,7 @@ def con() -> duckdb.DuckDBPyConnection:
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(name, tables, con):
-    found = harness.spark_rows(flat(QUERIES[name].plan(tables)))
+    found = harness.spark_rows(QUERIES[name].rows(tables))
     wanted = harness.duck_rows(con, ORACLE[name])
     assert harness.difference(found, wanted) is None, harness.difference(found, wanted)
 
