@@ -97,7 +97,7 @@ SELECT round(a, 2) AS period_start_value, round(z, 2) AS period_end_value, round
 FROM (SELECT min_by(value, date) AS a, max_by(value, date) AS z, min(value) AS lo, max(value) AS hi, avg(value) AS mean FROM ({series}) s {keep}) x"""
 
 
-_PER_CLUSTER = _series(_s("CAST(sum(spend) AS DOUBLE) / count(DISTINCT cluster_id)"), f"{L.IS_INFRA} AND cluster_id IS NOT NULL")
+_PER_CLUSTER = _series(num("CAST(sum(spend) AS DOUBLE) / count(DISTINCT cluster_id)", "value", 7), f"{L.IS_INFRA} AND cluster_id IS NOT NULL")
 _RAW_PER_CLUSTER = _series("CAST(sum(spend) AS DOUBLE) / count(DISTINCT cluster_id) AS value", f"{L.IS_INFRA} AND cluster_id IS NOT NULL")
 _RAW_SPEND = _series("CAST(sum(spend) AS DOUBLE) AS value")
 _RAW_RUN = _series("avg(coalesce(task_ms, 0)) / 1000.0 AS value", _IN_RANGE + "TRUE", source="qh", day=_DAY)
@@ -144,7 +144,7 @@ QUERIES = [
     Query("p02_platform_kpis_fast", lambda t: K.platform_kpis_fast(t.usage, t.job_run_timeline, *W), f"SELECT {_ZEROS}, u.* FROM ({_FAST} FROM pu) u"),
     *[Query(f"{USAGE_IDS[k]}_{k}", _usage(k), _series(*USAGE_SQL[k])) for k in USAGE_SQL],
     Query("p04_avg_daily_spend_monthly", _usage("avg_daily_spend", "monthly"), _average(_RAW_SPEND, "monthly")),
-    Query("p12_avg_cost_per_cluster", _usage("avg_cost_per_cluster"), _PER_CLUSTER),
+    Query("p12_avg_cost_per_cluster", _usage("avg_cost_per_cluster"), _PER_CLUSTER, digits=7),
     Query("p14_total_spend_weekly", _usage("total_spend", "weekly"), _series(*USAGE_SQL["total_spend"], "weekly")),
     Query("p14_total_spend_rolled_monthly", lambda t: T.roll_up(_usage("total_spend")(t), "monthly"), _series(*USAGE_SQL["total_spend"], "monthly")),
     Query("p14_avg_cost_per_cluster_weekly", _usage("avg_cost_per_cluster", "weekly"), _average(_RAW_PER_CLUSTER, "weekly")),

@@ -17,7 +17,7 @@ class Query:
     name: str
     plan: Callable[[FixtureTables], DataFrame]
     sql: str | None = None
-    #: Decimals shown.  Per-query costs are short decimals times shares, whose fifth digit is often an exact 5.
+    #: Decimals shown.  Short decimals times or over small numbers often end in an exact 5 right after the fourth.
     digits: int = 4
 
     def rows(self, tables: FixtureTables) -> DataFrame:
