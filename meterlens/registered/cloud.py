@@ -142,9 +142,10 @@ def _stale_mart(t):
 QUERIES = [
     Query("l01_incremental_load", _ingested, f"""
 SELECT meter_category AS "MeterCategory", CASE WHEN day >= DATE '2023-11-01' THEN cost_center END AS "CostCenter", {whole('count(*)', 'lines')}, {num('sum(cost_usd)', 'cost')} FROM azure GROUP BY 1, 2"""),
-    Query("l10_input_status", lambda t: input_status(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in ("lineitem", "orders", "events", "not_there")}), f"""
-SELECT 'lineitem' AS name, true AS "exists", {whole('count(*)', 'row_count')} FROM lineitem UNION ALL SELECT 'orders', true, {whole('count(*)', 'n')} FROM orders
-UNION ALL SELECT 'events', true, {whole('count(*)', 'n')} FROM events UNION ALL SELECT 'not_there', false, CAST(NULL AS BIGINT)"""),
+    Query("l10_input_status", lambda t: input_status(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in ("lineitem", "orders", "events", "not_there")})
+          .withColumn("row_count", F.col("row_count").cast("double")), f"""
+SELECT 'lineitem' AS name, true AS "exists", {num('count(*)', 'row_count')} FROM lineitem UNION ALL SELECT 'orders', true, {num('count(*)', 'n')} FROM orders
+UNION ALL SELECT 'events', true, {num('count(*)', 'n')} FROM events UNION ALL SELECT 'not_there', false, CAST(NULL AS DOUBLE)"""),
     Query("l02_aws_silver", lambda t: X.aws_silver(t.aws_bronze), _SILVER_SQL),
     Query("l03_aws_gold", _aws, _GOLD_SQL),
     Query("l04_azure_gold", _azure, _AZURE_SQL),

@@ -124,7 +124,7 @@ JOIN (SELECT warehouse_id, count(*) AS n, avg(coalesce(capacity_ms, 0) + coalesc
     quantile_disc(epoch_us(end_time) // 1000000 - epoch_us(start_time) // 1000000, 0.5) AS med FROM qh
   WHERE start_time >= {_NOW} - INTERVAL 30 DAY AND warehouse_id IS NOT NULL AND task_ms > 0 GROUP BY 1 HAVING count(*) >= 10) q ON w.warehouse_id = q.warehouse_id
 WHERE q.queue < 5000 AND q.med < 60"""
-_FOUND = f"""SELECT warehouse_id, warehouse_name, warehouse_size, CAST(workspace_id AS VARCHAR) AS workspace_id, last_event_time, 'IDLE_RUNNING' AS recommendation_type,
+_FINDINGS = f"""SELECT warehouse_id, warehouse_name, warehouse_size, CAST(workspace_id AS VARCHAR) AS workspace_id, last_event_time, 'IDLE_RUNNING' AS recommendation_type,
   'Warehouse has been running for 72+ hours with no queries in the last 24h. Consider reducing auto_stop_minutes.' AS recommendation_text,
   CAST(NULL AS BIGINT) AS max_clusters_observed, CAST(NULL AS BIGINT) AS max_concurrent, CAST(NULL AS BIGINT) AS query_count, CAST(NULL AS DOUBLE) AS avg_queue_ms, CAST(NULL AS BIGINT) AS median_duration_seconds
 FROM ({_IDLE}) a
@@ -136,8 +136,15 @@ UNION ALL SELECT warehouse_id, warehouse_name, warehouse_size, CAST(workspace_id
   NULL, NULL, query_count, avg_queue_ms, median_duration_seconds FROM ({_LARGE}) c"""
 
 
+_FOUND = f"""SELECT * REPLACE (CAST(max_clusters_observed AS DOUBLE) AS max_clusters_observed, CAST(max_concurrent AS DOUBLE) AS max_concurrent,
+  CAST(query_count AS DOUBLE) AS query_count, CAST(median_duration_seconds AS DOUBLE) AS median_duration_seconds) FROM ({_FINDINGS}) f"""
+
+
 def _found(t, **options):
-    return H.recommendations(t.warehouses, t.warehouse_events, t.query_history, NOW, 72, max_median_seconds=60, **options)
+    """Findings with their metrics as doubles: each metric is null for the other kinds of finding."""
+    found = H.recommendations(t.warehouses, t.warehouse_events, t.query_history, NOW, 72, max_median_seconds=60, **options)
+    metrics = ("max_clusters_observed", "max_concurrent", "query_count", "median_duration_seconds")
+    return found.withColumns({m: F.col(m).cast("double") for m in metrics})
 
 
 _A4_SQL = f"""SELECT statement_id, query_source_id, query_source_type, client_application, executed_by, warehouse_id, statement_text, {whole('workspace_id', 'workspace_id')},
