@@ -265,7 +265,7 @@ def work_by_hour(queries: DataFrame) -> DataFrame:
     return (queries.select("statement_id", "warehouse_id", "query_work_start_time", "query_work_end_time",
                            "query_work_task_time", hours.alias("hour_bucket"))
             .select("statement_id", "warehouse_id", "hour_bucket",
-                    F.when(length == 0, F.lit(0.0)).otherwise(F.col("query_work_task_time") * (overlap / length))
+                    F.when(length <= 0, F.lit(0.0)).otherwise(F.col("query_work_task_time") * (overlap / length))
                      .alias("attributed_query_work")))
 
 

@@ -314,7 +314,7 @@ FROM (SELECT *, datediff('second', a, b) AS s FROM spans) x GROUP BY 1, 2""",
     "util2": """
 SELECT *, CASE WHEN used + idle > 0 THEN floor((used * 200 + used + idle) / (2.0 * (used + idle))) / 100 END AS proportion FROM util""",
     "pieces": """
-SELECT statement_id, warehouse_id, hour, CASE WHEN we = ws THEN 0 ELSE work_s * (greatest(0, epoch_us(least(we, hour + INTERVAL 1 HOUR)) // 1000000
+SELECT statement_id, warehouse_id, hour, CASE WHEN we <= ws THEN 0 ELSE work_s * (greatest(0, epoch_us(least(we, hour + INTERVAL 1 HOUR)) // 1000000
     - epoch_us(greatest(ws, hour)) // 1000000) / ((epoch_us(we) - epoch_us(ws)) / 1000000.0::DOUBLE)) END AS work
 FROM (SELECT *, unnest(generate_series(date_trunc('hour', ws), greatest(date_trunc('hour', ws), date_trunc('hour', we)), INTERVAL 1 HOUR)) AS hour FROM wq) q""",
     "bills": f"""
