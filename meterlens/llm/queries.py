@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlens.llm import decontaminate, hilbert, hnsw, language, mixing, quality, secrets, url_rules
+from meterlens.llm import decontaminate, hilbert, hnsw, language, lsh_forest, mixing, quality, secrets, url_rules
 from meterlens.llm.common import remainder, table
 
 N_SHARDS = 40
@@ -41,6 +41,10 @@ def soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "rate", "copies")
 
 
+def lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -70,6 +74,7 @@ QUERIES = {
     "op1_hilbert_sharding": hilbert_sharding,
     "op2_decontamination": decontamination,
     "op3_soft_mixing": soft_mixing,
+    "op4_lsh_forest": lsh_forest_dedup,
     "op5_url_filter": url_filter,
     "op6_hnsw_search": hnsw_search,
     "op8_fourier_quality": quality_classifier,
@@ -108,4 +113,18 @@ best AS (SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (n)
 """
 
-ORACLES = {"op2_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
+NEAR_DUPLICATES_SQL = rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+word_at AS (SELECT doc_id, w, least(len(w), 5) AS k, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM texts WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + k - 1], ' ') AS s FROM word_at),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other),
+named AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+ORACLES = {"op4_lsh_forest": NEAR_DUPLICATES_SQL, "op2_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
