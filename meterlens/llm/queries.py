@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlens.llm import decontaminate, hilbert, hnsw, language, lsh_forest, mixing, quality, secrets, url_rules
+from meterlens.llm import decontaminate, hilbert, hnsw, katz, language, lsh_forest, mixing, quality, secrets, url_rules
 from meterlens.llm.common import remainder, table
 
 N_SHARDS = 40
@@ -55,6 +55,10 @@ def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op4_lsh_forest": lsh_forest_dedup,
     "op5_url_filter": url_filter,
     "op6_hnsw_search": hnsw_search,
+    "op7_katz_backoff": katz_backoff,
     "op8_fourier_quality": quality_classifier,
     "op9_token_secrets": secret_scan,
     "op10_kneser_ney_language": language_id,

@@ -1,4 +1,16 @@
 import os
 import sys
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
+
+
+@pytest.fixture()
+def documents(spark):
+    """Makes a table of (doc_id, text, source, n_chars) rows."""
+    def make(rows):
+        return spark.createDataFrame([(i, t, f"src{k % 3}", None if t is None else len(t)) for k, (i, t) in enumerate(rows)],
+                                     "doc_id long, text string, source string, n_chars long")
+    return make
