@@ -30,14 +30,14 @@ from meterlens.llm.words import SPACED, Words, mixed
 MOST, KEPT = 5, 0.999
 #: Words are told apart by 48 bits of their hash.  The end of a text is a word, its start a history.
 END, START = 1, 2
-#: Tokens of one packed block, tokens one task should gather, texts of one group at the end.
-BLOCK, GATHERED, TEXTS = 4_000_000, 4_000_000, 20_000
+#: Tokens of one packed block, tokens one task should gather and take at a time, texts of one group at the end.
+BLOCK, GATHERED, PART, TEXTS = 1_000_000, 3_000_000, 400_000, 20_000
 #: A word with this share of a task's tokens may be frequent; there are at most as many frequent words as LEAST says.
 LOCAL_SHARE, LEAST = 1 / 20_000, 1 / 10_000
 
-#: Open counts of a text: tokens, known tokens, sums of logs (base, histories, bigrams and words over MOST),
-#: seen bigrams by count 1..MOST and above, words of unseen bigrams by count 0..MOST and above.
-COLUMNS = 5 + (MOST + 1) + (MOST + 2)
+#: Open counts of a text: tokens, known tokens, two sums of logs (of the base; of bigrams and words over MOST, less those
+#: of histories), seen bigrams by count 1..MOST and above, words of unseen bigrams by count 0..MOST and above.
+COLUMNS = 4 + (MOST + 1) + (MOST + 2)
 PACKED = "kind string, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary"
 
 
@@ -127,8 +127,9 @@ def _blocks(buckets: int, frequent: np.ndarray):
     """Occurrences of each block of texts as sorted arrays, one row per bucket."""
     def flush(parts: list, docs: np.ndarray, train: np.ndarray):
         w, h, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        parts.clear()
         order = np.lexsort((h, w))  # stable: texts stay in order
-        w, h, d = w[order], h[order], d[order].astype(np.uint32)
+        w, h, d = w[order], h[order], d[order]
         entry = _starts(w, h, d)
         count = np.diff(np.append(entry, len(w))).astype(np.uint32)
         w, h, d = w[entry], h[entry], d[entry]
@@ -160,7 +161,7 @@ def _blocks(buckets: int, frequent: np.ndarray):
         parts, docs, train, size = [], [], [], 0
         for batch in batches:
             w, h, owner = tokens(_texts(batch))
-            parts.append((w, h, owner + sum(map(len, docs))))
+            parts.append((w, h, (owner + sum(map(len, docs))).astype(np.uint32)))
             docs.append(batch["key"].to_numpy())
             train.append(batch["train"].to_numpy())
             size += len(w)
@@ -172,96 +173,127 @@ def _blocks(buckets: int, frequent: np.ndarray):
     return run
 
 
+def _part(rows: pd.DataFrame, part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Word, word before, text and count of every occurrence whose word falls in this part, sorted by the words."""
+    found, first = [], 0
+    for r in rows.itertuples():
+        words, per_word, per_gram = unpack48(r.a), unpack(r.b, np.uint32), unpack(r.d, np.uint32)
+        words = np.repeat(words, per_word)
+        own = words % np.uint64(parts) == part
+        entries = np.repeat(own, per_gram)
+        found.append((np.repeat(words[own], per_gram[own]), np.repeat(unpack48(r.c)[own], per_gram[own]),
+                      (unpack(r.e, np.uint32)[entries] + np.uint32(first)).astype(np.int32),
+                      unpack(r.f, np.uint32)[entries].astype(np.int32)))
+        first += len(unpack(r.h, bool))
+    w, h, d, c = (np.concatenate([f[k] for f in found]) for k in range(4))
+    del found
+    order = np.lexsort((h, w))
+    w, h = w[order], h[order]
+    return w, h, d[order], c[order]
+
+
+def _summed(names: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of equal names added."""
+    order = np.argsort(names, kind="stable")
+    first = _starts(names[order])
+    return names[order][first], np.add.reduceat(values[:, order], first, axis=1) if len(first) else values
+
+
+def _history_rows(h: np.ndarray, r: np.ndarray, c1: np.ndarray, buckets: int, frequent: np.ndarray) -> list[tuple]:
+    """Sums per history over bigrams seen in training: how many have each count, and whose words have each count."""
+    order = np.argsort(h, kind="stable")
+    h, r, c1 = h[order], r[order], c1[order]
+    first = _starts(h)
+    if not len(first):
+        return []
+    names, stats = h[first], np.empty((2 * MOST + 2, len(first)), np.int64)
+    for at, x in ((0, r), (MOST, c1)):
+        for k in range(1, MOST + 1):
+            stats[at + k - 1] = np.add.reduceat((x == k).astype(np.int32), first)
+        stats[2 * MOST + at // MOST] = np.add.reduceat(np.where(x > MOST, x, 0), first)
+    shared = _is_in(frequent, names) | (names == START)
+    place = (mixed(names) % np.uint64(buckets)).astype(np.int64)
+    out = []
+    for b in range(buckets):
+        own = shared | (place == b)
+        if own.any():
+            kind = np.uint32 if stats[:, own].max() < 2 ** 32 else np.uint64
+            out.append(("history", b, pack48(names[own]), pack(stats[:, own].astype(kind)), str(kind().nbytes).encode(), b""))
+    return out
+
+
 def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np.ndarray):
-    """What one bucket knows: open counts per text, sums per history, unseen bigrams, and counts of counts."""
+    """What one bucket knows: open counts per text, sums per history, unseen bigrams, and counts of counts.
+
+    Words are taken in parts of about PART occurrences, since all that is computed here is per word or adds up.
+    """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ws, hs, ds, cs, docs, trains, at = [], [], [], [], [], [], 0
-        for r in rows.itertuples():
-            per_gram = unpack(r.d, np.uint32)
-            ws.append(np.repeat(np.repeat(unpack48(r.a), unpack(r.b, np.uint32)), per_gram))
-            hs.append(np.repeat(unpack48(r.c), per_gram))
-            ds.append(unpack(r.e, np.uint32).astype(np.int64) + at)
-            cs.append(unpack(r.f, np.uint32).astype(np.int64))
-            docs.append(unpack(r.g, np.int64))
-            trains.append(unpack(r.h, bool))
-            at += len(docs[-1])
-        w, h, d, c = (np.concatenate(x) for x in (ws, hs, ds, cs))
-        doc, train = np.concatenate(docs), np.concatenate(trains)
-        order = np.lexsort((h, w))
-        w, h, d, c = w[order], h[order], d[order], c[order]
-        learned = np.where(train[d], c, 0)
-        gram, word = _starts(w, h), _starts(w)
-        r_gram = np.add.reduceat(learned, gram)
-        c_word = np.add.reduceat(learned, word)
-        hot_at = np.minimum(np.searchsorted(frequent, w[word]), len(frequent) - 1)
-        hot = frequent[hot_at] == w[word]
-        c_word = np.where(hot, frequent_counts[hot_at], c_word)
-        r = np.repeat(r_gram, np.diff(np.append(gram, len(w))))
-        c1 = np.repeat(c_word, np.diff(np.append(word, len(w))))
-        seen = r > 0
-
-        open_counts = np.zeros((len(doc), COLUMNS))
-        add = lambda k, values, where=slice(None): open_counts.__setitem__(
-            (slice(None), k), open_counts[:, k] + np.bincount(d[where], values[where], len(doc)))
-        add(0, c)
-        add(1, c * (c1 > 0))
-        add(2, c * np.log10(c1 + 0.5))
-        add(3, -c * np.where(w == END, 0, np.log10(np.maximum(c1, 1))))
-        add(4, c * np.where(seen, np.where(r > MOST, np.log10(np.maximum(r, 1)), 0),
-                            np.where(c1 > MOST, np.log10(np.maximum(c1, 1)), 0)))
-        for k in range(1, MOST + 2):
-            add(4 + k, c, seen & (np.minimum(r, MOST + 1) == k))
-        for k in range(MOST + 2):
-            add(5 + MOST + 1 + k, c, ~seen & (np.minimum(c1, MOST + 1) == k))
-        out = []
-        same, at = np.unique(doc, return_inverse=True)
-        sums = np.zeros((len(same), COLUMNS))
-        np.add.at(sums, at, open_counts)
+        doc = np.concatenate([unpack(x, np.int64) for x in rows["g"]])
+        train = np.concatenate([unpack(x, bool) for x in rows["h"]])
+        parts = -(-sum(len(unpack(x, np.uint32)) for x in rows["e"]) // PART)
+        open_counts = np.zeros((COLUMNS, len(doc)))
+        numbers = np.zeros(2 * MOST + 8, np.int64)
+        out, unseen = [], []
+        for part in range(parts):
+            w, h, d, c = _part(rows, part, parts)
+            if not len(w):
+                continue
+            learned = np.where(train[d], c, 0)
+            gram, word = _starts(w, h), _starts(w)
+            r_gram = np.add.reduceat(learned, gram, dtype=np.int64)
+            c_word = np.add.reduceat(learned, word, dtype=np.int64)
+            hot_at = np.minimum(np.searchsorted(frequent, w[word]), len(frequent) - 1)
+            hot = frequent[hot_at] == w[word]
+            c_word = np.where(hot, frequent_counts[hot_at], c_word)
+            r = np.repeat(r_gram, np.diff(np.append(gram, len(w)))).astype(np.int32)
+            c1 = np.repeat(c_word, np.diff(np.append(word, len(w)))).astype(np.int32)
+            seen = r > 0
+
+            def add(k: int, values: np.ndarray, where=slice(None)) -> None:
+                open_counts[k] += np.bincount(d[where], values[where], len(doc))
+            log_c1 = np.log10(np.maximum(c1, 1))
+            add(0, c)
+            add(1, c * (c1 > 0))
+            add(2, c * np.log10(c1 + 0.5))
+            add(3, c * (np.where(seen, np.where(r > MOST, np.log10(np.maximum(r, 1)), 0), np.where(c1 > MOST, log_c1, 0))
+                        - np.where(w == END, 0, log_c1)))
+            for k in range(1, MOST + 2):
+                add(3 + k, c, seen & (np.minimum(r, MOST + 1) == k))
+            for k in range(MOST + 2):
+                add(4 + MOST + 1 + k, c, ~seen & (np.minimum(c1, MOST + 1) == k))
+
+            some = r_gram > 0
+            big_r, big_c = r_gram[some], c1[gram][some].astype(np.int64)
+            out += _history_rows(h[gram][some], big_r, big_c, buckets, frequent)
+            u = np.flatnonzero(~seen)
+            unseen.append((h[u], doc[d[u]], c[u]))
+            plain = ~hot & (c_word > 0)
+            numbers += np.concatenate([np.bincount(np.minimum(big_r, MOST + 2), minlength=MOST + 3),
+                                       np.bincount(np.minimum(c_word[plain], MOST + 2), minlength=MOST + 3),
+                                       [c_word[plain].sum(), plain.sum()]]).astype(np.int64)
+
+        out.append(("counts", 0, pack(numbers), b"", b"", b""))
+        same, sums = _summed(doc, open_counts)
         place = (mixed(same.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
         for g in np.unique(place):
             own = place == g
-            out.append(("doc", g, pack(same[own]), pack(sums[own][:, 2:5].T), pack(sums[own][:, :2].astype(np.uint32).T),
-                        pack(sums[own][:, 5:].astype(np.uint32).T)))
-
-        # Sums per history over the bigrams seen in training.
-        g_h, g_c1 = h[gram], c1[gram]
-        some = r_gram > 0
-        order = np.argsort(g_h[some], kind="stable")
-        hh, rr, cc = g_h[some][order], r_gram[some][order], g_c1[some][order]
-        first = _starts(hh)
-        if len(first):
-            parts = [np.add.reduceat((np.minimum(x, MOST + 1) == k).astype(np.int64), first)
-                     for x in (rr, cc) for k in range(1, MOST + 1)]
-            parts += [np.add.reduceat(np.where(x > MOST, x, 0), first) for x in (rr, cc)]
-            stats, names = np.stack(parts).astype(np.int64), hh[first]
-            shared = _is_in(frequent, names) | (names == START)
-            place = (mixed(names) % np.uint64(buckets)).astype(np.int64)
-            for b in range(buckets):
-                own = shared | (place == b)
-                if own.any():
-                    out.append(("history", b, pack48(names[own]), pack(stats[:, own].astype(np.uint32 if stats.max() < 2 ** 32 else np.uint64)),
-                                b"4" if stats.max() < 2 ** 32 else b"8", b""))
+            out.append(("doc", int(g), pack(same[own]), pack(sums[2:4, own]), pack(sums[:2, own].astype(np.uint32)),
+                        pack(sums[4:, own].astype(np.uint32))))
+        del open_counts, sums
         # Occurrences of bigrams not seen in training: alpha of their history is still open.
-        u = np.flatnonzero(~seen)
-        if len(u):
-            hu, du, cu = h[u], doc[d[u]], c[u]
-            spread = _is_in(frequent, hu) | (hu == START)
-            place = np.where(spread, mixed(du.view(np.uint64)), mixed(hu)) % np.uint64(buckets)
-            order = np.lexsort((du, hu, place))
-            hu, du, cu, place = hu[order], du[order], cu[order], place[order]
-            first = _starts(place, hu, du)
+        hu, du, cu = (np.concatenate([x[k] for x in unseen]) for k in range(3))
+        spread = _is_in(frequent, hu) | (hu == START)
+        place = np.where(spread, mixed(du.view(np.uint64)), mixed(hu)) % np.uint64(buckets)
+        order = np.lexsort((du, hu, place))
+        hu, du, cu, place = hu[order], du[order], cu[order], place[order]
+        first = _starts(place, hu, du)
+        if len(first):
             hu, du, place, cu = hu[first], du[first], place[first], np.add.reduceat(cu, first)
-            for b in np.unique(place):
-                own = place == b
-                name = _starts(hu[own])
-                out.append(("unseen", int(b), pack48(hu[own][name]), pack(np.diff(np.append(name, own.sum())).astype(np.uint32)),
-                            pack(du[own]), pack(cu[own].astype(np.uint32))))
-        # Counts of counts: bigrams, words, and sums of the words' counts; frequent words are told elsewhere.
-        plain = ~hot & (c_word > 0)
-        numbers = [np.bincount(np.minimum(r_gram[some], MOST + 2), minlength=MOST + 3),
-                   np.bincount(np.minimum(c_word[plain], MOST + 2), minlength=MOST + 3),
-                   np.array([c_word[plain].sum(), plain.sum()])]
-        out.append(("counts", 0, pack(np.concatenate(numbers).astype(np.int64)), b"", b"", b""))
+        for b in np.unique(place):
+            own = place == b
+            name = _starts(hu[own])
+            out.append(("unseen", int(b), pack48(hu[own][name]), pack(np.diff(np.append(name, own.sum())).astype(np.uint32)),
+                        pack(du[own]), pack(cu[own].astype(np.uint32))))
         return pd.DataFrame([(*o, b"", b"", b"", b"") for o in out], columns=["kind", "bucket", *"abcdefgh"])
     return run
 
@@ -320,7 +352,7 @@ def _corrections(k: Constants):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         known = rows[rows["kind"] == "history"]
         names = np.concatenate([np.zeros(0, np.uint64), *[unpack48(x) for x in known["a"]]])
-        stats = [unpack(x, np.uint32 if t == b"4" else np.uint64).reshape(2 * MOST + 2, -1).astype(np.int64)
+        stats = [unpack(x, np.uint32 if bytes(t) == b"4" else np.uint64).reshape(2 * MOST + 2, -1).astype(np.int64)
                  for x, t in zip(known["b"], known["c"])]
         logs = np.zeros(0)
         if len(names):
@@ -346,7 +378,7 @@ def _totals(k: Constants):
     """Per text: tokens, known tokens, base score, and the score but for alpha."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         doc = np.concatenate([unpack(x, np.int64) for x in rows["a"]])
-        logs = np.concatenate([unpack(x, np.float64).reshape(3, -1) for x in rows["b"]], axis=1)
+        logs = np.concatenate([unpack(x, np.float64).reshape(2, -1) for x in rows["b"]], axis=1)
         sizes = np.concatenate([unpack(x, np.uint32).reshape(2, -1) for x in rows["c"]], axis=1)
         counts = np.concatenate([unpack(x, np.uint32).reshape(2 * MOST + 3, -1) for x in rows["d"]], axis=1).astype(float)
         r = np.arange(1, MOST + 1)
@@ -354,7 +386,7 @@ def _totals(k: Constants):
         size = np.log10(max(k.tokens, 1))
         of_word = np.concatenate([[np.log10(max(k.unseen, 1e-300))], np.log10(k.word_discounts[:MOST] * r) - size,
                                   [np.log10(KEPT) - size]])
-        score = logs[1] + logs[2] + of_gram @ counts[:MOST + 1] + of_word @ counts[MOST + 1:]
+        score = logs[1] + of_gram @ counts[:MOST + 1] + of_word @ counts[MOST + 1:]
         base = logs[0] - sizes[0] * np.log10(k.tokens + 0.5 * (k.words + 1))
         key, at = np.unique(doc, return_inverse=True)
         add = lambda x: np.bincount(at, x, len(key))

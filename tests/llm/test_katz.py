@@ -101,6 +101,7 @@ def test_small_blocks_and_frequent_words(documents, monkeypatch):
     import pandas as pd
     rows = random_rows(2)
     monkeypatch.setattr(katz, "BLOCK", 300)
+    monkeypatch.setattr(katz, "PART", 200)
     frequent = np.array(sorted({katz.END, *np.unique(katz.tokens(__import__("pyarrow").array([t or "" for _, t in rows]))[0])[:40].tolist()}), np.uint64)
     key = np.arange(len(rows)) * 7919 + 3
     train = np.array([not held(i) for i, _ in rows])
