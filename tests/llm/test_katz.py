@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from llm_data import SMALL
+from llm_data import SMALL, documents  # noqa: F401
 from meterlens.llm import katz
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm_data import SMALL
+from llm_data import SMALL, documents  # noqa: F401
 from meterlens.llm import common, decontaminate, hilbert, hnsw, language, lsh_forest, mixing, quality, secrets, url_rules
 from meterlens.llm.queries import ORACLES, QUERIES
 
