@@ -1,130 +1,27 @@
-"""Hourly machine prices (K19), built from a rate per size unit.
-
-A machine's price is its family's rate times its size.  The few machines whose
-price is off that line are listed one by one.
-"""
+"""Hourly machine prices (K19), joined from a price table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Price of a machine that is not listed.
 DEFAULT_HOURLY_COST = 0.50
+CLOUDS = ("AWS", "AZURE", "GCP")
 
-# fixed values: AWS rate of an xlarge and the sizes offered, in xlarge units
-AWS_RATES = {
-    "i3": (0.312, (1, 2, 4, 8, 16)), "i3en": (0.452, (1, 2, 3, 6, 12)), "i4i": (0.333, (1, 2, 4, 8, 16, 32)),
-    "m5": (0.192, (1, 2, 4, 8, 12, 16, 24)), "m5d": (0.226, (1, 2, 4, 8, 12, 16, 24)), "m5n": (0.238, (1, 2, 4, 8)),
-    "m5dn": (0.272, (1, 2, 4)), "m6i": (0.192, (1, 2, 4, 8, 12, 16, 24)), "m6id": (0.2259, (1, 2, 4, 8)),
-    "m7i": (0.2016, (1, 2, 4, 8, 12, 16, 24, 48)), "r5": (0.252, (1, 2, 4, 8, 12, 16, 24)), "r5d": (0.288, (1, 2, 4, 8)),
-    "r6i": (0.252, (1, 2, 4, 8)), "r6id": (0.2916, (1, 2, 4, 8)), "r7i": (0.2646, (1, 2, 4, 8, 12, 16, 24, 48)),
-    "c5": (0.17, (1, 2, 4, 9, 12, 18)), "c5d": (0.192, (1, 2, 4, 9)), "c6i": (0.17, (1, 2, 4, 8)),
-    "c7i": (0.1785, (1, 2, 4, 8, 12, 16, 24, 48)), "p3": (1.53, (2, 8, 16)),
-}
-# fixed values: AWS machines off the line, by size in xlarge units
-AWS_SINGLE = {
-    "g4dn": {1: 0.526, 2: 0.752, 4: 1.204, 8: 2.176, 12: 3.912},
-    "g5": {1: 1.006, 2: 1.212, 4: 1.624, 8: 2.448, 12: 5.672, 16: 4.096, 24: 8.144, 48: 16.288},
-    "g6": {1: 0.8048, 2: 0.9784, 4: 1.3232, 8: 2.2688, 12: 4.6016, 16: 4.3648, 24: 6.7312, 48: 13.4624},
-}
-# fixed values: Azure rate per core, name pattern and core counts
-AZURE_RATES = {
-    "L{}s": (0.078, (4, 8, 16, 32)), "L{}s_v2": (0.078, (8, 16, 32, 48, 64)), "L{}s_v3": (0.0835, (8, 16, 32, 48, 64, 80)),
-    "D{}s_v3": (0.048, (4, 8, 16, 32, 48, 64)), "D{}ds_v4": (0.0565, (4, 8, 16, 32, 48, 64)), "D{}s_v4": (0.048, (4, 8, 16, 32)),
-    "D{}ds_v5": (0.0565, (4, 8, 16, 32, 48, 64, 96)), "D{}s_v5": (0.048, (4, 8, 16, 32, 48, 64, 96)),
-    "D{}s_v6": (0.048, (4, 8, 16, 32, 48, 64)), "E{}s_v3": (0.063, (4, 8, 16, 32, 48, 64)),
-    "E{}ds_v4": (0.072, (4, 8, 16, 32, 48)), "E{}s_v4": (0.063, (4, 8, 16, 32)),
-    "E{}ds_v5": (0.072, (4, 8, 16, 32, 48, 64, 96)), "E{}s_v5": (0.063, (4, 8, 16, 32, 48, 64, 96)),
-    "NC{}": (0.15, (6, 12, 24)), "NC{}s_v2": (0.345, (6, 12, 24)), "NC{}s_v3": (0.51, (6, 12, 24)),
-    "NV{}as_v4": (0.09025, (4, 8, 16, 32)),
-}
-# fixed values: Azure machines off the line
-AZURE_SINGLE = {
-    "F4s_v2": 0.169, "F8s_v2": 0.338, "F16s_v2": 0.677, "F32s_v2": 1.354, "F48s_v2": 2.031, "F64s_v2": 2.708, "F72s_v2": 3.045,
-    "NC4as_T4_v3": 0.526, "NC8as_T4_v3": 0.752, "NC16as_T4_v3": 1.204, "NC64as_T4_v3": 4.352,
-    "NC24ads_A100_v4": 3.673, "NC48ads_A100_v4": 7.346, "NC96ads_A100_v4": 14.692,
-    "ND40rs_v2": 22.032, "ND96asr_v4": 27.197, "ND96amsr_A100_v4": 32.768,
-    "A4_v2": 0.191, "A8_v2": 0.40, "A4m_v2": 0.238, "A8m_v2": 0.50,
-}
-# fixed values: GCP rate per core, and core counts
-GCP_RATES = {
-    "n2-standard": (0.048558, (2, 4, 8, 16, 32, 48, 64, 96, 128)), "n2-highmem": (0.0655069, (2, 4, 8, 16, 32, 48, 64, 96, 128)),
-    "n2-highcpu": (0.0358309, (2, 4, 8, 16, 32, 48, 64, 96)), "e2-standard": (0.03351, (2, 4, 8, 16, 32)),
-    "e2-highmem": (0.045096, (2, 4, 8, 16)), "e2-highcpu": (0.025185, (2, 4, 8, 16, 32)),
-    "c2-standard": (0.0522012, (4, 8, 16, 30, 60)), "c2d-standard": (0.045389, (2, 4, 8, 16, 32, 56, 112)),
-    "n1-standard": (0.0475, (1, 2, 4, 8, 16, 32, 64, 96)), "n1-highmem": (0.0625655, (4, 8, 16, 32, 64)),
-    "n1-highcpu": (0.03545, (2, 4, 8, 16, 32, 64, 96)),
-}
-# fixed values: GCP machines off the line
-GCP_SINGLE = {
-    "a2-highgpu-1g": 3.6730, "a2-highgpu-2g": 7.3460, "a2-highgpu-4g": 14.6920, "a2-highgpu-8g": 29.3840,
-    "a2-megagpu-16g": 55.7390, "g2-standard-4": 0.7020, "g2-standard-8": 1.1960, "g2-standard-12": 1.6900,
-    "g2-standard-16": 2.1840, "g2-standard-24": 3.1730, "g2-standard-32": 4.1610, "g2-standard-48": 6.1380,
-    "g2-standard-96": 12.2760, "n1-highmem-2": 0.1252, "n1-highmem-96": 6.0064,
-}
-# fixed values: families and sizes known to the AWS-only cluster estimate and to its series
-ESTIMATE_SIZES = {"i3": (1, 2, 4, 8, 16), "i3en": (1, 2, 3, 6, 12), "m5": (1, 2, 4, 8, 12, 16, 24),
-                  "m5d": (1, 2, 4, 8, 12, 16, 24), "m5n": (1, 2, 4, 8), "m5dn": (1, 2, 4), "m6i": (1, 2, 4, 8),
-                  "r5": (1, 2, 4, 8, 12), "r5d": (1, 2, 4), "c5": (1, 2, 4, 9), "c5d": (1, 2, 4), "p3": (2, 8, 16),
-                  "g4dn": (1, 2, 4, 8, 12), "g5": (1, 2, 4, 8, 12)}
-SERIES_SIZES = {"i3": (1, 2, 4, 8), "i3en": (1, 2, 6), "m5": (1, 2, 4, 8), "m5d": (1, 2, 4), "m6i": (1, 2, 4),
-                "r5": (1, 2, 4), "r5d": (1, 2, 4), "c5": (1, 2, 4), "c5d": (1, 2, 4), "g4dn": (1, 2, 4), "g5": (1, 2, 4)}
-
-
-def _aws(sizes: dict[str, tuple[int, ...]] | None = None) -> dict[str, float]:
-    prices = {}
-    for family, (rate, units) in AWS_RATES.items():
-        prices.update({(family, u): round(rate * u, 4) for u in units})
-    for family, singles in AWS_SINGLE.items():
-        prices.update({(family, u): p for u, p in singles.items()})
-    return {f"{f}.{'' if u == 1 else u}xlarge": p for (f, u), p in prices.items()
-            if sizes is None or u in sizes.get(f, ())}
-
-
-def _azure() -> dict[str, float]:
-    prices = {"Standard_" + name.format(n): round(rate * n, 4) for name, (rate, cores) in AZURE_RATES.items() for n in cores}
-    return prices | {"Standard_" + name: p for name, p in AZURE_SINGLE.items()}
-
-
-def _gcp() -> dict[str, float]:
-    prices = {f"{name}-{n}": round(rate * n, 4) for name, (rate, cores) in GCP_RATES.items() for n in cores}
-    return prices | GCP_SINGLE
-
-
-def aws_prices(sizes: dict[str, tuple[int, ...]] | None = None) -> dict[str, float]:
-    return _aws(sizes)
 
+def with_hourly_price(rows: DataFrame, prices: DataFrame, machine: str, cloud: Column, name: str) -> DataFrame:
+    """``rows`` with the hourly price of the type in column ``machine``.
 
-def all_prices() -> dict[str, dict[str, float]]:
-    return {"AWS": _aws(), "AZURE": _azure(), "GCP": _gcp()}
-
-
-def price_table(spark: SparkSession, prices: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """The price table as a frame (cloud, instance_type, hourly_cost); a few hundred rows by construction."""
-    rows = [(c, t, p) for c, table in (prices or all_prices()).items() for t, p in table.items()]
-    entries = F.array(*[F.struct(F.lit(c).alias("cloud"), F.lit(t).alias("instance_type"), F.lit(p).alias("hourly_cost"))
-                        for c, t, p in rows])
-    return spark.range(0, 1, 1, 1).select(F.explode(entries).alias("e")).select("e.*")
-
-
-def _lookup(prices: dict[str, float], instance_type: Column) -> Column:
-    pairs = [F.lit(x) for item in prices.items() for x in item]
-    return F.create_map(*pairs)[instance_type]
-
-
-def hourly_price(instance_type: Column, cloud: Column) -> Column:
-    """K19 as an expression: the price on the cloud; an unknown cloud tries AWS, then Azure.
-
-    A constant map needs no join, and the grouped reports call it on one row per cluster.
+    ``prices`` has one row per (cloud, instance_type) with ``hourly_cost``.  An unknown cloud tries AWS, then Azure; a
+    machine without a price costs DEFAULT_HOURLY_COST.  Reports call this on one row per cluster.
     """
-    table = all_prices()
-    by_cloud = {name: _lookup(p, instance_type) for name, p in table.items()}
+    listed = prices.groupBy(F.col("instance_type").alias("_machine")).agg(
+        *[F.max(F.when(F.upper("cloud") == c, F.col("hourly_cost"))).alias(f"_{c}") for c in CLOUDS])
     on = F.upper(F.coalesce(cloud, F.lit("")))
-    price = F.when(on == "AWS", by_cloud["AWS"]).when(on == "AZURE", by_cloud["AZURE"]).when(on == "GCP", by_cloud["GCP"])
-    price = price.otherwise(F.coalesce(by_cloud["AWS"], by_cloud["AZURE"]))
-    return F.coalesce(price, F.lit(DEFAULT_HOURLY_COST))
-
-
-def aws_price(instance_type: Column, sizes: dict[str, tuple[int, ...]]) -> Column:
-    return F.coalesce(_lookup(_aws(sizes), instance_type), F.lit(DEFAULT_HOURLY_COST))
+    price = F.coalesce("_AWS", "_AZURE")
+    for c in CLOUDS:
+        price = F.when(on == c, F.col(f"_{c}")).otherwise(price)
+    return (rows.join(listed, F.col(machine) == F.col("_machine"), "left")
+            .withColumn(name, F.coalesce(price, F.lit(DEFAULT_HOURLY_COST)))
+            .drop("_machine", *[f"_{c}" for c in CLOUDS]))

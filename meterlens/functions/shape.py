@@ -20,16 +20,24 @@ def share_of_total(df: DataFrame, value: str, name: str = "percentage", digits:
     return df.withColumn(name, percent if digits is None else F.round(percent, digits))
 
 
-def top(df: DataFrame, by: str | Column, n: int, *ties: str) -> DataFrame:
-    """Largest ``n`` rows; ``ties`` make the cut unique."""
+def top(df: DataFrame, by: str | Column, n: int | None, *ties: str) -> DataFrame:
+    """Largest ``n`` rows; ``ties`` make the cut unique.  ``None`` keeps every row, for reports that add them up."""
+    if n is None:
+        return df
     key = F.col(by) if isinstance(by, str) else by
     return df.orderBy(key.desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]).limit(n)
 
 
 def wide(df: DataFrame, key: str, names: str, value: str, columns: list[str]) -> DataFrame:
-    """One row per key, one column per listed name, 0 where there is no row."""
+    """One row per key, one column per listed name, 0 where there is no row.
+
+    A name that is not listed adds to the column "Other"; without such a column it is an error, so nothing is lost.
+    """
     filled = [F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in columns]
-    return df.groupBy(key).pivot(names, columns).agg(F.sum(value)).select(key, *filled).orderBy(key)
+    rest = (F.lit("Other") if "Other" in columns else
+            F.raise_error(F.concat(F.lit(f"{names} without a column: "), F.coalesce(names, F.lit("null")))).cast("string"))
+    named = df.withColumn(names, F.when(F.col(names).isin(*columns), F.col(names)).otherwise(rest))
+    return named.groupBy(key).pivot(names, columns).agg(F.sum(value)).select(key, *filled).orderBy(key)
 
 
 def names_of(df: DataFrame, column: str) -> list[str]:
@@ -44,14 +52,15 @@ VALUES_PER_ROW = 100_000
 def listed_values(pairs: DataFrame, key: str, value: str, alias: str, per_row: int = VALUES_PER_ROW) -> DataFrame:
     """Distinct values per key as sorted arrays.
 
-    A key with more than ``per_row`` values takes several rows, filled by a hash
-    of the value, so no array grows with the data and no value is left out.
+    A key with more than ``per_row`` values takes several rows, numbered by
+    ``part`` and filled by a hash of the value, so no array grows with the data
+    and no value is left out.
     """
     distinct = pairs.select(key, value).distinct()
     rows_of = distinct.groupBy(key).agg(F.ceil(F.count("*") / per_row).alias("_rows"))
     placed = join_spread(distinct, rows_of, [key], F.coalesce(F.col(value), F.lit("")))
-    row = F.pmod(F.xxhash64(value), F.col("_rows")).alias("_row")
-    return placed.groupBy(key, row).agg(F.array_sort(F.collect_list(value)).alias(alias)).drop("_row").orderBy(key)
+    part = F.pmod(F.xxhash64(value), F.col("_rows")).alias("part")
+    return placed.groupBy(key, part).agg(F.array_sort(F.collect_list(value)).alias(alias)).orderBy(key, "part")
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

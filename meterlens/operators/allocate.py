@@ -10,10 +10,18 @@ from meterlens.operators.joins import join_spread
 from meterlens.operators.pricing import day, meta, metered
 
 HOST = "https://HOST"
+#: Columns that hold the day of ``start_time`` in tables stored by day.
+DAY_COLUMNS = ("start_date", "usage_date")
 
 
 def started_in(history: DataFrame, start: str, end: str, include_end_day: bool = True) -> DataFrame:
-    """Queries by start time.  A plain range on the column, so partitions prune."""
+    """Queries, or rows of a cost mart, by start time.
+
+    A table stored by day has that day as a column: filtering it too skips whole folders.
+    """
+    for stored_by in DAY_COLUMNS:
+        if stored_by in history.columns:
+            history = history.filter(F.col(stored_by).between(day(start), day(end)))
     last = F.date_add(day(end), 1) if include_end_day else day(end)
     return history.filter((F.col("start_time") >= day(start).cast("timestamp"))
                           & (F.col("start_time") < last.cast("timestamp")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUANTITY = "decimal(24,4)"
-PRICE = "decimal(12,6)"
+#: Wide enough that no quantity or price of a bill is rounded before the two are multiplied.
+QUANTITY = "decimal(38,12)"
+PRICE = "decimal(20,12)"
 
 
 def day(value: str | Column) -> Column:
@@ -53,23 +54,16 @@ def priced_usage(usage: DataFrame, prices: DataFrame, start: str, end: str) -> D
             .withColumn("spend", F.col("usage_quantity") * F.col("price")))
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's size estimate of ``df`` is below the session's broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
-
-
 def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[str | Column],
-            where: Column | None = None, positive: bool = True) -> DataFrame:
-    """K1 pre-aggregated: rows per (dims, has_price) with dbus, spend, effective_spend and records.
-
-    With a price list small enough to broadcast, each record is priced in the
-    scan stage and summed there per dims, so what is shuffled is only one row
-    per task and group, and a hot SKU, workspace or user costs nothing extra.
-    With a larger list, quantities are first summed per (dims, SKU, cloud) and
-    only those sums meet the prices, in a shuffled join of grouped rows; the
-    result then has several rows per dims, which the reports sum either way.
-    The products are exact decimals, so both ways give the same figures.
+            where: Column | None = None, positive: bool = True, priced: bool = False) -> DataFrame:
+    """K1 pre-aggregated: one row per dims with dbus, spend, effective_spend and records.
+
+    A record is priced first and summed after.  Price lists are far below the
+    broadcast threshold, so Spark prices records in the scan stage and sums
+    them there: what is shuffled is one row per task and group, and a hot SKU,
+    workspace or user costs nothing extra.  A list beyond the threshold is met
+    in a shuffled join, whose hot SKUs adaptive execution splits.  Either way
+    the sums are exact decimals.  ``priced`` also groups by ``has_price``.
     """
     rows = usage.filter(F.col("usage_date").between(day(start), day(end)))
     if positive:
@@ -77,16 +71,12 @@ def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: lis
     if where is not None:
         rows = rows.filter(where)
     keys = [F.col(d) if isinstance(d, str) else d for d in dims]
-    dbus = F.sum("usage_quantity").cast(QUANTITY).alias("dbus")
-    if fits_broadcast(prices):
-        return with_price(rows, prices).groupBy(*keys, "has_price").agg(
-            dbus, F.count("*").alias("records"), F.sum(F.col("usage_quantity") * F.col("price")).alias("spend"),
-            F.sum(F.col("usage_quantity") * F.col("effective_price")).alias("effective_spend"))
-    named = {d for d in dims if isinstance(d, str)}
-    sku = [F.col(c) for c in ("sku_name", "cloud") if c not in named]
-    return (with_price(rows.groupBy(*keys, *sku).agg(dbus, F.count("*").alias("records")), prices)
-            .withColumn("spend", F.col("dbus") * F.col("price"))
-            .withColumn("effective_spend", F.col("dbus") * F.col("effective_price")))
+    if priced:
+        keys.append(F.col("has_price"))
+    return with_price(rows, prices).groupBy(*keys).agg(
+        F.sum("usage_quantity").cast(QUANTITY).alias("dbus"), F.count("*").alias("records"),
+        F.sum(F.col("usage_quantity") * F.col("price")).alias("spend"),
+        F.sum(F.col("usage_quantity") * F.col("effective_price")).alias("effective_spend"))
 
 
 def totals() -> list[Column]:

@@ -34,8 +34,8 @@ def by_provider(usage: DataFrame, prices: DataFrame, start: str, end: str) -> Da
             .orderBy(F.desc("total_spend"), "sku_name"))
 
 
-def serverless_endpoints(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
-    """M3."""
+def serverless_endpoints(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int | None = 100) -> DataFrame:
+    """M3; a roll-up (M3b) needs every row, ``limit=None``."""
     rows = metered(usage, prices, start, end, ["sku_name", "usage_date", "workspace_id", meta("endpoint_name")],
                    F.col("sku_name").contains("SERVERLESS_REAL_TIME_INFERENCE"))
     launch = F.when(F.col("sku_name").contains("LAUNCH"), "Launch (Scale-from-Zero)").otherwise("Steady State")

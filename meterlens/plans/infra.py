@@ -36,19 +36,25 @@ def _per_cluster(usage: DataFrame, start: str, end: str) -> DataFrame:
         F.sum("dbu_hours").alias("total_dbu_hours"), F.countDistinct("usage_date").alias("days_active"))
 
 
-def _estimate(hours: Column, driver: Column, worker: Column) -> Column:
-    """Two workers per driver, run time taken as half the DBU hours."""
-    return hours.cast("double") * (driver + worker * 2) / 2
+def _estimated(rows: DataFrame, machine_prices: DataFrame, cloud: str, hours: str, name: str) -> DataFrame:
+    """Cost of a driver and two workers, run time taken as half the DBU hours."""
+    for kind in ("driver", "worker"):
+        rows = M.with_hourly_price(rows, machine_prices, f"{kind}_instance_type", F.lit(cloud), f"_{kind}_price")
+    cost = F.col(hours).cast("double") * (F.col("_driver_price") + F.col("_worker_price") * 2) / 2
+    return rows.withColumn(name, cost).drop("_driver_price", "_worker_price")
 
 
-def aws_cost_estimate(usage: DataFrame, clusters: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
-    """Usage is grouped per cluster, then configuration and prices are added to those rows."""
+def aws_cost_estimate(usage: DataFrame, clusters: DataFrame, machine_prices: DataFrame, start: str, end: str,
+                      limit: int | None = 100) -> DataFrame:
+    """Usage is grouped per cluster, then configuration and prices are added to those rows.
+
+    Totals over it (I8b) need every row, ``limit=None``.
+    """
     rows = _per_cluster(usage, start, end).join(latest_clusters(clusters), "cluster_id", "left")
-    cost = _estimate(F.col("total_dbu_hours"), M.aws_price(F.col("driver_instance_type"), M.ESTIMATE_SIZES),
-                     M.aws_price(F.col("worker_instance_type"), M.ESTIMATE_SIZES))
+    rows = _estimated(rows, machine_prices, "AWS", "total_dbu_hours", "estimated_aws_cost")
     shown = rows.select("cluster_id", "cluster_name", "driver_instance_type", "worker_instance_type", "cluster_source",
                         "workspace_id", F.lit(None).cast("string").alias("state"), "total_dbu_hours",
-                        cost.alias("estimated_aws_cost"), "days_active")
+                        "estimated_aws_cost", "days_active")
     return top(shown, "estimated_aws_cost", limit, "cluster_id")
 
 
@@ -60,16 +66,15 @@ def hours_by_worker_family(usage: DataFrame, clusters: DataFrame, start: str, en
             .orderBy(F.desc("total_dbu_hours")))
 
 
-def aws_cost_series(usage: DataFrame, clusters: DataFrame, start: str, end: str,
+def aws_cost_series(usage: DataFrame, clusters: DataFrame, machine_prices: DataFrame, start: str, end: str,
                     families: list[str] | None = None) -> DataFrame:
     """Day x worker family; I3c: only the chosen families."""
     rows = (cluster_hours(usage, start, end).join(latest_clusters(clusters), "cluster_id", "left")
             .withColumn("instance_family", C.worker_family(F.col("worker_instance_type"))))
     if families is not None:
         rows = rows.filter(F.col("instance_family").isin(*families))
-    cost = _estimate(F.col("dbu_hours"), M.aws_price(F.col("driver_instance_type"), M.SERIES_SIZES),
-                     M.aws_price(F.col("worker_instance_type"), M.SERIES_SIZES))
-    return (rows.groupBy("usage_date", "instance_family").agg(F.sum(cost).alias("estimated_aws_cost"))
+    rows = _estimated(rows, machine_prices, "AWS", "dbu_hours", "_cost")
+    return (rows.groupBy("usage_date", "instance_family").agg(F.sum("_cost").alias("estimated_aws_cost"))
             .orderBy("usage_date", "instance_family"))
 
 
@@ -90,21 +95,18 @@ def families_by_spend(series: DataFrame) -> DataFrame:
             .orderBy(F.desc("total"), "instance_family"))
 
 
-def cluster_usage(usage: DataFrame, clusters: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
-    """I4: all clouds, one row per cluster."""
+def cluster_usage(usage: DataFrame, clusters: DataFrame, start: str, end: str, limit: int | None = 100) -> DataFrame:
+    """I4: all clouds, one row per cluster; totals over it (I5, I6) need every row, ``limit=None``."""
     rows = _per_cluster(usage, start, end).join(latest_clusters(clusters), "cluster_id", "left")
     shown = rows.select("cluster_id", "cluster_name", "driver_instance_type", "worker_instance_type", "cluster_source",
                         "workspace_id", "cloud", "total_dbu_hours", "days_active")
     return top(shown, "total_dbu_hours", limit, "cluster_id")
 
 
-def cluster_cost(cluster_report: DataFrame, cloud: str) -> DataFrame:
-    """An I4 report with cost at one cloud's prices, and each cluster's percent."""
-    on = F.lit(cloud)
-    cost = _estimate(F.col("total_dbu_hours"), M.hourly_price(F.col("driver_instance_type"), on),
-                     M.hourly_price(F.col("worker_instance_type"), on))
-    rows = share_of_total(cluster_report.withColumn("estimated_cost", cost), "estimated_cost")
-    return rows.withColumn("is_historical", F.col("driver_instance_type").isNull() & F.col("worker_instance_type").isNull())
+def cluster_cost(cluster_report: DataFrame, machine_prices: DataFrame, cloud: str, limit: int | None = 100) -> DataFrame:
+    """An uncut I4 report with cost at one cloud's prices and each cluster's percent of all; cut last."""
+    rows = share_of_total(_estimated(cluster_report, machine_prices, cloud, "total_dbu_hours", "estimated_cost"), "estimated_cost")
+    return top(rows, "total_dbu_hours", limit, "cluster_id").withColumn("is_historical", F.col("driver_instance_type").isNull() & F.col("worker_instance_type").isNull())
 
 
 def family_hours(cluster_report: DataFrame, cloud: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,20 +94,25 @@ def upsert_mart(new_rows: DataFrame, root: str, name: str) -> str:
 
     Plain parquet has no row-level merge, so the days of the new rows are
     rewritten: old rows of those days whose key is not among the new ones are
-    carried over.  The result is staged beside the mart before the overwrite,
+    carried over; a null in a key equals a null.  The new rows are computed once
+    and the result is staged, each in a folder of its own beside the mart,
     because a folder cannot be read and replaced in one job.
     """
     spark, path, keys = new_rows.sparkSession, f"{root}/{name}", MART_KEYS[name]
     if not available(spark, path):
         return write_mart(new_rows, root, name)
     old = spark.read.parquet(path)
+    staged = f"{root}/_staged/{name}-{uuid.uuid4().hex}"
+    new_rows.write.parquet(f"{staged}/new")
+    new_rows = spark.read.schema(new_rows.schema).parquet(f"{staged}/new")
     days = new_rows.select("usage_date").distinct()
-    kept = old.join(days, "usage_date", "left_semi").join(new_rows.select(*keys), keys, "left_anti")
+    fresh = new_rows.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    kept = old.join(days, "usage_date", "left_semi").join(fresh, same, "left_anti")
     typed = new_rows.select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields])
     merged = kept.unionByName(typed)
-    staged = f"{root}/_staged_{name}"
-    merged.write.mode("overwrite").parquet(staged)
-    (spark.read.parquet(staged).hint("rebalance", "usage_date").write.mode("overwrite")
+    merged.write.parquet(f"{staged}/merged")
+    (spark.read.schema(merged.schema).parquet(f"{staged}/merged").hint("rebalance", "usage_date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path))
     return path
 

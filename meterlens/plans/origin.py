@@ -27,7 +27,7 @@ def classified(history: DataFrame, cost_mart: DataFrame | None, start: str, end:
                        F.col("query_tags").getItem("authoring_tool").alias("authoring_tool"))
     if cost_mart is None:
         return rows.withColumns({"cost": F.lit(0.0), "dbus": F.lit(0.0), "query_profile_url": F.lit(None).cast("string")})
-    mart = cost_mart.select("statement_id", F.col("query_attributed_dollars_estimation").alias("_cost"),
+    mart = started_in(cost_mart, start, end, include_end_day=False).select("statement_id", F.col("query_attributed_dollars_estimation").alias("_cost"),
                             F.col("query_attributed_dbus_estimation").alias("_dbus"), "query_profile_url")
     zero = F.lit(0.0)
     return (rows.join(mart, "statement_id", "left").withColumn("cost", F.coalesce("_cost", zero))

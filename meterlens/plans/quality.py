@@ -71,7 +71,7 @@ def workspace_completeness(usage: DataFrame, prices: DataFrame, start: str, end:
 
 def price_coverage(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
     """D4."""
-    rows = metered(usage, prices, start, end, [])
+    rows = metered(usage, prices, start, end, [], priced=True)
 
     def total(name: str, keep: Column | None = None) -> Column:
         return F.coalesce(F.sum(F.col(name) if keep is None else F.when(keep, F.col(name))), F.lit(0))

@@ -212,8 +212,8 @@ def _interactive(usage: DataFrame, prices: DataFrame, clusters: DataFrame, start
 
 
 def interactive_breakdown(usage: DataFrame, prices: DataFrame, clusters: DataFrame, start: str, end: str,
-                          limit: int = 100) -> DataFrame:
-    """S14; cluster names join the grouped rows."""
+                          limit: int | None = 100) -> DataFrame:
+    """S14; cluster names join the grouped rows.  Roll-ups (S15) need every row, ``limit=None``."""
     items = _interactive(usage, prices, clusters, start, end).select(
         "cluster_id", "cluster_name", "notebook_path", "run_as_user", "workspace_id",
         F.lit(None).cast("string").alias("cluster_state"), "total_dbus", "total_spend", "days_active", "notebook_count")
@@ -262,8 +262,8 @@ def user_totals(usage: DataFrame, prices: DataFrame, start: str, end: str) -> Da
             .groupBy("user").agg(*totals()).filter(F.col("total_spend") > 0))
 
 
-def spend_by_user(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int = 15) -> DataFrame:
-    """The user report that stands in when there is no group table."""
+def spend_by_user(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int | None = 15) -> DataFrame:
+    """The user report that stands in when there is no group table; ``limit=None`` lists all."""
     users = user_totals(usage, prices, start, end).select(
         F.col("user").alias("group_name"), "total_spend", "total_dbus", F.lit(1).alias("user_count"))
     return top(users, "total_spend", limit, "group_name")
@@ -274,18 +274,19 @@ def spend_by_group(usage: DataFrame, prices: DataFrame, user_groups: DataFrame |
     """Each user's spend goes in full to every group they are in.
 
     Users without a group form 'No Group'.  The percentage uses the total of
-    the listed groups, which counts members of several groups more than once.
+    all groups, which counts members of several groups more than once; the list
+    is cut after that.
     """
     if user_groups is None:
-        return share_of_total(spend_by_user(usage, prices, start, end, limit), "total_spend", digits=1)
+        users = share_of_total(spend_by_user(usage, prices, start, end, None), "total_spend", digits=1)
+        return top(users, "total_spend", limit, "group_name")
     users = user_totals(usage, prices, start, end).filter(F.col("user") != "Unknown")
     member = user_groups.select(F.col("user_email").alias("user"), "group_name").distinct()
     groups = (users.join(member, "user", "left")
               .groupBy(F.coalesce("group_name", F.lit("No Group")).alias("group_name"))
               .agg(F.sum("total_spend").alias("total_spend"), F.sum("total_dbus").alias("total_dbus"),
                    F.countDistinct("user").alias("user_count")))
-    listed = top(groups, "total_spend", limit, "group_name")
-    return share_of_total(listed, "total_spend", digits=1).orderBy(F.desc("total_spend"), "group_name")
+    return top(share_of_total(groups, "total_spend", digits=1), "total_spend", limit, "group_name")
 
 
 def latest_day_workspace_count(usage: DataFrame, start: str, end: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from meterlens.functions import classify as C
 from meterlens.functions.shape import listed_values, top
@@ -105,8 +106,8 @@ def _per_tag(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: li
     return metered(exploded, prices, start, end, ["tag_key", "tag_value", *dims])
 
 
-def cost_by_tag(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int = 500) -> DataFrame:
-    """A record with n tags counts n times."""
+def cost_by_tag(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int | None = 500) -> DataFrame:
+    """A record with n tags counts n times.  Roll-ups (T8b, T12) need every row, ``limit=None``."""
     grouped = (_per_tag(usage, prices, start, end, ["usage_date", "workspace_id"]).groupBy("tag_key", "tag_value")
                .agg(*totals(), F.countDistinct("workspace_id").alias("workspace_count"),
                     F.countDistinct("usage_date").alias("days_active")))
@@ -151,9 +152,11 @@ def coverage_series(usage: DataFrame, prices: DataFrame, start: str, end: str) -
 
 
 def suggested_tags(cost_by_tag_report: DataFrame, limit: int = 5, examples: int = 3) -> DataFrame:
-    """Keys by workspace use, with the dearest values as examples (a T7 report has at most 500 rows)."""
-    values = F.array_sort(F.collect_list(F.struct((-F.col("total_spend")).alias("s"), "tag_value")))
-    keys = cost_by_tag_report.groupBy(F.col("tag_key").alias("key")).agg(
+    """Keys by workspace use, with the dearest values as examples; only those are ever collected."""
+    rank = F.row_number().over(W.partitionBy("tag_key").orderBy(F.desc("total_spend"), "tag_value"))
+    ranked = cost_by_tag_report.withColumn("rank", rank)
+    values = F.array_sort(F.collect_list(F.when(F.col("rank") <= examples, F.struct("rank", "tag_value"))))
+    keys = ranked.groupBy(F.col("tag_key").alias("key")).agg(
         F.sum(F.when(F.col("workspace_count") > 0, F.col("workspace_count")).otherwise(1)).alias("usage_count"),
-        F.transform(F.slice(values, 1, examples), lambda v: v["tag_value"]).alias("examples"))
+        F.transform(values, lambda v: v["tag_value"]).alias("examples"))
     return top(keys, "usage_count", limit, "key")

@@ -45,8 +45,8 @@ def _user_category(usage: DataFrame, prices: DataFrame, start: str, end: str) ->
             .groupBy("user_email", "product_category").agg(F.sum("spend").alias("spend")))
 
 
-def by_category(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int = 5000) -> DataFrame:
-    """The report lists at most ``limit`` rows."""
+def by_category(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int | None = 5000) -> DataFrame:
+    """The report lists at most ``limit`` rows; roll-ups (G4, G12) need them all, ``limit=None``."""
     return top(_user_category(usage, prices, start, end), "spend", limit, "user_email", "product_category")
 
 
@@ -87,8 +87,8 @@ def _workspace_detail(usage: DataFrame, prices: DataFrame, start: str, end: str)
             .groupBy("workspace_id", "user_email", "product_category").agg(F.sum("spend").alias("spend")))
 
 
-def workspace_detail(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int = 2000) -> DataFrame:
-    """G7."""
+def workspace_detail(usage: DataFrame, prices: DataFrame, start: str, end: str, limit: int | None = 2000) -> DataFrame:
+    """G7; roll-ups (G8) need every row, ``limit=None``."""
     return top(_workspace_detail(usage, prices, start, end), "spend", limit, "workspace_id", "user_email", "product_category")
 
 

@@ -32,8 +32,8 @@ def by_source(mart: DataFrame, start: str, end: str) -> DataFrame:
             .agg(*_sums(), F.avg(COST).alias("avg_cost_per_query")).orderBy(F.desc_nulls_last("total_spend")))
 
 
-def by_user(mart: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
-    """A7."""
+def by_user(mart: DataFrame, start: str, end: str, limit: int | None = 100) -> DataFrame:
+    """A7; a roll-up (A7b) needs every row, ``limit=None``."""
     users = _range(mart, start, end).groupBy("executed_by", "query_source_type").agg(*_sums())
     return top(users, "total_spend", limit, "executed_by", "query_source_type")
 
@@ -62,8 +62,10 @@ def top_queries(mart: DataFrame, start: str, end: str, limit: int = 20, source_t
 
 
 def top_queries_by_source(mart: DataFrame, start: str, end: str, source_type: str, limit: int = 10) -> DataFrame:
-    """At most 20 rows."""
-    return top_queries(mart, start, end, min(limit, 20), source_type)
+    """A list of at most 20 rows; asking for more is an error."""
+    if limit > 20:
+        raise ValueError("this report lists at most 20 queries; use top_queries")
+    return top_queries(mart, start, end, limit, source_type)
 
 
 def summary(mart: DataFrame, start: str, end: str) -> DataFrame:
@@ -75,8 +77,8 @@ def summary(mart: DataFrame, start: str, end: str) -> DataFrame:
         F.avg("duration_seconds").alias("avg_duration_seconds"))
 
 
-def by_warehouse(mart: DataFrame, start: str, end: str, limit: int = 50) -> DataFrame:
-    """A11."""
+def by_warehouse(mart: DataFrame, start: str, end: str, limit: int | None = 50) -> DataFrame:
+    """A11; totals over it (A12, A19) need every row, ``limit=None``."""
     rows = _range(mart, start, end).groupBy("warehouse_id").agg(*_sums(), F.countDistinct("executed_by").alias("unique_users"))
     return top(rows.select("warehouse_id", "query_count", "unique_users", "total_spend", "total_dbus"), "total_spend",
                limit, "warehouse_id")
@@ -92,10 +94,11 @@ def warehouse_facts(warehouses: DataFrame, workspaces: DataFrame) -> DataFrame:
                  F.max("workspace_name").alias("workspace_name")))
 
 
-def by_warehouse_enriched(mart: DataFrame, warehouses: DataFrame, workspaces: DataFrame, start: str, end: str) -> DataFrame:
-    """Names join the grouped warehouses."""
-    rows = by_warehouse(mart, start, end).join(warehouse_facts(warehouses, workspaces), "warehouse_id", "left")
-    return share_of_total(rows, "total_spend").orderBy(F.desc("total_spend"), "warehouse_id")
+def by_warehouse_enriched(mart: DataFrame, warehouses: DataFrame, workspaces: DataFrame, start: str, end: str,
+                          limit: int | None = 50) -> DataFrame:
+    """Names join the grouped warehouses; percentages are of all of them, and the list is cut last."""
+    rows = by_warehouse(mart, start, end, None).join(warehouse_facts(warehouses, workspaces), "warehouse_id", "left")
+    return top(share_of_total(rows, "total_spend"), "total_spend", limit, "warehouse_id")
 
 
 def timeseries(mart: DataFrame, start: str, end: str) -> DataFrame:
@@ -211,7 +214,7 @@ def recommendations(comparison: DataFrame) -> DataFrame:
 
 
 def count_by_size(warehouse_report: DataFrame, workspace_id: str | None = None) -> DataFrame:
-    """Listed warehouses by size; unknown sizes are dropped."""
+    """Warehouses of an uncut A12 report by size; unknown sizes are dropped."""
     rows = warehouse_report if workspace_id is None else warehouse_report.filter(F.col("workspace_id") == workspace_id)
     known = rows.filter(F.col("warehouse_size").isNotNull() & (F.col("warehouse_size") != "UNKNOWN"))
     return known.groupBy("warehouse_size").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "warehouse_size")

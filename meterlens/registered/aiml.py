@@ -13,7 +13,7 @@ _WORKSPACES = whole("count(DISTINCT workspace_id)", "workspace_count")
 _DAYS = whole("count(DISTINCT usage_date)", "days_active")
 _RANGE = f"{whole('count(DISTINCT usage_date)', 'days_in_range')}, min(usage_date) AS first_date, max(usage_date) AS last_date"
 _ENDPOINTS = f"""SELECT coalesce(endpoint_name, 'UNKNOWN') AS endpoint_name, sku_name, CASE WHEN sku_name LIKE '%LAUNCH' THEN 'Launch (Scale-from-Zero)' ELSE 'Steady State' END AS cost_type,
-  sum(qty) AS d, sum(spend) AS s, {_WORKSPACES}, {_DAYS} FROM pu WHERE {L.INFERENCE} GROUP BY 1, 2, 3 ORDER BY s DESC, 1, 2 LIMIT 100"""
+  sum(qty) AS d, sum(spend) AS s, {_WORKSPACES}, {_DAYS} FROM pu WHERE {L.INFERENCE} GROUP BY 1, 2, 3"""
 _ML = "(SELECT DISTINCT cluster_id FROM cl_log WHERE lower(dbr_version) LIKE '%-ml-%' OR lower(dbr_version) LIKE '%-gpu-%')"
 
 
@@ -56,8 +56,8 @@ FROM pu WHERE {L.IS_AIML}"""),
     Query("m02_by_provider", lambda t: M.by_provider(t.usage, t.list_prices, *W),
           f"SELECT {L.PROVIDER} AS provider, sku_name, {SUMS}, {_WORKSPACES} FROM pu WHERE {L.PROVIDER} IS NOT NULL GROUP BY 1, 2"),
     Query("m03_serverless_endpoints", lambda t: M.serverless_endpoints(t.usage, t.list_prices, *W),
-          f"SELECT * EXCLUDE (d, s), {num('d', 'total_dbus')}, {num('s', 'total_spend')} FROM ({_ENDPOINTS}) e"),
-    Query("m03b_endpoint_totals", lambda t: M.endpoint_totals(M.serverless_endpoints(t.usage, t.list_prices, *W)),
+          f"SELECT * EXCLUDE (d, s), {num('d', 'total_dbus')}, {num('s', 'total_spend')} FROM ({_ENDPOINTS} ORDER BY s DESC, 1, 2 LIMIT 100) e"),
+    Query("m03b_endpoint_totals", lambda t: M.endpoint_totals(M.serverless_endpoints(t.usage, t.list_prices, *W, limit=None)),
           f"SELECT endpoint_name, {num('sum(s)', 'total_spend')}, {num('sum(d)', 'total_dbus')}, arg_max(days_active, s) AS days_active FROM ({_ENDPOINTS}) e GROUP BY 1"),
     Query("m04_by_category", lambda t: M.by_category(t.usage, t.list_prices, *W),
           f"SELECT {L.AIML} AS category, {SUMS}, {_WORKSPACES} FROM pu WHERE {L.IS_AIML} GROUP BY 1"),

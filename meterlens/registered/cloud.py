@@ -1,6 +1,7 @@
 """Registered queries: invoice tables and marts (l), cloud actuals (x), reconciliation (d)."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def _scratch(t) -> str:
     shared = t.spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         return tempfile.mkdtemp(prefix="meterlens-marts-")
-    return f"{shared}/meterlens-marts-{t.spark.sparkContext.applicationId}-{id(t)}"
+    return f"{shared}/meterlens-marts-{uuid.uuid4().hex}"
 
 
 def _ingested(t):

@@ -27,31 +27,31 @@ _FAMILY = "CASE WHEN c.worker IS NULL THEN 'unknown' WHEN c.worker IN ('i3.xlarg
 _CLUSTERS = f"""SELECT h.cluster_id, c.cluster_name, c.driver, c.worker, c.cluster_source, h.workspace_id, h.cloud, h.hours, h.days, {_cost(_ESTIMATE, 'h.hours')} AS cost
 FROM (SELECT cluster_id, max(workspace_id) AS workspace_id, max(cloud) AS cloud, sum(hours) AS hours, count(*) AS days FROM ch GROUP BY 1) h LEFT JOIN cl_now c ON h.cluster_id = c.cluster_id"""
 _SERIES = f"SELECT h.usage_date, {_FAMILY} AS instance_family, sum({_cost(_ESTIMATE, 'h.hours')}) AS cost FROM ch h LEFT JOIN cl_now c ON h.cluster_id = c.cluster_id GROUP BY 1, 2"
-_TOP_CLUSTERS = f"SELECT * FROM ({_CLUSTERS}) x ORDER BY hours DESC, cluster_id LIMIT 100"
+_TOP = "ORDER BY hours DESC, cluster_id LIMIT 100"
 _SHOWN = f"cluster_id, cluster_name, driver AS driver_instance_type, worker AS worker_instance_type, cluster_source, workspace_id, {num('hours', 'total_dbu_hours')}, {whole('days', 'days_active')}"
 FAMILIES = ["i3", "m5", "r7i", "unknown", "zz9"]
 _SUMMARY = f"""SELECT sum(c) AS cost, avg(n) AS per_day, CASE WHEN avg(n) > 0 THEN avg(c / n) ELSE 0 END AS per_cluster, count(*) AS days
 FROM (SELECT usage_date, CAST(sum(spend) AS DOUBLE) AS c, count(DISTINCT cluster_id) AS n FROM pu WHERE cluster_id IS NOT NULL AND {L.IS_INFRA} GROUP BY 1) d"""
 
 
-def _usage(t):
-    return I.cluster_usage(t.usage, t.clusters, *W)
+def _usage(t, limit=None):
+    return I.cluster_usage(t.usage, t.clusters, *W, limit=limit)
 
 
 def _series(t, **options):
-    return I.aws_cost_series(t.usage, t.clusters, *W, **options)
+    return I.aws_cost_series(t.usage, t.clusters, t.estimate_prices, *W, **options)
 
 
 def _fallback(t):
     """A bill with no priced usage: the summary falls back on the estimate."""
     nothing = t.list_prices.filter(F.col("sku_name") == "")
-    return I.infra_summary_or_estimate(I.infra_summary(t.usage, nothing, *W), I.aws_cost_estimate(t.usage, t.clusters, *W),
+    return I.infra_summary_or_estimate(I.infra_summary(t.usage, nothing, *W), I.aws_cost_estimate(t.usage, t.clusters, t.estimate_prices, *W, limit=None),
                                        I.infra_series(t.usage, *W))
 
 
 def _costed_sql(cloud: str) -> str:
     return f"""SELECT {_SHOWN}, cloud, {num('est', 'estimated_cost')}, {num('100 * est / sum(est) OVER ()', 'percentage')}, (driver IS NULL AND worker IS NULL) AS is_historical
-FROM (SELECT c.*, {_cost(_ON_CLOUD[cloud], 'c.hours')} AS est FROM ({_TOP_CLUSTERS}) c) x"""
+FROM (SELECT c.*, {_cost(_ON_CLOUD[cloud], 'c.hours')} AS est FROM ({_CLUSTERS}) c) x {_TOP}"""
 
 
 def _price_sql(source: str) -> str:
@@ -69,7 +69,7 @@ def _multiplier(t):
 
 
 QUERIES = [
-    Query("i01_aws_cost_estimate", lambda t: I.aws_cost_estimate(t.usage, t.clusters, *W),
+    Query("i01_aws_cost_estimate", lambda t: I.aws_cost_estimate(t.usage, t.clusters, t.estimate_prices, *W),
           f"SELECT {_SHOWN}, CAST(NULL AS VARCHAR) AS state, {num('cost', 'estimated_aws_cost')} FROM ({_CLUSTERS}) x ORDER BY cost DESC, cluster_id LIMIT 100"),
     Query("i02_hours_by_family", lambda t: I.hours_by_worker_family(t.usage, t.clusters, *W),
           f"SELECT {_FAMILY} AS instance_family, {num('sum(h.hours)', 'total_dbu_hours')}, {whole('count(DISTINCT h.usage_date)', 'days_active')} FROM ch h LEFT JOIN cl_now c ON h.cluster_id = c.cluster_id GROUP BY 1"),
@@ -80,12 +80,12 @@ QUERIES = [
     Query("i03b_families_by_spend", lambda t: I.families_by_spend(_series(t)), f"SELECT instance_family, {num('sum(cost)', 'total')} FROM ({_SERIES}) s GROUP BY 1"),
     Query("i03c_cost_series_of_families", lambda t: _series(t, families=["i3", "m5"]),
           f"SELECT usage_date, instance_family, {num('cost', 'estimated_aws_cost')} FROM ({_SERIES}) s WHERE instance_family IN ('i3', 'm5')"),
-    Query("i04_cluster_usage", _usage, f"SELECT {_SHOWN}, cloud FROM ({_TOP_CLUSTERS}) x"),
-    Query("i05_cluster_cost_aws", lambda t: I.cluster_cost(_usage(t), "AWS"), _costed_sql("AWS")),
-    Query("i05_cluster_cost_azure", lambda t: I.cluster_cost(_usage(t), "AZURE"), _costed_sql("AZURE")),
+    Query("i04_cluster_usage", lambda t: _usage(t, 100), f"SELECT {_SHOWN}, cloud FROM ({_CLUSTERS}) x {_TOP}"),
+    Query("i05_cluster_cost_aws", lambda t: I.cluster_cost(_usage(t), t.machine_prices, "AWS"), _costed_sql("AWS")),
+    Query("i05_cluster_cost_azure", lambda t: I.cluster_cost(_usage(t), t.machine_prices, "AZURE"), _costed_sql("AZURE")),
     Query("i06_family_hours", lambda t: I.family_hours(_usage(t), "AWS"), f"""
 SELECT split_part(m, '.', 1) AS instance_family, {num('sum(hours)', 'total_dbu_hours')}, {whole('max(days)', 'days_active')}
-FROM (SELECT driver AS m, hours, days FROM ({_TOP_CLUSTERS}) a UNION ALL SELECT worker, hours, days FROM ({_TOP_CLUSTERS}) b) x WHERE m IS NOT NULL GROUP BY 1"""),
+FROM (SELECT driver AS m, hours, days FROM ({_CLUSTERS}) a UNION ALL SELECT worker, hours, days FROM ({_CLUSTERS}) b) x WHERE m IS NOT NULL GROUP BY 1"""),
     Query("i07_infra_series", lambda t: I.infra_series(t.usage, *W),
           f"SELECT usage_date AS date, max(cloud) AS cloud, {num('CAST(sum(hours) AS DOUBLE) * 0.5', 'estimated_cost')}, {num('sum(hours)', 'total_dbu_hours')} FROM ch GROUP BY 1"),
     Query("i08_infra_summary", lambda t: I.infra_summary(t.usage, t.list_prices, *W),

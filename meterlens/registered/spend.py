@@ -41,8 +41,9 @@ def _machines(t):
     priced = [t.clusters.select("cluster_id", F.lit(c).alias("cloud"), F.col("driver_node_type").alias("machine"))
               for c in ("AWS", "AZURE", "GCP", "OTHER")]
     rows = priced[0].unionByName(priced[1]).unionByName(priced[2]).unionByName(priced[3])
-    return rows.groupBy("cloud", "machine", M.hourly_price(F.col("machine"), F.col("cloud")).alias("hourly_cost"),
-                        C.instance_family(F.col("machine"), F.col("cloud")).alias("instance_family")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy("cloud", "machine", C.instance_family(F.col("machine"), F.col("cloud")).alias("instance_family")).agg(
+        F.count("*").alias("n"))
+    return M.with_hourly_price(counted, t.machine_prices, "machine", F.col("cloud"), "hourly_cost")
 
 
 _MACHINES_SQL = f"""
@@ -96,11 +97,11 @@ _INTERACTIVE = f"""
 SELECT p.cluster_id, c.cluster_name, p.notebook_path, p.run_as AS run_as_user, max(p.workspace_id) AS workspace_id, CAST(NULL AS VARCHAR) AS cluster_state,
   sum(qty) AS d, sum(spend) AS s, {whole('count(DISTINCT usage_date)', 'days_active')}, {whole('count(DISTINCT notebook_id)', 'notebook_count')}
 FROM pu p LEFT JOIN (SELECT cluster_id, max(cluster_name) AS cluster_name FROM cl_log GROUP BY 1) c ON p.cluster_id = c.cluster_id
-WHERE product = 'ALL_PURPOSE' GROUP BY 1, 2, 3, 4 ORDER BY s DESC, p.cluster_id, p.notebook_path, p.run_as NULLS LAST LIMIT 100"""
+WHERE product = 'ALL_PURPOSE' GROUP BY 1, 2, 3, 4"""
 
 
-def _interactive(t):
-    return S.interactive_breakdown(t.usage, t.list_prices, t.clusters, *W)
+def _interactive(t, limit=None):
+    return S.interactive_breakdown(t.usage, t.list_prices, t.clusters, *W, limit=limit)
 
 
 def _view_sql(column, missing):
@@ -118,7 +119,7 @@ _GROUPS = f"""
 SELECT *, coalesce(round(100.0 * total_spend / sum(total_spend) OVER (), 1), 0) AS percentage FROM (
   SELECT coalesce(g.group_name, 'No Group') AS group_name, {num('sum(s)', 'total_spend')}, {num('sum(d)', 'total_dbus')}, {whole('count(DISTINCT u.run_as)', 'user_count')}
   FROM (SELECT run_as, sum(qty) AS d, sum(spend) AS s FROM pu WHERE run_as IS NOT NULL GROUP BY 1 HAVING sum(spend) > 0) u
-  LEFT JOIN ug g ON u.run_as = g.user_email GROUP BY 1 ORDER BY sum(s) DESC, 1 LIMIT 15) x"""
+  LEFT JOIN ug g ON u.run_as = g.user_email GROUP BY 1) x ORDER BY total_spend DESC, group_name LIMIT 15"""
 _WIDE = ["SQL", "ETL - Streaming", "ETL - Batch", "Interactive", "Serverless", "Model Serving", "Other"]
 
 QUERIES = [
@@ -201,7 +202,8 @@ LEFT JOIN {_TOP3.format(name='run_as', alias='top_users')} b ON t.workspace_id =
         source="pu u LEFT JOIN pl_now n ON u.pipeline_id = n.pipeline_id")),
     Query("s13_etl_breakdown", lambda t: S.etl_breakdown(t.usage, t.list_prices, *W),
           f"SELECT {L.ETL} AS etl_type, {SUMS} FROM pu WHERE {L.IS_ETL} GROUP BY 1"),
-    Query("s14_interactive_breakdown", _interactive, f"SELECT * EXCLUDE (d, s), {num('d', 'total_dbus')}, {num('s', 'total_spend')} FROM ({_INTERACTIVE}) i"),
+    Query("s14_interactive_breakdown", lambda t: _interactive(t, 100),
+          f"SELECT * EXCLUDE (d, s), {num('d', 'total_dbus')}, {num('s', 'total_spend')} FROM ({_INTERACTIVE} ORDER BY s DESC, p.cluster_id, p.notebook_path, p.run_as NULLS LAST LIMIT 100) i"),
     *[Query(f"s15_interactive_by_{v}", lambda t, v=v: S.interactive_by(_interactive(t), v),
             f"SELECT * FROM (WITH i AS ({_INTERACTIVE}) {_view_sql(*S.INTERACTIVE_VIEWS[v])}) r") for v in S.INTERACTIVE_VIEWS],
     Query("s16_sku_breakdown", lambda t: S.sku_breakdown(t.usage, t.list_prices, *W),

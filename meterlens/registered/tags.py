@@ -20,11 +20,11 @@ FROM pu u {join} WHERE u.{key} IS NOT NULL AND NOT u.tagged {_TAIL}"""
 _NULL = "CAST(NULL AS VARCHAR)"
 _CL = "LEFT JOIN (SELECT cluster_id, max(cluster_name) AS n, max(cluster_source) AS src, max(owned_by) AS own FROM cl_log WHERE NOT deleted GROUP BY 1) c ON u.cluster_id = c.cluster_id"
 _WH = "LEFT JOIN (SELECT warehouse_id, max(warehouse_name) AS n FROM wh_log WHERE NOT deleted GROUP BY 1) w ON u.warehouse_id = w.warehouse_id"
-_BY_TAG = f"SELECT tag_key, tag_value, sum(qty) AS d, sum(spend) AS s, {_WORKSPACES}, {_DAYS} FROM tagrows GROUP BY 1, 2 ORDER BY s DESC, 1, 2 LIMIT 500"
+_BY_TAG = f"SELECT tag_key, tag_value, sum(qty) AS d, sum(spend) AS s, {_WORKSPACES}, {_DAYS} FROM tagrows GROUP BY 1, 2"
 
 
-def _by_tag(t):
-    return T.cost_by_tag(t.usage, t.list_prices, *W)
+def _by_tag(t, limit=None):
+    return T.cost_by_tag(t.usage, t.list_prices, *W, limit=limit)
 
 
 QUERIES = [
@@ -46,7 +46,8 @@ SELECT {num('sum(CASE WHEN tagged THEN spend ELSE 0 END)', 'tagged_spend')}, {nu
           _untagged("warehouse_id", "coalesce(max(w.n), u.warehouse_id) AS warehouse_name", _WH)),
     Query("t06_untagged_endpoints", lambda t: T.untagged_endpoints(t.usage, t.list_prices, *W),
           f"SELECT endpoint_name, max(workspace_id) AS workspace_id, {SUMS}, {_DAYS} FROM pu WHERE endpoint_name IS NOT NULL AND NOT tagged {_TAIL}"),
-    Query("t07_cost_by_tag", _by_tag, f"SELECT * EXCLUDE (d, s), {num('d', 'total_dbus')}, {num('s', 'total_spend')} FROM ({_BY_TAG}) b"),
+    Query("t07_cost_by_tag", lambda t: _by_tag(t, 500),
+          f"SELECT * EXCLUDE (d, s), {num('d', 'total_dbus')}, {num('s', 'total_spend')} FROM ({_BY_TAG} ORDER BY s DESC, 1, 2 LIMIT 500) b"),
     Query("t08_cost_by_tag_key", lambda t: T.cost_by_tag_key(t.usage, t.list_prices, *W),
           f"SELECT tag_key, {SUMS}, {_WORKSPACES} FROM tagrows GROUP BY 1 ORDER BY sum(spend) DESC, 1 LIMIT 50"),
     Query("t08b_keys_of_tags", lambda t: T.keys_of_tags(_by_tag(t)), f"SELECT tag_key, {num('sum(s)', 'total_spend')} FROM ({_BY_TAG}) b GROUP BY 1 ORDER BY sum(s) DESC, 1 LIMIT 8"),
@@ -57,7 +58,7 @@ SELECT coalesce(cluster_id, warehouse_id, endpoint_name, pipeline_id, job_id, sk
   coalesce(cluster_id, warehouse_id, endpoint_name, pipeline_id, job_name, sku_name) AS object_name, max(workspace_id) AS workspace_id, {SUMS}, {_DAYS}
 FROM pu WHERE tag_team = 'BUILDING' GROUP BY 1, 2, 3 ORDER BY sum(spend) DESC, 2, 1, 3 LIMIT 5"""),
     Query("t10_tag_catalogue", lambda t: T.tag_catalogue(t.usage, LAST_DAY, 90), f"""
-SELECT tag_key, string_agg(tag_value, '|' ORDER BY tag_value) AS tag_values FROM (
+SELECT tag_key, CAST(0 AS BIGINT) AS part, string_agg(tag_value, '|' ORDER BY tag_value) AS tag_values FROM (
   SELECT DISTINCT 'team' AS tag_key, tag_team AS tag_value FROM usage WHERE tag_team IS NOT NULL AND usage_date >= {LAST} - 90
   UNION ALL SELECT DISTINCT 'env', tag_env FROM usage WHERE tag_env IS NOT NULL AND usage_date >= {LAST} - 90) x GROUP BY 1"""),
     Query("t11_coverage_series", lambda t: T.coverage_series(t.usage, t.list_prices, *W),

@@ -11,19 +11,19 @@ from meterlens.sources.values import FIRST_DAY, LAST_DAY
 
 W = (FIRST_DAY, LAST_DAY)
 _USERS = "(SELECT * FROM pu WHERE run_as IS NOT NULL)"
-_BY_CATEGORY = f"SELECT run_as AS user_email, {L.CATEGORY} AS product_category, sum(spend) AS s FROM {_USERS} u GROUP BY 1, 2 ORDER BY s DESC, 1, 2 LIMIT 5000"
-_DETAIL = f"SELECT workspace_id, run_as AS user_email, {L.GROUP_REPORT} AS product_category, sum(spend) AS s FROM {_USERS} u GROUP BY 1, 2, 3 ORDER BY s DESC, 1, 2, 3 LIMIT 2000"
+_BY_CATEGORY = f"SELECT run_as AS user_email, {L.CATEGORY} AS product_category, sum(spend) AS s FROM {_USERS} u GROUP BY 1, 2"
+_DETAIL = f"SELECT workspace_id, run_as AS user_email, {L.GROUP_REPORT} AS product_category, sum(spend) AS s FROM {_USERS} u GROUP BY 1, 2, 3"
 _TOP6 = f"(SELECT run_as FROM {_USERS} u GROUP BY 1 ORDER BY sum(spend) DESC, 1 LIMIT 6)"
 _DAILY6 = f"SELECT usage_date AS date, run_as AS user_email, sum(spend) AS s FROM pu WHERE run_as IN {_TOP6} GROUP BY 1, 2"
 _HALF = f"({FIRST} + 89)"
 
 
-def _categories(t):
-    return G.by_category(t.usage, t.list_prices, *W)
+def _categories(t, limit=None):
+    return G.by_category(t.usage, t.list_prices, *W, limit=limit)
 
 
-def _detail(t):
-    return G.workspace_detail(t.usage, t.list_prices, *W)
+def _detail(t, limit=None):
+    return G.workspace_detail(t.usage, t.list_prices, *W, limit=limit)
 
 
 def _group_rows(t):
@@ -93,13 +93,15 @@ QUERIES = [
 SELECT {whole('count(DISTINCT run_as)', 'user_count')}, {num('sum(spend)', 'total_spend')}, {DBUS}, {num('CAST(sum(spend) AS DOUBLE) / count(DISTINCT run_as)', 'avg_spend_per_user')} FROM {_USERS} u"""),
     Query("g02_by_spend", lambda t: G.by_spend(t.usage, t.list_prices, *W), f"""
 SELECT run_as AS user_email, {num('sum(spend)', 'total_spend')}, {DBUS}, {whole('count(DISTINCT usage_date)', 'active_days')}, {whole('count(DISTINCT workspace_id)', 'workspace_count')} FROM {_USERS} u GROUP BY 1"""),
-    Query("g03_by_category", _categories, f"SELECT user_email, product_category, {num('s', 'spend')} FROM ({_BY_CATEGORY}) c"),
+    Query("g03_by_category", lambda t: _categories(t, 5000),
+          f"SELECT user_email, product_category, {num('s', 'spend')} FROM ({_BY_CATEGORY} ORDER BY s DESC, 1, 2 LIMIT 5000) c"),
     Query("g04_primary_product", lambda t: G.primary_product(_categories(t)), f"""
 SELECT user_email, product_category AS primary_product FROM (SELECT *, row_number() OVER (PARTITION BY user_email ORDER BY s DESC, product_category DESC) AS rn FROM ({_BY_CATEGORY}) c) x WHERE rn = 1"""),
     Query("g05_daily_of_top_users", lambda t: G.daily_of_top_users(t.usage, t.list_prices, *W), f"SELECT date, user_email, {num('s', 'daily_spend')} FROM ({_DAILY6}) d"),
     Query("g06_by_workspace", lambda t: G.by_workspace(t.usage, t.list_prices, *W),
           f"SELECT workspace_id, {whole('count(DISTINCT run_as)', 'user_count')}, {num('sum(spend)', 'total_spend')} FROM {_USERS} u GROUP BY 1 ORDER BY sum(spend) DESC, 1 LIMIT 20"),
-    Query("g07_workspace_detail", _detail, f"SELECT workspace_id, user_email, product_category, {num('s', 'spend')} FROM ({_DETAIL}) d"),
+    Query("g07_workspace_detail", lambda t: _detail(t, 2000),
+          f"SELECT workspace_id, user_email, product_category, {num('s', 'spend')} FROM ({_DETAIL} ORDER BY s DESC, 1, 2, 3 LIMIT 2000) d"),
     Query("g08_group_rollup", _group_rows, _with_members(_GROUP_SQL)),
     Query("g08_ungrouped", lambda t: G.ungrouped(_detail(t), t.user_groups),
           f"SELECT workspace_id, {num('sum(s)', 'spend')} FROM ({_DETAIL}) d WHERE user_email NOT IN (SELECT user_email FROM ug) GROUP BY 1"),
@@ -135,7 +137,7 @@ ORDER BY start_time DESC, statement_id LIMIT 100"""),
     Query("c06_use_case_list", lambda t: _tags_as_text(C.use_case_list(t.use_cases, status="active")), _LIST + " WHERE status = 'active'"),
     Query("c06_use_case_list_by_stage", lambda t: _tags_as_text(C.use_case_list(t.use_cases, status="active", stage="Production")), _LIST + " WHERE status = 'active' AND stage = 'Production'"),
     Query("c07_use_case_tags", lambda t: C.use_case_tags(t.use_cases), """
-SELECT tag_key, string_agg(v, '|' ORDER BY v) AS tag_values FROM (SELECT DISTINCT 'segment' AS tag_key, tag_segment AS v FROM uc WHERE status = 'active' AND tag_segment IS NOT NULL
+SELECT tag_key, CAST(0 AS BIGINT) AS part, string_agg(v, '|' ORDER BY v) AS tag_values FROM (SELECT DISTINCT 'segment' AS tag_key, tag_segment AS v FROM uc WHERE status = 'active' AND tag_segment IS NOT NULL
   UNION ALL SELECT DISTINCT 'region', tag_region FROM uc WHERE status = 'active' AND tag_region IS NOT NULL) x GROUP BY 1"""),
     Query("c08_use_case", lambda t: _tags_as_text(C.use_case(t.use_cases, UC)), _LIST + f" WHERE use_case_id = '{UC}'"),
     Query("c08_use_case_objects", lambda t: C.use_case_objects(t.use_case_objects, UC), f"""

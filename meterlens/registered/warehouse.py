@@ -48,9 +48,9 @@ _MART_SUMS = f"{whole('count(*)', 'query_count')}, {num('sum(dollars)', 'total_s
 _TOP = f"""SELECT statement_id, query_source_type, query_source_id, executed_by, warehouse_id, workspace_id, substr(statement_text, 1, 200) AS statement_preview,
   {whole('duration_seconds', 'duration_seconds')}, {num('dollars', 'cost')}, {num('dbus', 'dbus')}, query_profile_url, url_helper AS source_url,
   {stamp('start_time', 'start_time')}, {stamp('end_time', 'end_time')} FROM a2r WHERE {{where}} ORDER BY dollars DESC NULLS LAST, statement_id LIMIT {{n}}"""
-_BY_USER = "SELECT executed_by, query_source_type, count(*) AS n, sum(dollars) AS s, sum(dbus) AS d FROM a2r GROUP BY 1, 2 ORDER BY s DESC NULLS LAST, 1, 2 LIMIT 100"
+_BY_USER = "SELECT executed_by, query_source_type, count(*) AS n, sum(dollars) AS s, sum(dbus) AS d FROM a2r GROUP BY 1, 2"
 _BY_WH = f"""SELECT warehouse_id, {whole('count(*)', 'query_count')}, {whole('count(DISTINCT executed_by)', 'unique_users')}, sum(dollars) AS s, sum(dbus) AS d
-FROM a2r GROUP BY 1 ORDER BY s DESC, 1 LIMIT 50"""
+FROM a2r GROUP BY 1"""
 _FACTS = """SELECT warehouse_id, max(warehouse_name) AS warehouse_name, coalesce(max(warehouse_type), 'CLASSIC') AS warehouse_type, max(warehouse_size) AS warehouse_size,
   CAST(max(l.workspace_id) AS VARCHAR) AS workspace_id, max(workspace_name) AS workspace_name FROM wh_log l LEFT JOIN ws ON l.workspace_id = ws.workspace_id GROUP BY 1"""
 _TYPE_SERIES = """SELECT c.usage_date AS date, coalesce(k.t, 'CLASSIC') AS warehouse_type, sum(c.spend) AS s FROM sql_cost c
@@ -84,8 +84,8 @@ def _efficiency(t):
     return R.warehouse_efficiency(share_mart(t), utilized_mart(t), *E, min_cost=10.0)
 
 
-def _warehouses(t):
-    return R.by_warehouse_enriched(share_mart(t), t.warehouses, t.workspaces, *E)
+def _warehouses(t, limit=None):
+    return R.by_warehouse_enriched(share_mart(t), t.warehouses, t.workspaces, *E, limit=limit)
 
 
 _ORIGIN_SUMS = f"{whole('count(*)', 'query_count')}, {num('sum(cost)', 'total_spend')}, {num('sum(dbus)', 'total_dbus')}"
@@ -188,8 +188,8 @@ WHERE greatest(start_at, d) < least(end_at, d + INTERVAL 1 DAY)"""),
     Query("a06_by_source", lambda t: R.by_source(share_mart(t), *E),
           f"SELECT query_source_type, {_MART_SUMS}, {num('avg(dollars)', 'avg_cost_per_query')} FROM a2r GROUP BY 1"),
     Query("a07_by_user", lambda t: R.by_user(share_mart(t), *E),
-          f"SELECT executed_by, query_source_type, {whole('n', 'query_count')}, {num('s', 'total_spend')}, {num('d', 'total_dbus')} FROM ({_BY_USER}) u"),
-    Query("a07b_top_users", lambda t: R.top_users(R.by_user(share_mart(t), *E)),
+          f"SELECT executed_by, query_source_type, {whole('n', 'query_count')}, {num('s', 'total_spend')}, {num('d', 'total_dbus')} FROM ({_BY_USER} ORDER BY s DESC NULLS LAST, 1, 2 LIMIT 100) u"),
+    Query("a07b_top_users", lambda t: R.top_users(R.by_user(share_mart(t), *E, limit=None)),
           f"SELECT executed_by AS \"user\", {num('sum(s)', 'total_spend')}, {whole('sum(n)', 'query_count')} FROM ({_BY_USER}) u GROUP BY 1 ORDER BY sum(s) DESC, 1 LIMIT 10"),
     Query("a08_top_queries", lambda t: R.top_queries(share_mart(t), *E, limit=50), _TOP.format(where="TRUE", n=50)),
     Query("a09_top_queries_by_source", lambda t: R.top_queries_by_source(share_mart(t), *E, "AI/BI DASHBOARD", 20),
@@ -198,7 +198,7 @@ WHERE greatest(start_at, d) < least(end_at, d + INTERVAL 1 DAY)"""),
 SELECT {whole('count(*)', 'total_queries')}, {whole('count(DISTINCT executed_by)', 'unique_users')}, {whole('count(DISTINCT warehouse_id)', 'unique_warehouses')},
   {num('sum(dollars)', 'total_spend')}, {num('sum(dbus)', 'total_dbus')}, {num('avg(dollars)', 'avg_cost_per_query')}, {num('avg(duration_seconds)', 'avg_duration_seconds')} FROM a2r"""),
     Query("a11_by_warehouse", lambda t: R.by_warehouse(share_mart(t), *E),
-          f"SELECT warehouse_id, query_count, unique_users, {num('s', 'total_spend')}, {num('d', 'total_dbus')} FROM ({_BY_WH}) w"),
+          f"SELECT warehouse_id, query_count, unique_users, {num('s', 'total_spend')}, {num('d', 'total_dbus')} FROM ({_BY_WH} ORDER BY s DESC, 1 LIMIT 50) w"),
     Query("a12_by_warehouse_enriched", _warehouses, f"""
 SELECT w.warehouse_id, query_count, unique_users, {num('s', 'total_spend')}, {num('d', 'total_dbus')}, warehouse_name, warehouse_type, warehouse_size, workspace_id, workspace_name,
   {num('coalesce(100 * s / sum(s) OVER (), 0)', 'percentage')} FROM ({_BY_WH}) w LEFT JOIN ({_FACTS}) f ON w.warehouse_id = f.warehouse_id"""),

@@ -12,15 +12,17 @@ from meterlens.session import apply_settings
 INPUTS = (
     "usage", "list_prices", "price_history", "account_prices", "query_history", "warehouse_events", "warehouses",
     "clusters", "pipelines", "jobs", "job_run_timeline", "served_entities", "workspaces", "user_groups",
-    "app_registry", "use_cases", "use_case_objects", "dashboards", "aws_bronze", "azure_bronze", "gcp_export",
+    "app_registry", "machine_prices", "estimate_prices", "use_cases", "use_case_objects", "dashboards", "aws_bronze", "azure_bronze", "gcp_export",
 )
 
 
 def available(spark: SparkSession, path: str) -> bool:
-    """Can this table be read?  A missing optional input is not an error."""
+    """Is this table there?  A missing optional input is not an error; one that cannot be read is."""
     try:
         spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True
 

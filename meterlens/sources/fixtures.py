@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from meterlens.operators.pricing import fits_broadcast
 from meterlens.session import apply_settings
 from meterlens.sources import values as V
 
@@ -58,11 +57,8 @@ class FixtureTables:
         customer = self._read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         part, line, supp = F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
         by_order, by_customer = li.l_orderkey == orders.o_orderkey, F.col("o_custkey") == F.col("c_custkey")
-        if fits_broadcast(orders):
-            joined = li.join(orders, by_order).join(customer, by_customer)
-        else:
-            # the line items are shuffled once, to meet orders that already know their customer
-            joined = li.join(orders.join(customer, by_customer), by_order)
+        # the line items meet orders that already know their customer: one shuffle of them at most
+        joined = li.join(orders.join(customer, by_customer), by_order)
         rows = (joined.withColumn("k", (part + line) % 24)
                   .withColumn("billing_origin_product", _pick([p for _, p in V.SKUS], F.col("k")))
                   .withColumn("usage_date", _usage_day(F.col("l_shipdate"))))
@@ -112,6 +108,16 @@ class FixtureTables:
             ).alias("usage_metadata"),
         )
 
+    @cached_property
+    def machine_prices(self) -> DataFrame:
+        """Hourly prices of the machine types of the cluster table."""
+        return self.spark.createDataFrame(V.MACHINE_PRICES, "cloud string, instance_type string, hourly_cost double")
+
+    @cached_property
+    def estimate_prices(self) -> DataFrame:
+        """The shorter list the AWS-only estimate knows."""
+        return self.machine_prices.filter(F.col("instance_type").isin(*V.ESTIMATE_MACHINES))
+
     def _price_row(self, k: Column, cloud: Column, extra: Column) -> list[Column]:
         def dollars(unit: str) -> Column:
             return ((k + 1).cast("decimal(4,0)") * F.lit(unit).cast("decimal(4,2)") + extra).cast("decimal(12,6)")

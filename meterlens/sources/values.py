@@ -39,6 +39,16 @@ ENDPOINTS = ["ka-support", "kie-invoices", "sales-genie", "Team-Supervisor", "ch
 # fixed values: machine types of the cluster change log, by position
 NODE_TYPES = ["i3.xlarge", "m5.2xlarge", "Standard_D8s_v3", "n2-standard-8", "r7i.4xlarge", "zz9.huge", "Standard_1x"]
 
+# fixed values: hourly prices of those machine types (cloud, type, dollars)
+MACHINE_PRICES = [
+    ("AWS", "i3.xlarge", 0.312),
+    ("AWS", "m5.2xlarge", 0.384),
+    ("AWS", "r7i.4xlarge", 1.0584),
+    ("AZURE", "Standard_D8s_v3", 0.384),
+    ("GCP", "n2-standard-8", 0.3885),
+]
+ESTIMATE_MACHINES = ["i3.xlarge", "m5.2xlarge"]
+
 # fixed values: warehouse sizes and types, by position
 WAREHOUSE_SIZES = ["Small", "Large", "X-Large", "Medium", "2X-Large"]
 WAREHOUSE_TYPES = ["PRO", "CLASSIC", "SERVERLESS"]

@@ -79,7 +79,7 @@ def test_wide_reports_discover_their_names(tables):
     assert len(table.columns) == 7
     total = sum(float(v or 0) for r in table.collect() for v in r[1:])
     assert round(total, 4) == round(sum(float(r.daily_spend) for r in daily.collect()), 4)
-    series = infra.aws_cost_series(tables.usage, tables.clusters, *W)
+    series = infra.aws_cost_series(tables.usage, tables.clusters, tables.estimate_prices, *W)
     assert infra.aws_cost_series_wide(series).columns[:2] == ["date", "total"]
     kinds = warehouse.warehouse_type_timeseries(tables.usage, tables.list_prices, tables.warehouses, *W)
     assert warehouse.series_wide(kinds, "warehouse_type").columns[0] == "date"

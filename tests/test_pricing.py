@@ -71,9 +71,13 @@ def test_both_ways_agree_on_the_test_tables(spark, tables):
     assert first == second
 
 
-def test_size_check(spark):
-    assert P.fits_broadcast(spark.range(10))
-    assert not P.fits_broadcast(spark.range(100_000_000))
+def test_small_quantities_and_prices_are_not_rounded(spark, way):
+    u = R.usage(spark, R.usage_row(qty=1), R.usage_row(qty=1)).withColumn("usage_quantity", F.lit("0.00004").cast("decimal(38,18)"))
+    assert totals(P.metered(u, R.prices(spark), *W, [])) == (0.00008, 0.00016, 2)
+    tiny = F.struct(F.lit("0.0000004").cast("decimal(38,18)").alias("default"),
+                    F.struct(F.lit("0.0000002").cast("decimal(38,18)").alias("default")).alias("effective_list"))
+    many = R.usage(spark, R.usage_row(qty=10_000_000))
+    assert totals(P.metered(many, R.prices(spark).withColumn("pricing", tiny), *W, []))[1] == 4.0
 
 
 def test_price_as_of_is_closed_at_both_ends(spark):
