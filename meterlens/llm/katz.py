@@ -35,8 +35,8 @@ BLOCK, GATHERED, PART, TEXTS = 1_000_000, 3_000_000, 400_000, 20_000
 #: A word with this share of a task's tokens may be frequent; there are at most as many frequent words as LEAST says.
 LOCAL_SHARE, LEAST = 1 / 20_000, 1 / 10_000
 
-#: Open counts of a text: tokens, known tokens, two sums of logs (of the base; of bigrams and words over MOST, less those
-#: of histories), seen bigrams by count 1..MOST and above, words of unseen bigrams by count 0..MOST and above.
+#: Open counts of a text: two sums of logs (of the base; of bigrams and words over MOST, less those of histories), tokens,
+#: known tokens, seen bigrams by count 1..MOST and above, words of unseen bigrams by count 0..MOST and above.
 COLUMNS = 4 + (MOST + 1) + (MOST + 2)
 PACKED = "kind string, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary"
 
@@ -231,7 +231,7 @@ def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np
         doc = np.concatenate([unpack(x, np.int64) for x in rows["g"]])
         train = np.concatenate([unpack(x, bool) for x in rows["h"]])
         parts = -(-sum(len(unpack(x, np.uint32)) for x in rows["e"]) // PART)
-        open_counts = np.zeros((COLUMNS, len(doc)))
+        logs, sizes = np.zeros((2, len(doc))), np.zeros((COLUMNS - 2, len(doc)), np.uint32)
         numbers = np.zeros(2 * MOST + 8, np.int64)
         out, unseen = [], []
         for part in range(parts):
@@ -249,18 +249,18 @@ def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np
             c1 = np.repeat(c_word, np.diff(np.append(word, len(w)))).astype(np.int32)
             seen = r > 0
 
-            def add(k: int, values: np.ndarray, where=slice(None)) -> None:
-                open_counts[k] += np.bincount(d[where], values[where], len(doc))
+            def add(row: np.ndarray, values: np.ndarray, where=slice(None)) -> None:
+                row += np.bincount(d[where], values[where], len(doc)).astype(row.dtype)
             log_c1 = np.log10(np.maximum(c1, 1))
-            add(0, c)
-            add(1, c * (c1 > 0))
-            add(2, c * np.log10(c1 + 0.5))
-            add(3, c * (np.where(seen, np.where(r > MOST, np.log10(np.maximum(r, 1)), 0), np.where(c1 > MOST, log_c1, 0))
-                        - np.where(w == END, 0, log_c1)))
+            add(logs[0], c * np.log10(c1 + 0.5))
+            add(logs[1], c * (np.where(seen, np.where(r > MOST, np.log10(np.maximum(r, 1)), 0), np.where(c1 > MOST, log_c1, 0))
+                              - np.where(w == END, 0, log_c1)))
+            add(sizes[0], c)
+            add(sizes[1], c * (c1 > 0))
             for k in range(1, MOST + 2):
-                add(3 + k, c, seen & (np.minimum(r, MOST + 1) == k))
+                add(sizes[1 + k], c, seen & (np.minimum(r, MOST + 1) == k))
             for k in range(MOST + 2):
-                add(4 + MOST + 1 + k, c, ~seen & (np.minimum(c1, MOST + 1) == k))
+                add(sizes[3 + MOST + k], c, ~seen & (np.minimum(c1, MOST + 1) == k))
 
             some = r_gram > 0
             big_r, big_c = r_gram[some], c1[gram][some].astype(np.int64)
@@ -273,13 +273,13 @@ def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np
                                        [c_word[plain].sum(), plain.sum()]]).astype(np.int64)
 
         out.append(("counts", 0, pack(numbers), b"", b"", b""))
-        same, sums = _summed(doc, open_counts)
-        place = (mixed(same.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-        for g in np.unique(place):
-            own = place == g
-            out.append(("doc", int(g), pack(same[own]), pack(sums[2:4, own]), pack(sums[:2, own].astype(np.uint32)),
-                        pack(sums[4:, own].astype(np.uint32))))
-        del open_counts, sums
+        place = (mixed(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        borders = np.searchsorted(place[order], np.arange(groups + 1))
+        for g in np.flatnonzero(np.diff(borders)):
+            own = order[borders[g]:borders[g + 1]]
+            out.append(("doc", int(g), pack(doc[own]), pack(logs[:, own]), pack(sizes[:2, own]), pack(sizes[2:, own])))
+        del logs, sizes
         # Occurrences of bigrams not seen in training: alpha of their history is still open.
         hu, du, cu = (np.concatenate([x[k] for x in unseen]) for k in range(3))
         spread = _is_in(frequent, hu) | (hu == START)
@@ -347,28 +347,39 @@ def constants(numbers: np.ndarray, frequent_counts: np.ndarray, texts: int) -> C
     return Constants(total, texts, words, discounts(n_gram), by_word, 1 - kept / total if total else 1.0)
 
 
+def _alphas(k: Constants, known: pd.DataFrame, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Histories of this part, sorted, and log10 of alpha(h) c(h)."""
+    names, stats = [np.zeros(0, np.uint64)], [np.zeros((2 * MOST + 2, 0), np.int64)]
+    for r in known.itertuples():
+        name = unpack48(r.a)
+        own = name % np.uint64(parts) == part
+        names.append(name[own])
+        stats.append(unpack(r.b, np.uint32 if bytes(r.c) == b"4" else np.uint64).reshape(2 * MOST + 2, -1)[:, own])
+    names, sums = _summed(np.concatenate(names), np.concatenate(stats, axis=1, dtype=np.int64, casting="unsafe"))
+    if not len(names):
+        return names, np.zeros(0)
+    alpha, count = k.alpha(sums)
+    return names, np.log10(alpha) + np.log10(count)
+
+
 def _corrections(k: Constants):
-    """Per text, log10 of alpha(h) c(h) over its bigrams not seen in training."""
+    """Per text, log10 of alpha(h) c(h) over its bigrams not seen in training; histories are taken in parts."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows[rows["kind"] == "history"]
-        names = np.concatenate([np.zeros(0, np.uint64), *[unpack48(x) for x in known["a"]]])
-        stats = [unpack(x, np.uint32 if bytes(t) == b"4" else np.uint64).reshape(2 * MOST + 2, -1).astype(np.int64)
-                 for x, t in zip(known["b"], known["c"])]
-        logs = np.zeros(0)
-        if len(names):
-            order = np.argsort(names, kind="stable")
-            names, stats = names[order], np.concatenate(stats, axis=1)[:, order]
-            first = _starts(names)
-            names, stats = names[first], np.add.reduceat(stats, first, axis=1)
-            alpha, count = k.alpha(stats)
-            logs = np.log10(alpha) + np.log10(count)
+        known, unseen = rows[rows["kind"] == "history"], rows[rows["kind"] == "unseen"]
+        parts = max(1, -(-(sum(len(unpack48(x)) for x in known["a"]) + sum(len(unpack48(x)) for x in unseen["a"])) // PART))
         docs, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for r in rows[rows["kind"] == "unseen"].itertuples():
-            h = np.repeat(unpack48(r.a), unpack(r.b, np.uint32))
-            if len(names):
+        for part in range(parts):
+            names, logs = _alphas(k, known, part, parts)
+            if not len(names):
+                continue
+            for r in unseen.itertuples():
+                h = unpack48(r.a)
                 at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-                docs.append(unpack(r.c, np.int64))
-                sums.append(np.where(names[at] == h, logs[at], 0) * unpack(r.d, np.uint32))
+                found = names[at] == h
+                per_history = unpack(r.b, np.uint32)
+                own = np.repeat(found, per_history)
+                docs.append(unpack(r.c, np.int64)[own])
+                sums.append(np.repeat(logs[at[found]], per_history[found]) * unpack(r.d, np.uint32)[own])
         doc, at = np.unique(np.concatenate(docs), return_inverse=True)
         return pd.DataFrame({"key": doc, "more": np.bincount(at, np.concatenate(sums), len(doc)) if len(doc) else np.zeros(0)})
     return run
