@@ -31,7 +31,7 @@ MOST, KEPT = 5, 0.999
 #: Words are told apart by 48 bits of their hash.  The end of a text is a word, its start a history.
 END, START = 1, 2
 #: Tokens of one packed block, tokens one task should gather and take at a time, texts of one group at the end.
-BLOCK, GATHERED, PART, TEXTS = 1_000_000, 3_000_000, 400_000, 20_000
+BLOCK, GATHERED, PART, TEXTS = 600_000, 3_000_000, 250_000, 20_000
 #: A word with this share of a task's tokens may be frequent; there are at most as many frequent words as LEAST says.
 LOCAL_SHARE, LEAST = 1 / 20_000, 1 / 10_000
 
@@ -39,6 +39,8 @@ LOCAL_SHARE, LEAST = 1 / 20_000, 1 / 10_000
 #: known tokens, seen bigrams by count 1..MOST and above, words of unseen bigrams by count 0..MOST and above.
 COLUMNS = 4 + (MOST + 1) + (MOST + 2)
 PACKED = "kind string, bucket int, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary"
+PACKED_ARROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in "abcdefgh"]])
+CORRECTIONS_ARROW = pa.schema([("key", pa.int64()), ("more", pa.float64())])
 
 
 def pack(array: np.ndarray) -> bytes:
@@ -60,6 +62,22 @@ def unpack48(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def packed_rows(rows: pd.DataFrame, columns: str):
+    """The packed arrays of some columns, row by row."""
+    return zip(*[rows[c] for c in columns])
+
+
+def in_arrow(run, schema: pa.Schema):
+    """``run`` over a group that stays where Arrow holds it: cells are buffers, not copies of them."""
+    def of_table(table: pa.Table) -> pa.Table:
+        cells = {c: [v.as_buffer() for v in table[c]] for c in "abcdefgh"}
+        out = run(pd.DataFrame({"kind": table["kind"].to_pylist(), **cells}, dtype=object))
+        out = pa.Table.from_pandas(out, schema, preserve_index=False)
+        pa.default_memory_pool().release_unused()
+        return out
+    return of_table
+
+
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words with one end per text, the word before each (or the start), and the text each is in."""
     words = Words(text, SPACED)
@@ -80,6 +98,11 @@ def _texts(batch: pd.DataFrame) -> pa.Array:
     return pa.array(batch["text"].tolist(), pa.string())
 
 
+def _merged(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    words, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return words, np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64)
+
+
 def _frequent(batches):
     """Words that may be frequent, with their counts in this task; and, as word 0, its tokens."""
     found, size = [], 0
@@ -87,9 +110,10 @@ def _frequent(batches):
         w = tokens(_texts(batch))[0]
         size += len(w)
         found.append(np.unique(w, return_counts=True))
+        if len(found) > 16:
+            found = [_merged(found)]
     if found:
-        words, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([f[1] for f in found])).astype(np.int64)
+        words, counts = _merged(found)
         some = counts >= LOCAL_SHARE * size
         yield pd.DataFrame({"w": np.append(words[some].astype(np.int64), 0), "n": np.append(counts[some], size)})
 
@@ -176,15 +200,15 @@ def _blocks(buckets: int, frequent: np.ndarray):
 def _part(rows: pd.DataFrame, part: int, parts: int) -> tuple[np.ndarray, ...]:
     """Word, word before, text and count of every occurrence whose word falls in this part, sorted by the words."""
     found, first = [], 0
-    for r in rows.itertuples():
-        words, per_word, per_gram = unpack48(r.a), unpack(r.b, np.uint32), unpack(r.d, np.uint32)
+    for a, b, c, d, e, f, h in packed_rows(rows, "abcdefh"):
+        words, per_word, per_gram = unpack48(a), unpack(b, np.uint32), unpack(d, np.uint32)
         words = np.repeat(words, per_word)
         own = words % np.uint64(parts) == part
         entries = np.repeat(own, per_gram)
-        found.append((np.repeat(words[own], per_gram[own]), np.repeat(unpack48(r.c)[own], per_gram[own]),
-                      (unpack(r.e, np.uint32)[entries] + np.uint32(first)).astype(np.int32),
-                      unpack(r.f, np.uint32)[entries].astype(np.int32)))
-        first += len(unpack(r.h, bool))
+        found.append((np.repeat(words[own], per_gram[own]), np.repeat(unpack48(c)[own], per_gram[own]),
+                      (unpack(e, np.uint32)[entries] + np.uint32(first)).astype(np.int32),
+                      unpack(f, np.uint32)[entries].astype(np.int32)))
+        first += len(unpack(h, bool))
     w, h, d, c = (np.concatenate([f[k] for f in found]) for k in range(4))
     del found
     order = np.lexsort((h, w))
@@ -228,9 +252,9 @@ def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np
     Words are taken in parts of about PART occurrences, since all that is computed here is per word or adds up.
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        doc = np.concatenate([unpack(x, np.int64) for x in rows["g"]])
-        train = np.concatenate([unpack(x, bool) for x in rows["h"]])
-        parts = -(-sum(len(unpack(x, np.uint32)) for x in rows["e"]) // PART)
+        doc = np.concatenate([unpack(x, np.int64) for x, in packed_rows(rows, "g")])
+        train = np.concatenate([unpack(x, bool) for x, in packed_rows(rows, "h")])
+        parts = -(-sum(len(unpack(x, np.uint32)) for x, in packed_rows(rows, "e")) // PART)
         logs, sizes = np.zeros((2, len(doc))), np.zeros((COLUMNS - 2, len(doc)), np.uint32)
         numbers = np.zeros(2 * MOST + 8, np.int64)
         out, unseen = [], []
@@ -350,11 +374,11 @@ def constants(numbers: np.ndarray, frequent_counts: np.ndarray, texts: int) -> C
 def _alphas(k: Constants, known: pd.DataFrame, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Histories of this part, sorted, and log10 of alpha(h) c(h)."""
     names, stats = [np.zeros(0, np.uint64)], [np.zeros((2 * MOST + 2, 0), np.int64)]
-    for r in known.itertuples():
-        name = unpack48(r.a)
+    for a, b, c in packed_rows(known, "abc"):
+        name = unpack48(a)
         own = name % np.uint64(parts) == part
         names.append(name[own])
-        stats.append(unpack(r.b, np.uint32 if bytes(r.c) == b"4" else np.uint64).reshape(2 * MOST + 2, -1)[:, own])
+        stats.append(unpack(b, np.uint32 if bytes(c) == b"4" else np.uint64).reshape(2 * MOST + 2, -1)[:, own])
     names, sums = _summed(np.concatenate(names), np.concatenate(stats, axis=1, dtype=np.int64, casting="unsafe"))
     if not len(names):
         return names, np.zeros(0)
@@ -365,23 +389,24 @@ def _alphas(k: Constants, known: pd.DataFrame, part: int, parts: int) -> tuple[n
 def _corrections(k: Constants):
     """Per text, log10 of alpha(h) c(h) over its bigrams not seen in training; histories are taken in parts."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known, unseen = rows[rows["kind"] == "history"], rows[rows["kind"] == "unseen"]
-        parts = max(1, -(-(sum(len(unpack48(x)) for x in known["a"]) + sum(len(unpack48(x)) for x in unseen["a"])) // PART))
+        known, unseen = (rows[rows["kind"] == kind] for kind in ("history", "unseen"))
+        parts = max(1, -(-sum(len(unpack48(x)) for x, in packed_rows(rows, "a")) // PART))
         docs, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
         for part in range(parts):
             names, logs = _alphas(k, known, part, parts)
             if not len(names):
                 continue
-            for r in unseen.itertuples():
-                h = unpack48(r.a)
+            for a, b, c, d in packed_rows(unseen, "abcd"):
+                h = unpack48(a)
                 at = np.minimum(np.searchsorted(names, h), len(names) - 1)
                 found = names[at] == h
-                per_history = unpack(r.b, np.uint32)
+                per_history = unpack(b, np.uint32)
                 own = np.repeat(found, per_history)
-                docs.append(unpack(r.c, np.int64)[own])
-                sums.append(np.repeat(logs[at[found]], per_history[found]) * unpack(r.d, np.uint32)[own])
+                docs.append(unpack(c, np.int64)[own])
+                sums.append(np.repeat(logs[at[found]], per_history[found]) * unpack(d, np.uint32)[own])
         doc, at = np.unique(np.concatenate(docs), return_inverse=True)
-        return pd.DataFrame({"key": doc, "more": np.bincount(at, np.concatenate(sums), len(doc)) if len(doc) else np.zeros(0)})
+        more = np.bincount(at, np.concatenate(sums), len(doc)) if len(doc) else np.zeros(0)
+        return pd.DataFrame({"key": doc, "more": more})
     return run
 
 
@@ -434,14 +459,14 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     groups = max(1, -(-n_texts // TEXTS))
     blocks = rows.select("key", "train", "text").mapInPandas(_blocks(buckets, frequent), PACKED)
-    open_sums = stored(blocks.groupBy("bucket").applyInPandas(_gather(buckets, groups, frequent, counts), PACKED), "open")
+    open_sums = stored(blocks.groupBy("bucket").applyInArrow(in_arrow(_gather(buckets, groups, frequent, counts), PACKED_ARROW), PACKED), "open")
     numbers = np.zeros(2 * MOST + 8, np.int64)
     for r in open_sums.where("kind = 'counts'").select("a").toLocalIterator():
         numbers += unpack(r.a, np.int64)
     k = constants(numbers, counts, n_train)
 
     more = (open_sums.where("kind IN ('history', 'unseen')").groupBy("bucket")
-            .applyInPandas(_corrections(k), "key long, more double").groupBy("key").agg(F.sum("more").alias("more")))
+            .applyInArrow(in_arrow(_corrections(k), CORRECTIONS_ARROW), "key long, more double").groupBy("key").agg(F.sum("more").alias("more")))
     totals = (open_sums.where("kind = 'doc'").groupBy("bucket")
               .applyInPandas(_totals(k), "key long, n_tokens long, n_known long, base double, part double"))
     same = texts.groupBy("key").agg(F.count("*").alias("copies"))
