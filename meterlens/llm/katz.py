@@ -387,7 +387,10 @@ def _alphas(k: Constants, known: pd.DataFrame, part: int, parts: int) -> tuple[n
 
 
 def _corrections(k: Constants):
-    """Per text, log10 of alpha(h) c(h) over its bigrams not seen in training; histories are taken in parts."""
+    """Key of the text and log10 of alpha(h) c(h) for its bigrams not seen in training; histories are taken in parts.
+
+    One row per text and history: Spark adds them up per text, first within a task.
+    """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         known, unseen = (rows[rows["kind"] == kind] for kind in ("history", "unseen"))
         parts = max(1, -(-sum(len(unpack48(x)) for x, in packed_rows(rows, "a")) // PART))
@@ -404,9 +407,7 @@ def _corrections(k: Constants):
                 own = np.repeat(found, per_history)
                 docs.append(unpack(c, np.int64)[own])
                 sums.append(np.repeat(logs[at[found]], per_history[found]) * unpack(d, np.uint32)[own])
-        doc, at = np.unique(np.concatenate(docs), return_inverse=True)
-        more = np.bincount(at, np.concatenate(sums), len(doc)) if len(doc) else np.zeros(0)
-        return pd.DataFrame({"key": doc, "more": more})
+        return pd.DataFrame({"key": np.concatenate(docs), "more": np.concatenate(sums)})
     return run
 
 
@@ -459,14 +460,16 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     groups = max(1, -(-n_texts // TEXTS))
     blocks = rows.select("key", "train", "text").mapInPandas(_blocks(buckets, frequent), PACKED)
-    open_sums = stored(blocks.groupBy("bucket").applyInArrow(in_arrow(_gather(buckets, groups, frequent, counts), PACKED_ARROW), PACKED), "open")
+    gathered = in_arrow(_gather(buckets, groups, frequent, counts), PACKED_ARROW)
+    open_sums = stored(blocks.groupBy("bucket").applyInArrow(gathered, PACKED), "open")
     numbers = np.zeros(2 * MOST + 8, np.int64)
     for r in open_sums.where("kind = 'counts'").select("a").toLocalIterator():
         numbers += unpack(r.a, np.int64)
     k = constants(numbers, counts, n_train)
 
     more = (open_sums.where("kind IN ('history', 'unseen')").groupBy("bucket")
-            .applyInArrow(in_arrow(_corrections(k), CORRECTIONS_ARROW), "key long, more double").groupBy("key").agg(F.sum("more").alias("more")))
+            .applyInArrow(in_arrow(_corrections(k), CORRECTIONS_ARROW), "key long, more double")
+            .groupBy("key").agg(F.sum("more").alias("more")))
     totals = (open_sums.where("kind = 'doc'").groupBy("bucket")
               .applyInPandas(_totals(k), "key long, n_tokens long, n_known long, base double, part double"))
     same = texts.groupBy("key").agg(F.count("*").alias("copies"))
