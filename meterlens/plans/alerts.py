@@ -79,20 +79,22 @@ def day_breakdown(usage: DataFrame, prices: DataFrame, usage_date: str, dimensio
 
 def alert_details(usage: DataFrame, prices: DataFrame, usage_date: str, previous_date: str | None = None,
                   limit: int = LISTED_OBJECTS) -> DataFrame:
-    """N4 for all three dimensions, for the day and its previous day, from one scan of those days."""
+    """N4 for all three dimensions, for the day and its previous day, from one scan of those days.
+
+    Records are collapsed before each row is counted for its three dimensions.
+    """
     days = [d for d in (usage_date, previous_date) if d is not None]
-    cluster = _dimension("cluster_id")
+    dimensions = ("sku_name", "cluster_id", "workspace_id")
 
     def entry(dimension: str) -> Column:
-        key = _dimension(dimension)
-        row = F.struct(F.lit(dimension).alias("dimension"), key.cast("string").alias("key"))
-        return F.when(cluster.isNotNull(), row) if dimension == "cluster_id" else row
-    entries = F.array(*[entry(d) for d in ("sku_name", "cluster_id", "workspace_id")])
-    rows = (usage.filter(F.col("usage_date").isin(*[date.fromisoformat(d) for d in days]))
-            .select("*", F.explode(entries).alias("e")).filter(F.col("e").isNotNull()))
+        row = F.struct(F.lit(dimension).alias("dimension"), F.col(dimension).cast("string").alias("key"))
+        return F.when(F.col("cluster_id").isNotNull(), row) if dimension == "cluster_id" else row
     period = F.when(F.col("usage_date") == day(usage_date), "current").otherwise("previous").alias("period")
+    collapsed = metered(usage, prices, min(days), max(days), [period, *[_dimension(d).alias(d) for d in dimensions]],
+                        F.col("usage_date").isin(*[date.fromisoformat(d) for d in days]))
     keys = ["period", "dimension", "key"]
-    grouped = (metered(rows, prices, min(days), max(days), [period, F.col("e.dimension").alias("dimension"), F.col("e.key").alias("key")])
+    grouped = (collapsed.select("period", "dbus", "spend", F.explode(F.array(*map(entry, dimensions))).alias("e"))
+               .filter(F.col("e").isNotNull()).select("period", "e.*", "dbus", "spend")
                .groupBy(*keys).agg(F.sum("dbus").alias("dbus"), F.sum("spend").alias("spend")))
     # the id breaks ties as in the report of one dimension, where workspaces sort as numbers
     number = F.when(F.col("dimension") == "workspace_id", F.col("key").cast("long"))

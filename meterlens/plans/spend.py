@@ -87,19 +87,19 @@ def by_product_fast(usage: DataFrame, prices: DataFrame, start: str, end: str) -
 def by_workspace(usage: DataFrame, prices: DataFrame, workspaces: DataFrame | None, start: str, end: str) -> DataFrame:
     """Workspaces with their three largest products and users (largest first), and the K25 flag.
 
-    Totals, products and users come from one scan: a record gives a row to its
-    workspace, one to its product and one to its user.  Only three names per
-    workspace are ever collected.
+    Totals, products and users come from one scan: records are collapsed first,
+    and a collapsed row counts for its workspace, its product and its user.
+    Only three names per workspace are ever collected.
     """
-    product, user = F.col("billing_origin_product"), F.col("identity_metadata.run_as")
+    product, user = F.col("billing_origin_product"), F.col("run_as")
 
     def entry(kind: str, name: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), name.alias("name"))
     entries = F.array(entry("total", F.lit(None).cast("string")), F.when(product.isNotNull(), entry("product", product)),
                       F.when(user != "", entry("user", user)))
-    rows = usage.select("*", F.explode(entries).alias("e")).filter(F.col("e").isNotNull())
-    grouped = (metered(rows, prices, start, end, ["workspace_id", F.col("e.kind").alias("kind"), F.col("e.name").alias("name")])
-               .groupBy("workspace_id", "kind", "name").agg(*totals()))
+    rows = metered(usage, prices, start, end, ["workspace_id", "billing_origin_product", run_as()])
+    grouped = (rows.select("workspace_id", "dbus", "spend", F.explode(entries).alias("e")).filter(F.col("e").isNotNull())
+               .groupBy("workspace_id", F.col("e.kind").alias("kind"), F.col("e.name").alias("name")).agg(*totals()))
     rank = F.row_number().over(W.partitionBy("workspace_id", "kind").orderBy(F.desc("total_spend"), "name"))
     kept = grouped.withColumn("rank", rank).filter(F.col("rank") <= 3)
 

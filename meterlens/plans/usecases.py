@@ -15,15 +15,15 @@ DETAIL = ["use_case_id", "name", "description", "owner", "created_at", "updated_
           "start_date", "end_date", "live_date"]
 
 
-def object_usage(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
-    """Spend per day and combination of object ids, one row per usage combination."""
+def object_usage(usage: DataFrame, prices: DataFrame, start: str, end: str, per_day: bool = True) -> DataFrame:
+    """Spend per combination of object ids, and per day unless only totals are asked for."""
     where = None
     for _, column in OBJECT_COLUMNS:
         present = F.col(f"usage_metadata.{column}").isNotNull()
         where = present if where is None else where | present
-    rows = metered(usage, prices, start, end, ["usage_date", *[meta(c) for _, c in OBJECT_COLUMNS]], where)
-    ids = [c for _, c in OBJECT_COLUMNS]
-    return rows.groupBy("usage_date", *ids).agg(F.sum("dbus").alias("dbus"), F.sum("spend").alias("spend"))
+    ids = [meta(c) for _, c in OBJECT_COLUMNS]
+    rows = metered(usage, prices, start, end, ["usage_date", *ids] if per_day else ids, where)
+    return rows.drop("records", "effective_spend")
 
 
 def _matches(rows: DataFrame, objects: DataFrame, custom_dates: bool = False) -> DataFrame:
@@ -96,14 +96,13 @@ def by_object_type(rows: DataFrame) -> DataFrame:
 def all_use_cases(usage: DataFrame, prices: DataFrame, use_cases: DataFrame, objects: DataFrame, start: str, end: str) -> DataFrame:
     """All active use cases in one pass instead of one query per case; cases without spend show 0.
 
-    Days are folded before the mapping, as only totals are shown.
+    Only totals are shown, so the bill is grouped without its days; objects of other cases are left out beforehand.
     """
     active = use_cases.filter(F.col("status") == "active").select(
         "use_case_id", "name", "owner", F.coalesce("stage", F.lit("Development")).alias("stage"))
-    ids = [c for _, c in OBJECT_COLUMNS]
-    rows = (object_usage(usage, prices, start, end).groupBy(*ids)
-            .agg(F.sum("dbus").alias("dbus"), F.sum("spend").alias("spend")).withColumn("usage_date", F.lit(None).cast("date")))
-    spent = (_matches(rows, objects).groupBy("use_case_id", "object_type", "object_id")
+    rows = object_usage(usage, prices, start, end, per_day=False).withColumn("usage_date", F.lit(None).cast("date"))
+    shown = objects.join(active.select("use_case_id"), "use_case_id", "left_semi")
+    spent = (_matches(rows, shown).groupBy("use_case_id", "object_type", "object_id")
              .agg(F.sum("spend").alias("s"), F.sum("dbus").alias("d"))
              .groupBy("use_case_id").agg(F.round(F.sum("s").cast("double"), 2).alias("total_spend"),
                                          F.round(F.sum("d").cast("double"), 2).alias("total_dbus"),
@@ -120,15 +119,25 @@ CATALOGUE = {
 }
 
 
-def object_catalogue(usage: DataFrame, object_type: str, as_of: str, days: int = 90, limit: int = 100) -> DataFrame:
-    """C4: objects seen in recent usage."""
+def _page(rows: DataFrame, keys: list[str], limit: int | None, after: tuple | None) -> DataFrame:
+    """Rows in order of ``keys``, beginning behind ``after``, the keys of the last row of the page before."""
+    if after is not None:
+        last = F.struct(*[F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)])
+        rows = rows.filter(F.struct(*keys) > last)
+    ordered = rows.orderBy(*keys)
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def object_catalogue(usage: DataFrame, object_type: str, as_of: str, days: int = 90, limit: int | None = 100,
+                     after: tuple | None = None) -> DataFrame:
+    """C4: a page of the objects seen in recent usage; ``after`` is (object_id, object_name, workspace_id)."""
     ident, names = CATALOGUE[object_type]
     rows = usage.filter((F.col("usage_date") >= F.date_sub(day(as_of), days)) & (F.col("usage_quantity") > 0)
                         & F.col(f"usage_metadata.{ident}").isNotNull())
     found = rows.select(F.col(f"usage_metadata.{ident}").alias("object_id"),
                         F.coalesce(*[F.col(f"usage_metadata.{n}") for n in names]).alias("object_name"), "workspace_id",
                         F.lit(object_type).alias("object_type")).distinct()
-    return found.orderBy("object_id", "object_name", "workspace_id").limit(limit)
+    return _page(found, ["object_id", "object_name", "workspace_id"], limit, after)
 
 
 def query_catalogue(history: DataFrame, as_of: str, days: int = 30, limit: int = 100) -> DataFrame:
@@ -141,12 +150,12 @@ def query_catalogue(history: DataFrame, as_of: str, days: int = 30, limit: int =
             .select(F.col("statement_id").alias("object_id"), "object_name", "workspace_id", F.lit("query").alias("object_type")))
 
 
-def dashboard_catalogue(dashboards: DataFrame, limit: int = 100) -> DataFrame:
-    """C5, second result."""
+def dashboard_catalogue(dashboards: DataFrame, limit: int | None = 100, after: tuple | None = None) -> DataFrame:
+    """C5, second result: a page of the dashboards; ``after`` is (object_name, object_id, workspace_id)."""
     rows = dashboards.filter(F.col("dashboard_id").isNotNull()).select(
         F.col("dashboard_id").alias("object_id"), F.col("name").alias("object_name"), "workspace_id",
         F.lit("dashboard").alias("object_type")).distinct()
-    return rows.orderBy("object_name", "object_id").limit(limit)
+    return _page(rows, ["object_name", "object_id", "workspace_id"], limit, after)
 
 
 def use_case_list(use_cases: DataFrame, status: str | None = None, stage: str | None = None) -> DataFrame:
