@@ -7,7 +7,7 @@ import pytest
 import rows as R
 from conftest import SMALL
 from meterlens.functions.shape import listed_values, one_row, share_of_total
-from meterlens.plans import aiml, apps, health, infra, spend, tags, users, warehouse
+from meterlens.plans import aiml, apps, health, infra, spend, tags, usecases, users, warehouse
 from meterlens.registered.all import all_queries
 from meterlens.sources.fixtures import FixtureTables
 
@@ -110,6 +110,16 @@ def test_a_key_with_many_values_is_split_and_complete(spark):
     assert len({v for vs in hot for v in vs}) == 990 and [len(r.vs) for r in out if r.k == "cold"] == [10]
 
 
+def test_pages_of_a_catalogue_join_up(tables):
+    keys = ["object_id", "object_name", "workspace_id"]
+    whole = [tuple(r[k] for k in keys) for r in usecases.object_catalogue(tables.usage, "job", W[1], limit=None).collect()]
+    size, found, last = -(-len(whole) // 3), [], None
+    while page := [tuple(r[k] for k in keys) for r in usecases.object_catalogue(tables.usage, "job", W[1], limit=size, after=last).collect()]:
+        found += page
+        last = page[-1]
+    assert len(whole) > 100 and found == whole
+
+
 def test_exact_median_of_durations(spark):
     rows = [R.query_row(f"q{i}", "2024-01-01 05:00:00", s) for i, s in enumerate([1, 2, 2, 3, 9, 9, 9, 9, 9, 9, 1, 1])]
     log = spark.createDataFrame([("w1", "W", "Large", 1, "PRO", 1)], "warehouse_id string, warehouse_name string, warehouse_size string, workspace_id bigint, warehouse_type string, change_time int")
