@@ -103,4 +103,10 @@ SELECT (SELECT {num('sum(CASE WHEN driver IS NOT NULL OR worker IS NOT NULL THEN
           f"SELECT {DBUS}, {num(f'CAST(sum(spend) AS DOUBLE) * (SELECT m FROM ({_MULTIPLIER}) x)', 'total_spend')} FROM pu"),
     Query("v05_products_at_account_prices", lambda t: P.apply_multiplier(S.by_product_fast(t.usage, t.list_prices, *W), _multiplier(t), ["total_spend"]),
           f"SELECT {L.CATEGORY} AS product_category, {DBUS}, {num(f'CAST(sum(spend) AS DOUBLE) * (SELECT m FROM ({_MULTIPLIER}) x)', 'total_spend')}, {whole('count(DISTINCT workspace_id)', 'workspace_count')} FROM pu GROUP BY 1"),
+    Query("v05_series_at_account_prices", lambda t: P.apply_multiplier(S.timeseries_fast(t.usage, t.list_prices, *W), _multiplier(t), ["total_spend"]),
+          f"SELECT usage_date, {L.SERIES} AS product_category, {DBUS}, {num(f'CAST(sum(spend) AS DOUBLE) * (SELECT m FROM ({_MULTIPLIER}) x)', 'total_spend')} FROM pu GROUP BY 1, 2"),
+    Query("v05_workspaces_at_account_prices", lambda t: P.apply_multiplier(
+        S.by_workspace(t.usage, t.list_prices, t.workspaces, *W).select("workspace_id", "workspace_name", "total_dbus", "total_spend"), _multiplier(t), ["total_spend"]),
+          f"""SELECT t.*, w.workspace_name FROM (SELECT workspace_id, {DBUS}, {num(f'CAST(sum(spend) AS DOUBLE) * (SELECT m FROM ({_MULTIPLIER}) x)', 'total_spend')} FROM pu GROUP BY 1) t
+LEFT JOIN ws w ON t.workspace_id = w.workspace_id"""),
 ]
