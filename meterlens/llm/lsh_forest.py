@@ -6,7 +6,9 @@ read from another position on.  Nodes that share the first three values of a tre
 order form a region; regions with many nodes go deeper until they are small.  Nodes
 near each other in a region's order are candidates; their full sets are compared, and
 verified links are joined into components.  Candidates between components that no
-verified link has joined are then taken from whole regions, and compared too.
+verified link has joined are then taken from whole regions, and compared too.  At last
+every region of the first depth that was too large is compared whole: all its pairs of
+different components, block by block, on full sets.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ DEPTHS, REGION = (3, 4, 6, 8, 12, 16), 64
 NEAR, FAR = 2, REGION - 1
 #: Agreeing values below which a pair cannot have the wanted similarity (about 4.5 standard errors below 0.75).
 LEAST_AGREEMENT = 0.55
+#: Nodes, and shingles of all of them, about which a block of a crowded region has; shingles counted at a time.
+BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 1024, 1_000_000, 4096
 
 _FACTORS = mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -77,14 +81,14 @@ def _read_from(tree: Column, depth: int, first: int = 0) -> Column:
     return F.slice(round_trip, tree * STRIDE + 1 + first, F.lit(depth - first))
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """(key, tail, node) of all regions with two nodes or more; ``tail`` orders a region.
+def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, tail, node) of all regions with two nodes or more, where ``tail`` orders a region; (key, node) of crowded ones.
 
-    Whatever is still too large at the last depth - nodes of almost equal signatures - is dealt into blocks at
+    A crowded region has more than REGION nodes at the first depth.  Whatever is still too large at the last depth - nodes of almost equal signatures - is dealt into blocks at
     random, differently in each tree.
     """
     rows = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    out = None
+    out = crowded = None
     for depth in DEPTHS:
         keyed = rows.select("node", "tree", F.xxhash64("tree", F.lit(depth), _read_from(F.col("tree"), depth)).alias("key"))
         counts = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -97,11 +101,13 @@ def regions(nodes: DataFrame) -> DataFrame:
                            F.lit(depth).alias("depth"))
         out = done if out is None else out.unionByName(done)
         large = shared.where(F.col("size") > REGION)
+        crowded = large.select("key", "node") if crowded is None else crowded
         if last or large.isEmpty():
             break
         rows = large.select("node", "tree").join(nodes.select("node", "signature"), "node")
     tails = F.concat(*[F.when(F.col("depth") == d, _read_from(F.col("tree"), d + 4, d)).otherwise(F.array()) for d in DEPTHS])
-    return out.join(nodes, "node").select("key", tails.alias("tail"), "node", "n", _packed("signature").alias("sketch"))
+    found = out.join(nodes, "node").select("key", tails.alias("tail"), "node", "n", _packed("signature").alias("sketch"))
+    return found, crowded
 
 
 def _packed(signature: str) -> Column:
@@ -160,6 +166,97 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("_common") >= percent * (F.size("s") + F.size("t") - F.col("_common"))).select("x", "y"))
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``."""
+    flat = [np.concatenate(sets) for sets in (a, b)]
+    owner = [np.repeat(np.arange(len(sets)), [len(s) for s in sets]) for sets in (a, b)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return out
+    at = [np.searchsorted(both, f) for f in flat]
+    hit = [both[np.minimum(i, len(both) - 1)] == f for i, f in zip(at, flat)]
+    at, owner = [i[h] for i, h in zip(at, hit)], [o[h] for o, h in zip(owner, hit)]
+    for first in range(0, len(both), COLUMNS):
+        parts = []
+        for i, o, sets in zip(at, owner, (a, b)):
+            here = (i >= first) & (i < first + COLUMNS)
+            part = np.zeros((len(sets), min(COLUMNS, len(both) - first)), np.float32)
+            part[o[here], i[here] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _spanning(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """As few places of ``linked`` as join the groups ``a`` of its rows and ``b`` of its columns as all do."""
+    names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, out = np.arange(len(names)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    while True:
+        top = np.array([root(x) for x in range(len(names))])[where]
+        linked = linked & (top[:len(a), None] != top[None, len(a):])
+        rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        if not len(rows):
+            return out
+        for i, j in [*zip(rows, linked[rows].argmax(1)), *zip(linked[:, columns].argmax(0), columns)]:
+            x, y = root(where[i]), root(where[len(a) + j])
+            if x != y:
+                parent[x] = y
+                out.append((int(i), int(j)))
+
+
+def _compare_blocks(percent: int):
+    """Links between two blocks of a region, or within one, as far as they join groups."""
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        node, group, own = (rows[c].to_numpy() for c in ("node", "group", "own"))
+        lists = rows["shingles"].chunk(0)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [flat[s:e] for s, e in zip(at[:-1], at[1:])]
+        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        one, other = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        pairs = []
+        if len(one) and len(other):
+            common = _common([sets[i] for i in one], [sets[i] for i in other]).astype(np.int64)
+            n = np.diff(at).astype(np.int64)
+            linked = 100 * common >= percent * (n[one][:, None] + n[other][None, :] - common)
+            pairs = [sorted((int(node[one[i]]), int(node[other[j]]))) for i, j in _spanning(linked, group[one], group[other])]
+        return pa.table({"x": pa.array([p[0] for p in pairs], pa.int64()), "y": pa.array([p[1] for p in pairs], pa.int64())})
+    return run
+
+
+def crowded_links(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links x < y that join components as all links within the crowded regions (key, node) do.
+
+    Nodes of a region's largest component are compared with its other nodes only, and these with each other too.
+    Both are dealt into blocks, and each pair of blocks is a group of its own.
+    """
+    grouped = crowded.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("group"))
+    grouped = stored(grouped.join(sets.select("node", F.size("shingles").alias("n")), "node"), "crowded")
+    parts = grouped.groupBy("key", "group").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
+    sums = parts.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("group", F.struct("n", "group")).alias("major"),
+                                    F.max(F.struct("n", "group", "nodes")).alias("most"), F.sum("nodes").alias("nodes"), F.sum("n").alias("n"))
+
+    def blocks(nodes: Column, n: Column) -> Column:
+        return F.greatest(F.ceil(nodes / BLOCK_NODES), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    sums = sums.where("groups > 1").select(
+        "key", "major", blocks(F.col("nodes") - F.col("most.nodes"), F.col("n") - F.col("most.n")).alias("rest"),
+        blocks(F.col("most.nodes"), F.col("most.n")).alias("of_major"))
+    is_major, deal = F.col("group") == F.col("major"), F.xxhash64("node", "key", F.lit("block"))
+    own = F.when(is_major, F.col("rest") + F.pmod(deal, F.col("of_major"))).otherwise(F.pmod(deal, F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(is_major, F.col("rest") - 1).otherwise(F.col("rest") + F.col("of_major") - 1))
+    dealt = (grouped.join(sums, "key").withColumn("own", own).withColumn("other", F.explode(others))
+             .select("node", "key", "group", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    dealt = dealt.join(sets, "node")
+    return dealt.groupBy("key", "low", "high").applyInArrow(_compare_blocks(percent), "x long, y long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every linked node; the label is the smallest node reachable.
 
@@ -186,7 +283,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked with nothing and keeps its own id.  Rows may repeat and ids may repeat or be null: a null id counts
     as larger than any other, and ``kept`` compares it null-safely.  An empty table gives an empty result.
 
-    Work per node is bounded: every node has at most 2 * FAR neighbours in each of the TREES orders.
+    Two nodes are compared if any of the TREES orders has them in one region.  Candidate rows are bounded, at most
+    2 * FAR a node and tree; nodes of a crowded region that are not yet in its largest component are compared with
+    all of the region, and only links that join components leave the task.
     """
     prepared(df.sparkSession)
     sketch = F.arrow_udf(_sketches, "struct<n:bigint,node:bigint,signature:array<int>>")(F.col(text_col))
@@ -194,9 +293,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = stored(docs.where("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
 
-    found = stored(regions(nodes.select("node", "n", "signature")), "regions")
+    found, crowded = regions(nodes.select("node", "n", "signature"))
+    found = stored(found, "regions")
     first = stored(_candidates(found.withColumn("group", F.col("node")), NEAR, percent, wanted=True), "candidates")
-    wanted = first.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    wanted = first.select(F.explode(F.array("x", "y")).alias("node")).unionByName(crowded.select("node")).distinct()
     ids = stored(nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("_wanted")).distinct(), "wanted")
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
         ids, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
@@ -210,7 +310,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = _candidates(grouped, FAR, percent).join(near, ["x", "y"], "left_anti")
     more = stored(_links(more, sets, percent), "verified")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        links = links.unionByName(more)
+        labels = components(links)
+    if not crowded.isEmpty():
+        last = stored(crowded_links(crowded, labels, sets, percent), "verified")
+        if not last.isEmpty():
+            labels = components(links.unionByName(last))
 
     least = nodes.select("node", "least")
     of_label = labels.join(least, "node").groupBy("label").agg(F.min("least").alias("first"))

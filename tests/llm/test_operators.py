@@ -176,6 +176,41 @@ def test_near_duplicates_against_brute_force(documents):
     assert lsh_forest.near_duplicates(documents([(1, None), (None, None)])).filter("kept").count() == 2
 
 
+def test_near_duplicates_of_one_template(documents):
+    rng = random.Random(31)
+    template, rows = prose(rng, 100, 10 ** 6), []
+    for g in range(300):  # 600 documents at 0.73 of each other, but two and two at 0.78
+        start = prose(rng, 4, 10 ** 9)
+        rows += [(len(rows) + c, f"{template} {start} {prose(rng, 14, 10 ** 9)}") for c in range(2)]
+    found = lsh_forest.near_duplicates(documents(rows)).collect()
+    wanted = brute_components(rows)
+    assert [c for _, _, c in sorted(wanted)] == [i // 2 * 2 for i in range(600)]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=repr) == wanted
+
+
+def test_blocks_of_a_crowded_region(spark):
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(40), rng.choice([4, 30, 32, 34]))) for _ in range(200)]
+    few, many, nodes = lsh_forest.COLUMNS, lsh_forest.BLOCK_NODES, range(200)
+    try:
+        lsh_forest.COLUMNS, lsh_forest.BLOCK_NODES = 7, 30
+        got = lsh_forest.crowded_links(spark.createDataFrame([(1, i) for i in nodes], "key long, node long"),
+                                       spark.createDataFrame([(i, 0) for i in range(0, 200, 3)], "node long, label long"),
+                                       spark.createDataFrame([(i, sets[i]) for i in nodes], "node long, shingles array<long>"), 75).collect()
+    finally:
+        lsh_forest.COLUMNS, lsh_forest.BLOCK_NODES = few, many
+    linked = {(a, b) for b in nodes for a in range(b) if 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
+    assert {(r.x, r.y) for r in got} <= linked
+
+    def labels(pairs):
+        name = [0 if i % 3 == 0 else i for i in nodes]
+        for a, b in pairs:
+            old, new = max(name[a], name[b]), min(name[a], name[b])
+            name = [new if n == old else n for n in name]
+        return name
+    assert labels((r.x, r.y) for r in got) == labels(sorted(linked))
+
+
 # -- URLs
 
 def test_url_rules(spark):
