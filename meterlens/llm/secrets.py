@@ -2,7 +2,9 @@
 
 Patterns find assignments, access keys and long hex strings.  What a byte-pair
 vocabulary packs badly - few characters per token - is random: such strings are
-reported too, unless they are digests, UUIDs, numbers or plain identifiers.
+reported too, unless they are digests, UUIDs, numbers or plain identifiers.  A run
+is tested whole, without the readable words around it, and part by part, so that a
+path does not hide the key behind it.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 ONE_HEX = re.compile(r"([0-9a-f]+|[0-9A-F]+)\Z")
 #: Names and numbers joined by separators, such as ``customer_id-2024`` or ``src/main/App``.
 IDENTIFIER = re.compile(r"[=+/_-]*([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8})([=+/_-]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[=+/_-]*\Z")
+PART, LONG_WORD = re.compile("[A-Za-z0-9]+"), re.compile("[A-Za-z]{4,}")
+#: Parts that say nothing by themselves: short ones and numbers.
+SMALL_PART = re.compile(r"([A-Za-z0-9]{1,3}|[0-9]{1,8})\Z")
 #: Random base-62 text has 1.3 to 1.9 characters a token, prose over 3.
 MOST_CHARS_PER_TOKEN = 2.2
 
@@ -54,10 +59,20 @@ def encoding(vocabulary: bytes) -> tiktoken.Encoding:
     return _encodings[key]
 
 
-def is_known(text: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers: random to look at, or badly packed, yet no secrets."""
-    return (bool(ONE_HEX.match(text)) and len(text) in DIGEST_SIZES or bool(UUID.match(text))
-            or bool(IDENTIFIER.match(text)) or not re.search("[0-9]", text) or not re.search("[A-Za-z]", text))
+def packs_badly(text: str, enc: tiktoken.Encoding, most: float) -> bool:
+    return len(text) < most * len(enc.encode_ordinary(text))
+
+
+def is_known(text: str, enc: tiktoken.Encoding, most: float) -> bool:
+    """Digests, UUIDs, numbers and identifiers: random to look at, or badly packed, yet no secrets.
+
+    Words of an identifier are packed well by themselves; only its separators and short names are not.
+    """
+    if ONE_HEX.match(text) and len(text) in DIGEST_SIZES or UUID.match(text) or not re.search("[A-Za-z]", text):
+        return True
+    words = LONG_WORD.findall(text)
+    return bool((IDENTIFIER.match(text) or not re.search("[0-9]", text))
+                and sum(map(len, words)) >= most * sum(len(enc.encode_ordinary(w)) for w in words))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -66,9 +81,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def core_of(text: str, parts: list[tuple[int, int]], enc: tiktoken.Encoding, most: float) -> tuple[int, int]:
+    """Where ``text`` begins and ends without the readable words at both its ends."""
+    def after_words(of: list[tuple[int, int]]) -> int:
+        n = 0
+        for i, (a, z) in enumerate(of):
+            if SMALL_PART.match(text[a:z]):
+                continue
+            if not text[a:z].isalpha() or packs_badly(text[a:z], enc, most):
+                break
+            n = i + 1
+        return n
+    first, last = after_words(parts), len(parts) - after_words(parts[::-1])
+    if first >= last:
+        return 0, 0
+    return parts[first][0] if first else 0, parts[last - 1][1] if last < len(parts) else len(text)
+
+
 def random_spans(text: str, enc: tiktoken.Encoding, most: float) -> list[tuple[str, int, int]]:
-    return [("random", *m.span()) for m in CANDIDATE.finditer(text)
-            if not is_known(m[0]) and len(m[0]) < most * len(enc.encode_ordinary(m[0]))]
+    """Badly packed runs; of a run that is well packed as a whole, its badly packed core, or else parts."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        parts = [p.span() for p in PART.finditer(m[0])]
+        for spans in ([(0, len(m[0]))], [core_of(m[0], parts, enc, most)] if len(parts) > 1 else [], parts):
+            found = [(a, z) for a, z in spans if CANDIDATE.fullmatch(m[0][a:z])
+                     and not is_known(m[0][a:z], enc, most) and packs_badly(m[0][a:z], enc, most)]
+            out += [("random", m.start() + a, m.start() + z) for a, z in found]
+            if found:
+                break
+    return out
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -302,6 +302,27 @@ def test_secrets(spark, documents):
     assert brute == [m.span() for m in secrets.HEX.finditer(digest + "g" + digest[:24] + "gabc")]
 
 
+def test_secrets_of_letters_and_behind_paths(spark, documents):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    path = "downloads/releases/production/customer-documentation/"
+    keys = ["".join(rng.choices(alphabet, k=24)) for alphabet in (letters, letters[:26], letters + "0123456789") for _ in range(20)]
+    with_slash = ["".join(rng.choices(letters + "0123456789", k=14)) + "/" + "".join(rng.choices(letters + "0123456789", k=14)) for _ in range(10)]
+    digest, uuid = hashlib.sha256(b"x").hexdigest().upper(), "123e4567-e89b-12d3-a456-426614174000"
+    clean = ["getElementsByTagNameAndAttributeValue", "customer_identifier_release_notes", "tmp_buf_ptr_idx_cnt_str", path + "index", digest, uuid,
+             "HAVE_CONFIG_H_INCLUDED_X", "-" * 30, "2024-01-01/2024-12-31/00", path + "release-2024-notes"]
+    texts = [f"k {k} z" for k in keys] + [f"k {path}{k} z" for k in keys + with_slash] + [f"k {path}{keys[-1]}/documentation z"] + clean
+    out = documents(list(enumerate(texts))).select("doc_id", secrets.secrets(spark, F.col("text")).alias("f")).select("doc_id", "f.spans").collect()
+    for r in out:
+        text = texts[r.doc_id]
+        if text in clean:
+            assert r.spans == "", text
+            continue
+        key = next(k for k in keys + with_slash if k in text)
+        [(kind, a, z)] = [s.split(":") for s in r.spans.split(",")]
+        assert kind == "random" and int(a) <= text.index(key) and int(z) >= text.index(key) + len(key), text
+
+
 # -- languages
 
 def test_probabilities_sum_to_one(spark, documents):
