@@ -70,12 +70,16 @@ class Classifier:
 
 
 def train(df: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str) -> Classifier:
-    """Learn from at most FIT_ROWS rows of ``labelled`` (id, domain); ids without a text and unknown domains are ignored."""
+    """Learn from at most FIT_ROWS ids of ``labelled`` (id, domain); ids without a text and unknown domains are ignored.
+
+    An id that repeats in ``df`` counts once, by the text with the smallest hash; no more than FIT_ROWS rows reach the driver.
+    """
     marks = (labelled.select(id_col, "domain").where(F.col("domain").isin(domains))
              .groupBy(id_col).agg(F.min("domain").alias("domain"))
              .orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS))
-    rows = (df.select(id_col, text_col).join(F.broadcast(marks), id_col)
-            .select("domain", F.arrow_udf(_packed_features, "binary")(text_col).alias("x")).toPandas())
+    texts = (df.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(marks), id_col).groupBy(id_col)
+             .agg(F.min("domain").alias("domain"), F.min_by("_text", F.xxhash64("_text")).alias("_text")))
+    rows = texts.select("domain", F.arrow_udf(_packed_features, "binary")("_text").alias("x")).toPandas()
     if not len(rows):
         return Classifier(domains)
     x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]])

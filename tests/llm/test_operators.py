@@ -127,6 +127,16 @@ def test_mixing_odd_rows(spark, documents):
     assert mixing.mix(documents([]), labels, {"good": 0.5, "bad": 0.5}).count() == 0
 
 
+def test_mixing_learns_one_text_of_an_id(spark, documents, monkeypatch):
+    rows = [(i, f"good words number {i} " * 5 if i % 2 else f"BAD!! {i}!! " * 7) for i in range(40)] + [(7, f"copy {k % 20}") for k in range(200)]
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "bad") for i in range(40)], "doc_id long, domain string")
+    seen, made = [], mixing.Classifier
+    monkeypatch.setattr(mixing, "Classifier", lambda domains, x=None, y=None: seen.append(sorted(map(bytes, x))) or made(domains, x, y))
+    for order in (rows, rows[::-1]):
+        mixing.train(documents(order), labels, ["bad", "good"], "doc_id", "text")
+    assert len(seen[0]) == 40 and seen[0] == seen[1]
+
+
 # -- near-duplicates
 
 def brute_components(rows):
