@@ -34,7 +34,7 @@ DIGEST_SIZES = (32, 40, 48, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 ONE_HEX = re.compile(r"([0-9a-f]+|[0-9A-F]+)\Z")
 #: Names and numbers joined by separators, such as ``customer_id-2024`` or ``src/main/App``.
-IDENTIFIER = re.compile(r"[=+/_-]*([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8})([=+/_-]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[=+/_-]*\Z")
+IDENTIFIER = re.compile(r"[=+/_-]*([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})([=+/_-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*[=+/_-]*\Z")
 PART, LONG_WORD = re.compile("[A-Za-z0-9]+"), re.compile("[A-Za-z]{4,}")
 #: Parts that say nothing by themselves: short ones and numbers.
 SMALL_PART = re.compile(r"([A-Za-z0-9]{1,3}|[0-9]{1,8})\Z")

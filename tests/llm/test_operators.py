@@ -333,6 +333,15 @@ def test_secrets_of_letters_and_behind_paths(spark, documents):
         assert kind == "random" and int(a) <= text.index(key) and int(z) >= text.index(key) + len(key), text
 
 
+def test_secret_patterns_take_linear_time():
+    import time
+    enc = secrets.encoding(secrets.load_vocabulary(secrets.DEFAULT_VOCABULARY))
+    for text in ("see " + "data/" * 10_000 + "v1b2 end", "ab_" * 10_000 + "a1b2", "Ab-" * 10_000 + "!", "9f" * 10_000 + "g"):
+        began = time.process_time()
+        secrets.base_spans(text), secrets.random_spans(text, enc, secrets.MOST_CHARS_PER_TOKEN)
+        assert time.process_time() - began < 2
+
+
 # -- languages
 
 def test_probabilities_sum_to_one(spark, documents):
