@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlens.llm import decontaminate, hilbert, hnsw, katz, language, lsh_forest, mixing, quality, secrets, url_rules
+from meterlens.llm import decontaminate, hilbert, hnsw, katz, language, lsh_forest, mixing, quality, repair, secrets, url_rules
 from meterlens.llm.common import remainder, table
 
 N_SHARDS = 40
@@ -74,6 +74,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            "lang_pred", "score", "rejected")
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_hilbert_sharding": hilbert_sharding,
     "op2_decontamination": decontamination,
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_fourier_quality": quality_classifier,
     "op9_token_secrets": secret_scan,
     "op10_kneser_ney_language": language_id,
+    "op13_conversation_repair": conversation_repair,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
