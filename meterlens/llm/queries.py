@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlens.llm import decontaminate, hilbert, hnsw, katz, language, lsh_forest, mixing, quality, repair, secrets, url_rules
+from meterlens.llm import cover_tree, decontaminate, hilbert, hnsw, katz, language, lsh_forest, mixing, private, quality, repair, secrets, url_rules
 from meterlens.llm.common import remainder, table
 
 N_SHARDS = 40
@@ -74,6 +74,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            "lang_pred", "score", "rejected")
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(rows.select("vec_id", "embedding", label.alias("label")), lambda vec_id: vec_id % 100 == 0)
+
+
+def personal_data_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", private.personal_data("text").alias("spans"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*private.BASE_KINDS))
+    return docs.select("doc_id", *[of(kind) for kind in private.BASE_KINDS],
+                       F.sha2(private.listed(base), 256).alias("base_sha256"), private.listed(F.col("spans")).alias("spans"))
+
+
 def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -89,6 +103,8 @@ QUERIES = {
     "op8_fourier_quality": quality_classifier,
     "op9_token_secrets": secret_scan,
     "op10_kneser_ney_language": language_id,
+    "op11_cover_tree_negatives": hard_negatives,
+    "op12_anchor_pii": personal_data_scan,
     "op13_conversation_repair": conversation_repair,
 }
 
@@ -137,4 +153,24 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.d
 FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
-ORACLES = {"op4_lsh_forest": NEAR_DUPLICATES_SQL, "op2_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
+HARD_NEGATIVES_SQL = r"""
+WITH rows AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS other_id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, own, other_id AS positive_id, score AS positive_score FROM scored WHERE label = own AND other_id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+       s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> p.own
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLES = {"op11_cover_tree_negatives": HARD_NEGATIVES_SQL, "op4_lsh_forest": NEAR_DUPLICATES_SQL, "op2_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
