@@ -4,7 +4,7 @@ Vectors become whole numbers.  With one more component, the square root of what
 squared length lacks of the largest one, all candidates of a shard lie on one sphere,
 and the order by inner product with an anchor is the order by angle.  A shard is a cover
 tree: the centre of a node is one of its vectors, children's centres are picked farthest
-first until they cover the node at half its radius (or are FAN), every vector belongs to
+first until they cover the node at half its radius (or are FAN, or as many as fill leaves), every vector belongs to
 the nearest, and each node has the radius that covers all below it.  Centre and radius
 bound the inner products of a node from both sides.  A search takes nodes best first,
 skips those outside all of the anchor's windows and those that cannot better what is
@@ -32,7 +32,7 @@ SHARD_VALUES, BLOCK_VALUES = 1 << 23, 1 << 22
 #: Vectors of a shard of a table too small to need several, so that small tables still use all cores.
 LEAST_SHARD = 2048
 #: Most children of a node, and most vectors of a leaf.
-FAN, LEAF = 16, 96
+FAN, LEAF = 32, 512
 #: Whole components are kept within these bounds.
 LARGEST = 1 << 24
 #: Added to angles and bounds, far above the rounding of doubles.
@@ -135,6 +135,7 @@ class Tree:
 
         def wanted(low: float, high: float) -> bool:
             return any(high >= a and low <= b and (len(f) < count or high >= -f[-1][0]) for (a, b), f in zip(windows, found))
+        top = max(b for _, b in windows)
         low, high = self._bounds(wide, length, slice(0, 1))
         heap = [(-high[0], low[0], 0)]
         while heap:
@@ -150,12 +151,21 @@ class Tree:
                 continue
             rows = slice(int(self.nodes["start"][at]), int(self.nodes["stop"][at]))
             self.looked += rows.stop - rows.start
-            scores, usable = self._scores(wide, whole, length, rows), (self.labels[rows] == label) == same
-            for (a, b), f in zip(windows, found):
-                least = max(a, -f[-1][0]) if len(f) >= count else a
-                hits = np.flatnonzero(usable & (scores >= least) & (scores <= b))
-                if len(hits):
-                    for i in hits:
+            scores = self._scores(wide, whole, length, rows)
+            least = [max(a, -f[-1][0]) if len(f) >= count else a for (a, _), f in zip(windows, found)]
+            hits = np.flatnonzero((scores >= min(least)) & (scores <= top) & ((self.labels[rows] == label) == same))
+            if not len(hits):
+                continue
+            hits = hits[np.argsort(-scores[hits], kind="stable")]
+            of_hits = scores[hits]
+            for w, ((a, b), f) in enumerate(zip(windows, found)):
+                first = np.searchsorted(-of_hits, -b, side="left")
+                last = np.searchsorted(-of_hits, -least[w], side="right")
+                most = count + (skip is not None)
+                if last - first > most:  # the best rows, and all that tie with the last of them
+                    last = np.searchsorted(-of_hits, -of_hits[first + most - 1], side="right")
+                if first < last:
+                    for i in hits[first:last]:
                         j = rows.start + i
                         f += [(-int(scores[i]), int(x)) for x in self.ids[self.id_at[j]:self.id_at[j + 1]] if x != skip]
                     f.sort()
@@ -170,7 +180,8 @@ def _distance(lifted: np.ndarray, members: np.ndarray, centre: int) -> np.ndarra
 def _split(lifted: np.ndarray, members: np.ndarray, centre: int, far: np.ndarray) -> list[tuple[np.ndarray, int]]:
     """Children as (members, centre): the node's own centre first, then what lies farthest from all chosen ones."""
     radius, nearest, owner, centres = float(far.max()), far.copy(), np.zeros(len(members), np.int64), [centre]
-    while len(centres) < FAN and nearest.max() > radius / 2:
+    most = min(FAN, -(-2 * len(members) // LEAF))  # so that leaves are not much smaller than they may be
+    while len(centres) < most and nearest.max() > radius / 2:
         new = int(members[nearest.argmax()])
         d = _distance(lifted, members, new)
         closer = d < nearest
