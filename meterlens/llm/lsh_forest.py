@@ -4,9 +4,11 @@ A document is its set of five-word shingles.  Equal sets become one node first.
 node has a signature of 96 minima, and 24 trees each order all nodes by the signature
 read from another position on.  Nodes that share the first three values of a tree's
 order form a region; regions with many nodes go deeper until they are small.  Nodes
-near each other in a region's order are candidates; their full sets are compared, and
-verified links are joined into components.  Candidates between components that no
-verified link has joined are then taken from whole regions, and compared too.  At last
+next to each other in a region's order are candidates; their full sets are compared,
+and verified links are joined into components.  A few trees come first, then all of
+them for what is not joined yet, so that a large group gets a few links a node.
+Candidates between components that no verified link has joined are then taken from
+whole regions, and compared too.  At last
 every region of the first depth that was too large is compared whole: all its pairs of
 different components, block by block, on full sets.
 """
@@ -27,8 +29,10 @@ SHINGLE_WORDS = 5
 VALUES, TREES, STRIDE = 96, 24, 4
 #: Depths a region is cut at, one after the other, while it has more than REGION nodes.
 DEPTHS, REGION = (3, 4, 6, 8, 12, 16), 64
-#: Neighbours compared in the first round, and in the second, within a region.
-NEAR, FAR = 2, REGION - 1
+#: Places apart in a region of nodes compared in the first rounds, and in the last; trees of the first round.
+NEAR, FAR, FIRST_TREES = 1, REGION - 1, 3
+#: (places, trees) of the rounds after the first.
+ROUNDS = ((NEAR, 8), (NEAR, TREES), (FAR, TREES))
 #: Agreeing values below which a pair cannot have the wanted similarity (about 4.5 standard errors below 0.75).
 LEAST_AGREEMENT = 0.55
 #: Nodes, and shingles of all of them, about which a block of a crowded region has; shingles counted at a time.
@@ -82,7 +86,7 @@ def _read_from(tree: Column, depth: int, first: int = 0) -> Column:
 
 
 def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, tail, node) of all regions with two nodes or more, where ``tail`` orders a region; (key, node) of crowded ones.
+    """(key, tree, tail, node) of all regions with two nodes or more, where ``tail`` orders a region; (key, node) of crowded ones.
 
     A crowded region has more than REGION nodes at the first depth.  Whatever is still too large at the last depth - nodes of almost equal signatures - is dealt into blocks at
     random, differently in each tree.
@@ -106,7 +110,7 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         rows = large.select("node", "tree").join(nodes.select("node", "signature"), "node")
     tails = F.concat(*[F.when(F.col("depth") == d, _read_from(F.col("tree"), d + 4, d)).otherwise(F.array()) for d in DEPTHS])
-    found = out.join(nodes, "node").select("key", tails.alias("tail"), "node", "n", _packed("signature").alias("sketch"))
+    found = out.join(nodes, "node").select("key", "tree", tails.alias("tail"), "node", "n", _packed("signature").alias("sketch"))
     return found, crowded
 
 
@@ -119,17 +123,20 @@ def _packed(signature: str) -> Column:
     return pack(signature)
 
 
-def _pairs(span: int, percent: int, wanted: bool):
-    """Candidate pairs up to ``span`` places apart in a region; with ``wanted``, also the nodes of pairs FAR apart or less."""
+def _pairs(span: int, percent: int, trees: int):
+    """Candidate pairs up to ``span`` places apart in a region.
+
+    If only the first ``trees`` trees give pairs, all give the nodes that any later round may compare.
+    """
     def run(batches):
         carry = None
         for batch in batches:
             old = 0 if carry is None else len(carry)
             rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
-            key, n, node, group = (rows[c].to_numpy() for c in ("key", "n", "node", "group"))
+            key, tree, n, node, group = (rows[c].to_numpy() for c in ("key", "tree", "n", "node", "group"))
             sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, VALUES)
             near, far = [], []
-            for step in range(1, min(FAR if wanted else span, len(rows) - 1) + 1):
+            for step in range(1, min(FAR if trees < TREES else span, len(rows) - 1) + 1):
                 same = key[:-step] == key[step:]
                 if not same.any():
                     break
@@ -139,22 +146,27 @@ def _pairs(span: int, percent: int, wanted: bool):
                 fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
                 i, j = i[fits], j[fits]
                 fits = (sketch[i] == sketch[j]).mean(1) >= LEAST_AGREEMENT
-                (near if step <= span else far).append((node[i[fits]], node[j[fits]]))
+                i, j = i[fits], j[fits]
+                if trees < TREES:
+                    far += [node[i], node[j]]
+                if step <= span:
+                    first = tree[i] < trees
+                    near.append((node[i[first]], node[j[first]]))
             if near:
                 x, y = np.concatenate([a for a, _ in near]), np.concatenate([b for _, b in near])
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
                 yield pd.DataFrame({"x": both[0], "y": both[1]})
             if far:
-                one = np.unique(np.concatenate([a for pair in far for a in pair]))
+                one = np.unique(np.concatenate(far))
                 yield pd.DataFrame({"x": one, "y": one})
             carry = rows.iloc[-FAR:]
     return run
 
 
-def _candidates(found: DataFrame, span: int, percent: int, wanted: bool = False) -> DataFrame:
-    """Distinct candidate pairs x < y of rows (key, tail, node, n, sketch, group); ``wanted`` adds lone nodes as x = y."""
+def _candidates(found: DataFrame, span: int, percent: int, trees: int = TREES) -> DataFrame:
+    """Distinct candidate pairs x < y of rows (key, tree, tail, node, n, sketch, group); of fewer ``trees``, also lone nodes as x = y."""
     dealt = found.repartition("key").sortWithinPartitions("key", "tail", "node")
-    return dealt.drop("tail").mapInPandas(_pairs(span, percent, wanted), "x long, y long").distinct()
+    return dealt.drop("tail").mapInPandas(_pairs(span, percent, trees), "x long, y long").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,21 +270,47 @@ def crowded_links(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percen
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every linked node; the label is the smallest node reachable.
+    """(node, label) of every linked node; nodes have one label if links join them.
 
-    Each round takes the smallest label around, then the label's own label, which halves long paths.
+    Each round gives every node to a neighbour or itself - the one with most links, and in every other round the one that a hash
+    picks, which shortens chains whatever their order - and keeps the links between those, so that rounds get smaller.
     """
-    both = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("label")), "labels")
+    edges, steps = stored(links.select("x", "y").where("x <> y").distinct(), "links"), []
     while True:
-        around = (both.join(labels.withColumnsRenamed({"node": "y", "label": "other"}), "y")
-                  .groupBy(F.col("x").alias("node")).agg(F.min("other").alias("around")))
-        nearer = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "around").alias("label"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        step = stored(nearer.join(far, "label").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        if len(steps) % 2 == 0:
+            nodes = both.groupBy("x").agg(F.count("*").alias("links"))
+            ranked = lambda c, n: F.struct((-F.col(n)).alias("p"), F.xxhash64(c).alias("h"), F.col(c).alias("to"))
+            around = both.join(nodes.select(F.col("x").alias("y"), F.col("links").alias("theirs")), "y").join(nodes, "x")
+            own = F.first(ranked("x", "links"))
+            around = around.groupBy("x").agg(F.min(ranked("y", "theirs")).alias("near"), own.alias("own"))
+        else:
+            ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("to"))
+            around = both.groupBy("x").agg(F.min(ranked("y")).alias("near"), F.first(ranked("x")).alias("own"))
+        step = stored(around.select(F.col("x").alias("node"), F.least("near", "own")["to"].alias("label")), "step")
+        steps.append(step)
+        a = step.select(F.col("node").alias("x"), F.col("label").alias("a"))
+        b = step.select(F.col("node").alias("y"), F.col("label").alias("b"))
+        edges = stored(edges.join(a, "x").join(b, "y").where("a <> b").select(
+            F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "links")
+        if edges.isEmpty():
+            break
+    labels = steps[-1]
+    for step in steps[-2::-1]:
+        beyond = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        labels = step.join(beyond, "label", "left").select("node", F.coalesce("beyond", "label").alias("label"))
+    return stored(labels, "labels")
+
+
+def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links (x, y) between nodes, found on the components that these join."""
+    a = labels.select(F.col("node").alias("x"), F.col("label").alias("a"))
+    b = labels.select(F.col("node").alias("y"), F.col("label").alias("b"))
+    between = links.join(a, "x", "left").join(b, "y", "left").select(F.coalesce("a", "x").alias("x"), F.coalesce("b", "y").alias("y"))
+    new = components(between)
+    beyond = new.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+    moved = labels.join(beyond, "label", "left").select("node", F.coalesce("beyond", "label").alias("label"))
+    return stored(moved.unionByName(new.join(labels, "node", "left_anti")), "labels")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -295,7 +333,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     found, crowded = regions(nodes.select("node", "n", "signature"))
     found = stored(found, "regions")
-    first = stored(_candidates(found.withColumn("group", F.col("node")), NEAR, percent, wanted=True), "candidates")
+    first = stored(_candidates(found.withColumn("group", F.col("node")), NEAR, percent, FIRST_TREES), "candidates")
     wanted = first.select(F.explode(F.array("x", "y")).alias("node")).unionByName(crowded.select("node")).distinct()
     ids = stored(nodes.join(wanted, "node", "left_semi").select(F.col("least").alias("_wanted")).distinct(), "wanted")
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
@@ -303,19 +341,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = F.arrow_udf(_node_and_set, "struct<node:bigint,shingles:array<bigint>>")(F.col("_text"))
     sets = stored(texts.select(full.alias("s")).select("s.*").where("node IS NOT NULL").dropDuplicates(["node"]), "sets")
 
-    near = first.where("x < y")
-    links = stored(_links(near, sets, percent), "verified")
-    labels = components(links)
-    grouped = found.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
-    more = _candidates(grouped, FAR, percent).join(near, ["x", "y"], "left_anti")
-    more = stored(_links(more, sets, percent), "verified")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+    tried = first.where("x < y")
+    labels = components(_links(tried, sets, percent))
+    for span, trees in ROUNDS:
+        grouped = found.where(F.col("tree") < trees).join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
+        more = stored(_candidates(grouped, span, percent).join(tried, ["x", "y"], "left_anti"), "candidates")
+        verified = stored(_links(more, sets, percent), "verified")
+        tried = tried.unionByName(more)
+        if not verified.isEmpty():
+            labels = joined_up(labels, verified)
     if not crowded.isEmpty():
         last = stored(crowded_links(crowded, labels, sets, percent), "verified")
         if not last.isEmpty():
-            labels = components(links.unionByName(last))
+            labels = joined_up(labels, last)
 
     least = nodes.select("node", "least")
     of_label = labels.join(least, "node").groupBy("label").agg(F.min("least").alias("first"))

@@ -221,6 +221,43 @@ def test_blocks_of_a_crowded_region(spark):
     assert labels((r.x, r.y) for r in got) == labels(sorted(linked))
 
 
+def test_components_of_any_shape(spark):
+    import networks_of_links as shapes
+    rng = random.Random(8)
+    for name, links in shapes.all_of(rng).items():
+        frame = spark.createDataFrame(links, "x long, y long")
+        half = len(links) // 2
+        first = lsh_forest.components(frame.limit(0) if not half else spark.createDataFrame(links[:half], "x long, y long"))
+        rest = spark.createDataFrame(links[half:], "x long, y long")
+        for labels in (lsh_forest.components(frame), lsh_forest.joined_up(first, rest)):
+            found = dict(map(tuple, labels.collect()))
+            assert len(found) == labels.count()
+            wanted = shapes.joined(links)
+            assert found.keys() == wanted.keys(), name
+            classes = {}
+            for node, label in found.items():
+                classes.setdefault(label, set()).add(wanted[node])
+                assert found[label] == label
+            assert all(len(c) == 1 for c in classes.values()) and len(classes) == len(set(wanted.values())), name
+
+
+def test_large_groups_get_few_links(spark, documents, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(w if rng.random() > 0.003 else f"x{rng.randrange(10**9)}" for w in base)) for i in range(1200)]
+    made, verify = [], lsh_forest._links
+
+    def counted(pairs, sets, percent):
+        out = common.stored(verify(pairs, sets, percent), "counted")
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(lsh_forest, "_links", counted)
+    found = lsh_forest.near_duplicates(documents(rows)).collect()
+    distinct = len({t for _, t in rows})
+    assert {r.component_id for r in found if r.n_shingles > 100} == {0}
+    assert sum(made) <= 4 * distinct, (made, distinct)
+
+
 # -- URLs
 
 def test_url_rules(spark):
