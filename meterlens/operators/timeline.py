@@ -7,13 +7,16 @@ so none of that runs over a whole warehouse here.  Time is cut into
 (warehouse, hour) cells:
 
 * events and query starts/ends are first grouped per second, so a cell holds
-  at most 3,600 points whatever the traffic;
+  at most 3,600 points whatever the traffic; all events before the range count
+  as one, the last;
 * each cell gets the state and the number of active queries it opens with, from
-  a window over one row per (warehouse, hour), bounded by the calendar;
-* inside a cell, ordinary windows carry the state forward, keep the running
-  count and close every period at the next point or at the end of the hour.
+  a window over one row per (warehouse, hour) that has points or is asked for.
+  Hours in which nothing happens have no row: the state runs on over them;
+* the points of a cell are one array, and a single pass over it adds up the
+  seconds of each kind.
 
-No interval join is left, every step is a hash aggregate or a bounded window.
+No interval join is left, events are read once, and every step is an aggregate or
+a bounded window.
 """
 
 from __future__ import annotations
@@ -69,8 +72,12 @@ def read_bounds(usage: DataFrame, history: DataFrame, events: DataFrame) -> Boun
     return Bounds(*(datetime.fromtimestamp(m / 1_000_000, tz=timezone.utc) for m in micros))
 
 
-def work_queries(history: DataFrame, bounds: Bounds) -> DataFrame:
-    """Queries of the range with their work time and the window the work ran in."""
+def work_queries(history: DataFrame, bounds: Bounds, from_start: bool = False) -> DataFrame:
+    """Queries of the range with their work time and the window the work ran in.
+
+    These are the queries that ran in the range, or (``from_start``) only those that started in it.
+    """
+    ran = F.col("start_time") >= bounds.lit_start() if from_start else F.col("end_time") > bounds.lit_start()
     def ms(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0)).cast("long")
 
@@ -80,7 +87,7 @@ def work_queries(history: DataFrame, bounds: Bounds) -> DataFrame:
     work = ms("total_task_duration_ms") + ms("result_fetch_duration_ms") + ms("compilation_duration_ms")
     return (history
             .filter(F.col("statement_type").isNotNull() & (F.col("start_time") < bounds.lit_end())
-                    & (F.col("end_time") > bounds.lit_start()) & (F.col("total_task_duration_ms") > 0)
+                    & ran & (F.col("total_task_duration_ms") > 0)
                     & F.col("compute.warehouse_id").isNotNull())
             .select("statement_id", C.recorded_source_id().alias("query_source_id"),
                     C.recorded_source_type().alias("query_source_type"),
@@ -110,19 +117,23 @@ def _hours() -> WindowSpec:
     return W.partitionBy("warehouse_id").orderBy("hour")
 
 
-def state_seconds(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
-    """Last state per (warehouse, second), 1 on and 0 off, from a day before the range.
+def state_seconds(events: DataFrame, queries: DataFrame, bounds: Bounds, opening: DataFrame | None = None) -> DataFrame:
+    """Last state per (warehouse, second), 1 on and 0 off: all events of the range, and the last one before it.
 
     Only warehouses that ran queries count.  The state is a number because a
-    number can be kept in a hash aggregate, where text would need a sort.
+    number can be kept in a hash aggregate, where text would need a sort.  With
+    ``opening``, known states at the start of the range, older events are not read.
     """
     seen = queries.select("warehouse_id").distinct()
-    since = bounds.lit_start() - F.expr("interval 1 day")
     state = F.when(F.col("cluster_count") == 0, 0).when(F.col("cluster_count") > 0, 1)
-    return (events.filter((F.col("event_time") >= since) & (F.col("event_time") <= bounds.lit_end()))
-            .join(seen, "warehouse_id", "left_semi")
-            .groupBy("warehouse_id", _second("event_time").alias("second"))
-            .agg(F.max_by(state, "event_time").alias("state"))
+    known = events.filter((F.col("event_time") <= bounds.lit_end()) & state.isNotNull())
+    if opening is not None:
+        known = known.filter(F.col("event_time") >= bounds.lit_start())
+    before = F.col("event_time") < bounds.lit_start()
+    return (known.join(seen, "warehouse_id", "left_semi")
+            .groupBy("warehouse_id", F.when(~before, _second("event_time")).alias("second"))
+            .agg(F.max_by(state, "event_time").alias("state"), F.max("event_time").alias("_last"))
+            .select("warehouse_id", F.coalesce("second", _second("_last")).alias("second"), "state")
             .withColumn("hour", _hour("second")))
 
 
@@ -194,20 +205,41 @@ def steps_by_day(steps: DataFrame) -> DataFrame:
             .filter(F.col("query_start") < F.col("query_end")))
 
 
-def _openings(seconds: DataFrame, deltas: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
-    """One row per (warehouse, hour) of the range with the state and query count it opens with."""
-    first = bounds.lit_start() - F.expr("interval 1 day")
-    hours = F.explode(F.sequence(first, bounds.lit_end() - F.expr("interval 1 hour"), F.expr("interval 1 hour")))
-    spine = queries.select("warehouse_id").distinct().select("warehouse_id", hours.alias("hour"))
-    states = seconds.groupBy("warehouse_id", "hour").agg(F.max_by("state", "second").alias("last_state"))
-    # queries already running a day before the range open its first cell
-    nets = (deltas.groupBy("warehouse_id", F.greatest("hour", first).alias("hour")).agg(F.sum("delta").alias("net")))
+def every_hour(queries: DataFrame, bounds: Bounds) -> DataFrame:
+    """All (warehouse, hour) of the range, for reports that show them all."""
+    hours = F.sequence(bounds.lit_start(), bounds.lit_end() - F.expr("interval 1 hour"), F.expr("interval 1 hour"))
+    return queries.select("warehouse_id").distinct().select("warehouse_id", F.explode(hours).alias("hour"))
+
+
+def cells(events: DataFrame, queries: DataFrame, bounds: Bounds, hours: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """One row per (warehouse, hour) of ``hours``: the state and query count it opens with, and its points in order.
+
+    ``opening`` gives (warehouse_id, state, active) at the start of the range; without it both follow from older events and queries.
+    """
+    nothing = {"state": F.lit(None).cast("int"), "delta": F.lit(0).cast("long"), "wanted": F.lit(False)}
+
+    def marks(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select("warehouse_id", "hour", "second", *[(nothing | given)[n].alias(n) for n in nothing])
+    points = marks(state_seconds(events, queries, bounds, opening), state=F.col("state"))
+    deltas = query_deltas(queries)
+    if opening is not None:
+        deltas = deltas.filter(F.col("second") >= bounds.lit_start())
+        last = bounds.lit_start() - F.expr("interval 1 second")
+        given = opening.withColumn("second", last).withColumn("hour", _hour("second"))
+        points = points.unionByName(marks(given, state=F.col("state"), delta=F.col("active")))
+    points = points.unionByName(marks(deltas, delta=F.col("delta")))
+    points = points.groupBy("warehouse_id", "hour", "second").agg(F.max("state").alias("state"), F.sum("delta").alias("delta"))
+    at = F.struct((F.unix_timestamp("second") - F.unix_timestamp("hour")).cast("int").alias("at"), "state", "delta")
+    asked = marks(hours.select("warehouse_id", "hour", F.lit(None).cast("timestamp").alias("second")), wanted=F.lit(True))
+    rows = (points.withColumn("wanted", F.lit(False)).unionByName(asked).groupBy("warehouse_id", "hour")
+            .agg(F.array_sort(F.collect_list(F.when(F.col("second").isNotNull(), at))).alias("points"), F.max("wanted").alias("wanted")))
     before = _hours().rowsBetween(W.unboundedPreceding, -1)
-    return (spine.join(states, ["warehouse_id", "hour"], "left").join(nets, ["warehouse_id", "hour"], "left")
+    last_state = F.aggregate("points", F.lit(None).cast("int"), lambda a, p: F.coalesce(p["state"], a))
+    net = F.aggregate("points", F.lit(0).cast("long"), lambda a, p: a + p["delta"])
+    return (rows.withColumn("last_state", last_state).withColumn("net", net)
             .withColumn("opening_state", F.last("last_state", ignorenulls=True).over(before))
-            .withColumn("opening_count", F.coalesce(F.sum("net").over(before), F.lit(0)))
-            .filter(F.col("hour") >= bounds.lit_start())
-            .select("warehouse_id", "hour", "opening_state", "opening_count"))
+            .withColumn("opening_count", F.coalesce(F.sum("net").over(before), F.lit(0).cast("long")))
+            .filter("wanted").select("warehouse_id", "hour", "opening_state", "opening_count", "points"))
 
 
 def periods(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
@@ -215,17 +247,14 @@ def periods(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
 
     A period before the first event of its warehouse counts as OFF.
     """
-    seconds = state_seconds(events, queries, bounds)
-    deltas = query_deltas(queries)
-    openings = _openings(seconds, deltas, queries, bounds).withColumn("second", F.col("hour"))
-    points = (openings.unionByName(seconds, allowMissingColumns=True).unionByName(deltas, allowMissingColumns=True)
-              .filter((F.col("hour") >= bounds.lit_start()) & (F.col("hour") < bounds.lit_end()))
-              .groupBy("warehouse_id", "hour", "second")
-              .agg(F.max("opening_state").alias("opening_state"), F.max("opening_count").alias("opening_count"),
-                   F.max("state").alias("state"), F.coalesce(F.sum("delta"), F.lit(0)).alias("delta")))
+    found = cells(events, queries, bounds, every_hour(queries, bounds))
+    opens = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("state"), F.lit(0).cast("long").alias("delta")))
+    whole = F.when(F.coalesce(F.try_element_at("points", F.lit(1))["at"], F.lit(1)) > 0, F.concat(opens, "points")).otherwise(F.col("points"))
+    points = (found.select("warehouse_id", "hour", "opening_state", "opening_count", F.explode(whole).alias("p"))
+              .withColumn("second", F.timestamp_seconds(F.unix_timestamp("hour") + F.col("p.at"))))
     so_far = _cell().rowsBetween(W.unboundedPreceding, 0)
-    state = F.coalesce(F.last("state", ignorenulls=True).over(so_far), F.first("opening_state").over(so_far))
-    active = F.first("opening_count").over(so_far) + F.sum("delta").over(so_far)
+    state = F.coalesce(F.last("p.state", ignorenulls=True).over(so_far), F.col("opening_state"))
+    active = F.col("opening_count") + F.sum("p.delta").over(so_far)
     flag = (F.when(F.col("window_state").isNull() | (F.col("window_state") == "OFF"), "OFF")
              .when(F.col("queries_active") > 0, "UTILIZED").otherwise("ON_IDLE"))
     return points.select(
@@ -234,19 +263,27 @@ def periods(events: DataFrame, queries: DataFrame, bounds: Bounds) -> DataFrame:
         _state_name(state).alias("window_state"), active.alias("queries_active")).withColumn("utilization_flag", flag)
 
 
-def utilization(events: DataFrame, queries: DataFrame, bounds: Bounds, exact: bool = False) -> DataFrame:
+def utilization(events: DataFrame, queries: DataFrame, bounds: Bounds, exact: bool = False, hours: DataFrame | None = None,
+                opening: DataFrame | None = None) -> DataFrame:
     """A4g: seconds utilised, idle and off per (warehouse, hour), and utilised / on.
 
-    The proportion is rounded to two decimals, unless ``exact``.
+    The report shows every hour; a caller that needs only some passes them as ``hours``.  The proportion is rounded to two
+    decimals, unless ``exact``.
     """
-    def seconds(flag: str) -> Column:
-        length = F.unix_timestamp("ts_end") - F.unix_timestamp("ts_start")
-        return F.sum(F.when(F.col("utilization_flag") == flag, length).otherwise(0))
+    found = cells(events, queries, bounds, every_hour(queries, bounds) if hours is None else hours, opening)
+    kinds = ("utilized", "idle", "off")
+    start = F.struct(F.lit(0).alias("at"), F.col("opening_state").alias("state"), F.col("opening_count").alias("active"),
+                     *[F.lit(0).alias(k) for k in kinds])
+    end = F.array(F.struct(F.lit(3600).alias("at"), F.lit(None).cast("int").alias("state"), F.lit(0).cast("long").alias("delta")))
+
+    def passed(a: Column, p: Column) -> Column:
+        on, busy, length = F.coalesce(a["state"] == 1, F.lit(False)), a["active"] > 0, p["at"] - a["at"]
+        counted = {"utilized": on & busy, "idle": on & ~busy, "off": ~on}
+        return F.struct(p["at"].alias("at"), F.coalesce(p["state"], a["state"]).alias("state"), (a["active"] + p["delta"]).alias("active"),
+                        *[(a[k] + F.when(counted[k], length).otherwise(0)).alias(k) for k in kinds])
     ratio = F.try_divide(F.col("utilized_seconds"), F.col("utilized_seconds") + F.col("idle_seconds"))
-    return (periods(events, queries, bounds)
-            .groupBy("warehouse_id", F.col("ts_hour").alias("warehouse_hour"))
-            .agg(seconds("UTILIZED").alias("utilized_seconds"), seconds("ON_IDLE").alias("idle_seconds"),
-                 seconds("OFF").alias("off_seconds"))
+    return (found.withColumn("s", F.aggregate(F.concat("points", end), start, passed))
+            .select("warehouse_id", F.col("hour").alias("warehouse_hour"), *[F.col(f"s.{k}").cast("long").alias(f"{k}_seconds") for k in kinds])
             .withColumn("total_seconds", F.col("utilized_seconds") + F.col("idle_seconds") + F.col("off_seconds"))
             .withColumn("utilization_proportion", ratio if exact else ratio.cast("decimal(3,2)")))
 
@@ -269,46 +306,50 @@ def work_by_hour(queries: DataFrame) -> DataFrame:
                      .alias("attributed_query_work")))
 
 
+def warehouse_rows(usage: DataFrame, bounds: Bounds) -> DataFrame:
+    """Bill rows of warehouses within the range."""
+    return usage.filter(F.col("usage_metadata.warehouse_id").isNotNull() & (F.col("usage_start_time") >= bounds.lit_start())
+                        & (F.col("usage_end_time") <= bounds.lit_end()))
+
+
 def hourly_bills(usage: DataFrame, price_history: DataFrame, bounds: Bounds, as_of: str) -> DataFrame:
     """Billed dbus and dollars per (warehouse, hour), at the price valid when the usage ended.
 
     Grouped per hour before the queries meet it, so several bill rows for one
     hour do not multiply the query rows; the sums per query are the same.
     """
-    rows = usage.filter(F.col("usage_metadata.warehouse_id").isNotNull()
-                        & (F.col("usage_start_time") >= bounds.lit_start())
-                        & (F.col("usage_end_time") <= bounds.lit_end()))
+    rows = warehouse_rows(usage, bounds)
     dollars = F.col("usage_quantity") * F.col("as_of_price")
     return (with_price_as_of(rows, price_history, as_of)
             .groupBy(F.col("usage_metadata.warehouse_id").alias("warehouse_id"), _hour("usage_start_time").alias("hour_bucket"))
             .agg(F.sum("usage_quantity").cast("double").alias("period_dbus"), F.sum(dollars).cast("double").alias("period_dollars")))
 
 
-def utilized_cost_per_query(usage: DataFrame, price_history: DataFrame, history: DataFrame, events: DataFrame,
-                            as_of: str, bounds: Bounds | None = None, exact: bool = False, host: str = "") -> DataFrame:
-    """A4: cost of each query, counting only the utilised part of every hour it ran in."""
-    bounds = bounds or read_bounds(usage, history, events)
-    queries = work_queries(history, bounds)
+def cost_by_hour(usage: DataFrame, price_history: DataFrame, queries: DataFrame, events: DataFrame, as_of: str, bounds: Bounds,
+                 exact: bool = False, opening: DataFrame | None = None) -> DataFrame:
+    """A4h: one row per query and hour of its work, with the share of the utilised part of the hour's bill."""
+    key = ["warehouse_id", "hour_bucket"]
     work = work_by_hour(queries)
-    use = (utilization(events, queries, bounds, exact)
-           .select("warehouse_id", F.col("warehouse_hour").alias("hour_bucket"),
-                   F.col("utilization_proportion").cast("double").alias("proportion")))
-    bills = (hourly_bills(usage, price_history, bounds, as_of).join(use, ["warehouse_id", "hour_bucket"], "left")
-             .withColumn("billed", F.lit(True)))
-    cells = (work.groupBy("warehouse_id", "hour_bucket").agg(F.sum("attributed_query_work").alias("total_work"))
-             .join(bills, ["warehouse_id", "hour_bucket"], "left"))
+    bills = hourly_bills(usage, price_history, bounds, as_of).withColumn("billed", F.lit(True))
+    cost = work.groupBy(*key).agg(F.sum("attributed_query_work").alias("total_work")).join(bills, key, "left")
+    # only hours that have work and a bill are cut out of the timeline
+    hours = cost.filter("billed").select("warehouse_id", F.col("hour_bucket").alias("hour"))
+    use = (utilization(events, queries, bounds, exact, hours, opening)
+           .select("warehouse_id", F.col("warehouse_hour").alias("hour_bucket"), F.col("utilization_proportion").cast("double").alias("proportion")))
     share = F.when(F.col("total_work") != 0, F.col("attributed_query_work") / F.col("total_work"))
-    pieces = (join_spread(work, cells, ["warehouse_id", "hour_bucket"], F.col("statement_id"))
-              .withColumn("hour_cost", F.col("proportion") * F.col("period_dollars") * share)
-              .withColumn("hour_dbus", F.col("proportion") * F.col("period_dbus") * share))
+    return (join_spread(work, cost.join(use, key, "left"), key, F.col("statement_id"))
+            .select("statement_id", *key, (F.col("proportion") * F.col("period_dollars") * share).alias("hour_cost"),
+                    (F.col("proportion") * F.col("period_dbus") * share).alias("hour_dbus"), F.coalesce("billed", F.lit(False)).alias("billed")))
+
+
+def cost_per_query(queries: DataFrame, pieces: DataFrame, latest: Column, host: str = "", how: str = "inner") -> DataFrame:
+    """A4 from its hourly pieces: one row per query; ``how="left"`` also shows queries without a piece."""
     hours = F.array_sort(F.collect_list(F.struct(
         "hour_bucket", F.col("hour_cost").alias("hour_attributed_cost"), F.col("hour_dbus").alias("hour_attributed_dbus"))))
     # hours of one statement: bounded by how long a statement runs
     costs = pieces.groupBy("statement_id", "warehouse_id").agg(
         hours.alias("statement_hour_bucket_costs"), F.sum("hour_cost").alias("query_attributed_dollars_estimation"),
-        F.sum("hour_dbus").alias("query_attributed_dbus_estimation"),
-        F.max(F.coalesce("billed", F.lit(False))).alias("billed"))
-    latest = bills.select(F.max("hour_bucket")).scalar()
+        F.sum("hour_dbus").alias("query_attributed_dbus_estimation"), F.max("billed").alias("billed"))
 
     def seconds_between(a: str, b: str) -> Column:
         millis = F.floor((F.unix_micros(b) - F.unix_micros(a)) / 1000)
@@ -317,7 +358,7 @@ def utilized_cost_per_query(usage: DataFrame, price_history: DataFrame, history:
         "No Billing Record for this hour and warehouse yet available")
     profile = F.concat(F.lit(f"{host}/sql/history?queryId="), F.col("statement_id"), F.lit("&queryStartTimeMs="),
                        (F.unix_timestamp("start_time") * 1000).cast("string"))
-    return queries.join(costs, ["statement_id", "warehouse_id"]).select(
+    return queries.join(costs, ["statement_id", "warehouse_id"], how).select(
         "statement_id", "query_source_id", "query_source_type", "client_application", "executed_by", "warehouse_id",
         "statement_text", "workspace_id", "statement_hour_bucket_costs", "start_time", "end_time",
         "query_work_start_time", "query_work_end_time",
@@ -328,3 +369,12 @@ def utilized_cost_per_query(usage: DataFrame, price_history: DataFrame, history:
         F.coalesce(source_url(host), F.lit("")).alias("url_helper"), profile.alias("query_profile_url"),
         latest.alias("most_recent_billing_hour"), check.alias("billing_record_check"),
         _hour("start_time").alias("query_start_hour"))
+
+
+def utilized_cost_per_query(usage: DataFrame, price_history: DataFrame, history: DataFrame, events: DataFrame,
+                            as_of: str, bounds: Bounds | None = None, exact: bool = False, host: str = "") -> DataFrame:
+    """A4: cost of each query, counting only the utilised part of every hour it ran in."""
+    bounds = bounds or read_bounds(usage, history, events)
+    queries = work_queries(history, bounds)
+    latest = warehouse_rows(usage, bounds).select(_hour("usage_start_time").alias("h")).select(F.max("h")).scalar()
+    return cost_per_query(queries, cost_by_hour(usage, price_history, queries, events, as_of, bounds, exact), latest, host)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from datetime import date, timedelta
 from functools import reduce
 from typing import Callable
 
@@ -14,7 +14,7 @@ from meterlens.operators.allocate import cost_per_query, started_in, tool_attrib
 from meterlens.operators.pricing import day, metered, totals
 from meterlens.plans.kpis import query_measures
 from meterlens.plans.spend import categorised
-from meterlens.sources.catalog import available
+from meterlens.sources.versions import Manifest, Store
 
 #: Default history kept in the marts, in days.
 LOOKBACK_DAYS = 730
@@ -77,44 +77,66 @@ def build_marts(tables, start: str, end: str) -> dict[str, DataFrame]:
     }
 
 
-def write_mart(mart: DataFrame, root: str, name: str) -> str:
-    """Replace a mart in full, one folder per day.
+# fixed values: columns whose daily totals a version records
+MART_SUMS = {
+    "daily_usage_summary": ["total_dbus", "total_spend"], "daily_product_breakdown": ["total_dbus", "total_spend"],
+    "daily_workspace_breakdown": ["total_dbus", "total_spend"], "sql_tool_attribution": ["attributed_dbus", "attributed_spend"],
+    "daily_query_stats": ["total_queries"], "cost_per_query": ["query_attributed_dollars_estimation"],
+}
+
+
+def history_window(as_of: str, days: int = LOOKBACK_DAYS) -> tuple[str, str]:
+    """First and last day a mart keeps."""
+    last = date.fromisoformat(as_of)
+    return str(last - timedelta(days=days)), as_of
+
+
+def refresh_marts(tables, root: str, as_of: str, days: int = LOOKBACK_DAYS) -> dict[str, Manifest]:
+    """Build and write all daily marts over the history window."""
+    marts = build_marts(tables, *history_window(as_of, days))
+    return {name: write_mart(mart, root, name) for name, mart in marts.items()}
+
+
+def _store(spark: SparkSession, root: str, name: str) -> Store:
+    return Store(spark, f"{root}/{name}")
 
-    Rebalancing by day gives a small day one file, and splits a large one, as
-    the mart with a row per query has, over several tasks.
-    """
-    path = f"{root}/{name}"
-    (mart.hint("rebalance", "usage_date").write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy("usage_date").parquet(path))
-    return path
 
+def write_mart(mart: DataFrame, root: str, name: str) -> Manifest:
+    """Replace a mart in full, one folder per day, as a new version; rows without a day are no part of a mart."""
+    return _store(mart.sparkSession, root, name).replace({name: mart}, {name: MART_SUMS[name]})
 
-def upsert_mart(new_rows: DataFrame, root: str, name: str) -> str:
+
+def upsert_mart(new_rows: DataFrame, root: str, name: str) -> Manifest:
     """Insert new keys, replace existing ones, keep the rest.
 
     Plain parquet has no row-level merge, so the days of the new rows are
     rewritten: old rows of those days whose key is not among the new ones are
-    carried over; a null in a key equals a null.  The new rows are computed once
-    and the result is staged, each in a folder of its own beside the mart,
-    because a folder cannot be read and replaced in one job.
+    carried over; a null in a key equals a null.  The new rows are computed once,
+    into a write that no version names and that goes afterwards.  Readers see
+    the old version until the new one is complete.
     """
-    spark, path, keys = new_rows.sparkSession, f"{root}/{name}", MART_KEYS[name]
-    if not available(spark, path):
+    store, keys = _store(new_rows.sparkSession, root, name), MART_KEYS[name]
+    if store.current() is None:
         return write_mart(new_rows, root, name)
-    old = spark.read.parquet(path)
-    staged = f"{root}/_staged/{name}-{uuid.uuid4().hex}"
-    new_rows.write.parquet(f"{staged}/new")
-    new_rows = spark.read.schema(new_rows.schema).parquet(f"{staged}/new")
-    days = new_rows.select("usage_date").distinct()
-    fresh = new_rows.select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    kept = old.join(days, "usage_date", "left_semi").join(fresh, same, "left_anti")
-    typed = new_rows.select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields])
-    merged = kept.unionByName(typed)
-    merged.write.parquet(f"{staged}/merged")
-    (spark.read.schema(merged.schema).parquet(f"{staged}/merged").hint("rebalance", "usage_date").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path))
-    return path
+    staged = store.stage({name: new_rows})
+
+    def merged(base: Manifest) -> dict[str, DataFrame]:
+        fresh = store.open(name, manifest=Manifest(days=staged))
+        if fresh is None:  # no rows, nothing to change
+            return {}
+        touched = staged[name].keys()
+        old = store.open(name, min(touched), max(touched), base)
+        if old is None:
+            return {name: fresh}
+        old = old.filter(F.col("usage_date").cast("string").isin(*touched))
+        keyed = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        typed = fresh.select(*[F.col(f.name).cast(f.dataType) for f in old.schema.fields])
+        return {name: old.join(keyed, same, "left_anti").unionByName(typed)}
+    try:
+        return store.change(merged, {name: MART_SUMS[name]})
+    finally:
+        store.discard(staged)
 
 
 def _days(mart: DataFrame, start: str, end: str) -> DataFrame:
@@ -172,18 +194,35 @@ def read_query_kpis(mart: DataFrame, start: str, end: str) -> DataFrame:
                                        F.max("unique_query_users").alias("peak_daily_query_users"))
 
 
-def mart_or_live(mart_report: DataFrame | None, live: Callable[[], DataFrame], value: str = "total_spend") -> DataFrame:
-    """The report on the mart, unless there is none or it adds up to nothing; then the live query."""
-    if mart_report is not None:
-        total = mart_report.agg(F.sum(value)).first()[0]
-        if total is not None and total > 0:
-            return mart_report
-    return live()
+def mart_or_live(mart_report: DataFrame | None, live: Callable[[], DataFrame], total: float | None) -> DataFrame:
+    """The report on the mart, unless there is none or it adds up to nothing; then the live query.
+
+    ``total`` comes with the version the report reads (:func:`mart_total`), so the choice runs no job.
+    """
+    return mart_report if mart_report is not None and total is not None and total > 0 else live()
+
+
+def mart_total(spark: SparkSession, root: str, name: str, start: str, end: str, column: str = "total_spend") -> float | None:
+    """The sum of a column over days of the current version, from its manifest."""
+    manifest = _store(spark, root, name).current()
+    return None if manifest is None else manifest.total(name, column, start, end)
+
+
+def open_mart(spark: SparkSession, root: str, name: str, start: str | None = None, end: str | None = None) -> DataFrame | None:
+    """The current version of a mart, or of some of its days."""
+    return _store(spark, root, name).open(name, start, end)
 
 
-def open_mart(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    path = f"{root}/{name}"
-    return spark.read.parquet(path) if available(spark, path) else None
+def freshness_of(spark: SparkSession, root: str, names: list[str], as_of: str) -> DataFrame:
+    """L9 for written marts, from their manifests alone."""
+    rows = []
+    for name in names:
+        manifest = _store(spark, root, name).current()
+        days = sorted(manifest.of(name)) if manifest else []
+        ends = [date.fromisoformat(d) for d in days[:1] + days[-1:]]
+        rows.append((name, manifest.rows(name) if manifest else 0, *(ends or [None, None]),
+                     (date.fromisoformat(as_of) - ends[-1]).days if ends else None))
+    return spark.createDataFrame(rows, "name string, row_count long, min_date date, max_date date, days_behind int")
 
 
 def freshness(mart: DataFrame, name: str, as_of: str, date_column: str = "usage_date") -> DataFrame:

@@ -69,6 +69,9 @@ GROUP BY 1, 2 ORDER BY sum(spend) DESC, 1, 2 LIMIT 20"""),
     Query("m07_ml_clusters", lambda t: M.ml_clusters(t.usage, t.list_prices, t.clusters, *W), f"""
 SELECT c.cluster_name, c.cluster_id, c.v AS runtime_version, c.o AS owner, max(u.workspace_id) AS workspace_id, {SUMS}, {_DAYS}
 FROM pu u JOIN (SELECT cluster_id, max(cluster_name) AS cluster_name, max(dbr_version) AS v, max(owned_by) AS o FROM cl_log WHERE cluster_id IN {_ML} GROUP BY 1) c ON u.cluster_id = c.cluster_id GROUP BY 1, 2, 3, 4"""),
+    Query("m07b_ml_clusters_without_table", lambda t: M.ml_clusters(t.usage, t.list_prices, None, *W), f"""
+SELECT CAST('' AS VARCHAR) AS cluster_name, CAST('' AS VARCHAR) AS cluster_id, CAST('' AS VARCHAR) AS runtime_version, CAST('' AS VARCHAR) AS owner, max(workspace_id) AS workspace_id,
+  {SUMS}, {_DAYS} FROM pu WHERE false GROUP BY usage_date"""),
     Query("m08_agents", lambda t: M.agents(t.usage, t.list_prices, t.served_entities, *W), _agents_sql("coalesce(e.served, u.endpoint_name)", _SERVED)),
     Query("m08b_agents_bills_only", lambda t: M.agents(t.usage, t.list_prices, None, *W), _agents_sql("u.endpoint_name", "")),
     Query("m09_sku_catalogue", lambda t: M.sku_catalogue(t.usage, t.list_prices, *W),

@@ -1,8 +1,5 @@
 """Registered queries: invoice tables and marts (l), cloud actuals (x), reconciliation (d)."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from meterlens.plans import cloud as X
@@ -11,7 +8,7 @@ from meterlens.plans import quality as D
 from meterlens.plans import spend as S
 from meterlens.registered import labels_sql as LB
 from meterlens.registered.inputs_sql import AFTER, FIRST, LAST
-from meterlens.registered.query import SUMS, Query, num, stamp, whole
+from meterlens.registered.query import SUMS, Query, num, scratch, stamp, whole
 from meterlens.sources.catalog import input_status
 from meterlens.sources.values import DAY_AFTER, FIRST_DAY, LAST_DAY
 from meterlens.streaming.ingest import load_new_files
@@ -90,17 +87,9 @@ def _tool_mart(t):
     return L.sql_tool_attribution(t.usage, t.list_prices, t.query_history, *W)
 
 
-def _scratch(t) -> str:
-    """A folder for written marts: shared storage on a cluster, a fresh local one where none is named."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="meterlens-marts-")
-    return f"{shared}/meterlens-marts-{uuid.uuid4().hex}"
-
-
 def _ingested(t):
     """L1 end to end: two deliveries of invoice files, the second with a new column, each loaded once."""
-    root = _scratch(t) + "/ingest"
+    root = scratch(t) + "/ingest"
     lines = t.azure_bronze.select("Date", "MeterCategory", "CostInUsd", "CostCenter")
     early = F.col("Date") < F.lit("2023-11-01")
     lines.filter(early).drop("CostCenter").write.mode("overwrite").parquet(f"{root}/inbox/first")
@@ -113,12 +102,27 @@ def _ingested(t):
 
 def _written(t):
     """L5 and L6 end to end: write the mart, upsert its second half again with doubled dbus, read it back."""
-    root = _scratch(t)
+    root = scratch(t)
     mart = _product_mart(t)
     L.write_mart(mart, root, "daily_product_breakdown")
     late = mart.filter((F.col("usage_date") > F.lit("2023-12-31")) & (F.col("product_category") != "SQL"))
-    path = L.upsert_mart(late.withColumn("total_dbus", F.col("total_dbus") * 2), root, "daily_product_breakdown")
-    return t.spark.read.parquet(path).select("usage_date", "product_category", "total_dbus", "total_spend", "workspace_count")
+    L.upsert_mart(late.withColumn("total_dbus", F.col("total_dbus") * 2), root, "daily_product_breakdown")
+    return L.open_mart(t.spark, root, "daily_product_breakdown").select("usage_date", "product_category", "total_dbus", "total_spend", "workspace_count")
+
+
+def _written_root(t):
+    root = scratch(t)
+    L.write_mart(_product_mart(t), root, "daily_product_breakdown")
+    return root
+
+
+def _routed(t, start, end):
+    """The mart of some days, if they have a total, or else the live report of the whole range."""
+    root, name = _written_root(t), "daily_product_breakdown"
+    mart = L.read_by_product(L.open_mart(t.spark, root, name, start, end), start, end)
+    mart = mart.withColumnRenamed("peak_daily_workspace_count", "workspaces").withColumn("source", F.lit("mart"))
+    return L.mart_or_live(mart, lambda: S.by_product_fast(t.usage, t.list_prices, *W).withColumnRenamed("workspace_count", "workspaces")
+                          .withColumn("source", F.lit("live")), L.mart_total(t.spark, root, name, start, end))
 
 
 _DAILY_SQL = f"SELECT usage_date, {SUMS}, {_EFF}, {_SPACES} FROM pu GROUP BY 1"
@@ -130,8 +134,17 @@ _TOTAL = "(SELECT CAST(sum(spend) AS DOUBLE) FROM pu)"
 _KNOWN = "coalesce(cluster_id, warehouse_id, job_id, pipeline_id, endpoint_name) IS NOT NULL"
 
 
-def _completeness(check, name, extra):
-    return f"""SELECT '{check}' AS "check", 'pass' AS status, {num('sum(spend)', 'ground_truth_spend')}, {num('sum(spend)', name)}, {extra}, CAST(0 AS DOUBLE) AS difference, CAST(0 AS DOUBLE) AS difference_pct FROM pu"""
+def _completeness(check, name, count, keys):
+    """``keys`` gives (key, spend) of every record; those without a key are missing from the parts."""
+    return f"""SELECT '{check}' AS "check", CASE WHEN coalesce(100 * abs(w - s) / w, 0) <= 0.01 THEN 'pass' ELSE 'fail' END AS status, {num('w', 'ground_truth_spend')}, {num('s', name)},
+  {whole('n', count)}, {num('w - s', 'difference')}, {num('coalesce(100 * abs(w - s) / w, 0)', 'difference_pct')}
+FROM (SELECT CAST(sum(s) AS DOUBLE) AS s, count(*) AS n FROM (SELECT k, sum(spend) AS s FROM ({keys}) r WHERE k IS NOT NULL GROUP BY 1) g) parts,
+  (SELECT CAST(sum(spend) AS DOUBLE) AS w FROM pu) whole"""
+
+
+def _without_some_workspaces(t):
+    """A bill whose records of two workspaces have lost their workspace."""
+    return t.usage.withColumn("workspace_id", F.when(~F.col("workspace_id").isin(1, 4), F.col("workspace_id")))
 
 
 def _stale_mart(t):
@@ -140,6 +153,9 @@ def _stale_mart(t):
     return _summary_mart(t).filter(F.col("usage_date") < F.lit(LAST_DAY)).withColumn("total_spend", wrong)
 
 
+_MART_VS_LIVE = f"""SELECT 'mv_vs_live' AS "check", CASE WHEN count(*) FILTER (abs(live - mart) > 0.01) = 0 THEN 'pass' ELSE 'fail' END AS status, {whole('count(*)', 'total_dates_compared')},
+  {whole('count(*) FILTER (abs(live - mart) > 0.01)', 'mismatched_dates')} FROM (SELECT CAST(spend AS DOUBLE) AS live, {{mart}} AS mart FROM days) x"""
+
 QUERIES = [
     Query("l01_incremental_load", _ingested, f"""
 SELECT meter_category AS "MeterCategory", CASE WHEN day >= DATE '2023-11-01' THEN cost_center END AS "CostCenter", {whole('count(*)', 'lines')}, {num('sum(cost_usd)', 'cost')} FROM azure GROUP BY 1, 2"""),
@@ -174,8 +190,14 @@ FROM (SELECT usage_date, {LB.CATEGORY} AS product_category, sum(qty) AS d, sum(s
     Query("l07_read_query_kpis", lambda t: L.read_query_kpis(L.daily_query_stats(t.query_history, *W), *W), f"""
 SELECT {whole('sum(total_queries)', 'total_queries')}, {whole('sum(total_rows_read)', 'total_rows_read')}, {whole('sum(total_bytes_read)', 'total_bytes_read')}, {num('sum(total_compute_seconds)', 'total_compute_seconds')},
   {whole('max(unique_query_users)', 'peak_daily_query_users')} FROM ({_QUERY_SQL}) q"""),
-    Query("l08_mart_or_live_falls_back", lambda t: L.mart_or_live(_product_mart(t).filter(F.col("usage_date") < F.lit(FIRST_DAY)), lambda: S.by_product_fast(t.usage, t.list_prices, *W)),
-          f"SELECT {LB.CATEGORY} AS product_category, {SUMS}, {_SPACES} FROM pu GROUP BY 1"),
+    Query("l08_mart_or_live", lambda t: _routed(t, FIRST_DAY, LAST_DAY),
+          f"""SELECT product_category, {num('sum(d)', 'total_dbus')}, {num('sum(s)', 'total_spend')}, {whole('max(n)', 'workspaces')}, 'mart' AS source
+FROM (SELECT usage_date, {LB.CATEGORY} AS product_category, sum(qty) AS d, sum(spend) AS s, count(DISTINCT workspace_id) AS n FROM pu GROUP BY 1, 2) x GROUP BY 1"""),
+    Query("l08_mart_or_live_falls_back", lambda t: _routed(t, "2020-01-01", "2020-01-31"),
+          f"SELECT {LB.CATEGORY} AS product_category, {SUMS}, {whole('count(DISTINCT workspace_id)', 'workspaces')}, 'live' AS source FROM pu GROUP BY 1"),
+    Query("l09_freshness_of_versions", lambda t: L.freshness_of(t.spark, _written_root(t), ["daily_product_breakdown"], "2024-02-10"), f"""
+SELECT 'daily_product_breakdown' AS name, {whole(f'(SELECT count(*) FROM (SELECT DISTINCT usage_date, {LB.CATEGORY} AS c FROM pu) x)', 'row_count')}, min(usage_date) AS min_date, max(usage_date) AS max_date,
+  {whole("datediff('day', max(usage_date), DATE '2024-02-10')", 'days_behind')} FROM pu"""),
     Query("l09_freshness", lambda t: L.freshness(_summary_mart(t), "daily_usage_summary", "2024-02-10"), f"""
 SELECT 'daily_usage_summary' AS name, {whole('count(DISTINCT usage_date)', 'row_count')}, min(usage_date) AS min_date, max(usage_date) AS max_date,
   {whole("datediff('day', max(usage_date), DATE '2024-02-10')", 'days_behind')} FROM pu"""),
@@ -205,10 +227,16 @@ FROM gcp GROUP BY currency ORDER BY sum(cost) DESC LIMIT 1"""),
     Query("x13_gcp_series", lambda t: X.gcp_series(t.gcp_export, *E), f"SELECT day AS date, service, {num('sum(cost)', 'daily_cost')} FROM gcp GROUP BY 1, 2"),
     Query("x13_gcp_series_wide", lambda t: X.series_wide(X.gcp_series(t.gcp_export, *E), "service", _GCP_SERVICES), _wide(_GCP_SERVICES, "service", "cost", "gcp")),
     Query("d01_ground_truth", lambda t: D.ground_truth(t.usage, t.list_prices, *W), f"""
-SELECT 'ground_truth' AS "check", 'pass' AS status, {SUMS}, {whole('count(*)', 'total_rows')}, {_SPACES}, {whole('count(DISTINCT usage_date)', 'days_in_range')} FROM pu"""),
+SELECT 'ground_truth' AS "check", CASE WHEN count(*) > 0 THEN 'pass' ELSE 'fail' END AS status, {SUMS}, {whole('count(*)', 'total_rows')}, {_SPACES}, {whole('count(DISTINCT usage_date)', 'days_in_range')} FROM pu"""),
     Query("d02_product_completeness", lambda t: D.product_completeness(t.usage, t.list_prices, *W),
-          _completeness("product_completeness", "product_sum_spend", whole(f"count(DISTINCT {LB.CATEGORY})", "category_count"))),
-    Query("d03_workspace_completeness", lambda t: D.workspace_completeness(t.usage, t.list_prices, *W), _completeness("workspace_completeness", "workspace_sum_spend", _SPACES)),
+          _completeness("product_completeness", "product_sum_spend", "category_count", f"SELECT {LB.CATEGORY} AS k, spend FROM pu")),
+    Query("d03_workspace_completeness", lambda t: D.workspace_completeness(t.usage, t.list_prices, *W),
+          _completeness("workspace_completeness", "workspace_sum_spend", "workspace_count", "SELECT workspace_id AS k, spend FROM pu")),
+    Query("d03_workspace_completeness_fails", lambda t: D.workspace_completeness(_without_some_workspaces(t), t.list_prices, *W),
+          _completeness("workspace_completeness", "workspace_sum_spend", "workspace_count", "SELECT CASE WHEN workspace_id NOT IN (1, 4) THEN workspace_id END AS k, spend FROM pu")),
+    Query("d01_ground_truth_of_nothing", lambda t: D.ground_truth(t.usage, t.list_prices, "2020-01-01", "2020-01-31"), f"""
+SELECT 'ground_truth' AS "check", CASE WHEN count(*) > 0 THEN 'pass' ELSE 'fail' END AS status, {SUMS}, {whole('count(*)', 'total_rows')}, {_SPACES}, {whole('count(DISTINCT usage_date)', 'days_in_range')}
+FROM pu WHERE usage_date < DATE '2020-02-01'"""),
     Query("d04_price_coverage", lambda t: D.price_coverage(t.usage, t.list_prices, *W), f"""
 SELECT 'price_coverage' AS "check", CASE WHEN 100 * CAST(u AS DOUBLE) / CAST(q AS DOUBLE) <= 5 THEN 'pass' ELSE 'fail' END AS status, {whole('n', 'total_rows')}, {whole('p', 'priced_rows')}, {whole('n - p', 'unpriced_rows')},
   {num('q', 'total_dbus')}, {num('u', 'unpriced_dbus')}, {num('100.0 * (n - p) / n', 'unpriced_row_pct')}, {num('100 * CAST(u AS DOUBLE) / CAST(q AS DOUBLE)', 'unpriced_dbu_pct')}
@@ -232,5 +260,7 @@ SELECT usage_date, {num('live', 'live_spend')}, {num('mart', 'mv_spend')}, {num(
   SELECT usage_date, CAST(spend AS DOUBLE) AS live, CASE WHEN usage_date = {LAST} THEN 0 WHEN usage_date = DATE '2023-12-25' THEN CAST(spend + 5 AS DOUBLE) ELSE CAST(spend AS DOUBLE) END AS mart FROM days) x
 WHERE abs(live - mart) > 0.01"""),
     Query("d09_mart_vs_live", lambda t: D.mart_vs_live(_summary_mart(t), _summary_mart(t)),
-          f"SELECT 'mv_vs_live' AS \"check\", 'pass' AS status, {whole('count(*)', 'total_dates_compared')}, CAST(0 AS BIGINT) AS mismatched_dates FROM days"),
+          _MART_VS_LIVE.format(mart="CAST(spend AS DOUBLE)")),
+    Query("d09_mart_vs_live_fails", lambda t: D.mart_vs_live(_stale_mart(t), _summary_mart(t)),
+          _MART_VS_LIVE.format(mart=f"CASE WHEN usage_date = {LAST} THEN 0 WHEN usage_date = DATE '2023-12-25' THEN CAST(spend + 5 AS DOUBLE) ELSE CAST(spend AS DOUBLE) END")),
 ]

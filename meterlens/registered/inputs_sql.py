@@ -281,7 +281,9 @@ SELECT statement_id, coalesce(client, 'Unknown') AS client_application, coalesce
 FROM qh, bounds WHERE statement_type IS NOT NULL AND start_time < t1 AND end_time > t0 AND task_ms > 0 AND warehouse_id IS NOT NULL""",
     "state_sec": """
 SELECT warehouse_id, date_trunc('second', event_time) AS sec, max_by(CASE WHEN cluster_count = 0 THEN 'OFF' ELSE 'ON' END, event_time) AS state
-FROM wev, bounds WHERE event_time >= t0 - INTERVAL 1 DAY AND event_time <= t1 AND warehouse_id IN (SELECT warehouse_id FROM wq) GROUP BY 1, 2""",
+FROM wev, bounds WHERE event_time >= t0 AND event_time <= t1 AND warehouse_id IN (SELECT warehouse_id FROM wq) GROUP BY 1, 2
+UNION ALL SELECT warehouse_id, date_trunc('second', max(event_time)), max_by(CASE WHEN cluster_count = 0 THEN 'OFF' ELSE 'ON' END, event_time)
+FROM wev, bounds WHERE event_time < t0 AND warehouse_id IN (SELECT warehouse_id FROM wq) GROUP BY 1""",
     "on_off": """
 SELECT warehouse_id, state, start_at, end_at FROM (
   SELECT warehouse_id, state, start_at, coalesce(lead(start_at) OVER (PARTITION BY warehouse_id ORDER BY start_at), (SELECT t1 FROM bounds)) AS end_at

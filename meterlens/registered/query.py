@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,6 +30,14 @@ class Query:
         return None if self.sql is None else with_inputs(self.sql)
 
 
+def scratch(t: FixtureTables) -> str:
+    """A folder for written marts: shared storage on a cluster, a fresh local one where none is named."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="meterlens-marts-")
+    return f"{shared}/meterlens-marts-{uuid.uuid4().hex}"
+
+
 def num(expression: str, name: str, digits: int = 4) -> str:
     """A rounded double column."""
     return f"round(CAST({expression} AS DOUBLE), {digits}) AS {name}"

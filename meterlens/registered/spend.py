@@ -96,7 +96,7 @@ _RUNS = whole("count(DISTINCT job_run_id)", "total_runs")
 _INTERACTIVE = f"""
 SELECT p.cluster_id, c.cluster_name, p.notebook_path, p.run_as AS run_as_user, max(p.workspace_id) AS workspace_id, CAST(NULL AS VARCHAR) AS cluster_state,
   sum(qty) AS d, sum(spend) AS s, {whole('count(DISTINCT usage_date)', 'days_active')}, {whole('count(DISTINCT notebook_id)', 'notebook_count')}
-FROM pu p LEFT JOIN (SELECT cluster_id, max(cluster_name) AS cluster_name FROM cl_log GROUP BY 1) c ON p.cluster_id = c.cluster_id
+FROM pu p LEFT JOIN cl_now c ON p.cluster_id = c.cluster_id
 WHERE product = 'ALL_PURPOSE' GROUP BY 1, 2, 3, 4"""
 
 

@@ -88,6 +88,12 @@ def _tags_as_text(df):
     return df.withColumn("tags", F.when(F.col("tags").isNotNull(), F.array_join(entries, "|")))
 
 
+def _next_statements(t):
+    """The second page, behind the last row of the first."""
+    last = C.query_catalogue(t.query_history, LAST_DAY, with_start=True).collect()[-1]
+    return C.query_catalogue(t.query_history, LAST_DAY, after=(last.start_time, last.object_id, last.workspace_id))
+
+
 QUERIES = [
     Query("g01_summary", lambda t: G.summary(t.usage, t.list_prices, *W), f"""
 SELECT {whole('count(DISTINCT run_as)', 'user_count')}, {num('sum(spend)', 'total_spend')}, {DBUS}, {num('CAST(sum(spend) AS DOUBLE) / count(DISTINCT run_as)', 'avg_spend_per_user')} FROM {_USERS} u"""),
@@ -132,6 +138,9 @@ SELECT use_case_id, name, owner, stage, total_spend, total_dbus, object_count, {
     Query("c05_query_catalogue", lambda t: C.query_catalogue(t.query_history, LAST_DAY), f"""
 SELECT statement_id AS object_id, substr(statement_text, 1, 100) AS object_name, workspace_id, 'query' AS object_type FROM qh WHERE as_user IS NOT NULL AND start_time >= {LAST} - 30
 ORDER BY start_time DESC, statement_id LIMIT 100"""),
+    Query("c05_query_catalogue_next_page", _next_statements, f"""
+SELECT statement_id AS object_id, substr(statement_text, 1, 100) AS object_name, workspace_id, 'query' AS object_type FROM qh WHERE as_user IS NOT NULL AND start_time >= {LAST} - 30
+ORDER BY start_time DESC, statement_id LIMIT 100 OFFSET 100"""),
     Query("c05_dashboard_catalogue", lambda t: C.dashboard_catalogue(t.dashboards),
           f"SELECT 'dash-' || s_suppkey AS object_id, s_name AS object_name, {whole('s_nationkey', 'workspace_id')}, 'dashboard' AS object_type FROM supplier ORDER BY s_name, 1 LIMIT 100"),
     Query("c06_use_case_list", lambda t: _tags_as_text(C.use_case_list(t.use_cases, status="active")), _LIST + " WHERE status = 'active'"),

@@ -8,11 +8,13 @@ from meterlens.operators import allocate as A
 from meterlens.operators import timeline as T
 from meterlens.plans import health as H
 from meterlens.plans import kpis as K
+from meterlens.plans import marts as L
 from meterlens.plans import origin as O
+from meterlens.plans import utilized as U
 from meterlens.plans import warehouse as R
 from meterlens.registered import query as Q
 from meterlens.registered.inputs_sql import AFTER, FIRST
-from meterlens.registered.query import stamp, whole
+from meterlens.registered.query import scratch, stamp, whole
 from meterlens.sources.values import DAY_AFTER, FIRST_DAY, LAST_DAY
 
 Query, num = partial(Q.Query, digits=6), partial(Q.num, digits=6)
@@ -31,6 +33,28 @@ def utilized_mart(t, **options):
     return T.utilized_cost_per_query(t.usage, t.price_history, t.query_history, t.warehouse_events, DAY_AFTER, **options)
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written(t) -> str:
+    """Root of both per-query marts, written once per session and input: A2 in full, A4 in two runs that follow each other."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _WRITTEN:
+        root = scratch(t)
+        L.write_mart(share_mart(t).withColumn("usage_date", F.to_date("start_time")), root, "cost_per_query")
+        bounds = T.read_bounds(t.usage, t.query_history, t.warehouse_events)
+        middle = bounds.start + (bounds.end - bounds.start) // 2
+        U.extend(t, root, middle.replace(minute=0, second=0, microsecond=0), DAY_AFTER, bounds.start)
+        U.extend(t, root, bounds.end, DAY_AFTER)
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
+def _both(t):
+    root = written(t)
+    return L.open_mart(t.spark, root, "cost_per_query"), U.costs(U.store_of(t, root))
+
+
 def _timeline(t):
     bounds = T.read_bounds(t.usage, t.query_history, t.warehouse_events)
     return t.warehouse_events, T.work_queries(t.query_history, bounds), bounds
@@ -51,10 +75,10 @@ _TOP = f"""SELECT statement_id, query_source_type, query_source_id, executed_by,
 _BY_USER = "SELECT executed_by, query_source_type, count(*) AS n, sum(dollars) AS s, sum(dbus) AS d FROM a2r GROUP BY 1, 2"
 _BY_WH = f"""SELECT warehouse_id, {whole('count(*)', 'query_count')}, {whole('count(DISTINCT executed_by)', 'unique_users')}, sum(dollars) AS s, sum(dbus) AS d
 FROM a2r GROUP BY 1"""
-_FACTS = """SELECT warehouse_id, max(warehouse_name) AS warehouse_name, coalesce(max(warehouse_type), 'CLASSIC') AS warehouse_type, max(warehouse_size) AS warehouse_size,
-  CAST(max(l.workspace_id) AS VARCHAR) AS workspace_id, max(workspace_name) AS workspace_name FROM wh_log l LEFT JOIN ws ON l.workspace_id = ws.workspace_id GROUP BY 1"""
-_TYPE_SERIES = """SELECT c.usage_date AS date, coalesce(k.t, 'CLASSIC') AS warehouse_type, sum(c.spend) AS s FROM sql_cost c
-LEFT JOIN (SELECT warehouse_id, max(warehouse_type) AS t FROM wh_log GROUP BY 1) k ON c.warehouse_id = k.warehouse_id GROUP BY 1, 2"""
+_FACTS = """SELECT warehouse_id, warehouse_name, coalesce(warehouse_type, 'CLASSIC') AS warehouse_type, warehouse_size,
+  CAST(l.workspace_id AS VARCHAR) AS workspace_id, workspace_name FROM wh_now l LEFT JOIN ws ON l.workspace_id = ws.workspace_id"""
+_TYPE_SERIES = """SELECT c.usage_date AS date, coalesce(k.warehouse_type, 'CLASSIC') AS warehouse_type, sum(c.spend) AS s FROM sql_cost c
+LEFT JOIN wh_now k ON c.warehouse_id = k.warehouse_id GROUP BY 1, 2"""
 
 
 def _pivot(columns, value, source, names):
@@ -77,11 +101,11 @@ FULL OUTER JOIN (SELECT warehouse_id, count(*) AS n, sum(dollars) AS s, sum(dbus
 
 
 def _comparison(t):
-    return R.method_comparison(share_mart(t), utilized_mart(t), *E)
+    return R.method_comparison(*_both(t), *E)
 
 
 def _efficiency(t):
-    return R.warehouse_efficiency(share_mart(t), utilized_mart(t), *E, min_cost=10.0)
+    return R.warehouse_efficiency(*_both(t), *E, min_cost=10.0)
 
 
 def _warehouses(t, limit=None):
@@ -156,6 +180,9 @@ _A4_SQL = f"""SELECT statement_id, query_source_id, query_source_type, client_ap
   CASE WHEN billed THEN 'Has Billing Record' ELSE 'No Billing Record for this hour and warehouse yet available' END AS billing_record_check,
   {stamp("date_trunc('hour', start_time)", 'query_start_hour')}, {whole('hours', 'hour_count')} FROM a4"""
 
+#: The mart keeps the hours of its range; here those with a cost are counted.
+_A4_MART_SQL = f"""SELECT * REPLACE ((SELECT count(*) FROM a4h z WHERE z.statement_id = x.statement_id AND z.cost IS NOT NULL) AS hour_count) FROM ({_A4_SQL}) x"""
+
 QUERIES = [
     Query("a01_tool_attribution", lambda t: A.tool_attribution(t.usage, t.list_prices, t.query_history, *W).drop("attributed_effective_list_spend"),
           f"SELECT sql_product, usage_date, warehouse_id, {num('dbus', 'attributed_dbus')}, {num('spend', 'attributed_spend')} FROM a1"),
@@ -166,6 +193,12 @@ QUERIES = [
     Query("a04_cost_by_hour", lambda t: utilized_mart(t).select("statement_id", F.explode("statement_hour_bucket_costs").alias("h")).select(
         "statement_id", "h.hour_bucket", "h.hour_attributed_cost", "h.hour_attributed_dbus"),
         f"SELECT statement_id, {stamp('hour', 'hour_bucket')}, {num('cost', 'hour_attributed_cost')}, {num('dbus', 'hour_attributed_dbus')} FROM a4h"),
+    Query("a04_mart_cost_per_query", lambda t: U.cost_per_query(U.store_of(t, written(t))).withColumn("hour_count", F.coalesce(F.size(F.filter(
+        "statement_hour_bucket_costs", lambda h: h["hour_attributed_cost"].isNotNull())), F.lit(0))).drop("statement_hour_bucket_costs"),
+        _A4_MART_SQL),
+    Query("a04_mart_by_hour", lambda t: U.hourly_costs(U.store_of(t, written(t))).select("usage_date", "statement_id", "hour_bucket", "hour_cost", "hour_dbus", "billed"), f"""
+SELECT CAST(hour AS DATE) AS usage_date, statement_id, {stamp('hour', 'hour_bucket')}, {num('cost', 'hour_cost')}, {num('dbus', 'hour_dbus')}, billed FROM a4h
+WHERE hour >= (SELECT t0 FROM bounds) AND hour < (SELECT t1 FROM bounds)"""),
     Query("a04a_time_bounds", lambda t: T.time_bounds(t.usage, t.query_history, t.warehouse_events),
           f"SELECT {stamp('t0', 'selected_start_time')}, {stamp('t1', 'selected_end_time')} FROM bounds"),
     Query("a04b_work_queries", lambda t: _timeline(t)[1].select("statement_id", "warehouse_id", "query_work_start_time", "query_work_end_time", "query_work_task_time", "query_source_type", "query_source_id"),

@@ -52,10 +52,41 @@ def test_mart_equals_live(tables):
     assert (live.total_spend, live.total_dbus, live.days_in_range) == (mart.total_spend, mart.total_dbus, mart.days_in_range)
 
 
-def test_mart_or_live(spark):
-    live = spark.createDataFrame([(7,)], "total_spend int")
-    for mart, wanted in ((None, 7), (live.filter("false"), 7), (live.withColumn("total_spend", F.lit(0)), 7), (live.withColumn("total_spend", F.lit(3)), 3)):
-        assert L.mart_or_live(mart, lambda: live).first()[0] == wanted
+def test_mart_or_live(spark, tables, tmp_path):
+    live, mart = (spark.createDataFrame([(n,)], "total_spend int") for n in (7, 3))
+    for report, total, wanted in ((None, 5.0, 7), (mart, None, 7), (mart, 0.0, 7), (mart, 3.0, 3)):
+        assert L.mart_or_live(report, lambda: live, total).first()[0] == wanted
+    root, name = str(tmp_path), "daily_usage_summary"
+    assert L.mart_total(spark, root, name, *W) is None and L.open_mart(spark, root, name) is None
+    rows = L.daily_usage_summary(tables.usage, tables.list_prices, *W)
+    L.write_mart(rows, root, name)
+    wanted = rows.filter("usage_date between '2023-12-01' and '2023-12-31'").agg(F.sum("total_spend"), F.count("*")).first()
+    assert round(L.mart_total(spark, root, name, "2023-12-01", "2023-12-31"), 6) == round(float(wanted[0]), 6)
+    assert L.open_mart(spark, root, name, "2023-12-01", "2023-12-31").count() == wanted[1]
+    assert L.mart_total(spark, root, name, "2020-01-01", "2020-12-31") == 0
+    assert L.open_mart(spark, root, name, "2020-01-01", "2020-12-31").count() == 0
+    fresh, gone = L.freshness_of(spark, root, [name, "gone"], "2024-02-02").collect()
+    assert (fresh.row_count, fresh.min_date, fresh.max_date, fresh.days_behind) == (rows.count(), date(2023, 8, 4), date(2024, 1, 30), 3)
+    assert tuple(gone) == ("gone", 0, None, None, None)
+
+
+def test_choice_and_freshness_run_no_job(spark, tables, tmp_path):
+    root, name = str(tmp_path), "daily_product_breakdown"
+    L.write_mart(L.daily_product_breakdown(tables.usage, tables.list_prices, *W), root, name)
+    report = L.read_by_product(L.open_mart(spark, root, name, *W), *W)
+    context = spark.sparkContext
+    context.setJobGroup("planning", "no job may run")
+    L.mart_or_live(report, lambda: None, L.mart_total(spark, root, name, *W))
+    L.freshness_of(spark, root, [name], "2024-02-02")
+    assert not list(context.statusTracker().getJobIdsForGroup("planning"))
+    context.setJobGroup("rest", "")
+
+
+def test_refresh_keeps_the_history_window(spark, tables, tmp_path):
+    assert L.history_window("2024-01-30", 10) == ("2024-01-20", "2024-01-30")
+    made = L.refresh_marts(tables, str(tmp_path), "2024-01-30", 10)
+    assert set(made) == set(L.MART_KEYS) and all(m.number == 1 for m in made.values())
+    assert sorted(made["daily_usage_summary"].of("daily_usage_summary"))[0] == "2024-01-20"
 
 
 def test_inputs(spark, tables, tmp_path):

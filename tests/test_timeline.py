@@ -31,7 +31,7 @@ def simulate(queries, events):
         active[wh]
     for wh in list(active):
         mine = sorted((whole(ts), i, n) for i, (w, ts, n) in enumerate(sorted(events, key=lambda e: e[1]))
-                      if w == wh and START - timedelta(days=1) <= ts <= END)
+                      if w == wh and ts <= END)
         line, now, k = [], None, 0
         for s in range(seconds):
             at = START + timedelta(seconds=s)
@@ -81,6 +81,28 @@ def test_repeated_states_and_event_from_the_day_before(spark):
           [("w1", at("01 00:30"), 2), ("w1", at("01 04:00"), 3), ("w1", at("01 05:00:10"), 0), ("w1", at("01 05:00:40"), 1)])
 
 
+def test_warehouse_switched_on_a_month_before(spark):
+    queries, events = [("w1", at("01 05:00"), at("01 05:20")), ("w2", at("01 06:00"), at("01 06:20"))], [
+        ("w1", at("01 00:00") - timedelta(days=31), 1), ("w2", at("01 00:00") - timedelta(days=40), 1), ("w2", at("01 00:00") - timedelta(days=39), 0)]
+    check(spark, queries, events)
+    ev, work = frames(spark, queries, events)
+    windows = {r.warehouse_id: r.window_state for r in T.on_off_windows(ev, work, BOUNDS).collect()}
+    assert windows == {"w1": "ON", "w2": "OFF"}
+
+
+def test_only_hours_asked_for_are_cut(spark):
+    """Rows follow events, queries and bills, not warehouses times hours; states run on over hours without a row."""
+    ev, work = frames(spark, [("w1", at("01 02:10"), at("01 02:20")), ("w1", at("02 01:10"), at("02 01:20"))], [("w1", at("01 02:00"), 1)])
+    asked = spark.createDataFrame([("w1", at("02 01:00")), ("w1", at("01 20:00"))], "warehouse_id string, hour timestamp")
+    rows = {r.warehouse_hour: (r.utilized_seconds, r.idle_seconds, r.off_seconds) for r in T.utilization(ev, work, BOUNDS, hours=asked).collect()}
+    assert rows == {at("02 01:00"): (600, 3000, 0), at("01 20:00"): (0, 3600, 0)}
+    opening = spark.createDataFrame([("w1", 1, 2)], "warehouse_id string, state int, active long")
+    later = T.Bounds(datetime(2024, 1, 2, tzinfo=timezone.utc), BOUNDS.end)
+    rows = {r.warehouse_hour: (r.utilized_seconds, r.idle_seconds, r.off_seconds)
+            for r in T.utilization(ev.filter("false"), work, later, hours=asked.filter("day(hour) = 2"), opening=opening).collect()}
+    assert rows == {at("02 01:00"): (3600, 0, 0)}
+
+
 def test_queries_starting_in_the_same_second_and_out_of_range(spark):
     check(spark, [("w1", at("01 05:00:00.1"), at("01 05:00:03")), ("w1", at("01 05:00:00.8"), at("01 06:30")),
                   ("w1", at("01 00:10"), at("01 01:20")), ("w1", at("02 02:50"), at("02 04:00"))], [("w1", at("01 00:00"), 1)])
