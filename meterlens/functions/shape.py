@@ -9,13 +9,29 @@ from pyspark.sql import types as T
 from meterlens.operators.joins import join_spread
 
 
+def grand_total(df: DataFrame, value: str) -> Column:
+    """The sum of a column of a grouped report, as a scalar for the same report.
+
+    The report's rows are not computed twice: the subquery asks for every column, so what it shuffles is exactly what the
+    report shuffles, and Spark runs that stage once for both.  With the one column it needs, pruning would make it
+    another plan, and the bill would be read again.
+    """
+    whole = df.agg(F.sum(F.col(value).cast("double")).alias("total"), F.max(F.struct(*df.columns)).alias("every_column"))
+    return whole.select(F.struct("total", "every_column")).scalar()["total"]
+
+
+def latest_rows(log: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The last row of each key in a change log, as an aggregate and not a sorted window; all columns come from that row."""
+    return log.groupBy(key).agg(F.max_by(F.struct(*columns), "change_time").alias("_row")).select(key, "_row.*")
+
+
 def share_of_total(df: DataFrame, value: str, name: str = "percentage", digits: int | None = None) -> DataFrame:
     """Percent of the grand total, 0 when the total is 0.
 
     The total is a scalar subquery over the (already grouped) report, not a
     window without a partition, so no task has to hold the whole report.
     """
-    total = df.select(F.sum(F.col(value).cast("double"))).scalar()
+    total = grand_total(df, value)
     percent = F.coalesce(F.try_divide(100 * F.col(value).cast("double"), total), F.lit(0.0))
     return df.withColumn(name, percent if digits is None else F.round(percent, digits))
 

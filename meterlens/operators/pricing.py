@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Wide enough that no quantity or price of a bill is rounded before the two are multiplied.
+#: Sums of quantities.  A price has up to 7 digits before the point; times a quantity of up to 18 digits it is exact.
 QUANTITY = "decimal(38,12)"
-PRICE = "decimal(20,12)"
+PRICE = "decimal(19,12)"
 
 
 def day(value: str | Column) -> Column:
@@ -51,7 +52,22 @@ def with_price(rows: DataFrame, prices: DataFrame) -> DataFrame:
 def priced_usage(usage: DataFrame, prices: DataFrame, start: str, end: str) -> DataFrame:
     """K1 row by row: every record of the window with its price and spend."""
     return (with_price(in_window(usage, start, end), prices)
-            .withColumn("spend", F.col("usage_quantity") * F.col("price")))
+            .withColumn("spend", spend_of(usage, "price")))
+
+
+def spend_of(rows: DataFrame, price: str) -> Column:
+    """Quantity times price, not rounded before the 17th decimal.
+
+    A decimal has 38 digits, so Spark cuts the decimals of a product of wide ones: a quantity stored as decimal(38,18) would
+    lose all beyond the ninth.  Such a quantity is multiplied in two parts, whole and fraction, whose products are exact.
+    """
+    quantity, kind = F.col("usage_quantity"), rows.schema["usage_quantity"].dataType
+    if not isinstance(kind, T.DecimalType) or kind.precision <= 18:
+        return quantity * F.col(price)
+    fraction = quantity % F.lit(1)
+    whole = (quantity - fraction).cast("decimal(18,0)") * F.col(price)
+    rest = fraction.cast("decimal(18,18)") * F.col(price)
+    return whole.cast("decimal(37,18)") + rest.cast("decimal(37,18)")
 
 
 def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: list[str | Column],
@@ -75,8 +91,7 @@ def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: lis
         keys.append(F.col("has_price"))
     return with_price(rows, prices).groupBy(*keys).agg(
         F.sum("usage_quantity").cast(QUANTITY).alias("dbus"), F.count("*").alias("records"),
-        F.sum(F.col("usage_quantity") * F.col("price")).alias("spend"),
-        F.sum(F.col("usage_quantity") * F.col("effective_price")).alias("effective_spend"))
+        F.sum(spend_of(usage, "price")).alias("spend"), F.sum(spend_of(usage, "effective_price")).alias("effective_spend"))
 
 
 def totals() -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from meterlens.functions.shape import grand_total
 from meterlens.operators.pricing import day, in_window, meta, metered, run_as, totals
 from meterlens.operators.trend import bucket
 
@@ -85,7 +86,7 @@ def app_status(by_app_report: DataFrame, registry: DataFrame, as_of: str, active
     names = registry.select("app_id", F.col("name").alias("_name"), F.col("url").alias("_url")).withColumn("_known", F.lit(True))
     used = by_app_report.withColumn("_active", F.col("last_usage_date") >= F.date_sub(day(as_of), ACTIVE_DAYS))
     source = used.filter("_active") if active_only else used
-    whole = source.select(F.sum(F.col("total_spend").cast("double"))).scalar()
+    whole = grand_total(source, "total_spend")
     rows = source.join(names, "app_id", "full_outer" if not active_only else "left")
     known, active = F.coalesce("_known", F.lit(False)), F.coalesce("_active", F.lit(False))
     spend = F.coalesce(F.col("total_spend").cast("double"), F.lit(0.0))
@@ -107,7 +108,7 @@ def app_status_summary(by_app_report: DataFrame, registry: DataFrame, as_of: str
     """
     rows = (by_app_report.withColumn("_active", F.col("last_usage_date") >= F.date_sub(day(as_of), ACTIVE_DAYS))
             .join(registry.select("app_id").withColumn("_known", F.lit(True)), "app_id", "left"))
-    whole = by_app_report.select(F.sum(F.col("total_spend").cast("double"))).scalar()
+    whole = grand_total(by_app_report, "total_spend")
 
     def part(label: str, keep: Column, add_own: bool) -> DataFrame:
         mine = rows.filter(keep).agg(F.count("*").alias("count"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from meterlens.functions import classify as C
-from meterlens.functions.shape import share_of_total, top, wide
+from meterlens.functions.shape import latest_rows, share_of_total, top, wide
 from meterlens.operators.allocate import tool_attribution, tool_work, work_shares
 from meterlens.operators.pricing import day, has_pipeline, in_window, meta, metered, run_as, totals
 
@@ -204,7 +204,7 @@ def etl_breakdown(usage: DataFrame, prices: DataFrame, start: str, end: str) ->
 def _interactive(usage: DataFrame, prices: DataFrame, clusters: DataFrame, start: str, end: str) -> DataFrame:
     dims = ["usage_date", "workspace_id", meta("cluster_id"), meta("notebook_path"), meta("notebook_id"), run_as("run_as_user")]
     rows = metered(usage, prices, start, end, dims, F.col("sku_name").contains("ALL_PURPOSE"))
-    names = clusters.groupBy("cluster_id").agg(F.max("cluster_name").alias("cluster_name"))
+    names = latest_rows(clusters, "cluster_id", ["cluster_name"])
     return (rows.groupBy("cluster_id", "notebook_path", "run_as_user")
             .agg(F.max("workspace_id").alias("workspace_id"), *totals(), F.countDistinct("usage_date").alias("days_active"),
                  F.countDistinct("notebook_id").alias("notebook_count"))

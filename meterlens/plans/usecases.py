@@ -140,14 +140,25 @@ def object_catalogue(usage: DataFrame, object_type: str, as_of: str, days: int =
     return _page(found, ["object_id", "object_name", "workspace_id"], limit, after)
 
 
-def query_catalogue(history: DataFrame, as_of: str, days: int = 30, limit: int = 100) -> DataFrame:
-    """Recent statements, latest first, one row per statement."""
+def query_catalogue(history: DataFrame, as_of: str, days: int = 30, limit: int | None = 100, after: tuple | None = None,
+                    with_start: bool = False) -> DataFrame:
+    """A page of recent statements, latest first, one row per statement and workspace.
+
+    ``after`` is (start_time, object_id, workspace_id) of the last row of the page before; ``with_start`` shows the start.
+    """
     rows = history.filter(F.col("statement_id").isNotNull() & F.col("executed_as_user_id").isNotNull()
                           & (F.col("start_time") >= F.date_sub(day(as_of), days).cast("timestamp")))
     name = F.substring(F.coalesce("statement_text", F.concat(F.lit("Query "), F.col("statement_id"))), 1, 100)
     latest = rows.groupBy("statement_id", "workspace_id").agg(F.max("start_time").alias("_at"), F.max(name).alias("object_name"))
-    return (latest.orderBy(F.desc("_at"), "statement_id").limit(limit)
-            .select(F.col("statement_id").alias("object_id"), "object_name", "workspace_id", F.lit("query").alias("object_type")))
+    if after is not None:
+        at = F.lit(after[0]).cast("timestamp")
+        behind = F.struct("statement_id", "workspace_id") > F.struct(
+            F.lit(after[1]).alias("statement_id"), F.lit(after[2]).cast(latest.schema["workspace_id"].dataType).alias("workspace_id"))
+        latest = latest.filter((F.col("_at") < at) | ((F.col("_at") == at) & behind))
+    ordered = latest.orderBy(F.desc("_at"), "statement_id", "workspace_id")
+    shown = (ordered if limit is None else ordered.limit(limit)).select(
+        F.col("statement_id").alias("object_id"), "object_name", "workspace_id", F.lit("query").alias("object_type"), F.col("_at").alias("start_time"))
+    return shown if with_start else shown.drop("start_time")
 
 
 def dashboard_catalogue(dashboards: DataFrame, limit: int | None = 100, after: tuple | None = None) -> DataFrame:

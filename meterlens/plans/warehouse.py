@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlens.functions.shape import names_of, one_row, share_of_total, top, wide
+from meterlens.functions.shape import latest_rows, names_of, one_row, share_of_total, top, wide
 from meterlens.operators.allocate import started_in, warehouse_cost
 
 COST, DBUS = "query_attributed_dollars_estimation", "query_attributed_dbus_estimation"
@@ -85,13 +85,12 @@ def by_warehouse(mart: DataFrame, start: str, end: str, limit: int | None = 50)
 
 
 def warehouse_facts(warehouses: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """One row per warehouse from the change log, missing type CLASSIC and missing size UNKNOWN."""
-    return (warehouses.join(workspaces, "workspace_id", "left").groupBy("warehouse_id")
-            .agg(F.max("warehouse_name").alias("warehouse_name"),
-                 F.coalesce(F.max("warehouse_type"), F.lit("CLASSIC")).alias("warehouse_type"),
-                 F.coalesce(F.max("warehouse_size"), F.lit("UNKNOWN")).alias("warehouse_size"),
-                 F.max("workspace_id").cast("string").alias("workspace_id"),
-                 F.max("workspace_name").alias("workspace_name")))
+    """The latest row of each warehouse in the change log, missing type CLASSIC and missing size UNKNOWN."""
+    latest = latest_rows(warehouses, "warehouse_id", ["warehouse_name", "warehouse_type", "warehouse_size", "workspace_id"])
+    return (latest.join(workspaces.select("workspace_id", "workspace_name"), "workspace_id", "left")
+            .select("warehouse_id", "warehouse_name", F.coalesce("warehouse_type", F.lit("CLASSIC")).alias("warehouse_type"),
+                    F.coalesce("warehouse_size", F.lit("UNKNOWN")).alias("warehouse_size"),
+                    F.col("workspace_id").cast("string").alias("workspace_id"), "workspace_name"))
 
 
 def by_warehouse_enriched(mart: DataFrame, warehouses: DataFrame, workspaces: DataFrame, start: str, end: str,
@@ -118,8 +117,8 @@ def series_wide(series: DataFrame, names: str, labels: list[str] | None = None)
 
 def warehouse_type_timeseries(usage: DataFrame, prices: DataFrame, warehouses: DataFrame, start: str, end: str) -> DataFrame:
     """SQL cost per day and warehouse type; a warehouse without one is CLASSIC."""
-    types = warehouses.groupBy("warehouse_id").agg(F.max("warehouse_type").alias("t"))
-    kind = F.coalesce("t", F.lit("CLASSIC"))
+    types = latest_rows(warehouses, "warehouse_id", ["warehouse_type"]).withColumnRenamed("warehouse_type", "_type")
+    kind = F.coalesce("_type", F.lit("CLASSIC"))
     return (warehouse_cost(usage, prices, start, end).join(types, "warehouse_id", "left")
             .groupBy(F.col("usage_date").alias("date"), kind.alias("warehouse_type"))
             .agg(F.sum("spend").alias("daily_spend")).orderBy("date", "warehouse_type"))

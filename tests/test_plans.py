@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import rows as R
 from conftest import SMALL
@@ -137,3 +138,25 @@ def test_app_states(spark):
     assert [r.app_id for r in apps.app_status(report, registry, "2024-01-30", active_only=True).collect()] == ["live"]
     parts = {r.part: (r["count"], r.total_spend) for r in apps.app_status_summary(report, registry, "2024-01-30").collect()}
     assert parts == {"inactive": (2, 4.0), "unregistered": (2, 4.0)}
+
+
+def test_change_logs_show_their_latest_row(spark):
+    """A warehouse resized from X-Large to Small is Small, whatever its older rows say."""
+    from meterlens.plans import warehouse as WH
+    log = spark.createDataFrame([("w1", "old name", "X-Large", 5, "PRO", 1), ("w1", "a new name", "Small", 2, None, 2)],
+                                "warehouse_id string, warehouse_name string, warehouse_size string, workspace_id long, warehouse_type string, change_time long")
+    spaces = spark.createDataFrame([(2, "two"), (5, "five")], "workspace_id long, workspace_name string")
+    assert tuple(WH.warehouse_facts(log, spaces).first()) == ("w1", "a new name", "CLASSIC", "Small", "2", "two")
+
+
+def test_totals_share_the_stage_of_their_report(spark, tmp_path):
+    """A percentage scans its input once: the subquery reuses the report's shuffle."""
+    from meterlens.functions.shape import share_of_total
+    spark.range(1000).selectExpr("id % 7 AS k", "id AS v", "id % 13 AS u").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    report = share_of_total(rows.groupBy("k").agg(F.sum("v").alias("s"), F.countDistinct("u").alias("n")), "s")
+    got = report.collect()
+    assert round(sum(r.percentage for r in got), 9) == 100 and len(got) == 7
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "ReusedExchange" in plan or final.count("Scan parquet") == 1, plan

@@ -113,3 +113,25 @@ def test_multiplier_uses_only_skus_with_both_prices(spark):
     assert P.apply_multiplier(report, m, ["total_spend"]).first() == (10.0, 5)
     none = P.price_multiplier(u, lists, account.filter("false"), "2024-01-02")
     assert P.apply_multiplier(report, none, ["total_spend"]).first().total_spend == 12
+
+
+def test_wide_quantities_keep_their_digits(spark):
+    """decimal(38,18) quantities times 12-digit prices, against Python's own decimals."""
+    from decimal import Decimal, localcontext
+    quantities = ["0.123456789012345678", "123456789.000000000000000001", "999999999.999999999999999999", "1", "-2.5", "0.000000000000000001"]
+    price = Decimal("0.123456789012")
+    base = R.usage(spark, *[R.usage_row(qty=1, sku="SKU_A") for _ in quantities]).limit(1).drop("usage_quantity")
+    wide = spark.createDataFrame([(Decimal(q),) for q in quantities], "usage_quantity decimal(38,18)")
+    usage = base.join(wide, how="cross")
+    prices = R.prices(spark, R.price_row("SKU_A", "1")).withColumn("pricing", F.expr(
+        f"named_struct('default', CAST({price}BD AS decimal(38,18)), 'effective_list', named_struct('default', CAST(NULL AS decimal(38,18))))"))
+    with localcontext() as context:
+        context.prec = 60
+        each = [Decimal(q) * price for q in quantities]
+        positive = sum(p for p in each if p > 0)
+    rows = P.priced_usage(usage, prices, "2024-01-01", "2024-01-01").select("usage_quantity", "spend").collect()
+    assert all(abs(r.spend - r.usage_quantity * price) < Decimal("1e-16") for r in rows) and len(rows) == 5
+    total = P.metered(usage, prices, "2024-01-01", "2024-01-01", []).first()
+    assert abs(total.spend - positive) < Decimal("1e-15") and total.spend == total.effective_spend
+    net = P.metered(usage, prices, "2024-01-01", "2024-01-01", [], positive=False).first()
+    assert abs(net.spend - sum(each)) < Decimal("1e-15")
