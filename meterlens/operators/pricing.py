@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterlens.operators.intervals import join_intervals
+
 #: Sums of quantities.  A price has up to 7 digits before the point; times a quantity of up to 18 digits it is exact.
 QUANTITY = "decimal(38,12)"
 PRICE = "decimal(19,12)"
@@ -119,8 +121,8 @@ def effective_price(pricing: str = "pricing") -> Column:
 def with_price_as_of(usage: DataFrame, price_history: DataFrame, as_of: str, match_cloud: bool = True) -> DataFrame:
     """K3: the USD price valid when the usage ended.
 
-    Equi join on SKU, unit and cloud with the validity interval as a residual,
-    so it never compares all rows with all prices.  The interval is closed at
+    Equi join on SKU, unit, cloud and time bucket with the validity interval as
+    a residual, so a record meets the versions around its time only.  The interval is closed at
     both ends: usage ending exactly at a version change matches both versions.
     An open interval ends the day after ``as_of``.  Price lists carry one row
     per cloud, so the cloud is part of the key unless ``match_cloud`` is off.
@@ -129,11 +131,8 @@ def with_price_as_of(usage: DataFrame, price_history: DataFrame, as_of: str, mat
         F.col("sku_name").alias("_sku"), F.col("cloud").alias("_cloud"), F.col("usage_unit").alias("_unit"),
         F.col("pricing.default").cast(PRICE).alias("as_of_price"), F.col("price_start_time").alias("_from"),
         F.coalesce("price_end_time", F.date_add(day(as_of), 1).cast("timestamp")).alias("_to"))
-    on = ((usage.sku_name == p._sku) & (usage.usage_unit == p._unit)
-          & usage.usage_end_time.between(p._from, p._to))
-    if match_cloud:
-        on = on & (usage.cloud == p._cloud)
-    return usage.join(p, on, "left").drop("_sku", "_cloud", "_unit", "_from", "_to")
+    keys = [("sku_name", "_sku"), ("usage_unit", "_unit"), *([("cloud", "_cloud")] if match_cloud else [])]
+    return join_intervals(usage, p, keys, "usage_end_time", "_from", "_to").drop("_sku", "_cloud", "_unit", "_from", "_to")
 
 
 def price_list(prices: DataFrame, as_of: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Registered queries: invoice tables and marts (l), cloud actuals (x), reconciliation (d)."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterlens.plans import cloud as X
+from meterlens.plans import distinct as DC
 from meterlens.plans import marts as L
 from meterlens.plans import quality as D
 from meterlens.plans import spend as S
@@ -100,6 +102,29 @@ def _ingested(t):
     return bronze.groupBy("MeterCategory", "CostCenter").agg(F.count("*").alias("lines"), F.sum("CostInUsd").alias("cost"))
 
 
+def _ingested_csv(t):
+    """L1 for CSV: the second delivery has other columns in another order, and every file is loaded once."""
+    root = scratch(t) + "/ingest"
+    schema = "Date date, MeterCategory string, CostInUsd decimal(18,6), CostCenter string"
+    lines = t.azure_bronze.select("Date", "MeterCategory", F.col("CostInUsd").cast("decimal(18,6)").alias("CostInUsd"), "CostCenter")
+    early = F.col("Date") < F.lit("2023-11-01")
+    lines.filter(early).drop("CostCenter").write.option("header", "true").csv(f"{root}/inbox/first")
+    for last in (False, True):
+        bronze = load_new_files(t.spark, f"{root}/inbox", f"{root}/bronze", f"{root}/progress", "csv", T.StructType.fromDDL(schema))
+        if not last:
+            lines.filter(~early).select("CostCenter", "CostInUsd", "Date", "MeterCategory").write.option("header", "true").csv(f"{root}/inbox/second")
+    return bronze.groupBy("MeterCategory", "CostCenter").agg(F.count("*").alias("lines"), F.sum("CostInUsd").alias("cost"))
+
+
+def _distinct(t, start, end):
+    """Sets written in two runs; what each kind counts over days of both."""
+    root = scratch(t)
+    DC.add_days(root, DC.members_of(t, FIRST_DAY, "2023-12-31"))
+    DC.add_days(root, DC.members_of(t, "2024-01-01", LAST_DAY))
+    counted = [DC.count_distinct(t.spark, root, k, start, end).select(F.lit(k).alias("kind"), "distinct_values") for k in ("workspace", "sku", "query_user")]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 def _written(t):
     """L5 and L6 end to end: write the mart, upsert its second half again with doubled dbus, read it back."""
     root = scratch(t)
@@ -159,6 +184,12 @@ _MART_VS_LIVE = f"""SELECT 'mv_vs_live' AS "check", CASE WHEN count(*) FILTER (a
 QUERIES = [
     Query("l01_incremental_load", _ingested, f"""
 SELECT meter_category AS "MeterCategory", CASE WHEN day >= DATE '2023-11-01' THEN cost_center END AS "CostCenter", {whole('count(*)', 'lines')}, {num('sum(cost_usd)', 'cost')} FROM azure GROUP BY 1, 2"""),
+    Query("l01_incremental_csv_load", _ingested_csv, f"""
+SELECT meter_category AS "MeterCategory", CASE WHEN day >= DATE '2023-11-01' THEN cost_center END AS "CostCenter", {whole('count(*)', 'lines')}, {num('sum(cost_usd)', 'cost')} FROM azure GROUP BY 1, 2"""),
+    Query("l07_exact_distinct_counts", lambda t: _distinct(t, "2023-12-10", "2024-01-20"), f"""
+SELECT 'workspace' AS kind, {whole('count(DISTINCT workspace_id)', 'distinct_values')} FROM pu WHERE usage_date BETWEEN DATE '2023-12-10' AND DATE '2024-01-20'
+UNION ALL SELECT 'sku', count(DISTINCT sku_name) FROM pu WHERE usage_date BETWEEN DATE '2023-12-10' AND DATE '2024-01-20'
+UNION ALL SELECT 'query_user', count(DISTINCT coalesce(executed_by, as_user)) FROM qh WHERE start_time >= DATE '2023-12-10' AND start_time < DATE '2024-01-21'"""),
     Query("l10_input_status", lambda t: input_status(t.spark, {n: f"{t.sf_dir}/{n}.parquet" for n in ("lineitem", "orders", "events", "not_there")})
           .withColumn("row_count", F.col("row_count").cast("double")), f"""
 SELECT 'lineitem' AS name, true AS "exists", {num('count(*)', 'row_count')} FROM lineitem UNION ALL SELECT 'orders', true, {num('count(*)', 'n')} FROM orders

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterlens.sources.catalog import available
-
-
 #: Columns of a file listing; the content is never selected, so files are not read for it.
 FILE_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -20,57 +20,77 @@ def load_new_files(spark: SparkSession, folder: str, target: str, checkpoint: st
     A file-source stream does the bookkeeping: its checkpoint, which belongs in
     shared storage, remembers loaded files, so a file is loaded once even if a
     run dies and is repeated, and ``availableNow`` ends the run when the backlog
-    is done.  New columns widen the table; rows of older files read null there.
-    """
-    if file_format == "csv":
-        return _load_csv(spark, folder, target, checkpoint, schema)
-    found = schema or (spark.read.format(file_format).option("recursiveFileLookup", "true")
-                       .option("mergeSchema", "true").load(folder).schema)
-    rows = (spark.readStream.format(file_format).schema(found).option("recursiveFileLookup", "true").load(folder)
-            .withColumn("_loaded_at", F.current_timestamp()))
-    query = (rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-             .option("path", target).trigger(availableNow=True).start())
-    query.awaitTermination()
-    return read_bronze(spark, target)
-
-
-def read_bronze(spark: SparkSession, target: str) -> DataFrame:
-    """The bronze table with the columns of all its files."""
-    return spark.read.option("mergeSchema", "true").parquet(target)
-
-
-def _load_csv(spark: SparkSession, folder: str, target: str, checkpoint: str, schema: T.StructType | None) -> DataFrame:
-    """CSV columns are matched by header, which a CSV stream with one fixed schema cannot do.
-
-    So the stream carries only the *paths* of new files; each micro-batch reads
-    those files grouped by their header line and appends them by column name.
-    A batch owns its folder in the table, so repeating one replaces its rows.
+    is done.  The stream carries only the *paths* of new files; each micro-batch
+    reads those files, so files loaded before are not opened again.  A batch owns
+    its folder in the table, so repeating one replaces its rows.  New columns
+    widen the table; rows of older files read null there.  What columns the table
+    has is kept beside it, in a log with an entry per batch.
     """
     paths = (spark.readStream.format("binaryFile").schema(FILE_LISTING).option("recursiveFileLookup", "true").load(folder)
              .select("path"))
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        by_header: dict[tuple[str, ...], list[str]] = {}
-        for row in batch.collect():  # file names only, a listing the driver has anyway
-            header = tuple(spark.read.option("header", "true").csv(row.path).columns)
-            by_header.setdefault(header, []).append(row.path)
-        rows = None
-        for files in by_header.values():
-            part = spark.read.option("header", "true").option("inferSchema", str(schema is None).lower()).csv(files)
-            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-        if rows is not None:
-            typed = _with_types(rows, schema or _known_types(spark, target))
-            (typed.withColumn("_loaded_at", F.current_timestamp()).write.mode("overwrite")
-             .parquet(f"{target}/load_id={batch_id}"))
+        files = [row.path for row in batch.collect()]  # file names only, a listing the driver has anyway
+        if not files:
+            return
+        rows = _csv_rows(spark, files, schema) if file_format == "csv" else _rows(spark, files, file_format)
+        known = logged_schema(spark, target, before=batch_id) or T.StructType([])
+        typed = _with_types(rows, schema or known).withColumn("_loaded_at", F.current_timestamp())
+        typed.write.mode("overwrite").parquet(f"{target}/load_id={batch_id}")
+        names = set(known.names)
+        _log_schema(spark, target, batch_id, T.StructType([*known.fields, *[f for f in typed.schema.fields if f.name not in names]]))
 
     query = (paths.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return read_bronze(spark, target).drop("load_id")
+    return read_bronze(spark, target)
 
 
-def _known_types(spark: SparkSession, target: str) -> T.StructType:
-    return read_bronze(spark, target).schema if available(spark, target) else T.StructType([])
+def read_bronze(spark: SparkSession, target: str) -> DataFrame:
+    """The bronze table with the columns of all its files, as the log beside it names them; no file is opened for that."""
+    schema = logged_schema(spark, target)
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
+    return reader.parquet(target).drop("load_id")
+
+
+def _rows(spark: SparkSession, files: list[str], file_format: str) -> DataFrame:
+    return spark.read.format(file_format).option("mergeSchema", "true").load(files)
+
+
+def _csv_rows(spark: SparkSession, files: list[str], schema: T.StructType | None) -> DataFrame:
+    """CSV files grouped by their header line and put together by column name, which one fixed schema cannot do."""
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in files:
+        by_header.setdefault(tuple(spark.read.option("header", "true").csv(path).columns), []).append(path)
+    parts = [spark.read.option("header", "true").option("inferSchema", str(schema is None).lower()).csv(paths) for paths in by_header.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _log(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(f"{target}/_schema")
+    return path, folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def logged_schema(spark: SparkSession, target: str, before: int | None = None) -> T.StructType | None:
+    """The columns of the table after its last batch, or before a batch; None for a table without a log."""
+    path, folder, fs = _log(spark, target)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder)) if fs.exists(folder) else []
+    names = [n for n in names if n.endswith(".json") and (before is None or int(n.removesuffix(".json")) < before)]
+    if not names:
+        return None
+    stream = fs.open(path(folder, names[-1]))
+    try:
+        return T.StructType.fromJson(json.loads(bytes(stream.readAllBytes()).decode()))
+    finally:
+        stream.close()
+
+
+def _log_schema(spark: SparkSession, target: str, batch_id: int, schema: T.StructType) -> None:
+    path, folder, fs = _log(spark, target)
+    out = fs.create(path(folder, f"{batch_id:012d}.json"), True)
+    out.write(bytearray(schema.json().encode()))
+    out.close()
 
 
 def _with_types(rows: DataFrame, schema: T.StructType) -> DataFrame:

@@ -9,7 +9,7 @@ from meterlens.plans import quality as D
 from meterlens.plans import spend as S
 from meterlens.session import cut_lineage
 from meterlens.sources.catalog import ParquetTables, available, input_status
-from meterlens.streaming.ingest import load_new_files
+from meterlens.streaming.ingest import load_new_files, read_bronze
 
 W = ("2023-08-04", "2024-01-30")
 
@@ -112,6 +112,21 @@ def test_parquet_files_load_once_and_may_widen(spark, tmp_path):
     assert [(r.id, r.cost, r.team) for r in rows] == [(1, 2.5, None), (2, 3.5, "x")]
 
 
+def test_later_loads_open_new_files_only(spark, tmp_path):
+    inbox, target, ckpt = tmp_path / "inbox", str(tmp_path / "bronze"), str(tmp_path / "ckpt")
+    for n, (columns, row) in enumerate([("id int, cost double", (1, 2.5)), ("id int, team string", (2, "x")), ("id int, cost double, day date", (3, 4.5, date(2024, 1, 1)))]):
+        for old in inbox.rglob("*.parquet"):  # what was loaded before can no longer be read
+            old.chmod(0o644)
+            old.write_bytes(b"gone")
+        spark.createDataFrame([row], columns).coalesce(1).write.parquet(f"{inbox}/{n}")
+        assert load_new_files(spark, str(inbox), target, ckpt).count() == n + 1
+    rows = [(r.id, r.cost, r.team, r.day) for r in read_bronze(spark, target).orderBy("id").collect()]
+    assert rows == [(1, 2.5, None, None), (2, None, "x", None), (3, 4.5, None, date(2024, 1, 1))]
+    for part in (tmp_path / "bronze").rglob("part-*.parquet"):
+        part.write_bytes(b"gone")
+    assert read_bronze(spark, target).columns == ["id", "cost", "_loaded_at", "team", "day"], "columns come from the log"
+
+
 def test_csv_files_match_by_header(spark, tmp_path):
     inbox, target, ckpt = tmp_path / "inbox", str(tmp_path / "bronze"), str(tmp_path / "ckpt")
     inbox.mkdir()

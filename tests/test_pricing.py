@@ -135,3 +135,19 @@ def test_wide_quantities_keep_their_digits(spark):
     assert abs(total.spend - positive) < Decimal("1e-15") and total.spend == total.effective_spend
     net = P.metered(usage, prices, "2024-01-01", "2024-01-01", [], positive=False).first()
     assert abs(net.spend - sum(each)) < Decimal("1e-15")
+
+
+def test_interval_join_meets_few_versions(spark):
+    """A SKU with 400 daily versions: results as a plain interval join, closed ends, and few pairs compared."""
+    from meterlens.operators.intervals import join_intervals
+    start = datetime(2023, 1, 1)
+    from datetime import timedelta
+    versions = spark.createDataFrame([("a", i, start + timedelta(days=i), start + timedelta(days=i + 1)) for i in range(400)] + [
+        ("a", -1, datetime(1969, 12, 1), datetime(2030, 1, 1)), ("a", -2, start, None), ("a", -3, datetime(2023, 2, 1), start),
+        ("b", -4, datetime(1960, 1, 1), datetime(1960, 1, 1))], "k2 string, v int, lo timestamp, hi timestamp")
+    points = spark.createDataFrame([("a", i, start + timedelta(hours=12 * i)) for i in range(-3, 803)] + [
+        ("b", 0, datetime(1960, 1, 1)), ("c", 0, start), (None, 0, start), ("a", 9999, None)], "k string, p int, at timestamp")
+    plain = points.join(versions, (F.col("k") == F.col("k2")) & F.col("at").between(F.col("lo"), F.col("hi")), "left")
+    key = lambda df: sorted(map(tuple, df.select("k", "p", "v").collect()), key=str)
+    for width in (3600 * 24, 30 * 86400, 10**9):
+        assert key(join_intervals(points, versions, [("k", "k2")], "at", "lo", "hi", seconds=width)) == key(plain)
