@@ -30,11 +30,13 @@ VALUES, TREES, STRIDE = 96, 24, 4
 #: Depths a region is cut at, one after the other, while it has more than REGION nodes.
 DEPTHS, REGION = (3, 4, 6, 8, 12, 16), 64
 #: Places apart in a region of nodes compared in the first rounds, and in the last; trees of the first round.
-NEAR, FAR, FIRST_TREES = 1, REGION - 1, 3
-#: (places, trees) of the rounds after the first.
-ROUNDS = ((NEAR, 8), (NEAR, TREES), (FAR, TREES))
+NEAR, FAR, FIRST_TREES = 1, REGION - 1, 6
+#: Places of the rounds after the first, over all trees.
+ROUNDS = (NEAR, FAR)
 #: Agreeing values below which a pair cannot have the wanted similarity (about 4.5 standard errors below 0.75).
 LEAST_AGREEMENT = 0.55
+#: Links (16 bytes each) that one task joins at last.
+LINKS_PER_TASK = 500_000
 #: Nodes, and shingles of all of them, about which a block of a crowded region has; shingles counted at a time.
 BLOCK_NODES, BLOCK_SHINGLES, COLUMNS = 1024, 1_000_000, 4096
 
@@ -269,37 +271,52 @@ def crowded_links(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percen
     return dealt.groupBy("key", "low", "high").applyInArrow(_compare_blocks(percent), "x long, y long").distinct()
 
 
+def _joined_in_task(batches):
+    """Labels of the nodes of a bounded number of links: the least node that links lead to."""
+    links = [b.to_pydict() for b in batches if b.num_rows]
+    if not links:
+        return
+    x, y = (np.concatenate([np.array(b[c], np.int64) for b in links]) for c in "xy")
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b, label = at[:len(x)], at[len(x):], np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, label[side], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for first in range(0, len(names), 65536):
+        part = slice(first, first + 65536)
+        yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(names[label[part]])], names=["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every linked node; nodes have one label if links join them.
 
-    Each round gives every node to a neighbour or itself - the one with most links, and in every other round the one that a hash
-    picks, which shortens chains whatever their order - and keeps the links between those, so that rounds get smaller.
+    While there are more than LINKS_PER_TASK links, a round gives every node to a neighbour or itself - the one that a hash
+    picks, which shortens chains whatever their order - and keeps the links between those, so that rounds get smaller.  The
+    rest, now of bounded size, is joined in one task.
     """
     edges, steps = stored(links.select("x", "y").where("x <> y").distinct(), "links"), []
-    while True:
+    while edges.count() > LINKS_PER_TASK:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        if len(steps) % 2 == 0:
-            nodes = both.groupBy("x").agg(F.count("*").alias("links"))
-            ranked = lambda c, n: F.struct((-F.col(n)).alias("p"), F.xxhash64(c).alias("h"), F.col(c).alias("to"))
-            around = both.join(nodes.select(F.col("x").alias("y"), F.col("links").alias("theirs")), "y").join(nodes, "x")
-            own = F.first(ranked("x", "links"))
-            around = around.groupBy("x").agg(F.min(ranked("y", "theirs")).alias("near"), own.alias("own"))
-        else:
-            ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("to"))
-            around = both.groupBy("x").agg(F.min(ranked("y")).alias("near"), F.first(ranked("x")).alias("own"))
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        around = both.groupBy("x").agg(F.min(ranked("y")).alias("near"), F.first(ranked("x")).alias("own"))
         step = stored(around.select(F.col("x").alias("node"), F.least("near", "own")["to"].alias("label")), "step")
         steps.append(step)
         a = step.select(F.col("node").alias("x"), F.col("label").alias("a"))
         b = step.select(F.col("node").alias("y"), F.col("label").alias("b"))
         edges = stored(edges.join(a, "x").join(b, "y").where("a <> b").select(
             F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "links")
-        if edges.isEmpty():
-            break
-    labels = steps[-1]
-    for step in steps[-2::-1]:
+    labels = stored(edges.repartition(1).mapInArrow(_joined_in_task, "node long, label long"), "labels")
+    for step in steps[::-1]:
         beyond = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        labels = step.join(beyond, "label", "left").select("node", F.coalesce("beyond", "label").alias("label"))
-    return stored(labels, "labels")
+        labels = stored(step.join(beyond, "label", "left").select("node", F.coalesce("beyond", "label").alias("label")), "labels")
+    return labels
 
 
 def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -343,8 +360,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     tried = first.where("x < y")
     labels = components(_links(tried, sets, percent))
-    for span, trees in ROUNDS:
-        grouped = found.where(F.col("tree") < trees).join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
+    for span in ROUNDS:
+        grouped = found.join(labels, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
         more = stored(_candidates(grouped, span, percent).join(tried, ["x", "y"], "left_anti"), "candidates")
         verified = stored(_links(more, sets, percent), "verified")
         tried = tried.unionByName(more)

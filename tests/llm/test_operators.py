@@ -221,7 +221,9 @@ def test_blocks_of_a_crowded_region(spark):
     assert labels((r.x, r.y) for r in got) == labels(sorted(linked))
 
 
-def test_components_of_any_shape(spark):
+@pytest.mark.parametrize("in_task", [500_000, 12])
+def test_components_of_any_shape(spark, in_task, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "LINKS_PER_TASK", in_task)
     import networks_of_links as shapes
     rng = random.Random(8)
     for name, links in shapes.all_of(rng).items():
