@@ -269,8 +269,8 @@ def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np
             hot_at = np.minimum(np.searchsorted(frequent, w[word]), len(frequent) - 1)
             hot = frequent[hot_at] == w[word]
             c_word = np.where(hot, frequent_counts[hot_at], c_word)
-            r = np.repeat(r_gram, np.diff(np.append(gram, len(w)))).astype(np.int32)
-            c1 = np.repeat(c_word, np.diff(np.append(word, len(w)))).astype(np.int32)
+            r = np.repeat(r_gram, np.diff(np.append(gram, len(w))))
+            c1 = np.repeat(c_word, np.diff(np.append(word, len(w))))
             seen = r > 0
 
             def add(row: np.ndarray, values: np.ndarray, where=slice(None)) -> None:
@@ -287,10 +287,10 @@ def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np
                 add(sizes[3 + MOST + k], c, ~seen & (np.minimum(c1, MOST + 1) == k))
 
             some = r_gram > 0
-            big_r, big_c = r_gram[some], c1[gram][some].astype(np.int64)
+            big_r, big_c = r_gram[some], c1[gram][some]
             out += _history_rows(h[gram][some], big_r, big_c, buckets, frequent)
             u = np.flatnonzero(~seen)
-            unseen.append((h[u], doc[d[u]], c[u]))
+            unseen.append((h[u], d[u], c[u]))
             plain = ~hot & (c_word > 0)
             numbers += np.concatenate([np.bincount(np.minimum(big_r, MOST + 2), minlength=MOST + 3),
                                        np.bincount(np.minimum(c_word[plain], MOST + 2), minlength=MOST + 3),
@@ -305,19 +305,23 @@ def _gather(buckets: int, groups: int, frequent: np.ndarray, frequent_counts: np
             out.append(("doc", int(g), pack(doc[own]), pack(logs[:, own]), pack(sizes[:2, own]), pack(sizes[2:, own])))
         del logs, sizes
         # Occurrences of bigrams not seen in training: alpha of their history is still open.
-        hu, du, cu = (np.concatenate([x[k] for x in unseen]) for k in range(3))
-        spread = _is_in(frequent, hu) | (hu == START)
-        place = np.where(spread, mixed(du.view(np.uint64)), mixed(hu)) % np.uint64(buckets)
-        order = np.lexsort((du, hu, place))
-        hu, du, cu, place = hu[order], du[order], cu[order], place[order]
-        first = _starts(place, hu, du)
-        if len(first):
-            hu, du, place, cu = hu[first], du[first], place[first], np.add.reduceat(cu, first)
-        for b in np.unique(place):
-            own = place == b
-            name = _starts(hu[own])
-            out.append(("unseen", int(b), pack48(hu[own][name]), pack(np.diff(np.append(name, own.sum())).astype(np.uint32)),
-                        pack(du[own]), pack(cu[own].astype(np.uint32))))
+        # They are dealt bucket by bucket, so that only one bucket's are sorted and copied at a time.
+        places = []
+        for hu, du, _ in unseen:
+            spread = _is_in(frequent, hu) | (hu == START)
+            places.append((np.where(spread, mixed(doc[du].view(np.uint64)), mixed(hu)) % np.uint64(buckets)).astype(np.uint32))
+        for b in range(buckets):
+            hu, du, cu = (np.concatenate([x[k][p == b] for x, p in zip(unseen, places)] or [np.zeros(0, np.int64)]) for k in range(3))
+            if not len(hu):
+                continue
+            du = doc[du]
+            order = np.lexsort((du, hu))
+            hu, du, cu = hu[order], du[order], cu[order]
+            first = _starts(hu, du)
+            hu, du, cu = hu[first], du[first], np.add.reduceat(cu, first)
+            name = _starts(hu)
+            out.append(("unseen", b, pack48(hu[name]), pack(np.diff(np.append(name, len(hu))).astype(np.uint32)),
+                        pack(du), pack(cu.astype(np.uint32))))
         return pd.DataFrame([(*o, b"", b"", b"", b"") for o in out], columns=["kind", "bucket", *"abcdefgh"])
     return run
 
