@@ -173,4 +173,76 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> p.own
 QUALIFY rank <= 5
 """
 
-ORACLES = {"op11_cover_tree_negatives": HARD_NEGATIVES_SQL, "op4_lsh_forest": NEAR_DUPLICATES_SQL, "op2_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
+
+
+def _repair_sql() -> str:
+    """Op 13 by two recursions: over rows, with a key of cost and audit per state, and over the letters of each audit."""
+    far = "'900000000'"
+
+    def add(key: str, cost: str, letter: str) -> str:
+        return f"lpad(CAST(CAST(left({key}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({key}, 10) || '{letter}'"
+
+    def inserts(k: list[str]) -> list[str]:
+        user = f"least({k[2]}, {', '.join(add(k[i], '2', 'I') for i in (0, 1, 3))})"
+        return [k[0], k[1], user, f"least({k[3]}, {add(user, '2', 'I')})"]
+    gone = [add(f"k{i}", "3", "D") for i in range(4)]
+    more = "CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END"
+    free = "fault NOT IN ('blank', 'duplicate')"
+    keep = lambda i, initial: f"CASE WHEN {free} AND initial = '{initial}' THEN {add(f'k{i}', more, 'K')} ELSE {far} END"
+    change = lambda i: f"CASE WHEN {free} THEN {add(f'k{i}', '2 + ' + more, 'R')} ELSE {far} END"
+    rows = [gone[0], f"least({gone[1]}, {keep(0, 's')})",
+            f"least({gone[2]}, {', '.join(f'{keep(i, chr(117))}, {change(i)}' for i in (0, 1, 3))})",
+            f"least({gone[3]}, {keep(2, 'a')}, {change(2)})"]
+    named = lambda keys: ", ".join(f"{k} AS k{i}" for i, k in enumerate(keys))
+    start = inserts(["'000000000'", far, far, far])
+    after = inserts([f"n{i}" for i in range(4)])
+    return rf"""
+WITH RECURSIVE keyed AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t FROM conversations),
+sums AS (
+    SELECT key, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295) % 20 AS hit
+    FROM (SELECT DISTINCT key FROM keyed) k),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE r END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text,
+           unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM keyed JOIN sums USING (key)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM damaged),
+judged AS (
+    SELECT conv_id, turn, role, text, pos, left(role, 1) AS initial,
+           CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+    FROM placed),
+counted AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+    FROM judged GROUP BY conv_id),
+best AS (
+    SELECT conv_id, 0 AS i, {named(start)} FROM counted
+    UNION ALL
+    SELECT conv_id, i, {named(after)} FROM (
+        SELECT b.conv_id, b.i + 1 AS i, {', '.join(f'{x} AS n{i}' for i, x in enumerate(rows))}
+        FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.pos = b.i + 1) step),
+audited AS (SELECT c.*, least(k0, k3) AS best FROM counted c JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = c.n),
+mended AS (
+    SELECT conv_id, substr(best, 10) AS audit, 0 AS j, 0 AS row, '' AS state, CAST([] AS VARCHAR[]) AS lines FROM audited
+    UNION ALL
+    SELECT conv_id, audit, j, row, CASE WHEN line IS NULL THEN state ELSE left(line, 1) END, CASE WHEN line IS NULL THEN lines ELSE list_append(lines, line) END
+    FROM (SELECT m.conv_id, audit, j + 1 AS j, m.row + CASE WHEN letter = 'I' THEN 0 ELSE 1 END AS row, state, lines,
+                 CASE letter WHEN 'I' THEN wanted || ':' WHEN 'R' THEN wanted || ':' || text WHEN 'K' THEN role || ':' || text END AS line
+          FROM (SELECT *, substr(audit, j + 1, 1) AS letter, CASE WHEN state = 'u' THEN 'assistant' ELSE 'user' END AS wanted FROM mended WHERE j < length(audit)) m
+          LEFT JOIN judged g ON g.conv_id IS NOT DISTINCT FROM m.conv_id AND g.pos = m.row + 1) step)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(best, 9), '0') AS BIGINT) AS cost,
+       coalesce(m.audit, '') AS audit, sha256(coalesce(array_to_string(m.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN audited a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM c.conv_id AND m.j = length(m.audit)
+"""
+
+
+REPAIR_SQL = _repair_sql()
+
+ORACLES = {"op13_conversation_repair": REPAIR_SQL, "op11_cover_tree_negatives": HARD_NEGATIVES_SQL, "op4_lsh_forest": NEAR_DUPLICATES_SQL, "op2_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
