@@ -121,7 +121,10 @@ def contamination(text: Column | str, benchmark: DataFrame, size: int = 10, id_c
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, spans: bool = False, text_col: str = "text",
                         **more) -> DataFrame:
-    """``df`` without contaminated documents, or with only the hit spans cut out of their texts."""
+    """``df`` without contaminated documents, or with only the hit spans cut out of their texts.
+
+    Null and empty texts stay as they are, repeated rows stay repeated; the column name ``_found`` is reserved.
+    """
     found = df.withColumn("_found", contamination(F.col(text_col), benchmark, **more))
     if not spans:
         return found.where("_found.n_hit = 0").select(*df.columns)

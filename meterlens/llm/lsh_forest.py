@@ -385,7 +385,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """``df`` with one document of each component; documents without words all stay.
 
-    Rows of one id and text are one document, of which one row stays.
+    Rows of one id and text are one document, of which one row stays.  Null ids are equal to each other; an empty table gives an
+    empty result; the column name ``_id`` is reserved.
     """
     names = near_duplicates(df, id_col, text_col, percent).select(id_col, "kept").where("kept").distinct()
     kept = df.join(names.select(F.col(id_col).alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")

@@ -164,7 +164,7 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: s
 
 
 def mixed_documents(df: DataFrame, labelled: DataFrame, targets: dict[str, float], **more) -> DataFrame:
-    """Every document as many times as its copies say."""
+    """Every document as many times as its copies say; the column names that :func:`mix` adds, ``_copy`` and ``_m`` are reserved."""
     return (mix(df, labelled, targets, **more)
             .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*df.columns))
 

@@ -37,7 +37,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     subdomains where the path starts with the rule's.  The longest rule wins; of equally long ones the
     longer host, then ``block``, then the larger text.  A page no rule fits gets ``default`` and a null
     rule.  Null, empty or broken URLs have an empty host and path and no rule.  Repeated pages stay
-    repeated; empty tables give empty results; rules that are null or have no slash fit nothing.
+    repeated; empty tables give empty results; rules that are null or have no slash fit nothing.  The column
+    name ``_best`` is reserved.
     """
     host, path = host_and_path(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
