@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each written as Parquet and read by the next."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read by the next.
+
+Every stage takes odd rows as its operator's docstring says: documents without letters go in the first stage, and with
+them null and empty texts; repeated rows of one id and text are one document after the second; an empty table passes
+through all stages as an empty table.  Other columns are carried along, but names starting with an underscore are reserved.
+"""
 
 from __future__ import annotations
 
