@@ -73,8 +73,9 @@ def listed_values(pairs: DataFrame, key: str, value: str, alias: str, per_row: i
     and no value is left out.
     """
     distinct = pairs.select(key, value).distinct()
-    rows_of = distinct.groupBy(key).agg(F.ceil(F.count("*") / per_row).alias("_rows"))
-    placed = join_spread(distinct, rows_of, [key], F.coalesce(F.col(value), F.lit("")))
+    counts = distinct.groupBy(key).agg(F.count("*").alias("_values"))
+    rows_of = counts.select(key, "_values", F.ceil(F.col("_values") / per_row).alias("_rows"))
+    placed = join_spread(distinct, rows_of, [key], F.coalesce(F.col(value), F.lit("")), counts=counts, rows="_values")
     part = F.pmod(F.xxhash64(value), F.col("_rows")).alias("part")
     return placed.groupBy(key, part).agg(F.array_sort(F.collect_list(value)).alias(alias)).orderBy(key, "part")
 

@@ -112,7 +112,7 @@ def cost_per_query(usage: DataFrame, prices: DataFrame, history: DataFrame, star
     Work is task time, or the duration where task time is missing, and all of it
     goes to the start hour.  Corrections with negative quantities are kept, so
     they net out.  The hourly cost and the hourly work are grouped first; the
-    queries then meet one row per (hour, warehouse) in a salted join.
+    queries then meet one row per (hour, warehouse) in a join that spreads hot cells.
     """
     hour = F.date_trunc("hour", "usage_start_time").alias("hour_bucket")
     billed = (F.col("billing_origin_product") == "SQL") & F.col("usage_metadata.warehouse_id").isNotNull()
@@ -130,14 +130,15 @@ def cost_per_query(usage: DataFrame, prices: DataFrame, history: DataFrame, star
                        F.col("workspace_id").cast("string").alias("workspace_id"), "start_time", "end_time",
                        duration.alias("duration_seconds"), F.date_trunc("hour", "start_time").alias("hour_bucket"),
                        F.coalesce(F.col("total_task_duration_ms"), duration * 1000).alias("work_ms")))
-    cells = (queries.groupBy("hour_bucket", "warehouse_id").agg(F.sum("work_ms").alias("total_work_ms"))
-             .join(hourly, ["hour_bucket", "warehouse_id"], "left"))
+    cell = ["hour_bucket", "warehouse_id"]
+    counts = queries.groupBy(*cell).agg(F.sum("work_ms").alias("total_work_ms"), F.count("*").alias("rows"))
+    cells = counts.join(hourly, cell, "left")
     share = F.col("work_ms") / F.col("total_work_ms")
 
     def attributed(measure: str) -> Column:
         return F.when(F.col("total_work_ms") > 0, share * F.col(measure)).otherwise(F.lit(0.0))
     dollars, dbus = F.col("query_attributed_dollars_estimation"), F.col("query_attributed_dbus_estimation")
-    return (join_spread(queries, cells, ["hour_bucket", "warehouse_id"], F.col("statement_id"))
+    return (join_spread(queries, cells, cell, F.col("statement_id"), counts=counts)
             .withColumn("query_attributed_dollars_estimation", attributed("hourly_dollars"))
             .withColumn("query_attributed_dbus_estimation", attributed("hourly_dbus"))
             .filter((dollars > 0) | (dbus > 0) | (F.col("duration_seconds") > 0))

@@ -331,13 +331,14 @@ def cost_by_hour(usage: DataFrame, price_history: DataFrame, queries: DataFrame,
     key = ["warehouse_id", "hour_bucket"]
     work = work_by_hour(queries)
     bills = hourly_bills(usage, price_history, bounds, as_of).withColumn("billed", F.lit(True))
-    cost = work.groupBy(*key).agg(F.sum("attributed_query_work").alias("total_work")).join(bills, key, "left")
+    counts = work.groupBy(*key).agg(F.sum("attributed_query_work").alias("total_work"), F.count("*").alias("rows"))
+    cost = counts.join(bills, key, "left")
     # only hours that have work and a bill are cut out of the timeline
     hours = cost.filter("billed").select("warehouse_id", F.col("hour_bucket").alias("hour"))
     use = (utilization(events, queries, bounds, exact, hours, opening)
            .select("warehouse_id", F.col("warehouse_hour").alias("hour_bucket"), F.col("utilization_proportion").cast("double").alias("proportion")))
     share = F.when(F.col("total_work") != 0, F.col("attributed_query_work") / F.col("total_work"))
-    return (join_spread(work, cost.join(use, key, "left"), key, F.col("statement_id"))
+    return (join_spread(work, cost.join(use, key, "left"), key, F.col("statement_id"), counts=counts)
             .select("statement_id", *key, (F.col("proportion") * F.col("period_dollars") * share).alias("hour_cost"),
                     (F.col("proportion") * F.col("period_dbus") * share).alias("hour_dbus"), F.coalesce("billed", F.lit(False)).alias("billed")))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import rows as R
 from meterlens.operators import allocate as A
-from meterlens.operators.joins import join_spread
+from meterlens.operators.joins import hot_keys, join_spread
 from meterlens.plans import quality as D
 from meterlens.plans import spend as S
 
@@ -69,14 +69,34 @@ def test_shares_of_each_hour_add_up_to_its_bill(spark, tables):
 
 
 def test_salted_join_equals_the_plain_join_on_a_hot_key(spark):
-    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("u"))
+    big = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 50 > 1, F.col("id") % 50).alias("k"),
+                                   F.col("id").alias("u"))
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
         plain = sorted(map(tuple, big.join(small, "k", how).select("k", "u", "v").collect()), key=str)
-        assert sorted(map(tuple, join_spread(big, small, ["k"], F.col("u"), how).select("k", "u", "v").collect()), key=str) == plain
+        for task_rows in (100, 100_000):
+            joined = join_spread(big, small, ["k"], F.col("u"), how, task_rows=task_rows).select("k", "u", "v")
+            assert sorted(map(tuple, joined.collect()), key=str) == plain
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    parts = join_spread(big, small, ["k"], F.col("u")).filter("k = 0").select(F.spark_partition_id()).distinct().count()
+    parts = (join_spread(big, small, ["k"], F.col("u"), task_rows=50).filter("k = 0")
+             .select(F.spark_partition_id()).distinct().count())
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert parts > 1
+
+
+def test_copies_follow_the_rows_of_a_key(spark):
+    counts = spark.createDataFrame([("median", 1_000), ("warm", 30_000), ("hot", 1_000_000), (None, 500_000)], "k string, rows long")
+    found = {r.k: r._copies for r in hot_keys(counts, ["k"], "rows", 1_000).collect()}
+    assert found == {"warm": 30, "hot": 1_000}
+    assert [r.k for r in hot_keys(counts, ["k"], "rows", 1_000, most=1).collect()] == ["hot"]
+    assert hot_keys(counts, ["k"], "rows", 2_000_000).count() == 0
+    assert hot_keys(counts.limit(0), ["k"], "rows").count() == 0
+
+
+def test_hot_keys_are_counted_by_the_stage_that_adds_up_the_work(spark, tables):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = A.cost_per_query(tables.usage, tables.list_prices, tables.query_history, *W)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("ReusedExchange [hour_bucket") == 2
