@@ -35,7 +35,7 @@ def open_prices(prices: DataFrame) -> DataFrame:
                     F.coalesce(F.col("pricing.effective_list.default"), default).alias("_effective")))
 
 
-def with_price(rows: DataFrame, prices: DataFrame) -> DataFrame:
+def with_price(rows: DataFrame, prices: DataFrame, sku: str = "sku_name", cloud: str = "cloud") -> DataFrame:
     """Left join of the open price; a missing price is 0.
 
     No broadcast hint: a price list is far below the broadcast threshold, so
@@ -44,7 +44,7 @@ def with_price(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """
     p = open_prices(prices)
     zero = F.lit(0).cast(PRICE)
-    return (rows.join(p, (rows.sku_name == p._sku) & (rows.cloud == p._cloud), "left")
+    return (rows.join(p, (rows[sku] == p._sku) & (rows[cloud] == p._cloud), "left")
             .withColumn("price", F.coalesce(F.col("_list").cast(PRICE), zero))
             .withColumn("effective_price", F.coalesce(F.col("_effective").cast(PRICE), zero))
             .withColumn("has_price", F.col("_list").isNotNull())
@@ -76,12 +76,10 @@ def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: lis
             where: Column | None = None, positive: bool = True, priced: bool = False) -> DataFrame:
     """K1 pre-aggregated: one row per dims with dbus, spend, effective_spend and records.
 
-    A record is priced first and summed after.  Price lists are far below the
-    broadcast threshold, so Spark prices records in the scan stage and sums
-    them there: what is shuffled is one row per task and group, and a hot SKU,
-    workspace or user costs nothing extra.  A list beyond the threshold is met
-    in a shuffled join, whose hot SKUs adaptive execution splits.  Either way
-    the sums are exact decimals.  ``priced`` also groups by ``has_price``.
+    Quantities are summed per dims, SKU and cloud in the scan stage, and the sums are priced: all records of such a group
+    have one price, so the exact decimals are those of pricing each record, at a product per group.  What is shuffled
+    is one row per task and group, whatever the size of the price list, and a hot SKU, workspace or user costs nothing
+    extra.  ``priced`` also groups by ``has_price``.
     """
     rows = usage.filter(F.col("usage_date").between(day(start), day(end)))
     if positive:
@@ -89,11 +87,14 @@ def metered(usage: DataFrame, prices: DataFrame, start: str, end: str, dims: lis
     if where is not None:
         rows = rows.filter(where)
     keys = [F.col(d) if isinstance(d, str) else d for d in dims]
+    names = rows.select(*keys).columns
+    sums = (rows.groupBy(*keys, F.col("sku_name").alias("_of_sku"), F.col("cloud").alias("_of_cloud"))
+            .agg(F.sum("usage_quantity").alias("usage_quantity"), F.count("*").alias("_records")))
     if priced:
-        keys.append(F.col("has_price"))
-    return with_price(rows, prices).groupBy(*keys).agg(
-        F.sum("usage_quantity").cast(QUANTITY).alias("dbus"), F.count("*").alias("records"),
-        F.sum(spend_of(usage, "price")).alias("spend"), F.sum(spend_of(usage, "effective_price")).alias("effective_spend"))
+        names.append("has_price")
+    return with_price(sums, prices, "_of_sku", "_of_cloud").groupBy(*names).agg(
+        F.sum("usage_quantity").cast(QUANTITY).alias("dbus"), F.coalesce(F.sum("_records"), F.lit(0)).alias("records"),
+        F.sum(spend_of(sums, "price")).alias("spend"), F.sum(spend_of(sums, "effective_price")).alias("effective_spend"))
 
 
 def totals() -> list[Column]:
