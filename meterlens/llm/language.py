@@ -24,8 +24,8 @@ ORDER = 4
 SLOT_BITS = 22
 #: Characters handled at a time; a longer text is read in pieces of this size.
 PIECE = 1 << 20
-#: Training texts the temperature and the rejection border are fitted on (those with the smallest hashes).
-CALIBRATION_TEXTS = 5000
+#: Temperatures tried.  Entropies are counted in units of 1 / UNITS nats, in steps of so many units one after the other.
+TEMPERATURES, UNITS, STEPS = np.geomspace(0.05, 20, 40), 1_000_000_000, (1_000_000, 1_000, 1)
 #: A text is rejected when it lies this many times farther out than 99.9 % of the training texts.
 REJECT_AT = 2.0
 
@@ -228,36 +228,82 @@ def fit(rows: DataFrame, text_col: str, lang_col: str) -> Model | None:
     return _calibrated(model, known, spark)
 
 
+def _quantiles(rows: DataFrame, share: float) -> dict[int, float]:
+    """Per ``group`` of ``rows`` (group int, v long) the quantile of all its values ``v``, as numpy interpolates it.
+
+    Values are counted in ever finer steps, the finer ones only where the wanted ranks lie, so the driver gets bounded counts.
+    """
+    ranks: dict[int, list[int]] = {}
+    inside: dict[int, list[tuple[int, int]]] = {}  # per group and wanted rank: the step it lies in, and how many values lie below that
+    weight: dict[int, float] = {}
+    for unit in STEPS:
+        near = rows
+        if inside:
+            steps = sorted({(g, at) for g, both in inside.items() for at, _ in both})
+            known = F.broadcast(rows.sparkSession.createDataFrame(steps, "group int, _step long"))
+            near = rows.withColumn("_step", F.expr(f"v div {1000 * unit}")).join(known, ["group", "_step"])
+        counted: dict[int, list[tuple[int, int]]] = {}
+        for r in near.groupBy("group", F.expr(f"v div {unit}").alias("at")).agg(F.count("*").alias("n")).collect():
+            counted.setdefault(r["group"], []).append((r["at"], r["n"]))
+        for g, steps in counted.items():
+            at, n = (np.array(x, np.int64) for x in zip(*sorted(steps)))
+            if unit == STEPS[0]:
+                spot = share * (n.sum() - 1)
+                ranks[g], weight[g] = [int(np.floor(spot)), int(np.ceil(spot))], spot - np.floor(spot)
+            found = []
+            for i, rank in enumerate(ranks[g]):
+                below = 0
+                own = np.ones(len(at), bool)
+                if g in inside:
+                    step, below = inside[g][i]
+                    own = np.trunc(at / 1000).astype(np.int64) == step
+                ends = below + np.cumsum(n[own])
+                k = int(np.searchsorted(ends, rank, "right"))
+                found.append((int(at[own][k]), int(ends[k] - n[own][k])))
+            inside[g] = found
+    return {g: (low + (high - low) * weight[g]) / UNITS for g, ((low, _), (high, _)) in inside.items()}
+
+
 def _calibrated(model: Model, known: DataFrame, spark) -> Model:
-    """Fit the temperature by likelihood, and the rejection border, on a bounded sample of training texts."""
+    """Fit the temperature by likelihood, and the rejection border, on all training texts with letters.
+
+    Tasks add up the likelihood at every temperature tried; medians and the border come from counts of all values.
+    """
     shared = spark.sparkContext.broadcast(model)
+    number = {x: i for i, x in enumerate(model.langs)}
 
-    def entropies(batches):
+    def own_entropies(batches):
+        total, texts = np.zeros(len(TEMPERATURES)), 0
         for b in batches:
             entropy, size, letters = shared.value.cross_entropies(list(b["text"]))
             some = letters > 0
-            yield pd.DataFrame({"lang": b["lang"][some], "size": size[some], "entropy": list(entropy[some])})
-
-    share = min(1.0, 1.2 * CALIBRATION_TEXTS / max(1, known.count()))
-    sample = (known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-              .mapInPandas(entropies, "lang string, size long, entropy array<double>").limit(2 * CALIBRATION_TEXTS).toPandas())
+            entropy, size, truth = entropy[some], size[some], b["lang"][some].map(number).to_numpy(np.int32)
+            own = entropy[np.arange(len(truth)), truth]
+            ahead = (own[:, None] - entropy) * np.sqrt(size)[:, None]
+            for i, t in enumerate(TEMPERATURES):  # log of the softmax, shifted by its largest term
+                most = (ahead * t).max(1, initial=0.0)
+                total[i] -= (most + np.log(np.exp(ahead * t - most[:, None]).sum(1))).sum()
+            texts += len(truth)
+            yield pd.DataFrame({"group": truth, "size": size, "v": np.floor(own * UNITS).astype(np.int64), "fits": None})
+        yield pd.DataFrame({"group": [None], "size": [texts], "v": [None], "fits": [total.tolist()]})
+
+    all_of = stored(known.mapInPandas(own_entropies, "group int, size long, v long, fits array<double>"), "entropies")
+    rows = all_of.where("fits IS NULL")
+    fits = all_of.where("fits IS NOT NULL").agg(
+        F.sum("size").alias("n"), *[F.sum(F.col("fits")[i]).alias(f"t{i}") for i in range(len(TEMPERATURES))]).first()
     model.center = np.full(len(model.langs), np.log(model.alphabet + 1))
-    if not len(sample):
+    if not fits.n:
         return model
-    entropy, size = np.stack(sample["entropy"].to_numpy()), sample["size"].to_numpy()
-    truth = sample["lang"].map({x: i for i, x in enumerate(model.langs)}).to_numpy()
-    own = entropy[np.arange(len(truth)), truth]
-    for k in set(truth.tolist()):
-        model.center[k] = np.median(own[truth == k])
-    best, model.temperature = -np.inf, 1.0
-    for t in np.geomspace(0.05, 20, 40):
-        z = -entropy * np.sqrt(size)[:, None] * t
-        z -= z.max(1, keepdims=True)
-        fit_of = np.mean(z[np.arange(len(truth)), truth] - np.log(np.exp(z).sum(1)))
-        if fit_of > best + 1e-9:
-            best, model.temperature = fit_of, float(t)
-    far = model.farness(entropy, truth, size)
-    model.border = REJECT_AT * max(float(np.quantile(far, 0.999)), 0.5)
+    for group, median in _quantiles(rows, 0.5).items():
+        model.center[group] = median
+    best = -np.inf
+    for i, t in enumerate(TEMPERATURES):
+        if fits[f"t{i}"] / fits.n > best + 1e-9:
+            best, model.temperature = fits[f"t{i}"] / fits.n, float(t)
+    center = F.array(*[F.lit(float(c)) for c in model.center])
+    far = (F.col("v") / UNITS - center[F.col("group")]) * F.sqrt(F.least("size", F.lit(200)) / 200)  # as Model.farness
+    border = _quantiles(rows.select(F.lit(0).alias("group"), F.floor(far * UNITS).alias("v")), 0.999)[0]
+    model.border = REJECT_AT * max(border, 0.5)
     return model
 
 

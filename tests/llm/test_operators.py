@@ -411,6 +411,24 @@ def test_languages(documents):
     assert language.languages(frame.limit(0)).count() == 0
 
 
+def test_language_thresholds_come_from_all_texts(spark, documents):
+    rng = random.Random(17)
+    words = {"en": "the cat sat on a mat and then went home with that dog".split(), "de": "der hund und die katze gehen nach hause mit einem ball".split()}
+    rows = [(i, " ".join(rng.choices(words["en" if i % 2 else "de"], k=rng.choice([1, 2, 4])))) for i in range(16_000)] + [(16_000, "12"), (16_002, None)]
+    rows += [(20_000 + i, "qqq qq") for i in range(30)]  # few and far out, in German
+    frame = documents(rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
+    model = language.fit(frame, "text", "lang")
+    entropy, size, letters = model.cross_entropies([t or "" for _, t in rows])
+    some = letters > 0
+    entropy, size, truth = entropy[some], size[some], np.array([model.langs.index("en" if i % 2 else "de") for i, _ in rows])[some]
+    own = entropy[np.arange(len(truth)), truth]
+    assert model.center == pytest.approx([np.median(own[truth == k]) for k in range(2)], abs=1e-8)
+    assert model.border == pytest.approx(2 * max(np.quantile(model.farness(entropy, truth, size), 0.999), 0.5), abs=1e-7)
+    z = -entropy * np.sqrt(size)[:, None]
+    fits = [np.mean(z[np.arange(len(truth)), truth] * t - np.logaddexp.reduce(z * t, axis=1)) for t in language.TEMPERATURES]
+    assert max(fits) - fits[list(language.TEMPERATURES).index(model.temperature)] < 1e-8
+
+
 # -- pipeline
 
 def test_pipeline(spark):
