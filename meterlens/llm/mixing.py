@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.llm.common import prepared, stored
-from meterlens.llm.quality import statistics
+from meterlens.llm.quality import N_STATISTICS, statistics
 from meterlens.llm.words import SPACED, Words
 
-#: Labelled rows the classifier is fitted on at most (those with the smallest hashes of their ids).
-FIT_ROWS = 8000
-#: Hashed words counted besides the statistics, steps of the fit, weight penalty.
-BUCKETS, FIT_STEPS, PENALTY = 512, 300, 1e-3
+#: Hashed words counted besides the statistics, most steps of the fit, weight penalty.
+BUCKETS, FIT_STEPS, PENALTY = 512, 40, 1e-3
+#: Tasks of a step of the fit; each sends one matrix of features by features, row by row, to be summed.  Loss a step can still win at the end.
+FIT_TASKS, LEAST_GAIN = 48, 1e-9
 #: Weight of staying near rate 1, most steps, and the largest share of tokens a domain may be off at the end.
 CLOSENESS, STEPS, TOLERANCE = 1e-3, 60, 1e-4
 
@@ -37,23 +37,102 @@ def _packed_features(text: pa.Array) -> pa.Array:
     return pa.array([row.tobytes() for row in features(text)], pa.binary())
 
 
+def _counted_features(text: pa.Array) -> pa.Array:
+    n = np.diff(Words(text, SPACED).first)
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), _packed_features(text)], ["n_tokens", "x"])
+
+
+class Examples:
+    """Features ``x`` (packed) and domain number ``y`` of every labelled id, as a stored table; iterating reads the features one by one."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.n = rows, rows.count()
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self):
+        return (bytes(r.x) for r in self.rows.select("x").toLocalIterator())
+
+    def summed(self, add, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
+        """Sums over all examples of the arrays that ``add(x, y)`` gives for a batch; tasks add up theirs first."""
+        def run(batches):
+            total = [np.zeros(s) for s in shapes]
+            for b in batches:
+                if len(b):
+                    x = np.frombuffer(b"".join(map(bytes, b["x"])), np.float32).reshape(len(b), -1)
+                    for t, more in zip(total, add(x.astype(float), b["y"].to_numpy())):
+                        t += more
+            flat = [row for t in total for row in t.reshape(-1, t.shape[-1])]
+            yield pd.DataFrame({"i": np.arange(len(flat)), "row": flat})
+        def merged(batches):
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                for i, row in zip(b["i"], b["row"]):
+                    total[i] = total[i] + row if i in total else row
+            yield pd.DataFrame({"i": list(total), "row": list(total.values())})
+        schema = "i int, row array<double>"
+        found = self.rows.coalesce(FIT_TASKS).mapInPandas(run, schema).repartition("i").mapInPandas(merged, schema).collect()
+        rows, out = iter([np.array(r.row) for r in sorted(found, key=lambda r: r.i)]), []
+        for s in shapes:
+            out.append(np.stack([next(rows) for _ in range(int(np.prod(s[:-1])))]).reshape(s))
+        return out
+
+
 class Classifier:
-    """Softmax regression on standardised features."""
+    """Softmax regression on standardised features, fitted by Newton steps, each one pass over all examples."""
 
-    def __init__(self, domains: list[str], x: np.ndarray | None = None, y: np.ndarray | None = None):
+    def __init__(self, domains: list[str], x: Examples | None = None, y: None = None):
         self.domains, self.weights = domains, None
         if x is None or not len(x):
             return
-        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-4)
-        z = self._rows(x)
-        truth = np.eye(len(domains))[y]
-        w, speed, slope = np.zeros((z.shape[1], len(domains))), 0.0, 1.0 / (0.5 * np.linalg.norm(z, 2) ** 2 / len(z) + PENALTY)
-        ahead = w
-        for step in range(FIT_STEPS):
-            grad = z.T @ (self._softmax(z @ ahead) - truth) / len(z) + PENALTY * ahead
-            new = ahead - slope * grad
-            ahead, w = new + step / (step + 3) * (new - w), new
-        self.weights = w
+        width = N_STATISTICS + BUCKETS
+        plain, squares = x.summed(lambda x, y: (x.sum(0)[None], (x ** 2).sum(0)[None]), [(1, width), (1, width)])
+        self.mean = plain[0] / len(x)
+        self.scale = np.maximum(np.sqrt(np.maximum(squares[0] / len(x) - self.mean ** 2, 0)), 1e-4)
+        self.weights = self._fitted(x, width + 1)
+
+    def _fitted(self, examples: Examples, width: int) -> np.ndarray:
+        """The weights of least loss.  They add up to 0 over the domains, so steps are taken along the columns of ``free``."""
+        k, n = len(self.domains), len(examples)
+        if k < 2:
+            return np.zeros((width, k))
+        free = np.linalg.svd(np.ones((1, k)))[2][1:].T
+        pairs = [(r, s) for r in range(k - 1) for s in range(r + 1)]
+
+        def at(w: np.ndarray):
+            def add(x: np.ndarray, y: np.ndarray):
+                z = self._rows(x)
+                p = self._softmax(z @ w)
+                slope = z.T @ ((p - np.eye(k)[y]) @ free)
+                mean = p @ free
+                bends = [z.T @ (z * (p @ (free[:, r] * free[:, s]) - mean[:, r] * mean[:, s])[:, None]) for r, s in pairs]
+                loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum()
+                return [np.array([[loss]]), slope.T, *bends]
+            loss, slope, *bends = examples.summed(add, [(1, 1), (k - 1, width), *[(width, width)] * len(pairs)])
+            b = w @ free
+            bend = np.zeros(((k - 1) * width, (k - 1) * width))
+            for (r, s), m in zip(pairs, bends):
+                for i, j in {(r, s), (s, r)}:
+                    bend[i * width:(i + 1) * width, j * width:(j + 1) * width] = m / n
+            bend += PENALTY * np.eye(len(bend))
+            return loss[0, 0] / n + PENALTY / 2 * (b ** 2).sum(), slope.ravel() / n + PENALTY * b.T.ravel(), bend
+
+        w = np.zeros((width, k))
+        loss, slope, bend = at(w)
+        step = -np.linalg.solve(bend, slope)
+        for _ in range(FIT_STEPS):
+            gain = -(slope @ step) / 2
+            if gain < LEAST_GAIN:
+                break
+            new = w + step.reshape(k - 1, width).T @ free.T
+            found = at(new)
+            if found[0] > loss:  # too far
+                step = step / 2
+                continue
+            w, (loss, slope, bend) = new, found
+            step = -np.linalg.solve(bend, slope)
+        return w
 
     def _rows(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([((x - self.mean) / self.scale).clip(-8, 8), np.ones(len(x))])
@@ -63,27 +142,29 @@ class Classifier:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    def posteriors(self, text: pa.Array) -> np.ndarray:
+    def posteriors(self, x: np.ndarray) -> np.ndarray:
+        """Of rows of features."""
         if self.weights is None:
-            return np.full((len(text), len(self.domains)), 1 / len(self.domains))
-        return self._softmax(self._rows(features(text)) @ self.weights)
+            return np.full((len(x), len(self.domains)), 1 / len(self.domains))
+        return self._softmax(self._rows(x) @ self.weights)
 
 
 def train(df: DataFrame, labelled: DataFrame, domains: list[str], id_col: str, text_col: str) -> Classifier:
-    """Learn from at most FIT_ROWS ids of ``labelled`` (id, domain); ids without a text and unknown domains are ignored.
+    """Learn from all ids of ``labelled`` (id, domain); ids without a text and unknown domains are ignored.
 
-    An id that repeats in ``df`` counts once, by the text with the smallest hash; no more than FIT_ROWS rows reach the driver.
+    An id that repeats in ``df`` counts once, by the text with the smallest hash.
     """
+    return _learned(df.select(id_col, F.xxhash64(text_col).alias("_h"), F.arrow_udf(_packed_features, "binary")(text_col).alias("_x")),
+                    labelled, domains, id_col)
+
+
+def _learned(rows: DataFrame, labelled: DataFrame, domains: list[str], id_col: str) -> Classifier:
+    """:func:`train` from rows of id, ``_h`` (hash of the text) and ``_x`` (its packed features)."""
+    number = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
     marks = (labelled.select(id_col, "domain").where(F.col("domain").isin(domains))
-             .groupBy(id_col).agg(F.min("domain").alias("domain"))
-             .orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS))
-    texts = (df.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(marks), id_col).groupBy(id_col)
-             .agg(F.min("domain").alias("domain"), F.min_by("_text", F.xxhash64("_text")).alias("_text")))
-    rows = texts.select("domain", F.arrow_udf(_packed_features, "binary")("_text").alias("x")).toPandas()
-    if not len(rows):
-        return Classifier(domains)
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]])
-    return Classifier(domains, x, rows["domain"].map({d: i for i, d in enumerate(domains)}).to_numpy())
+             .groupBy(id_col).agg(F.min("domain").alias("domain")).select(id_col, number.cast("int").alias("y")))
+    known = (rows.join(marks, id_col).groupBy(id_col).agg(F.min("y").alias("y"), F.min_by("_x", "_h").alias("x")))
+    return Classifier(domains, Examples(stored(known.select("y", "x"), "examples")))
 
 
 def rates(p: np.ndarray, gradients: list[np.ndarray]) -> np.ndarray:
@@ -138,19 +219,18 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: s
     """
     prepared(df.sparkSession)
     domains = sorted(targets)
-    model = df.sparkSession.sparkContext.broadcast(train(df, labelled, domains, id_col, text_col))
-
-    @F.arrow_udf("struct<n_tokens:bigint,p:array<double>>")
-    def member(text: pa.Array) -> pa.Array:
-        n = np.diff(Words(text, SPACED).first)
-        p = model.value.posteriors(text)
-        ends = pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))],
-                                          ["n_tokens", "p"])
-
     new = ("n_tokens", "posteriors", "rate", "copies")
     kept = [c for c in df.columns if c not in new]
-    narrow = stored(df.select(member(F.col(text_col)).alias("m")).select("m.n_tokens", "m.p"), "members")
+    featured = stored(df.select(*kept, F.arrow_udf(_counted_features, "struct<n_tokens:bigint,x:binary>")(F.col(text_col)).alias("_m")), "features")
+    model = df.sparkSession.sparkContext.broadcast(_learned(
+        featured.select(id_col, F.xxhash64(text_col).alias("_h"), F.col("_m.x").alias("_x")), labelled, domains, id_col))
+
+    @F.arrow_udf("array<double>")
+    def posteriors(x: pa.Array) -> pa.Array:
+        p = model.value.posteriors(np.frombuffer(b"".join(x.to_pylist()), np.float32).reshape(len(x), N_STATISTICS + BUCKETS))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+
+    narrow = stored(featured.select(F.col("_m.n_tokens").alias("n_tokens"), posteriors("_m.x").alias("p")), "members")
     gradients = fit_rates(narrow, np.array([targets[d] for d in domains], float), total)
 
     @F.pandas_udf("double")
@@ -158,8 +238,8 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: s
         return pd.Series(rates(np.stack(p.to_numpy()), gradients))
 
     part = F.pmod(F.xxhash64(id_col, text_col, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return (df.select(*kept, member(F.col(text_col)).alias("_m"))
-            .select(*kept, F.col("_m.n_tokens").alias("n_tokens"), F.col("_m.p").alias("posteriors"), rate("_m.p").alias("rate"))
+    return (featured.select(*kept, F.col("_m.n_tokens").alias("n_tokens"), posteriors("_m.x").alias("posteriors"))
+            .withColumn("rate", rate("posteriors"))
             .withColumn("copies", (F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")))
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,19 @@ def test_mixing_learns_one_text_of_an_id(spark, documents, monkeypatch):
     assert len(seen[0]) == 40 and seen[0] == seen[1]
 
 
+def test_mixing_learns_from_all_labelled_rows(spark, documents):
+    rng = random.Random(23)
+    words = ["plain word here and there".split(), "BAD junk!! 12 $$ noise".split()]
+    rows = [(i, " ".join(rng.choices(words[rng.random() < (0.2 if i % 2 else 0.7)], k=6))) for i in range(9000)]
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "bad") for i, _ in rows], "doc_id long, domain string")
+    model = mixing.train(documents(rows), labels, ["bad", "good"], "doc_id", "text")
+    x, y = mixing.features(pa.array([t for _, t in rows])), np.array([i % 2 for i, _ in rows])
+    assert np.allclose(model.mean, x.mean(0, dtype=float), atol=1e-9) and np.allclose(model.scale, np.maximum(x.std(0, dtype=float), 1e-4), atol=1e-6)
+    z, p = model._rows(x), model.posteriors(x)
+    slope = z.T @ (p - np.eye(2)[y]) / len(y) + mixing.PENALTY * model.weights  # 0 where the loss over all rows is least
+    assert np.abs(slope).max() < 1e-4
+
+
 # -- near-duplicates
 
 def brute_components(rows):
