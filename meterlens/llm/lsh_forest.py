@@ -94,26 +94,41 @@ def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     random, differently in each tree.
     """
     rows = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    out = crowded = None
-    for depth in DEPTHS:
-        keyed = rows.select("node", "tree", F.xxhash64("tree", F.lit(depth), _read_from(F.col("tree"), depth)).alias("key"))
-        counts = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        shared = stored(keyed.join(counts, "key"), f"shared{depth}")
+    first = DEPTHS[0]
+    shared = _shared(rows.select("node", "tree", _key(first).alias("key")), first)
+    crowded = shared.where(F.col("size") > REGION).select("key", "node")
+    # one row per node meets its signature, whatever the number of its regions; from here on rows carry it along
+    places = shared.groupBy("node").agg(F.collect_list(F.struct("tree", "key", "size")).alias("places"))
+    signed = stored(places.join(nodes.select("node", "n", "signature"), "node"), "signed")
+    small = F.col("p.size") <= REGION
+    rows = signed.select("node", "n", "signature", F.explode("places").alias("p"))
+    kept = ("node", "n", "signature")
+    out = rows.where(small).select(*kept, "p.tree", "p.key", F.lit(first).alias("depth"))
+    rows = rows.where(~small).select(*kept, "p.tree")
+    some = not crowded.isEmpty()
+    for depth in DEPTHS[1:] if some else ():
+        shared = _shared(rows.select(*kept, "tree", _key(depth).alias("key")), depth)
         last = depth == DEPTHS[-1]
         blocks = F.ceil(F.col("size") / (REGION // 2)).cast("int")
         block = F.when(F.col("size") > REGION, F.pmod(F.xxhash64("node", "tree", F.lit("block")), blocks)).otherwise(0)
         done = shared if last else shared.where(F.col("size") <= REGION)
-        done = done.select(F.xxhash64("key", block).alias("key") if last else F.col("key"), "tree", "node",
-                           F.lit(depth).alias("depth"))
-        out = done if out is None else out.unionByName(done)
-        large = shared.where(F.col("size") > REGION)
-        crowded = large.select("key", "node") if crowded is None else crowded
-        if last or large.isEmpty():
+        out = out.unionByName(done.select(*kept, "tree", F.xxhash64("key", block).alias("key") if last else F.col("key"),
+                                          F.lit(depth).alias("depth")))
+        rows = shared.where(F.col("size") > REGION).select(*kept, "tree")
+        if last or rows.isEmpty():
             break
-        rows = large.select("node", "tree").join(nodes.select("node", "signature"), "node")
     tails = F.concat(*[F.when(F.col("depth") == d, _read_from(F.col("tree"), d + 4, d)).otherwise(F.array()) for d in DEPTHS])
-    found = out.join(nodes, "node").select("key", "tree", tails.alias("tail"), "node", "n", _packed("signature").alias("sketch"))
-    return found, crowded
+    return out.select("key", "tree", tails.alias("tail"), "node", "n", _packed("signature").alias("sketch")), crowded
+
+
+def _key(depth: int) -> Column:
+    return F.xxhash64("tree", F.lit(depth), _read_from(F.col("tree"), depth))
+
+
+def _shared(keyed: DataFrame, depth: int) -> DataFrame:
+    """Rows whose key another row has too, with the ``size`` of that region."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return stored(keyed.join(counts, "key"), f"shared{depth}")
 
 
 def _packed(signature: str) -> Column:
@@ -252,6 +267,8 @@ def crowded_links(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percen
     Both are dealt into blocks, and each pair of blocks is a group of its own.
     """
     grouped = crowded.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("group"))
+    several = grouped.groupBy("key").agg(F.min("group").alias("_least"), F.max("group").alias("_most")).where("_least <> _most").select("key")
+    grouped = grouped.join(several, "key", "left_semi")  # other regions have nothing left to join
     grouped = stored(grouped.join(sets.select("node", F.size("shingles").alias("n")), "node"), "crowded")
     parts = grouped.groupBy("key", "group").agg(F.count("*").alias("nodes"), F.sum("n").alias("n"))
     sums = parts.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("group", F.struct("n", "group")).alias("major"),

@@ -274,6 +274,18 @@ def test_large_groups_get_few_links(spark, documents, monkeypatch):
     assert sum(made) <= 4 * distinct, (made, distinct)
 
 
+def test_nodes_meet_their_signature_once(spark, documents):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(w if rng.random() > 0.002 else f"x{rng.randrange(10**9)}" for w in base)) for i in range(300)]
+    sketch = F.arrow_udf(lsh_forest._sketches, "struct<n:bigint,node:bigint,signature:array<int>>")("text")
+    nodes = common.stored(documents(rows).select(sketch.alias("s")).select("s.*").dropDuplicates(["node"]), "nodes")
+    found, crowded = lsh_forest.regions(nodes)
+    places = found.groupBy("node", "tree").count().collect()
+    assert len(places) > 20 * nodes.count() / 2 and all(r["count"] == 1 for r in places) and not crowded.isEmpty()
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # signatures travel along
+
+
 # -- URLs
 
 def test_url_rules(spark):
