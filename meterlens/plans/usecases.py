@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.functions.shape import listed_values, share_of_total
+from meterlens.operators.joins import join_spread
 from meterlens.operators.pricing import day, meta, metered
 
 # fixed values: object types by priority, and the usage column that holds their id
 OBJECT_COLUMNS = [("cluster", "cluster_id"), ("warehouse", "warehouse_id"), ("job", "job_id"), ("endpoint", "endpoint_id"),
                   ("pipeline", "dlt_pipeline_id")]
+#: Use cases of one object that one task joins with all usage rows of that object.
+MAPPED_PER_TASK = 2000
 DETAIL = ["use_case_id", "name", "description", "owner", "created_at", "updated_at", "status", "tags", "stage",
           "start_date", "end_date", "live_date"]
 
@@ -31,6 +34,8 @@ def _matches(rows: DataFrame, objects: DataFrame, custom_dates: bool = False) ->
 
     The ids of a usage row are turned into (type, id) rows, so one equi join
     serves all types; a row reached through two of its ids is folded again.
+    Each use case of an object gets all rows of that object, so the join makes far
+    more rows than it reads: objects of many use cases are dealt to several tasks.
     """
     ids = [F.col(c) for _, c in OBJECT_COLUMNS]
     entries = [F.when(i.isNotNull(), F.struct(F.lit(r).alias("rank"), F.lit(t).alias("object_type"), i.alias("id")))
@@ -41,7 +46,8 @@ def _matches(rows: DataFrame, objects: DataFrame, custom_dates: bool = False) ->
              .select("usage_date", "dbus", "spend", "shown_id", "row_key", "e.rank", "e.object_type", F.col("e.id").alias("object_id")))
     mapping = (objects.select("use_case_id", "object_type", "object_id", "custom_start_date", "custom_end_date")
                .dropDuplicates(["use_case_id", "object_type", "object_id"]))
-    joined = typed.join(mapping, ["object_type", "object_id"])
+    joined = join_spread(mapping, typed, ["object_type", "object_id"], F.col("use_case_id"), task_rows=MAPPED_PER_TASK,
+                         partitions=int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if custom_dates:
         joined = joined.filter((F.col("usage_date") >= F.coalesce("custom_start_date", "usage_date"))
                                & (F.col("usage_date") <= F.coalesce("custom_end_date", "usage_date")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import rows as R
 from conftest import SMALL
 from meterlens.functions.shape import listed_values, one_row, share_of_total
+from meterlens.operators.joins import join_spread
 from meterlens.plans import aiml, apps, health, infra, spend, tags, usecases, users, warehouse
 from meterlens.registered.all import all_queries
 from meterlens.sources.fixtures import FixtureTables
@@ -160,3 +161,12 @@ def test_totals_share_the_stage_of_their_report(spark, tmp_path):
     plan = report._jdf.queryExecution().executedPlan().toString()
     final = plan.split("Initial Plan")[0]
     assert "ReusedExchange" in plan or final.count("Scan parquet") == 1, plan
+
+
+def test_many_rows_of_few_keys_are_joined_in_several_tasks(spark):
+    mapping = spark.range(4000).select((F.col("id") % 2).alias("k"), F.col("id").alias("case"))
+    typed = spark.range(60).select((F.col("id") % 3).alias("k"), F.col("id").alias("row"))
+    found = join_spread(mapping, typed, ["k"], F.col("case"), task_rows=100, partitions=8).withColumn("task", F.spark_partition_id())
+    assert sorted(map(tuple, found.select("k", "case", "row").collect())) == sorted(map(tuple, mapping.join(typed, "k").select("k", "case", "row").collect()))
+    rows = [r["count"] for r in found.groupBy("task").count().collect()]
+    assert len(rows) == 8 and max(rows) <= sum(rows) / 2
