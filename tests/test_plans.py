@@ -170,3 +170,10 @@ def test_many_rows_of_few_keys_are_joined_in_several_tasks(spark):
     assert sorted(map(tuple, found.select("k", "case", "row").collect())) == sorted(map(tuple, mapping.join(typed, "k").select("k", "case", "row").collect()))
     rows = [r["count"] for r in found.groupBy("task").count().collect()]
     assert len(rows) == 8 and max(rows) <= sum(rows) / 2
+
+
+def test_series_of_top_users_are_not_gathered_for_all_users(tables):
+    found = users.daily_of_top_users(tables.usage, tables.list_prices, "2023-08-04", "2024-01-30")
+    assert {r.user_email for r in found.collect()} == {r.user_email for r in users.by_spend(tables.usage, tables.list_prices, "2023-08-04", "2024-01-30").limit(6).collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ReusedExchange" in plan
