@@ -70,7 +70,8 @@ class Examples:
             for b in batches:
                 for i, row in zip(b["i"], b["row"]):
                     total[i] = total[i] + row if i in total else row
-            yield pd.DataFrame({"i": list(total), "row": list(total.values())})
+            if total:
+                yield pd.DataFrame({"i": list(total), "row": list(total.values())})
         schema = "i int, row array<double>"
         found = self.rows.coalesce(FIT_TASKS).mapInPandas(run, schema).repartition("i").mapInPandas(merged, schema).collect()
         rows, out = iter([np.array(r.row) for r in sorted(found, key=lambda r: r.i)]), []
