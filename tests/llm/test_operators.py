@@ -151,19 +151,15 @@ def test_mixing_learns_from_all_labelled_rows(spark, documents):
     assert np.abs(slope).max() < 1e-4
 
 
-def test_mixing_learns_over_many_partitions(spark, documents):
-    rows = [(i, f"good words number {i} " * 5 if i % 2 else f"BAD!! {i}!! " * 7) for i in range(30)]
-    labels = spark.createDataFrame([(i, "good" if i % 2 else "bad") for i, _ in rows], "doc_id long, domain string")
-    held = {"spark.sql.shuffle.partitions": "700", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # more than there are sums
-    before = {k: spark.conf.get(k) for k in held}
+def test_sums_of_the_fit_over_more_partitions_than_sums(spark):
+    examples = mixing.Examples(spark.createDataFrame([(i % 2, bytearray(np.full(3, i, np.float32).tobytes())) for i in range(10)], "y int, x binary"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     try:
-        for k, v in held.items():
-            spark.conf.set(k, v)
-        model = mixing.train(documents(rows), labels, ["bad", "good"], "doc_id", "text")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        total, = examples.summed(lambda x, y: (x.sum(0)[None],), [(1, 3)])
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    assert (model.posteriors(mixing.features(pa.array([t for _, t in rows]))).argmax(1) == [i % 2 for i, _ in rows]).all()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert total.tolist() == [[45.0] * 3]
 
 
 # -- near-duplicates
