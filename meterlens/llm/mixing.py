@@ -22,24 +22,55 @@ from meterlens.llm.words import SPACED, Words
 BUCKETS, FIT_STEPS, PENALTY = 512, 40, 1e-3
 #: Tasks of a step of the fit; each sends one matrix of features by features, row by row, to be summed.  Loss a step can still win at the end.
 FIT_TASKS, LEAST_GAIN = 48, 1e-9
+#: Rows of features multiplied at a time, at least, if a task has them.
+BLOCK_ROWS = 1024
 #: Weight of staying near rate 1, most steps, and the largest share of tokens a domain may be off at the end.
 CLOSENESS, STEPS, TOLERANCE = 1e-3, 60, 1e-4
 
 
-def features(text: pa.Array) -> np.ndarray:
-    words = Words(text, SPACED)
+def features(text: pa.Array, words: Words | None = None) -> np.ndarray:
+    words = words or Words(text, SPACED)
     place = words.owner() * BUCKETS + (words.hash >> np.uint64(20)).astype(np.int64) % BUCKETS
     counts = np.bincount(place, minlength=len(text) * BUCKETS).reshape(len(text), BUCKETS)
-    return np.column_stack([statistics(text), np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))]).astype(np.float32)
+    return np.column_stack([statistics(text, words), np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))]).astype(np.float32)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    size = x.shape[1] * x.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def _unpacked(packed: pa.Array) -> np.ndarray:
+    """Rows of features; every packed row has the same size, none is null."""
+    packed = packed.cast(pa.large_binary())
+    _, offsets, data = packed.buffers()
+    at = np.frombuffer(offsets, np.int64)[packed.offset:packed.offset + len(packed) + 1]
+    width = (at[-1] - at[0]) // (4 * max(len(packed), 1))
+    return np.frombuffer(data, np.float32, width * len(packed), at[0]).reshape(len(packed), width)
 
 
 def _packed_features(text: pa.Array) -> pa.Array:
-    return pa.array([row.tobytes() for row in features(text)], pa.binary())
+    return _packed(features(text))
 
 
 def _counted_features(text: pa.Array) -> pa.Array:
-    n = np.diff(Words(text, SPACED).first)
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), _packed_features(text)], ["n_tokens", "x"])
+    words = Words(text, SPACED)
+    return pa.StructArray.from_arrays([pa.array(np.diff(words.first), pa.int64()), _packed(features(text, words))], ["n_tokens", "x"])
+
+
+def _blocks(batches):
+    """Features and domain numbers of the rows of some batches at a time."""
+    x, y, n = [], [], 0
+    for b in batches:
+        if b.num_rows:
+            x.append(_unpacked(b.column("x")))
+            y.append(b.column("y").to_numpy())
+            n += b.num_rows
+        if n >= BLOCK_ROWS:
+            yield np.concatenate(x), np.concatenate(y)
+            x, y, n = [], [], 0
+    if n:
+        yield np.concatenate(x), np.concatenate(y)
 
 
 class Examples:
@@ -58,13 +89,11 @@ class Examples:
         """Sums over all examples of the arrays that ``add(x, y)`` gives for a batch; tasks add up theirs first."""
         def run(batches):
             total = [np.zeros(s) for s in shapes]
-            for b in batches:
-                if len(b):
-                    x = np.frombuffer(b"".join(map(bytes, b["x"])), np.float32).reshape(len(b), -1)
-                    for t, more in zip(total, add(x.astype(float), b["y"].to_numpy())):
-                        t += more
+            for x, y in _blocks(batches):
+                for t, more in zip(total, add(x.astype(float), y)):
+                    t += more
             flat = [row for t in total for row in t.reshape(-1, t.shape[-1])]
-            yield pd.DataFrame({"i": np.arange(len(flat)), "row": flat})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], ["i", "row"])
         def merged(batches):
             total: dict[int, np.ndarray] = {}
             for b in batches:
@@ -73,13 +102,21 @@ class Examples:
             if total:
                 yield pd.DataFrame({"i": list(total), "row": list(total.values())})
         schema = "i int, row array<double>"
-        found = self.rows.coalesce(FIT_TASKS).mapInPandas(run, schema).repartition("i").mapInPandas(merged, schema).collect()
+        found = self.rows.select("x", "y").coalesce(FIT_TASKS).mapInArrow(run, schema).repartition("i").mapInPandas(merged, schema).collect()
         rows, out = iter([np.array(r.row) for r in sorted(found, key=lambda r: r.i)]), []
         for s in shapes:
             out.append(np.stack([next(rows) for _ in range(int(np.prod(s[:-1])))]).reshape(s))
         return out
 
 
+def _weighted(z: np.ndarray, weight: np.ndarray, variance: bool) -> np.ndarray:
+    """Sum of the weighted squares of the rows of ``z``.  A variance has a root, and a matrix times itself costs half."""
+    if variance:
+        z = z * np.sqrt(np.maximum(weight, 0))[:, None]
+        return z.T @ z
+    return z.T @ (z * weight[:, None])
+
+
 class Classifier:
     """Softmax regression on standardised features, fitted by Newton steps, each one pass over all examples."""
 
@@ -107,7 +144,7 @@ class Classifier:
                 p = self._softmax(z @ w)
                 slope = z.T @ ((p - np.eye(k)[y]) @ free)
                 mean = p @ free
-                bends = [z.T @ (z * (p @ (free[:, r] * free[:, s]) - mean[:, r] * mean[:, s])[:, None]) for r, s in pairs]
+                bends = [_weighted(z, p @ (free[:, r] * free[:, s]) - mean[:, r] * mean[:, s], r == s) for r, s in pairs]
                 loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).sum()
                 return [np.array([[loss]]), slope.T, *bends]
             loss, slope, *bends = examples.summed(add, [(1, 1), (k - 1, width), *[(width, width)] * len(pairs)])
@@ -228,7 +265,7 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: s
 
     @F.arrow_udf("array<double>")
     def posteriors(x: pa.Array) -> pa.Array:
-        p = model.value.posteriors(np.frombuffer(b"".join(x.to_pylist()), np.float32).reshape(len(x), N_STATISTICS + BUCKETS))
+        p = model.value.posteriors(_unpacked(x).reshape(len(x), N_STATISTICS + BUCKETS))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
 
     narrow = stored(featured.select(F.col("_m.n_tokens").alias("n_tokens"), posteriors("_m.x").alias("p")), "members")

@@ -24,8 +24,8 @@ _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _SIGNS = [b".", b",", b"!", b"?", b"|", b"#$%&*@^~<>{}[]=+\\/_", b"\"'()-:;", b"\n"]
 
 
-def statistics(column: pa.Array) -> np.ndarray:
-    """One row of statistics per text; null and empty texts give a row like any other."""
+def statistics(column: pa.Array, words: Words | None = None) -> np.ndarray:
+    """One row of statistics per text; null and empty texts give a row like any other.  ``words`` are its spaced words, if known."""
     data, offsets = text_bytes(column)
     n, sizes = len(column), np.diff(offsets)
     counts = np.zeros((n, 256))
@@ -35,7 +35,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         owner = np.repeat(np.arange(to - at, dtype=np.int64) * 256, sizes[at:to])
         counts[at:to] = np.bincount(owner + data[offsets[at]:offsets[to]], minlength=(to - at) * 256).reshape(-1, 256)
         at = to
-    words = Words(column, SPACED)
+    words = words or Words(column, SPACED)
     n_words, owner = np.diff(words.first), words.owner()
     length = (words.end - words.start).astype(float)
     per_text = lambda x: np.bincount(owner, x, minlength=n)
@@ -44,10 +44,12 @@ def statistics(column: pa.Array) -> np.ndarray:
     deviation = np.sqrt(np.maximum(per_text(length ** 2) / some - mean ** 2, 0))
     same = np.zeros(len(owner))
     same[1:] = (words.hash[1:] == words.hash[:-1]) & (owner[1:] == owner[:-1])
-    order = np.lexsort((words.hash, owner))
+    ordered = words.hash.copy()  # by text, then hash
+    for a, b in zip(words.first, words.first[1:]):
+        ordered[a:b].sort()
     fresh = np.ones(len(owner))
-    fresh[1:] = (words.hash[order][1:] != words.hash[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    distinct = np.bincount(owner[order], fresh, minlength=n)
+    fresh[1:] = (ordered[1:] != ordered[:-1]) | (owner[1:] != owner[:-1])
+    distinct = per_text(fresh)
     first = words.data[words.start] if len(words.start) else np.zeros(0, np.uint8)
     last = words.data[words.end - 1] if len(words.end) else np.zeros(0, np.uint8)
     letters = (counts[:, _UPPER].sum(1) + counts[:, _LOWER].sum(1) + counts[:, 128:].sum(1))

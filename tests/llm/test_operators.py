@@ -151,6 +151,33 @@ def test_mixing_learns_from_all_labelled_rows(spark, documents):
     assert np.abs(slope).max() < 1e-4
 
 
+def test_mixing_splits_a_text_once(monkeypatch):
+    rng = random.Random(29)
+    texts = [prose(rng, 30, 12), "a A a b", prose(rng, 30, 12), "", None, " ", "b", "b c"]
+    column = pa.array(["cut", *texts]).slice(1)
+    made, hashes = [], mixing.Words._hashes
+    monkeypatch.setattr(mixing.Words, "_hashes", lambda self: made.append(1) or hashes(self))
+    counted = mixing._counted_features(column)
+    assert len(made) == 1
+    split = [re.findall(SHINGLE, (t or "").translate(LOWER)) for t in texts]
+    assert counted.field("n_tokens").to_pylist() == [len(w) for w in split]
+    x = mixing._unpacked(counted.field("x"))
+    assert np.array_equal(x, mixing.features(column)) and np.array_equal(mixing._unpacked(counted.field("x").slice(2, 3)), x[2:5])
+    assert np.allclose(x[:, 4], [len(set(w)) / max(len(w), 1) for w in split])  # share of distinct words
+    assert mixing._unpacked(mixing._packed(x[:0])).size == 0
+
+
+def test_mixing_learns_three_domains(spark, documents):
+    rng = random.Random(31)
+    words = ["plain word here and there".split(), "BAD junk!! 12 $$ noise".split(), "word noise 7 (other) there".split()]
+    rows = [(i, " ".join(rng.choices(words[i % 3 if rng.random() < 0.7 else rng.randrange(3)], k=6))) for i in range(2500)]
+    labels = spark.createDataFrame([(i, "abc"[i % 3]) for i, _ in rows], "doc_id long, domain string")
+    model = mixing.train(documents(rows), labels, ["a", "b", "c"], "doc_id", "text")
+    x, y = mixing.features(pa.array([t for _, t in rows])), np.array([i % 3 for i, _ in rows])
+    slope = model._rows(x).T @ (model.posteriors(x) - np.eye(3)[y]) / len(y) + mixing.PENALTY * model.weights
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_sums_of_the_fit_over_more_partitions_than_sums(spark):
     examples = mixing.Examples(spark.createDataFrame([(i % 2, bytearray(np.full(3, i, np.float32).tobytes())) for i in range(10)], "y int, x binary"))
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
