@@ -372,6 +372,28 @@ def test_nearest_against_brute_force(spark):
     assert hnsw.nearest(few, few).count() == 6 and hnsw.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard", [64, 4096])
+def test_queries_meet_graphs_in_blocks_of_bounded_size(spark, monkeypatch, shard):
+    # A join of graphs with a copy of every query per graph would be planned by the size of the queries alone, and all copies broadcast.
+    for name, value in (("SHARD_VECTORS", shard), ("BLOCK_VALUES", 512), ("BLOCK_QUERIES", 8)):
+        monkeypatch.setattr(hnsw, name, value, raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3 if i % 10 == 7 else 6).tolist()) for i in range(400)] + [(5, rng.normal(size=6).tolist())]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert hnsw.nearest(vectors, vectors.where("vec_id % 2 = 1"))._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    sent, by_length = [], hnsw._by_length
+    monkeypatch.setattr(hnsw, "_by_length", lambda block: sent.append(by_length(block)) or sent[-1])
+    found = {}
+    for r in hnsw.nearest(vectors, vectors.where("vec_id % 2 = 1")).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert len(sent) > 1 and all(0 < sum(v.size for _, v in block.values()) <= 2 * 512 for block in sent)
+    assert sorted(i for block in sent for ids, _ in block.values() for i in ids) == sorted(i for i, _ in rows if i % 2)
+    cosine = lambda a, b: np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))
+    for q in {i for i, _ in rows if i % 2}:
+        scored = [(-cosine(a, b), j) for i, a in rows if i == q for j, b in rows if j != q and len(a) == len(b)]
+        assert found[q] == [(j, round(-s, 9)) for s, j in sorted(scored)[:5]]
+
+
 # -- quality
 
 def test_isotonic():
