@@ -25,8 +25,8 @@ LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 96
 BATCH, CHOSEN, FOLLOWED = 256, 128, 8
 #: Pieces in which equal vectors are first counted.
 SALTS = 64
-#: Most tasks per core: while graphs are built, and while a block of queries is searched.
-BUILD_TASKS, SEARCH_TASKS = 16, 8
+#: Most tasks per core: while graphs are built (more if a task had more than FILE_GRAPHS), and while a block of queries is searched.
+BUILD_TASKS, FILE_GRAPHS, SEARCH_TASKS = 16, 16, 8
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -243,7 +243,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, most_ids: int)
     rows = rows.where(usable(F.col("vector")) & F.col("id").isNotNull())
     found = stored(distinct_vectors(rows, most_ids), "vectors")
     shards = max(1, -(-found.count() // SHARD_VECTORS))
-    tasks = min(shards, BUILD_TASKS * spark.sparkContext.defaultParallelism)
+    tasks = min(shards, max(BUILD_TASKS * spark.sparkContext.defaultParallelism, -(-shards // FILE_GRAPHS)))
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(shards)).cast("int"))
     dealt = dealt.repartitionByRange(tasks, "shard")  # as many graphs to every task, which a hash would not give
     index = dealt.groupBy("shard", F.size("vector").alias("_dim")).applyInPandas(_build, INDEX)
